@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import merkle, url_rules
+from . import merkle, substring_dedup, url_rules
 from .common import table
 
 
@@ -16,8 +16,13 @@ def op8_url_rules(spark, sf_dir):
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_substring_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.digest(substring_dedup.remove_repeats(docs))
+
+
 def queries():
-    return {f.__name__: f for f in (op7_merkle, op8_url_rules)}
+    return {f.__name__: f for f in (op7_merkle, op8_url_rules, op9_substring_dedup)}
 
 
 FINGERPRINT = r"""
@@ -64,5 +69,18 @@ FROM p LEFT JOIN fits f ON f.page_id = p.page_id AND f.k = 1
 """
 
 
+OP9 = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50),
+windows AS (SELECT doc_id, i, md5(array_to_string(words[i : i + 49], ' ')) AS h FROM starts),
+firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM windows JOIN firsts USING (h) WHERE first < doc_id),
+each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+kept AS (SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.i) AS text, count(*) AS n FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id)
+SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(len(w.words) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept k USING (doc_id)
+"""
+
+
 def oracle_sql():
-    return {"op7_merkle": OP7, "op8_url_rules": OP8}
+    return {"op7_merkle": OP7, "op8_url_rules": OP8, "op9_substring_dedup": OP9}
