@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import merkle, substring_dedup, url_rules
+from . import merkle, near_dedup, substring_dedup, url_rules
 from .common import table
 
 
+def op6_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_merkle(spark, sf_dir):
     return merkle.edited_pairs(spark, table(spark, sf_dir, "documents"))
 
@@ -22,7 +26,7 @@ def op9_substring_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op7_merkle, op8_url_rules, op9_substring_dedup)}
+    return {f.__name__: f for f in (op6_near_dedup, op7_merkle, op8_url_rules, op9_substring_dedup)}
 
 
 FINGERPRINT = r"""
@@ -82,5 +86,19 @@ FROM w LEFT JOIN kept k USING (doc_id)
 """
 
 
+OP6 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(words[i : i + 4], ' ')) AS h FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * n_both >= 75 * (x.n + y.n - n_both)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.b, reach.r FROM reach JOIN edges e ON e.a = reach.doc_id),
+c AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN c ON c.doc_id = w.doc_id
+"""
+
+
 def oracle_sql():
-    return {"op7_merkle": OP7, "op8_url_rules": OP8, "op9_substring_dedup": OP9}
+    return {"op6_near_dedup": OP6, "op7_merkle": OP7, "op8_url_rules": OP8, "op9_substring_dedup": OP9}
