@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from . import merkle, near_dedup, substring_dedup, url_rules
-from .common import table
+from . import lm_scoring, merkle, near_dedup, substring_dedup, url_rules
+from .common import doc_fold, table
+
+
+def op1_lm_scoring(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_scoring.score_texts(docs, doc_fold(docs["doc_id"], 10) == 0)
 
 
 def op6_near_dedup(spark, sf_dir):
@@ -26,7 +31,7 @@ def op9_substring_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op6_near_dedup, op7_merkle, op8_url_rules, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_lm_scoring, op6_near_dedup, op7_merkle, op8_url_rules, op9_substring_dedup)}
 
 
 FINGERPRINT = r"""

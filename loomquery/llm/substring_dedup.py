@@ -4,11 +4,13 @@ Every run of `width` words of every text has a Rabin-Karp hash (two 64-bit lanes
 a window is repeated if its hash occurs in documents of different ids, and it is removed wherever a
 smaller id has it. Overlapping and adjoining windows merge into maximal intervals.
 
-Shipping each window's hash would move several times the input. So a first pass ships winnowed
-anchors: of the hashes of all half-windows inside a window the least is its anchor. Equal windows have
-equal anchors, hence a window whose anchor occurs under one id only cannot repeat, and only the windows
-whose anchor occurs under several ids are counted. That drops no repeated window. Runs of neighbouring
-windows share one anchor, so there are about 13 times fewer of them than windows.
+Shipping each window's hash would move several times the input. So a first pass ships runs. The anchor of
+a window is the least hash of the half-windows inside it; equal windows have equal anchors, and neighbouring
+windows that share theirs are a run, about 13 windows long, named by the hash of all its words. An anchor that
+one id alone has marks windows that cannot repeat. An anchor whose runs are equal wherever it occurs marks
+windows that are repeated as a whole: they go from every id but the least. Only under the remaining anchors,
+which lie at the borders of repeated passages, are windows shipped and counted one by one. Every repeated
+window is found.
 
 Frequent windows are combined before they are shuffled; the way back from a window to its documents is
 a join with one row a window, whose hot keys adaptive execution splits. No list is gathered but those of
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import mixed, rolling, signed, sliding_min, split_words, word_hashes
+from .words import LANES, mixed, powers, rolling, signed, sliding_min, split_words, word_hashes
 
 WIDTH = 50
 
@@ -40,18 +42,32 @@ def anchors_of(hashes: np.ndarray, width: int) -> np.ndarray:
     return sliding_min(mixed(rolling(hashes, inner)), width - inner + 1)
 
 
-def anchor_rows(width: int):
+def runs_of(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (anchor, name) pairs of the runs of windows that share an anchor."""
+    anchors = anchors_of(hashes, width)
+    starts = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
+    ends = np.append(starts[1:], len(anchors)) + width - 1  # behind the run's last word
+    up, down = powers(LANES[0], len(hashes))
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mixed(hashes, 2) * up[: len(hashes)], out=total[1:])
+    names = mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    pairs = np.unique(np.stack([signed(anchors[starts]), signed(names)], 1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def run_rows(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, found = [], []
+            ids, found, names = [], [], []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 words = split_words(text)
                 if len(words) >= width:
-                    least = np.unique(anchors_of(word_hashes(words), width))
-                    found.append(signed(least))
-                    ids.append(np.full(len(least), doc_id, np.int64))
+                    anchors, name = runs_of(word_hashes(words), width)
+                    found.append(anchors)
+                    names.append(name)
+                    ids.append(np.full(len(anchors), doc_id, np.int64))
             if ids:
-                yield pd.DataFrame({"doc_id": np.concatenate(ids), "anchor": np.concatenate(found)})
+                yield pd.DataFrame({"doc_id": np.concatenate(ids), "anchor": np.concatenate(found), "name": np.concatenate(names)})
 
     return run
 
@@ -60,20 +76,15 @@ def window_hashes(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarra
     return rolling(hashes, width, 0), rolling(mixed(hashes, 1), width, 1)
 
 
-def window_rows(width: int, probing: bool):
-    """(doc_id, h1, h2) for the windows whose anchor several ids have; when probing, an earlier id."""
+def window_rows(width: int):
+    """(doc_id, h1, h2) for the windows with one of the `wanted` anchors."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, text, anchors, firsts in zip(batch["doc_id"], batch["text"], batch["anchors"], batch["firsts"], strict=True):
-                wanted = np.asarray(anchors, np.int64)
-                if probing:
-                    wanted = wanted[np.asarray(firsts, np.int64) < doc_id]
-                if not len(wanted):
-                    continue
+            for doc_id, text, wanted in zip(batch["doc_id"], batch["text"], batch["wanted"], strict=True):
                 hashes = word_hashes(split_words(text))
-                at = np.isin(signed(anchors_of(hashes, width)), wanted)
+                at = np.isin(signed(anchors_of(hashes, width)), np.asarray(wanted, np.int64))
                 one, two = window_hashes(hashes, width)
                 pairs = np.unique(np.stack([signed(one[at]), signed(two[at])], 1), axis=0)
                 out.append(pd.DataFrame({"doc_id": np.full(len(pairs), doc_id, np.int64), "h1": pairs[:, 0], "h2": pairs[:, 1]}))
@@ -105,43 +116,56 @@ def cleaned_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n_words, n_removed, spans = [], [], [], []
-            for text, repeated in zip(batch["text"].to_pylist(), batch["repeated_"], strict=True):
+            for text, anchors, windows in zip(batch["text"].to_pylist(), batch["gone_"], batch["repeated_"], strict=True):
                 words = split_words(text)
                 gone = np.zeros(len(words), bool)
-                if repeated.is_valid and len(words) >= width:
-                    one = signed(rolling(word_hashes(words), width, 0))
-                    gone = covered(np.isin(one, repeated.values.to_numpy()), len(words), width)
+                if (anchors.is_valid or windows.is_valid) and len(words) >= width:
+                    hashes = word_hashes(words)
+                    at = np.zeros(len(words) - width + 1, bool)
+                    if anchors.is_valid:
+                        at |= np.isin(signed(anchors_of(hashes, width)), anchors.values.to_numpy())
+                    if windows.is_valid:
+                        at |= np.isin(signed(rolling(hashes, width, 0)), windows.values.to_numpy())
+                    gone = covered(at, len(words), width)
                 left = [w for w, g in zip(words, gone, strict=True) if not g] if gone.any() else words
                 kept.append(b" ".join(left).decode())
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
                 spans.append([{"first": int(a), "end": int(b)} for a, b in intervals(gone)])
-            own = [n for n in batch.schema.names if n != "repeated_"]
+            own = [n for n in batch.schema.names if n not in ("gone_", "repeated_")]
             added = [pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, SPANS)]
             yield pa.RecordBatch.from_arrays([*(batch[n] for n in own), *added], [*own, "kept_text", "n_words", "n_removed", "removed"])
 
     return run
 
 
-def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, repeated_): per document the first lanes of its windows that an earlier id has."""
-    texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    anchors = texts.mapInPandas(anchor_rows(width), "doc_id long, anchor long")
-    several = anchors.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("anchor", "first")
-    flagged = anchors.join(several, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("first").alias("firsts"))
-    candidates = texts.join(flagged, "doc_id").select("doc_id", "text", "anchors", "firsts")
+def repeats(texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, gone_, repeated_): a document's anchors all of whose windows an earlier id has, and the first
+    lanes of its other windows that an earlier id has."""
+    runs = texts.mapInPandas(run_rows(width), "doc_id long, anchor long, name long")
+    several = runs.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("name").alias("lo"), F.max("name").alias("hi")).filter("first < last")
+    several = several.select("anchor", "first", (F.col("lo") == F.col("hi")).alias("whole"))
+    only = lambda condition: F.collect_set(F.when(F.expr(condition), F.col("anchor")))
+    met = runs.select("doc_id", "anchor").join(several, "anchor").filter("not whole or first < doc_id")
+    flagged = met.groupBy("doc_id").agg(only("whole").alias("gone_"), only("not whole").alias("mixed"), only("not whole and first < doc_id").alias("late"))
     schema = "doc_id long, h1 long, h2 long"
-    windows = candidates.mapInPandas(window_rows(width, False), schema)
-    firsts = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h1", "h2", "first")
-    probes = candidates.mapInPandas(window_rows(width, True), schema)
-    return probes.join(firsts, ["h1", "h2"]).filter("first < doc_id").groupBy("doc_id").agg(F.collect_set("h1").alias("repeated_"))
+
+    def windows(wanted: str) -> DataFrame:
+        some = flagged.filter(F.size(wanted) > 0).select("doc_id", F.col(wanted).alias("wanted"))
+        return texts.join(some, "doc_id").select("doc_id", "text", "wanted").mapInPandas(window_rows(width), schema)
+
+    firsts = windows("mixed").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h1", "h2", "first")
+    again = windows("late").join(firsts, ["h1", "h2"]).filter("first < doc_id").groupBy("doc_id").agg(F.collect_set("h1").alias("repeated_"))
+    return flagged.select("doc_id", "gone_").join(again, "doc_id", "left")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """`docs` (doc_id, text, ...) with kept_text, n_words, n_removed and the removed intervals of words."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in {"kept_text", "n_words", "n_removed", "removed", "repeated_"}])
-    repeats = repeated_windows(docs, width).withColumnRenamed("doc_id", "id_of_repeats_")
-    joined = docs.join(repeats, docs["doc_id"] == repeats["id_of_repeats_"], "left").drop("id_of_repeats_")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in {"kept_text", "n_words", "n_removed", "removed", "gone_", "repeated_"}])
+    named = docs.filter("doc_id is not null")  # the same rows for all joins, so their texts are shuffled once
+    found = repeats(named.select("doc_id", "text"), width)
+    none = F.lit(None).cast("array<bigint>")
+    joined = named.join(found, "doc_id", "left").select(*docs.columns, "gone_", "repeated_").union(docs.filter("doc_id is null").select("*", none, none))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return joined.mapInArrow(cleaned_rows(width), f"{fields}, kept_text string, n_words long, n_removed long, removed array<struct<first: long, end: long>>")
 
