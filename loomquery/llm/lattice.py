@@ -55,15 +55,19 @@ def code_points(text: str) -> np.ndarray:
 
 @dataclass
 class Vocabulary:
-    """Pieces by hash. `scores` has a log score for each piece; the last, extra, entry is the escape's."""
+    """Pieces by hash, with log scores: a vector, or a matrix with a column for each of several models.
+
+    Two rows are added: the escape's, and one of -inf that stands for no arc and is reached by the id -1.
+    """
 
     pieces: list[str]
     scores: np.ndarray
-    escape: float
+    escape: float | np.ndarray
     longest: int = field(init=False)
 
     def __post_init__(self):
-        self.scores = np.append(np.asarray(self.scores, np.float64), self.escape)
+        scores = np.asarray(self.scores, np.float64)
+        self.scores = np.concatenate([scores, np.broadcast_to(self.escape, (1, *scores.shape[1:])), np.full((1, *scores.shape[1:]), -np.inf)])
         self.longest = max((len(p) for p in self.pieces), default=1) or 1
         self.ids = {p: i for i, p in enumerate(self.pieces) if p}
         self.table = np.full(1 << SLOTS, -1, np.int32)
@@ -90,10 +94,6 @@ class Vocabulary:
         return at
 
 
-def logadd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.logaddexp(a, b)
-
-
 def by_length(units: list[str]):
     """(rows, matrix) for groups of units of one length."""
     lengths = np.fromiter(map(len, units), np.int64, len(units))
@@ -112,10 +112,10 @@ def by_length(units: list[str]):
 def arcs(vocab: Vocabulary, chars: np.ndarray):
     """{(i, j): piece ids} of a matrix of units: the arc from position i to j; -1: none.
 
-    Single characters that are no piece have the escape, numbered as the last score.
+    Single characters that are no piece have the escape, numbered after the pieces.
     """
     n, length = chars.shape
-    escape = len(vocab.scores) - 1
+    escape = len(vocab.pieces)
     found = {}
     c = chars.astype(np.uint64) + np.uint64(1)
     for i in range(length):
@@ -131,59 +131,63 @@ def arcs(vocab: Vocabulary, chars: np.ndarray):
     return found
 
 
-def scores_of(vocab: Vocabulary, ids: np.ndarray) -> np.ndarray:
-    return np.where(ids >= 0, vocab.scores[ids], -np.inf)
-
-
-def forward(vocab: Vocabulary, units: list[str], stop: float = 0.0) -> np.ndarray:
+def forward(vocab: Vocabulary, units: list[str], stop=0.0) -> np.ndarray:
     """The log of the summed probability of all segmentations of each unit: the log-space forward recursion.
 
     Each segmentation's score is the sum of its pieces' scores plus `stop`. An empty unit has just `stop`.
     """
-    out = np.full(len(units), stop, np.float64)
+    models = vocab.scores.shape[1:]
+    out = np.broadcast_to(stop, (len(units), *models)).astype(np.float64)
     for rows, chars in by_length(units):
         if chars.shape[1] > LONG:
-            out[rows] = [forward_one(vocab, units[i])[-1] + stop for i in rows]
+            out[rows] = np.array([forward_one(vocab, units[i])[-1] for i in rows]) + stop
             continue
-        alpha = np.full((chars.shape[1] + 1, len(rows)), -np.inf)
+        alpha = np.full((chars.shape[1] + 1, len(rows), *models), -np.inf)
         alpha[0] = 0
         for (i, j), ids in arcs(vocab, chars).items():  # ordered by i, so alpha[i] is complete
-            alpha[j] = logadd(alpha[j], alpha[i] + scores_of(vocab, ids))
+            alpha[j] = np.logaddexp(alpha[j], alpha[i] + vocab.scores[ids])
         out[rows] = alpha[-1] + stop
     return out
 
 
 def forward_one(vocab: Vocabulary, unit: str) -> np.ndarray:
     """alpha of one unit, position by position; for long units, and as a plain form to test against."""
-    alpha, escape = np.full(len(unit) + 1, -np.inf), len(vocab.scores) - 1
+    alpha, escape = np.full((len(unit) + 1, *vocab.scores.shape[1:]), -np.inf), len(vocab.pieces)
     alpha[0] = 0
     for j in range(1, len(unit) + 1):
-        terms = [alpha[i] + vocab.scores[k] for i in range(max(0, j - vocab.longest), j) if (k := vocab.ids.get(unit[i:j], escape if i == j - 1 else -1)) >= 0]
-        top = max(terms)
-        alpha[j] = top + np.log(sum(np.exp(t - top) for t in terms))
+        for i in range(max(0, j - vocab.longest), j):
+            if (k := vocab.ids.get(unit[i:j], escape if i == j - 1 else -1)) >= 0:
+                alpha[j] = np.logaddexp(alpha[j], alpha[i] + vocab.scores[k])
     return alpha
 
 
 def expected_counts(vocab: Vocabulary, units: list[str], weights: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece (and the escape) over all segmentations, weighted by unit.
+    """Expected uses of each piece, and last the escape, over all segmentations of units with weights.
 
-    Units longer than `LONG` are cut into parts of that length.
+    With a matrix of scores, `weights` has a column for each model too, and so has the result. Units longer
+    than `LONG` are cut into parts of that length.
     """
     if any(len(u) > LONG for u in units):
         parts = [(u[i : i + LONG], w) for u, w in zip(units, weights, strict=True) for i in range(0, len(u), LONG)]
         units, weights = [u for u, _ in parts], np.array([w for _, w in parts])
-    total = np.zeros(len(vocab.scores))
+    models = vocab.scores.shape[1:]
+    total = np.zeros((len(vocab.pieces) + 1, *models))
     for rows, chars in by_length(units):
-        n = chars.shape[1]
+        n, w = chars.shape[1], weights[rows]
         found = arcs(vocab, chars)
-        alpha, beta = (np.full((n + 1, len(rows)), -np.inf) for _ in range(2))
+        alpha, beta = (np.full((n + 1, len(rows), *models), -np.inf) for _ in range(2))
         alpha[0] = beta[n] = 0
         for (i, j), ids in found.items():
-            alpha[j] = logadd(alpha[j], alpha[i] + scores_of(vocab, ids))
+            alpha[j] = np.logaddexp(alpha[j], alpha[i] + vocab.scores[ids])
         for (i, j), ids in reversed(found.items()):
-            beta[i] = logadd(beta[i], beta[j] + scores_of(vocab, ids))
+            beta[i] = np.logaddexp(beta[i], beta[j] + vocab.scores[ids])
         for (i, j), ids in found.items():
             has = ids >= 0
-            share = np.exp(alpha[i] + scores_of(vocab, ids) + beta[j] - alpha[n])[has] * weights[rows][has]
-            total += np.bincount(ids[has], share, len(total))
+            at = ids[has]
+            share = np.exp(alpha[i][has] + vocab.scores[at] + beta[j][has] - alpha[n][has]) * w[has]
+            if models:
+                for z in range(models[0]):
+                    total[:, z] += np.bincount(at, share[:, z], len(total))
+            else:
+                total += np.bincount(at, share, len(total))
     return total

@@ -13,6 +13,10 @@ which sums to 1. No piece crosses a word's border, so the forward recursion over
 its words' log forward values; each distinct word's is computed once, in log space, in numpy. The discount is
 n1 / (n1 + 2 * n2) of the words seen once and twice.
 
+Training texts may come in kinds, such as languages; then each has a model of its own, and a text's probability is
+prior(z) * P_z(text), where z is the kind whose prior and frequent words explain the text best. The choice uses the
+text alone, never its label, so the probabilities of all texts still sum to 1 at most.
+
 Work at scale: words are counted per batch before they are shuffled. The words that make up 1 / FREQUENT or more of
 the training tokens are FREQUENT at most, and go to all executors as a table of that bound; they are the hot keys. The
 rest meet their scores in a join by word, where no key has more than that share. Per-document sums are combined
@@ -26,7 +30,7 @@ from __future__ import annotations
 
 import math
 import struct
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -42,58 +46,69 @@ from .words import split_words
 FREQUENT = 200_000
 #: Longer words take the join however frequent they are, so the table of frequent words has a bound in bytes.
 FREQUENT_BYTES = 64
-EM_ROUNDS = 2
+EM_ROUNDS = 3
+MOST_KINDS = 8
 CODE_POINTS = 0x110000
 
 
 @dataclass
 class Model:
+    """Arrays have an entry for each kind of training text."""
+
     vocabulary: Vocabulary
-    stop: float  # log probability of a word's stop after a piece
-    tokens: int  # N, ends included
-    words: int  # distinct training words
-    texts: int
-    discount: float
+    stop: np.ndarray  # log probability of a word's stop after a piece
+    prior: np.ndarray  # log10
+    tokens: np.ndarray  # ends included
+    words: np.ndarray  # distinct
+    texts: np.ndarray
+    discount: np.ndarray
+    n_words: int = 0  # distinct, over all kinds
 
     def base(self, counts: np.ndarray) -> np.ndarray:
-        """log10 of the additive estimate that the contract names."""
-        distinct = self.words + (self.texts > 0)
-        return np.log10((counts + 0.1) / (self.tokens + 0.1 * (distinct + 1)))
+        """log10 of the additive estimate that the contract names, of all kinds together."""
+        n, distinct = int(self.tokens.sum()), self.n_words + (self.texts.sum() > 0)
+        return np.log10((counts + 0.1) / (n + 0.1 * (distinct + 1)))
 
     def word_scores(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        """log10 P(word)."""
+        """log10 P(word) by kind; `counts` has a column for each kind."""
         total = self.tokens + 2
-        spelled = forward(self.vocabulary, [MARK + w for w in words], self.stop) + math.log((self.discount * self.words + 1) / total)
+        spelled = forward(self.vocabulary, [MARK + w for w in words], self.stop) + np.log((self.discount * self.words + 1) / total)
         with np.errstate(divide="ignore"):
             whole = np.log(np.maximum(counts - self.discount, 0) / total)
-        return np.logaddexp(spelled, np.where(counts > 0, whole, -np.inf)) / math.log(10)
+        return np.logaddexp(spelled, whole) / math.log(10)
 
-    def end(self) -> tuple[float, float, int]:
-        """(score, base, known) of the end token."""
-        return math.log10((self.texts + 1) / (self.tokens + 2)), float(self.base(np.array([self.texts]))[0]), int(self.texts > 0)
+    def end(self) -> tuple[np.ndarray, float, int]:
+        """(scores by kind, base, known) of the end token."""
+        texts = int(self.texts.sum())
+        return np.log10((self.texts + 1) / (self.tokens + 2)), float(self.base(np.array([texts]))[0]), int(texts > 0)
 
 
 def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n): for each batch the words' counts in training texts; words of other texts count 0."""
+    """(word, kind, n): for each batch the words' counts in training texts; other texts' words as kind -1."""
     for batch in batches:
-        counts, others = Counter(), set()
-        for text, held in zip(batch["text"].to_pylist(), batch["held"].to_pylist(), strict=True):
-            (others if held else counts).update(split_words(text, lower=True))
-        words = [*counts, *(new := others.difference(counts))]
-        n = np.concatenate([np.fromiter(counts.values(), np.int64, len(counts)), np.zeros(len(new), np.int64)])
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n)], ["word", "n"])
+        counts = defaultdict(Counter)
+        for text, kind in zip(batch["text"].to_pylist(), batch["kind"].to_pylist(), strict=True):
+            counts[kind].update(split_words(text, lower=True))
+        for kind, c in counts.items():
+            n = np.fromiter(c.values(), np.int64, len(c)) * (kind >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(np.full(len(c), kind, np.int32)), pa.array(n)], ["word", "kind", "n"])
+
+
+def counts_of(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch[n].to_numpy() for n in batch.schema.names if n.startswith("c_")], 1).astype(np.float64)
 
 
 def piece_rows(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, total = model.value, 0.0
+        m, total = model.value, None
         for batch in batches:
             words = [MARK + w.decode("utf-8", "surrogatepass") for w in batch["word"].to_pylist()]
             if words:
-                total = total + expected_counts(m.vocabulary, words, np.ones(len(words)))
-        if not np.isscalar(total):
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["piece", "uses"])
+                uses = expected_counts(m.vocabulary, words, (counts_of(batch) > 0).astype(np.float64))
+                total = uses if total is None else total + uses
+        if total is not None:
+            at, kind = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(kind), pa.array(total[at, kind])], ["piece", "kind", "uses"])
 
     return run
 
@@ -101,9 +116,10 @@ def piece_rows(model):
 def score_rows(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [w.decode("utf-8", "surrogatepass") for w in batch["word"].to_pylist()]
-            lp = model.value.word_scores(words, batch["c"].to_numpy().astype(np.float64))
-            yield pa.RecordBatch.from_arrays([batch["word"], batch["c"], pa.array(lp, pa.float64())], ["word", "c", "lp"])
+            words, counts = [w.decode("utf-8", "surrogatepass") for w in batch["word"].to_pylist()], counts_of(batch)
+            lp = model.value.word_scores(words, counts)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(lp.ravel()), lp.shape[1]).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch["word"], pa.array(counts.sum(1).astype(np.int64)), lists], ["word", "c", "lp"])
 
     return run
 
@@ -115,29 +131,26 @@ def text_rows(frequent):
     """For each text its rarer words, and one row under a key that is no word with what the frequent words sum to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, (end_score, end_base, end_known) = frequent.value
+        table, bases, scores, prior, (end_score, end_base, end_known) = frequent.value
         for batch in batches:
-            words, rows, uses, stats = [], [], [], []
+            words, rows, uses, kinds, stats = [], [], [], [], []
             for row, text in zip(batch["row_"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                counts, n_tokens, known, base, score = Counter(split_words(text, lower=True)), 1, end_known, end_base, end_score
-                for w, n in counts.items():
-                    n_tokens += n
-                    if (x := table.get(w)) is not None:
-                        score += n * x[0]
-                        base += n * x[1]
-                        known += n
-                    else:
-                        words.append(w)
-                        rows.append(row)
-                        uses.append(n)
+                counts = Counter(split_words(text, lower=True))
+                at = [i for w in counts if (i := table.get(w)) is not None]
+                n = np.array([c for w, c in counts.items() if w in table], np.float64)
+                rare = [(w, c) for w, c in counts.items() if w not in table]
+                total = prior + end_score + n @ scores[at]
+                z = int(np.argmax(total))
+                n_tokens = sum(counts.values()) + 1
+                words += [w for w, _ in rare]
+                uses += [c for _, c in rare]
                 words.append(b" " + row.to_bytes(8, "big"))
-                rows.append(row)
                 uses.append(n_tokens)
-                stats.append((len(words) - 1, struct.pack(STAT, known, base, score, n_tokens)))
-            stat: list = [None] * len(words)
-            for i, x in stats:
-                stat[i] = x
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(rows, pa.int64()), pa.array(uses, pa.int64()), pa.array(stat, pa.binary())], ["word", "row_", "n", "stat"])
+                rows.append(np.full(len(rare) + 1, row))
+                kinds.append(np.full(len(rare) + 1, z, np.int32))
+                stats += [None] * len(rare) + [struct.pack(STAT, int(n.sum()) + end_known, float(n @ bases[at]) + end_base, total[z], n_tokens)]
+            if words:
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(np.concatenate(rows)), pa.array(uses, pa.int32()), pa.array(np.concatenate(kinds)), pa.array(stats, pa.binary())], ["word", "row_", "n", "kind", "stat"])
 
     return run
 
@@ -165,60 +178,84 @@ def sum_rows(model):
     return run
 
 
-def first_model(path: str | None) -> Model:
+def first_model(path: str | None, kinds: int) -> Model:
     pieces, scores, _ = load_pieces(path or tokenizer_path())
-    stop = 0.3
-    return Model(Vocabulary(pieces, scores + math.log(1 - stop), math.log(1e-6) - math.log(CODE_POINTS)), math.log(stop), 0, 0, 0, 0.75)
-
-
-def trained(spark, counted: DataFrame, n_texts: int, path: str | None) -> Model:
-    """The model of counted words (word, c); those with c = 0 are only to be scored and teach nothing."""
-    seen = counted.filter("c > 0")
-    s = seen.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2")).first()
-    model = first_model(path)
-    discount = min(0.95, max(0.1, s["n1"] / (s["n1"] + 2 * s["n2"]))) if s["n1"] else 0.75
-    model = replace(model, tokens=(s["n"] or 0) + n_texts, words=s["v"], texts=n_texts, discount=discount)
-    for _ in range(EM_ROUNDS if model.words else 0):
+    stop, none = 0.3, np.zeros(kinds)
+    vocabulary = Vocabulary(pieces, np.repeat(scores[:, None] + math.log(1 - stop), kinds, 1), math.log(1e-6) - math.log(CODE_POINTS))
+    return Model(vocabulary, none + math.log(stop), none - math.log10(kinds), none, none, none, none + 0.75)
+
+
+def trained(spark, counted: DataFrame, texts: np.ndarray, path: str | None) -> Model:
+    """The model of words counted by kind (word, c_0, ...); a word without any count is only to be scored."""
+    kinds = len(texts)
+    c = [F.col(f"c_{z}") for z in range(kinds)]
+    seen = counted.filter(sum(c[1:], c[0]) > 0)
+    of = lambda test: [F.sum(test(x).cast("long")).alias("x") for x in c]
+    s = np.array([x or 0 for x in seen.agg(F.count("*"), *of(lambda x: x), *of(lambda x: x > 0), *of(lambda x: x == 1), *of(lambda x: x == 2)).first()], np.float64)
+    n, v, n1, n2 = s[1:].reshape(4, kinds)
+    discount = np.where(n1 > 0, np.clip(n1 / np.maximum(n1 + 2 * n2, 1), 0.1, 0.95), 0.75)
+    model = replace(first_model(path, kinds), prior=np.log10((texts + 1) / (texts.sum() + kinds)), tokens=n + texts, words=v, texts=texts, discount=discount, n_words=int(s[0]))
+    for _ in range(EM_ROUNDS if model.n_words else 0):
         sent = spark.sparkContext.broadcast(model)
-        rows = seen.select("word").mapInArrow(piece_rows(sent), "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
-        pieces, uses = model.vocabulary.pieces, np.zeros(len(model.vocabulary.pieces) + 1)
-        for r in sorted(rows):
-            uses[r["piece"]] = r["uses"]
-        uses[:-1] += np.where(np.isfinite(model.vocabulary.scores[:-1]), 1e-3, 0)
-        uses[-1] += 0.5
-        total = uses.sum() + model.words
+        rows = seen.mapInArrow(piece_rows(sent), "piece long, kind long, uses double").groupBy("piece", "kind").agg(F.sum("uses").alias("uses")).collect()
+        usable = np.isfinite(model.vocabulary.scores[:-2])
+        uses = np.concatenate([np.where(usable, 1e-3, 0), np.full((1, kinds), 0.5)])
+        for r in rows:
+            uses[r["piece"], r["kind"]] += r["uses"]
+        total = uses.sum(0) + model.words + 0.5
         with np.errstate(divide="ignore"):
             scores = np.log(uses / total)
-        model = replace(model, vocabulary=Vocabulary(pieces, scores[:-1], scores[-1] - math.log(CODE_POINTS)), stop=math.log(model.words / total))
+        model = replace(model, vocabulary=Vocabulary(model.vocabulary.pieces, scores[:-1], scores[-1] - math.log(CODE_POINTS)), stop=np.log((model.words + 0.5) / total))
     return model
 
 
-def score_texts(docs: DataFrame, held_out, path: str | None = None) -> DataFrame:
+def numbered_kinds(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """`texts` with `kind` as a number, -1 for the texts that teach nothing, and the texts of each kind.
+
+    The MOST_KINDS - 1 most frequent values are kinds of their own; all others, null too, are one.
+    """
+    by = texts.filter("not held").groupBy("kind").agg(F.count("*").alias("n"))
+    total = by.agg(F.sum("n").alias("n")).first()["n"] or 0
+    top = by.filter("kind is not null").orderBy(F.desc("n"), "kind").limit(MOST_KINDS - 1).collect()
+    sizes = [r["n"] for r in top]
+    if total > sum(sizes) or not top:
+        sizes.append(total - sum(sizes))
+    number = F.lit(len(sizes) - 1)
+    for i, r in enumerate(top):
+        number = F.when(F.col("kind").eqNullSafe(F.lit(r["kind"])), i).otherwise(number)
+    return texts.withColumn("kind", F.when(F.col("held"), -1).otherwise(number).cast("int")), np.array(sizes, np.float64)
+
+
+def score_texts(docs: DataFrame, held_out, kind=None, path: str | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) a row of `docs` (doc_id, text, ...).
 
-    `held_out`: a boolean column; the model learns from the other rows. `path`: the vocabulary's model file.
+    `held_out`: a boolean column; the model learns from the other rows. `kind`: a string column that divides the
+    training rows; it isn't read of the others. `path`: the vocabulary's model file.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
-    texts = docs.select("doc_id", "text", held_out.alias("held"))
-    counts = texts.select("text", "held").mapInArrow(count_rows, "word binary, n long")
-    counted = written(counts.groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
-    model = trained(spark, counted, texts.filter(~F.col("held")).count(), path)
+    texts = docs.select("doc_id", "text", held_out.alias("held"), (F.lit("") if kind is None else kind).cast("string").alias("kind"))
+    texts, sizes = numbered_kinds(texts)
+    kinds = range(len(sizes))
+    counts = texts.select("text", "kind").mapInArrow(count_rows, "word binary, kind int, n long")
+    by_kind = [F.sum(F.when(F.col("kind") == z, F.col("n")).otherwise(0)).alias(f"c_{z}") for z in kinds]
+    counted = written(counts.groupBy("word").agg(*by_kind), "lm-counts")
+    model = trained(spark, counted, sizes, path)
     sent = sc.broadcast(model)
-    scored = written(counted.mapInArrow(score_rows(sent), "word binary, c long, lp double"), "lm-scores")
+    scored = written(counted.mapInArrow(score_rows(sent), "word binary, c long, lp array<double>"), "lm-scores")
     dropped(counted)
-    least = max(1, math.ceil(model.tokens / FREQUENT))
+    n_tokens = int(model.tokens.sum())
+    least = max(1, math.ceil(n_tokens / FREQUENT))
     top = scored.filter((F.col("c") >= least) & (F.length("word") <= FREQUENT_BYTES)).collect()
-    base = model.base(np.array([r["c"] for r in top], np.float64))
-    table = {bytes(r["word"]): (r["lp"], float(b)) for r, b in zip(top, base, strict=True)}
-    frequent = sc.broadcast((table, model.end()))
+    bases = model.base(np.array([r["c"] for r in top], np.float64))
+    table = {bytes(r["word"]): i for i, r in enumerate(top)}
+    frequent = sc.broadcast((table, bases, np.array([r["lp"] for r in top]).reshape(len(top), len(sizes)), model.prior, model.end()))
     rest = scored.filter((F.col("c") < least) | (F.length("word") > FREQUENT_BYTES))
 
-    numbered = texts.withColumn("row_", F.monotonically_increasing_id())
-    rows = numbered.select("row_", "text").mapInArrow(text_rows(frequent), "word binary, row_ long, n long, stat binary")
-    met = rows.join(rest, "word", "left").select("row_", "n", "stat", "c", "lp")
+    numbered = texts.select("doc_id", "text", "held").withColumn("row_", F.monotonically_increasing_id())
+    rows = numbered.select("row_", "text").mapInArrow(text_rows(frequent), "word binary, row_ long, n int, kind int, stat binary")
+    met = rows.join(rest, "word", "left").select("row_", "n", "stat", "c", F.get("lp", "kind").alias("lp"))
     sums = met.mapInArrow(sum_rows(sent), "row_ long, n_tokens long, n_known long, base_score double, score double")
     sums = sums.groupBy("row_").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     ids = numbered.select("row_", "doc_id", "held")
-    out = ids.join(sums, "row_").select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
-    return out
+    return ids.join(sums, "row_").select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -7,8 +7,8 @@ from .common import doc_fold, table
 
 
 def op1_lm_scoring(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lm_scoring.score_texts(docs, doc_fold(docs["doc_id"], 10) == 0)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return lm_scoring.score_texts(docs, doc_fold(docs["doc_id"], 10) == 0, docs["lang"])
 
 
 def op6_near_dedup(spark, sf_dir):
