@@ -7,12 +7,15 @@ under every choice of SYMBOLS - ERRORS of its values, and all pairs under that d
 key. A pair at similarity 0.75 has each value equal with probability 0.75, so it shares no key with
 probability 0.367 ** 12 = 6e-6, and less the more alike it is.
 
-Equal sets are one class, and classes are what the index holds. A key's classes are never paired with each
-other outright. A round takes one class of each key as centre and compares it with those members that
-aren't in its component yet; verified links merge components, a centre that has met all is done, and a key
-whose members are all in one component is done. So a group of copies of any size costs a star. Keys that
-still hold many components are split by a second chunk's keys. Once the open pairs (members of a key in
-different components, counted beforehand) are few for the number of classes, all of them are compared.
+Equal sets are one class, and classes are what the index holds. A group of near copies can be large and its
+members unlike each other (each is like the original, say), so a key's classes are not all paired. A round takes
+some members of each key as centres and compares them with those members that aren't in their component yet;
+verified links merge components, a centre that has met all is done, and so is a key whose members are all in one
+component. The first round's centre is the member with the most company over all its keys, which an original is;
+later rounds take members outside
+the key's largest component, by a hash and four times as many each. A key that still holds far more open pairs (members in different
+components) than its members' other keys would make rows is split by those. Once the open pairs, counted
+beforehand, are few for the number of classes, and in the last round anyway, all are compared.
 No open pair is skipped, so no link is lost but by the index's stated chance.
 
 Compared pairs first pass the signature distance (34 of 60, missed with probability 1e-8 at similarity 0.75),
@@ -43,9 +46,9 @@ SHINGLE, PERCENT = 5, 75
 CHUNKS, SYMBOLS, ERRORS = 12, 5, 1
 #: Signatures further apart than this aren't compared exactly.
 FARTHEST = 34
-#: Pairs compared outright at the end, for each class; members from which a mixed key is split.
-OPEN_PAIRS, HEAVY = 4, 48
-ROUNDS = 40
+#: Open pairs compared at once, for each class; open pairs for each member from which a key is split.
+OPEN_PAIRS, SPLIT = 16, 128
+ROUNDS = 12
 
 #: Odd multipliers, one a signature value, from a fixed seed.
 MULTIPLIERS = np.random.default_rng(20).integers(1, 2**63, CHUNKS * SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -155,17 +158,22 @@ def verified(pairs: DataFrame, reps: DataFrame, full: DataFrame) -> DataFrame:
     return sets.select("a", "b", "fa", "fb").mapInPandas(verified_rows, "a long, b long")
 
 
-def mixed_keys(members: DataFrame, forest: DataFrame) -> DataFrame:
-    """(key, rep, label) of the keys whose members are in several components, with the key's size."""
+def open_keys(members: DataFrame, forest: DataFrame) -> DataFrame:
+    """(key, rep, label, size, n_top, top, open): members of the keys that have members in several components, with
+    the key's size, its largest component and that one's size there, and its number of open pairs."""
     labelled = members.join(forest.toDF("rep", "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("label"))
-    several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
-    return labelled.join(several.select("key", "size"), "key")
+    by = labelled.groupBy("key", "label").agg(F.count("*").cast("double").alias("n"))
+    top = F.max(F.struct("n", "label")).alias("top")
+    stats = by.groupBy("key").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("same"), top)
+    stats = stats.select("key", "size", F.col("top.n").alias("n_top"), F.col("top.label").alias("top"), ((F.col("size") * F.col("size") - F.col("same")) / 2).alias("open")).filter("open > 0")
+    return labelled.join(stats, "key")
 
 
-def open_pairs(members: DataFrame) -> int:
-    """How many pairs of members of one key are in different components."""
-    by = members.groupBy("key", "label").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-    return int(by.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("open")).first()["open"] or 0)
+def split_keys(left: DataFrame, reps: DataFrame, forest: DataFrame) -> DataFrame:
+    """`left` with the keys of far too many open pairs split by the members' other keys."""
+    heavy = F.col("open") > SPLIT * F.col("size")
+    finer = left.filter(heavy).select("key", "rep").join(reps, "rep").select("key", "rep", "sig").mapInPandas(split_key_rows, "key long, rep long").distinct()
+    return open_keys(left.filter(~heavy).select("key", "rep").union(finer), forest)
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -173,44 +181,42 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     reps = classes.select("rep", "sig")
     members = reps.mapInPandas(key_rows, "key long, rep long")
-    several = members.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("key")
+    several = members.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("key", "size")
     members = written(members.join(several, "key"), "near-keys")
-    indexed = members.select("rep").distinct()
-    full = docs.select("doc_id", "text").join(indexed.toDF("doc_id"), "doc_id").mapInPandas(packed_rows, "rep long, full binary")
+    company = members.groupBy("rep").agg(F.sum("size").alias("company"))
+    full = docs.select("doc_id", "text").join(company.select(F.col("rep").alias("doc_id")), "doc_id").mapInPandas(packed_rows, "rep long, full binary")
     full = written(full, "near-sets")
-    reps = written(reps.join(indexed, "rep"), "near-signatures")
+    reps = written(reps.join(company, "rep"), "near-signatures")
     n_reps = reps.count()
     forest = spark.createDataFrame([], "u long, v long")
-    for turn in range(ROUNDS + 1):
-        left = written(mixed_keys(members, forest), "near-open")
+    for turn in range(ROUNDS):
+        left = written(open_keys(members.select("key", "rep"), forest), "near-open")
+        if turn and left.filter(F.col("open") > SPLIT * F.col("size")).limit(1).count():
+            left = written(split_keys(left, reps.select("rep", "sig"), forest), "near-open")
+        n_open = left.agg(F.sum(F.col("open") / F.col("size")).alias("n")).first()["n"] or 0
         dropped(members)
-        members, pairs_left = left.select("key", "rep"), open_pairs(left)
-        if not pairs_left:
+        if not n_open:
             break
-        final = pairs_left <= OPEN_PAIRS * n_reps or turn == ROUNDS
-        if not final and turn in (1, 2):
-            heavy = left.filter(F.col("size") >= HEAVY)
-            finer = heavy.select("key", "rep").join(reps, "rep").select("key", "rep", "sig").mapInPandas(split_key_rows, "key long, rep long").distinct()
-            again = written(mixed_keys(left.filter(F.col("size") < HEAVY).select("key", "rep").union(finer), forest), "near-open")
-            dropped(left)
-            left = again
+        final = n_open <= OPEN_PAIRS * n_reps or turn == ROUNDS - 1
+        as_centre = [F.col("key"), F.col("rep").alias("a"), F.col("label").alias("la")]
+        apart = F.col("label") != F.col("top")
         if final:
-            one, other = left.select("key", F.col("rep").alias("a"), F.col("label").alias("la")), left.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"))
-            pairs = one.join(other, "key").filter("la < lb").select("a", "b").distinct()
+            met = left.join(left.filter(apart).select(*as_centre), "key").filter("label = top or rep < a")
+        elif not turn:
+            best = left.join(reps.select("rep", "company"), "rep").groupBy("key").agg(F.max(F.struct("company", "rep", "label")).alias("c"))
+            met = left.join(best.select("key", F.col("c.rep").alias("a"), F.col("c.label").alias("la")), "key")
+            rest = met.filter("rep <> a").select("key", "rep")
         else:
-            # The centre: the least member at first, then any by a hash that changes with the round.
-            order = F.struct((F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))).alias("o"), "rep", "label")
-            centres = left.groupBy("key").agg(F.min(order).alias("c")).select("key", F.col("c.rep").alias("a"), F.col("c.label").alias("la"))
-            met = left.join(centres, "key")
-            pairs = met.filter("label <> la").select("a", F.col("rep").alias("b")).distinct()
-            members = met.filter("rep <> a").select("key", "rep")
-        found = verified(pairs, reps, full)
+            # Of each key's members outside its largest component about 4 ** turn by a hash; if they are fewer, all.
+            chosen = apart & (F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil((F.col("size") - F.col("n_top")) / 4**turn)) == 0)
+            met = left.join(left.filter(chosen).select(*as_centre), "key")
+            rest = left.filter(~chosen).select("key", "rep")
+        found = verified(met.filter("la <> label").select("a", F.col("rep").alias("b")).distinct(), reps.select("rep", "sig"), full)
         forest = stars(forest.toDF("a", "b").union(found), "near-forest")
         if final:
             break
-        if not final:
-            members = written(members, "near-members")
-            dropped(left)
+        members = written(rest, "near-members")
+        dropped(left)
     return forest
 
 
