@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import lm_scoring, merkle, near_dedup, substring_dedup, url_rules
+from pyspark.sql import functions as F
+
+from . import lm_scoring, merkle, near_dedup, quality, substring_dedup, url_rules
 from .common import doc_fold, table
 
 
@@ -11,6 +13,12 @@ def op1_lm_scoring(spark, sf_dir):
     return lm_scoring.score_texts(docs, doc_fold(docs["doc_id"], 10) == 0, docs["lang"])
 
 
+def op5_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score_texts(docs, table(spark, sf_dir, "labels"), lambda i: doc_fold(i, 3) != 1)
+    return scored.select("doc_id", (doc_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op6_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -31,7 +39,7 @@ def op9_substring_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_lm_scoring, op6_near_dedup, op7_merkle, op8_url_rules, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_lm_scoring, op5_quality, op6_near_dedup, op7_merkle, op8_url_rules, op9_substring_dedup)}
 
 
 FINGERPRINT = r"""
