@@ -48,7 +48,7 @@ MOST_NOISE = 37.5
 #: How far below the least piece's score the escape to bytes lies.
 ESCAPE = 10.0
 #: Characters of texts that are sampled together.
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 22
 #: Stands for the mark inside a text, which has no piece: a surrogate, so no text has it.
 HIDDEN = "\ud800"
 UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
@@ -115,12 +115,12 @@ class Lattices:
                 spells.append(np.where(ids[has] == escape, chars[has, i], 0))
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
         state, logs = join(states, np.int64), join(logs, np.float64)
-        order = np.lexsort((-logs, state))
-        self.state, self.log = state[order], logs[order]
+        p = np.exp(logs)
+        order = np.argsort(state - 0.9 * p)  # by state, then by probability from the greatest
+        self.state, self.log, self.p = state[order], logs[order], p[order]
         self.piece, self.next, self.spell = (join(x, np.int64)[order] for x in (pieces, nexts, spells))
         total = int(self.last[-1]) + 1 if len(units) else 0
-        self.at = np.searchsorted(self.state, np.arange(total + 1))
-        self.p = np.exp(self.log)
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(state, minlength=total))])
         run = np.cumsum(self.p)
         before = np.concatenate([[0], run])[self.at[self.state]]
         self.edge = self.state + np.minimum(run - before, 1 - 1e-12)
@@ -172,12 +172,16 @@ def long_arcs(vocab: Vocabulary, units: list[str], rows: np.ndarray) -> dict[tup
     return dict(sorted(found.items()))
 
 
+#: Odd multipliers of the parts of a place.
+PARTS = np.array([1, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7], np.uint64)
+
+
 def uniform(*parts: np.ndarray | int) -> np.ndarray:
-    """A number between 0 and 1 for each place, from a hash of the parts."""
-    h = np.zeros(np.broadcast_shapes(*(np.shape(p) for p in parts)), np.uint64)
-    for p in parts:
-        h = mixed(np.asarray(p).astype(np.uint64) + h * np.uint64(0x9E3779B97F4A7C15))
-    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    """A number between 0 and 1 for each place, from a hash of the parts; the first is a hash itself."""
+    h = np.zeros(1, np.uint64)
+    for p, c in zip(parts, PARTS, strict=False):
+        h = h + np.asarray(p).astype(np.uint64) * c
+    return ((mixed(h) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 def uniform_one(*parts: int) -> float:
@@ -235,13 +239,20 @@ def branches(lat: Lattices, path: np.ndarray, start: int, phi: float, top: float
     off = np.flatnonzero(arc != on[step])
     step, arc = step[off], arc[off]
     mass = logs[step] + lat.log[arc]
-    near = np.flatnonzero(mass > least - MOST_NOISE)
-    step, arc, mass = step[near], arc[near], mass[near]
-    which = arc - lat.at[lat.state[arc]]
-    value = gumbel_below(top, mass, uniform(np.full(len(step), key, np.uint64), step + start, 512 + 1024 * sample, which))
-    best = np.argsort(-value, kind="stable")[:most]
-    best = best[value[best] > least]
-    return list(zip((-value[best]).tolist(), mass[best].tolist(), (step[best] + start).tolist(), arc[best].tolist(), strict=True))
+    draw = 512 + 1024 * sample
+    worth = np.flatnonzero(mass > mass.max(initial=-np.inf) - 6)  # where the best are most likely; they raise the bound
+    for last in (False, True):
+        which = arc[worth] - lat.at[lat.state[arc[worth]]]
+        value = gumbel_below(top, mass[worth], uniform(np.full(len(worth), key, np.uint64), step[worth] + start, draw, which))
+        best = np.argsort(-value, kind="stable")[:most]
+        best = best[value[best] > least]
+        if last:
+            break
+        if len(best) == most:
+            least = np.nextafter(value[best[-1]], -np.inf)
+        worth = np.flatnonzero(mass > least - MOST_NOISE)
+    value, worth = value[best], worth[best]
+    return list(zip((-value).tolist(), mass[worth].tolist(), (step[worth] + start).tolist(), arc[worth].tolist(), strict=True))
 
 
 def rest_of_unit(lat: Lattices, state: int, end: int, key: int, place: int, sample: int) -> list[int]:

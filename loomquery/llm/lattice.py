@@ -12,10 +12,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from .words import mixed
-
 MARK = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
+SPREAD = np.uint64(0xD6E8FEB86659FD93)
 LONG = 48
 #: Units of one length that are computed at once, by their characters.
 CELLS = 1 << 18
@@ -74,23 +73,22 @@ class Vocabulary:
         self.after = np.full(len(self.pieces), -1, np.int32)
         self.keys = np.zeros(len(self.pieces) + 1, np.uint64)
         for p, i in self.ids.items():
-            h = np.uint64(0)
-            with np.errstate(over="ignore"):
-                for c in code_points(p):
-                    h = h * BASE + np.uint64(c + 1)
-                self.keys[i] = mixed(np.array([h]))[0]
-            slot = int(self.keys[i]) >> (64 - SLOTS)
+            h = 0
+            for c in code_points(p).tolist():
+                h = (h * int(BASE) + c + 1) % 2**64
+            self.keys[i] = h
+            slot = h * int(SPREAD) % 2**64 >> (64 - SLOTS)
             self.after[i], self.table[slot] = self.table[slot], i
         self.after = np.append(self.after, np.int32(-1))
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Piece ids of string hashes, -1 where there is none."""
-        h = mixed(hashes)
-        at = self.table[(h >> np.uint64(64 - SLOTS)).astype(np.int64)]
-        wrong = (at >= 0) & (self.keys[at] != h)
-        while wrong.any():
-            at[wrong] = self.after[at[wrong]]
-            wrong = (at >= 0) & (self.keys[at] != h)
+        at = self.table[(hashes * SPREAD) >> np.uint64(64 - SLOTS)]
+        look = np.flatnonzero(at >= 0)
+        while len(look):
+            look = look[self.keys[at[look]] != hashes[look]]
+            at[look] = self.after[at[look]]
+            look = look[at[look] >= 0]
         return at
 
 
