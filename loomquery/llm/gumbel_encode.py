@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lattice import LONG, MARK, Vocabulary, arcs, by_length, load_pieces, tokenizer_path
+from .lattice import LONG, MARK, Vocabulary, arcs, by_length, load_pieces, log_sum, tokenizer_path
 from .words import mixed
 
 K = 2
@@ -103,8 +103,11 @@ class Lattices:
             found = arcs(vocab, chars) if n <= LONG else long_arcs(vocab, units, rows)
             beta = np.full((n + 1, len(rows)), -np.inf)
             beta[n] = 0
-            for (i, j), ids in reversed(found.items()):
-                beta[i] = np.logaddexp(beta[i], beta[j] + vocab.scores[ids])
+            onward: dict = {}
+            for (i, j), ids in found.items():
+                onward.setdefault(i, []).append((j, ids))
+            for i, out in sorted(onward.items(), reverse=True):
+                beta[i] = log_sum([beta[j] + vocab.scores[ids] for j, ids in out])
             for (i, j), ids in found.items():
                 has = np.flatnonzero(ids >= 0)
                 base = self.first[rows[has]]

@@ -129,6 +129,25 @@ def arcs(vocab: Vocabulary, chars: np.ndarray):
     return found
 
 
+def log_sum(terms: list[np.ndarray]) -> np.ndarray:
+    """log(sum(exp(term))) element by element; -inf where all are."""
+    if len(terms) == 1:
+        return terms[0]
+    stack = np.stack(terms)
+    top = stack.max(axis=0)
+    top = np.where(np.isfinite(top), top, 0)
+    with np.errstate(divide="ignore"):
+        return top + np.log(np.exp(stack - top).sum(axis=0))
+
+
+def by_end(found: dict) -> dict:
+    """{j: [(i, ids)]} of arcs {(i, j): ids}."""
+    ends: dict = {}
+    for (i, j), ids in found.items():
+        ends.setdefault(j, []).append((i, ids))
+    return ends
+
+
 def forward(vocab: Vocabulary, units: list[str], stop=0.0) -> np.ndarray:
     """The log of the summed probability of all segmentations of each unit: the log-space forward recursion.
 
@@ -142,8 +161,8 @@ def forward(vocab: Vocabulary, units: list[str], stop=0.0) -> np.ndarray:
             continue
         alpha = np.full((chars.shape[1] + 1, len(rows), *models), -np.inf)
         alpha[0] = 0
-        for (i, j), ids in arcs(vocab, chars).items():  # ordered by i, so alpha[i] is complete
-            alpha[j] = np.logaddexp(alpha[j], alpha[i] + vocab.scores[ids])
+        for j, into in sorted(by_end(arcs(vocab, chars)).items()):
+            alpha[j] = log_sum([alpha[i] + vocab.scores[ids] for i, ids in into])
         out[rows] = alpha[-1] + stop
     return out
 
@@ -159,33 +178,29 @@ def forward_one(vocab: Vocabulary, unit: str) -> np.ndarray:
     return alpha
 
 
-def expected_counts(vocab: Vocabulary, units: list[str], weights: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece, and last the escape, over all segmentations of units with weights.
+def expected_counts(vocab: Vocabulary, units: list[str], scores: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece, and last the escape, over all segmentations of the units.
 
-    With a matrix of scores, `weights` has a column for each model too, and so has the result. Units longer
-    than `LONG` are cut into parts of that length.
+    `scores` stands in for the vocabulary's, as a vector. Probabilities are multiplied as they are, with the
+    positions scaled by their likeliest arc; units longer than `LONG` are cut into parts of that length.
     """
     if any(len(u) > LONG for u in units):
-        parts = [(u[i : i + LONG], w) for u, w in zip(units, weights, strict=True) for i in range(0, len(u), LONG)]
-        units, weights = [u for u, _ in parts], np.array([w for _, w in parts])
-    models = vocab.scores.shape[1:]
-    total = np.zeros((len(vocab.pieces) + 1, *models))
+        units = [u[i : i + LONG] for u in units for i in range(0, len(u), LONG)]
+    p, total = np.exp(scores), np.zeros(len(vocab.pieces) + 1)
     for rows, chars in by_length(units):
-        n, w = chars.shape[1], weights[rows]
-        found = arcs(vocab, chars)
-        alpha, beta = (np.full((n + 1, len(rows), *models), -np.inf) for _ in range(2))
-        alpha[0] = beta[n] = 0
-        for (i, j), ids in found.items():
-            alpha[j] = np.logaddexp(alpha[j], alpha[i] + vocab.scores[ids])
-        for (i, j), ids in reversed(found.items()):
-            beta[i] = np.logaddexp(beta[i], beta[j] + vocab.scores[ids])
-        for (i, j), ids in found.items():
-            has = ids >= 0
-            at = ids[has]
-            share = np.exp(alpha[i][has] + vocab.scores[at] + beta[j][has] - alpha[n][has]) * w[has]
-            if models:
-                for z in range(models[0]):
-                    total[:, z] += np.bincount(at, share[:, z], len(total))
-            else:
-                total += np.bincount(at, share, len(total))
+        n = chars.shape[1]
+        found = {at: (ids, p[ids]) for at, ids in arcs(vocab, chars).items()}
+        # A position's single-character arc, on which each unit can pass, keeps products from underflow.
+        scale = [found[i, i + 1][1] for i in range(n)]
+        alpha, beta = np.zeros((n + 1, len(rows))), np.zeros((n + 1, len(rows)))
+        alpha[0] = beta[n] = 1
+        step = {}
+        for (i, j), (_, q) in found.items():
+            step[i, j] = q = q / np.prod(scale[i:j], axis=0)
+            alpha[j] += alpha[i] * q
+        top = [np.maximum(a, 1e-300) for a in alpha]
+        for (i, j), q in reversed(step.items()):
+            beta[i] += beta[j] * q
+        for (i, j), (ids, _) in found.items():
+            total += np.bincount(np.maximum(ids, 0), alpha[i] * step[i, j] * beta[j] / top[n], len(total))
     return total

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from . import lm_scoring, merkle, near_dedup, quality, substring_dedup, url_rules
-from .common import doc_fold, table
+from . import decontaminate, gumbel_encode, license_scan, lm_scoring, merkle, near_dedup, quality, substring_dedup, token_rollup, url_rules
+from .common import doc_fold, shared_dir, table
 
 
 def op1_lm_scoring(spark, sf_dir):
@@ -13,6 +15,21 @@ def op1_lm_scoring(spark, sf_dir):
     return lm_scoring.score_texts(docs, doc_fold(docs["doc_id"], 10) == 0, docs["lang"])
 
 
+def op2_token_rollup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return token_rollup.corpus_history(docs, f"{shared_dir(spark)}/rollups/{uuid.uuid4().hex}")
+
+
+def op3_decontaminate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op4_gumbel_encode(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return gumbel_encode.digest(gumbel_encode.encode(docs, check=True).select("doc_id", "samples", "exact"))
+
+
 def op5_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score_texts(docs, table(spark, sf_dir, "labels"), lambda i: doc_fold(i, 3) != 1)
@@ -38,8 +55,12 @@ def op9_substring_dedup(spark, sf_dir):
     return substring_dedup.digest(substring_dedup.remove_repeats(docs))
 
 
+def op10_license_scan(spark, sf_dir):
+    return license_scan.matches(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_lm_scoring, op5_quality, op6_near_dedup, op7_merkle, op8_url_rules, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_token_rollup, op3_decontaminate, op4_gumbel_encode, op5_quality, op6_near_dedup, op7_merkle, op8_url_rules, op9_substring_dedup, op10_license_scan)}
 
 
 FINGERPRINT = r"""
