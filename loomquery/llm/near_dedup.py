@@ -8,20 +8,22 @@ key. A pair at similarity 0.75 has each value equal with probability 0.75, so it
 probability 0.367 ** 12 = 6e-6, and less the more alike it is.
 
 Equal sets are one class, and classes are what the index holds. A group of near copies can be large and its
-members unlike each other (each is like the original, say), so a key's classes are not all paired. A round takes
-some members of each key as centres and compares them with those members that aren't in their component yet;
-verified links merge components, a centre that has met all is done, and so is a key whose members are all in one
-component. The first round's centre is the member with the most company over all its keys, which an original is;
-later rounds take members outside
-the key's largest component, by a hash and four times as many each. A key that still holds far more open pairs (members in different
-components) than its members' other keys would make rows is split by those. Once the open pairs, counted
-beforehand, are few for the number of classes, and in the last round anyway, all are compared.
-No open pair is skipped, so no link is lost but by the index's stated chance.
-
-Compared pairs first pass the signature distance (34 of 60, missed with probability 1e-8 at similarity 0.75),
+members unlike each other (each is like the original, say), so a key's classes are not all paired:
+
+1. Star: each key's member with the most company over all its keys, which an original is, is compared with the others
+   of the key. Verified links make components, and a key whose members are all in one is done.
+2. Keys of fewer than `HEAVY` members: the pairs of members in different components are compared.
+3. Larger keys: the members that such keys connect are a cluster. A cluster is cut into blocks of about `BLOCK`
+   members, and each two blocks meet in one task, which compares members of different components, by signature,
+   then by full sets, joins what is alike, and returns only the links that join components. So a cluster's work
+   grows with its square, spread over many tasks, but no rows do, and no task holds more than two blocks.
+
+Every pair of members of a key is compared or already connected, so no link is lost but by the index's stated chance.
+
+Compared pairs first pass the signature distance (30 of 60, missed with probability 1e-5 at similarity 0.75),
 then an exact intersection of full sets of 64-bit shingle hashes. Hot keys and centres: counts and minima are
 combined before shuffling, and the joins have one row a key on the other side, so adaptive execution can split
-them. Every round's state is a written table in the shared folder.
+them. The state between steps is written to the shared folder.
 
 Defined results: texts without words are linked with nothing; a text of one to four words has one shingle,
 the whole sequence. Rows that share a doc_id are one node. Rows with a null id stay alone: a null component,
@@ -45,10 +47,9 @@ from .words import mixed, rolling, signed, split_words, word_hashes
 SHINGLE, PERCENT = 5, 75
 CHUNKS, SYMBOLS, ERRORS = 12, 5, 1
 #: Signatures further apart than this aren't compared exactly.
-FARTHEST = 34
-#: Open pairs compared at once, for each class; open pairs for each member from which a key is split.
-OPEN_PAIRS, SPLIT = 16, 128
-ROUNDS = 12
+FARTHEST = 30
+#: Members from which a key's open pairs are compared in blocks, and the members of a block.
+HEAVY, BLOCK = 64, 256
 
 #: Odd multipliers, one a signature value, from a fixed seed.
 MULTIPLIERS = np.random.default_rng(20).integers(1, 2**63, CHUNKS * SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,17 +106,6 @@ def key_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": signed(keys.ravel()), "rep": np.repeat(batch["rep"].to_numpy(), keys.shape[1])})
 
 
-def split_key_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each member of a heavy key under that key combined with every key of its signature."""
-    for batch in batches:
-        if len(batch):
-            keys = chunk_keys(signatures_of(batch["sig"]))
-            old = batch["key"].to_numpy().view(np.uint64)[:, None]
-            both = np.where(keys == old, np.uint64(0), mixed(keys ^ mixed(np.broadcast_to(old, keys.shape), 7)))
-            rows = pd.DataFrame({"key": signed(both.ravel()), "rep": np.repeat(batch["rep"].to_numpy(), keys.shape[1])})
-            yield rows[rows["key"] != 0]
-
-
 def near_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if len(batch):
@@ -143,6 +133,34 @@ def verified_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[np.array(at, bool), ["a", "b"]]
 
 
+def block_links(group: pd.DataFrame) -> pd.DataFrame:
+    """The links between members of two blocks, or of one, that join different components."""
+    first, second = int(group["u1"].iloc[0]), int(group["u2"].iloc[0])
+    reps, sigs = group["rep"].to_numpy(), signatures_of(group["sig"])
+    sets = [np.frombuffer(x, np.uint64) for x in group["full"]]
+    block = group["block"].to_numpy()
+    root = {label: label for label in group["label"]}
+    labels = group["label"].tolist()
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    found = []
+    others = np.flatnonzero(block == second)
+    for a in np.flatnonzero(block == first):
+        rest = others[others > a] if first == second else others
+        far = (sigs[rest] != sigs[a]).sum(axis=1)
+        near = np.flatnonzero(far <= FARTHEST)
+        for b in rest[near[np.argsort(far[near], kind="stable")]].tolist():
+            x, y = find(labels[a]), find(labels[b])
+            if x != y and alike(sets[a], sets[b]):
+                root[x] = y
+                found.append((reps[a], reps[b]))
+    return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+
 def sets_of(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, d1, d2, sig) a row: the set's size, two digests that name it, its signature."""
     rows = docs.select(F.struct("doc_id").alias("row_"), "text")  # the id stays what it is, a null too
@@ -159,65 +177,52 @@ def verified(pairs: DataFrame, reps: DataFrame, full: DataFrame) -> DataFrame:
 
 
 def open_keys(members: DataFrame, forest: DataFrame) -> DataFrame:
-    """(key, rep, label, size, n_top, top, open): members of the keys that have members in several components, with
-    the key's size, its largest component and that one's size there, and its number of open pairs."""
+    """(key, rep, label, size, top): members of the keys that have members in several components, with the key's
+    size and its largest component."""
     labelled = members.join(forest.toDF("rep", "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("label"))
     by = labelled.groupBy("key", "label").agg(F.count("*").cast("double").alias("n"))
-    top = F.max(F.struct("n", "label")).alias("top")
-    stats = by.groupBy("key").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("same"), top)
-    stats = stats.select("key", "size", F.col("top.n").alias("n_top"), F.col("top.label").alias("top"), ((F.col("size") * F.col("size") - F.col("same")) / 2).alias("open")).filter("open > 0")
+    stats = by.groupBy("key").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max(F.struct("n", "label"))["label"].alias("top"))
+    stats = stats.filter("most < size").select("key", "size", "top")
     return labelled.join(stats, "key")
 
 
-def split_keys(left: DataFrame, reps: DataFrame, forest: DataFrame) -> DataFrame:
-    """`left` with the keys of far too many open pairs split by the members' other keys."""
-    heavy = F.col("open") > SPLIT * F.col("size")
-    finer = left.filter(heavy).select("key", "rep").join(reps, "rep").select("key", "rep", "sig").mapInPandas(split_key_rows, "key long, rep long").distinct()
-    return open_keys(left.filter(~heavy).select("key", "rep").union(finer), forest)
+def in_blocks(heavy: DataFrame, reps: DataFrame, full: DataFrame) -> DataFrame:
+    """The links (a, b) between components of the clusters that the keys of `heavy` make."""
+    least = heavy.groupBy("key").agg(F.min("rep").alias("b"))
+    cluster = stars(heavy.select("key", F.col("rep").alias("a")).join(least, "key").select("a", "b"), "near-clusters")
+    nodes = heavy.select("rep", "label").distinct().join(cluster.toDF("rep", "root"), "rep", "left")
+    nodes = nodes.select("rep", "label", F.coalesce("root", "rep").alias("cluster"))
+    blocks = nodes.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    nodes = nodes.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    nodes = nodes.join(reps.select("rep", "sig"), "rep").join(full, "rep")
+    meets = nodes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meets = meets.select("cluster", F.least("block", "other").alias("u1"), F.greatest("block", "other").alias("u2"), "block", "rep", "label", "sig", "full")
+    return meets.groupBy("cluster", "u1", "u2").applyInPandas(block_links, "a long, b long")
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(u, v): a forest over class representatives; v is the least node of u's component."""
-    spark = docs.sparkSession
-    reps = classes.select("rep", "sig")
-    members = reps.mapInPandas(key_rows, "key long, rep long")
+    members = classes.select("rep", "sig").mapInPandas(key_rows, "key long, rep long")
     several = members.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("key", "size")
     members = written(members.join(several, "key"), "near-keys")
     company = members.groupBy("rep").agg(F.sum("size").alias("company"))
-    full = docs.select("doc_id", "text").join(company.select(F.col("rep").alias("doc_id")), "doc_id").mapInPandas(packed_rows, "rep long, full binary")
+    indexed = company.select("rep")
+    reps = written(classes.select("rep", "sig").join(company, "rep"), "near-signatures")
+    full = docs.select("doc_id", "text").join(indexed.toDF("doc_id"), "doc_id").mapInPandas(packed_rows, "rep long, full binary")
     full = written(full, "near-sets")
-    reps = written(reps.join(company, "rep"), "near-signatures")
-    n_reps = reps.count()
-    forest = spark.createDataFrame([], "u long, v long")
-    for turn in range(ROUNDS):
-        left = written(open_keys(members.select("key", "rep"), forest), "near-open")
-        if turn and left.filter(F.col("open") > SPLIT * F.col("size")).limit(1).count():
-            left = written(split_keys(left, reps.select("rep", "sig"), forest), "near-open")
-        n_open = left.agg(F.sum(F.col("open") / F.col("size")).alias("n")).first()["n"] or 0
-        dropped(members)
-        if not n_open:
-            break
-        final = n_open <= OPEN_PAIRS * n_reps or turn == ROUNDS - 1
-        as_centre = [F.col("key"), F.col("rep").alias("a"), F.col("label").alias("la")]
-        apart = F.col("label") != F.col("top")
-        if final:
-            met = left.join(left.filter(apart).select(*as_centre), "key").filter("label = top or rep < a")
-        elif not turn:
-            best = left.join(reps.select("rep", "company"), "rep").groupBy("key").agg(F.max(F.struct("company", "rep", "label")).alias("c"))
-            met = left.join(best.select("key", F.col("c.rep").alias("a"), F.col("c.label").alias("la")), "key")
-            rest = met.filter("rep <> a").select("key", "rep")
-        else:
-            # Of each key's members outside its largest component about 4 ** turn by a hash; if they are fewer, all.
-            chosen = apart & (F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil((F.col("size") - F.col("n_top")) / 4**turn)) == 0)
-            met = left.join(left.filter(chosen).select(*as_centre), "key")
-            rest = left.filter(~chosen).select("key", "rep")
-        found = verified(met.filter("la <> label").select("a", F.col("rep").alias("b")).distinct(), reps.select("rep", "sig"), full)
-        forest = stars(forest.toDF("a", "b").union(found), "near-forest")
-        if final:
-            break
-        members = written(rest, "near-members")
-        dropped(left)
-    return forest
+
+    best = members.join(reps.select("rep", "company"), "rep").groupBy("key").agg(F.max(F.struct("company", "rep"))["rep"].alias("a"))
+    pairs = members.join(best, "key").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    forest = stars(verified(pairs, reps, full), "near-forest")
+
+    left = written(open_keys(members.select("key", "rep"), forest), "near-open")
+    dropped(members)
+    light, heavy = left.filter(F.col("size") < HEAVY), left.filter(F.col("size") >= HEAVY)
+    apart = light.filter("label <> top").select("key", F.col("rep").alias("a"), F.col("label").alias("la"))
+    pairs = light.join(apart, "key").filter("la <> label and (label = top or rep < a)").select("a", F.col("rep").alias("b")).distinct()
+    forest = stars(forest.toDF("a", "b").union(verified(pairs, reps, full)), "near-forest")
+    now = heavy.select("key", "rep").join(forest.toDF("rep", "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("label"))
+    return stars(forest.toDF("a", "b").union(in_blocks(written(now, "near-heavy"), reps, full)), "near-forest")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
