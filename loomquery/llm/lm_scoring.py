@@ -48,6 +48,8 @@ FREQUENT = 200_000
 FREQUENT_BYTES = 64
 EM_ROUNDS = 3
 MOST_KINDS = 8
+#: Words that the lattice takes at once.
+ROWS = 200_000
 CODE_POINTS = 0x110000
 
 
@@ -94,6 +96,19 @@ def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(np.full(len(c), kind, np.int32)), pa.array(n)], ["word", "kind", "n"])
 
 
+def larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of ROWS or a little more: the lattice works on all units of one length at once."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= ROWS:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def counts_of(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch[n].to_numpy() for n in batch.schema.names if n.startswith("c_")], 1).astype(np.float64)
 
@@ -101,11 +116,11 @@ def counts_of(batch: pa.RecordBatch) -> np.ndarray:
 def piece_rows(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, total = model.value, None
-        for batch in batches:
-            words = [MARK + w.decode("utf-8", "surrogatepass") for w in batch["word"].to_pylist()]
-            if words:
-                uses = expected_counts(m.vocabulary, words, (counts_of(batch) > 0).astype(np.float64))
-                total = uses if total is None else total + uses
+        for batch in larger(batches):
+            words, counts = [MARK + w.decode("utf-8", "surrogatepass") for w in batch["word"].to_pylist()], counts_of(batch)
+            total = np.zeros((len(m.vocabulary.pieces) + 1, counts.shape[1])) if total is None else total
+            for z in range(counts.shape[1]):
+                total[:, z] += expected_counts(m.vocabulary, [words[i] for i in np.flatnonzero(counts[:, z])], m.vocabulary.scores[:, z])
         if total is not None:
             at, kind = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(kind), pa.array(total[at, kind])], ["piece", "kind", "uses"])
@@ -115,7 +130,7 @@ def piece_rows(model):
 
 def score_rows(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in larger(batches):
             words, counts = [w.decode("utf-8", "surrogatepass") for w in batch["word"].to_pylist()], counts_of(batch)
             lp = model.value.word_scores(words, counts)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(lp.ravel()), lp.shape[1]).cast(pa.list_(pa.float64()))
