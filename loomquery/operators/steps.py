@@ -12,6 +12,7 @@ import hashlib
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -255,14 +256,23 @@ class Fill(Step):
         return replace(f, df=df)
 
 
+def in_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows cut into ranges along `order`, numbered by `__part`.
+
+    The bounds come from a sample, so what reads the ranges twice must read the same cut: it is kept, in memory as
+    far as it goes and on disk beyond.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def filled(df: DataFrame, names: list[str], order: list[Column]) -> DataFrame:
     """Last non-blank value carried along `order`, without bringing all rows into one task.
 
     Rows are cut into range partitions; each is filled on its own, and what is open at its start comes from the last
     value of the partitions before it, one row each.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
+    df = in_ranges(df, order)
     own = Window.partitionBy("__part").orderBy(*order)
     upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     df = df.withColumn("__at", F.row_number().over(own))
@@ -550,8 +560,7 @@ class IndexColumn(Step):
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Rows numbered from 0 along `order`: within range partitions, plus the sizes of those before, a row each."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
+    df = in_ranges(df, order)
     df = df.withColumn(name, F.row_number().over(Window.partitionBy("__part").orderBy(*order)).cast("bigint") - 1)
     sizes = df.groupBy("__part").agg(F.count("*").alias("__size"))
     before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -606,7 +606,7 @@ class Plan:
         one = F.when(lo.isNull(), blank).otherwise((lo == hi) & ~blank)
         if tree.name == "HASONEVALUE":
             return Typed(F.coalesce(one, F.lit(False)), ty.BOOLEAN)
-        other = self.value(tree.args[1], ctx, names) if len(tree.args) == 2 else scalars.BLANK
+        other = self.value(tree.args[1], ctx, names) if len(tree.args) == 2 else scalars.blank_value()
         return scalars.choose([(F.coalesce(one, F.lit(False)), Typed(hi, dtype))], other, None)
 
     def not_contiguous(self, table: str, ctx: Context, call: tuple) -> Column | None:

@@ -32,7 +32,8 @@ def literal(value) -> Typed:
     return Typed(F.lit(value).cast(ty.SPARK_TYPE[dtype]), dtype)
 
 
-BLANK = literal(None)
+def blank_value() -> Typed:
+    return literal(None)
 
 
 def cast(t: Typed, dtype: str) -> Column:
@@ -135,14 +136,14 @@ def if_(args: list[Typed]) -> Typed:
     if test.dtype != ty.BOOLEAN:
         fail("IF_CONDITION_NOT_BOOLEAN", f"IF's condition is {test.dtype}")
     blank = F.when(test.column.isNull(), F.lit("IF_CONDITION_NOT_BOOLEAN"))
-    return choose([(F.coalesce(test.column, F.lit(False)), args[1])], args[2] if len(args) == 3 else BLANK, first_error(test.error, blank))
+    return choose([(F.coalesce(test.column, F.lit(False)), args[1])], args[2] if len(args) == 3 else blank_value(), first_error(test.error, blank))
 
 
 def switch(args: list[Typed]) -> Typed:
     if len(args) < 3:
         fail("INVALID_SWITCH_ARGUMENT", "SWITCH takes an expression and pairs of a value and a result")
     subject, rest = args[0], args[1:]
-    otherwise = rest[-1] if len(rest) % 2 else BLANK
+    otherwise = rest[-1] if len(rest) % 2 else blank_value()
     pairs = list(zip(rest[::2], rest[1::2], strict=False))
     return choose([(same(subject, v), r) for v, r in pairs], otherwise, first_error(subject.error, *[v.error for v, _ in pairs]))
 
@@ -166,7 +167,7 @@ def divide(args: list[Typed]) -> Typed:
 def blank(args: list[Typed]) -> Typed:
     if args:
         fail("INVALID_FUNCTION_ARGUMENT", "BLANK takes no argument")
-    return BLANK
+    return blank_value()
 
 
 #: Functions that take scalars alone.

@@ -1,0 +1,175 @@
+"""Sources and sinks: Parquet, delimited text with inferred types, spreadsheets, rows in memory; and column profiles.
+
+Type inference looks at the first SAMPLE values of a column, then the whole column is cast. A column of which some value
+doesn't fit the inferred type stays text, and a warning says how many.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import types as ty
+from ..diagnostics import Diagnostic, fail
+
+SAMPLE = 500
+#: How values of each type look. Fixed values.
+PATTERNS = [
+    (ty.BOOLEAN, r"(?i)^(true|false)$"), (ty.INTEGER, r"^[+-]?\d+$"), (ty.DECIMAL, r"^[+-]?\d+\.\d+$"),
+    (ty.DATETIME, r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), (ty.DATE, r"^\d{4}-\d{2}-\d{2}$"),
+]
+BLANK = r"(?i)^(|null)$"
+
+
+@dataclass
+class Imported:
+    df: DataFrame
+    types: dict[str, str]
+    diagnostics: list[Diagnostic] = field(default_factory=list)
+
+
+def header(names: list[str | None]) -> list[str]:
+    """Trimmed names; blank ones are Column1, Column2, ..., repeated ones get _2, _3, ..."""
+    out: list[str] = []
+    for i, n in enumerate(names):
+        base = (n or "").strip() or f"Column{i + 1}"
+        name, k = base, 2
+        while name.lower() in {x.lower() for x in out}:
+            name, k = f"{base}_{k}", k + 1
+        out.append(name)
+    return out
+
+
+def _merged(kinds: set[str]) -> str:
+    if not kinds:
+        return ty.NULL
+    if len(kinds) == 1:
+        return next(iter(kinds))
+    return ty.DECIMAL if kinds <= ty.NUMERIC else ty.DATETIME if kinds <= ty.TEMPORAL else ty.STRING
+
+
+def inferred_types(df: DataFrame) -> dict[str, str]:
+    """The types of all-text columns from their first SAMPLE values: one small job for all columns."""
+    found = []
+    for i, name in enumerate(df.columns):
+        c = F.trim(F.col(f"`{name}`"))
+        kind = F.lit(ty.STRING)
+        for k, pattern in reversed(PATTERNS):
+            kind = F.when(c.rlike(pattern), k).otherwise(kind)
+        found.append(F.collect_set(F.when(c.isNotNull() & ~c.rlike(BLANK), kind)).alias(f"k{i}"))
+    row = df.limit(SAMPLE).agg(*found).first()
+    return {name: _merged(set(row[f"k{i}"])) for i, name in enumerate(df.columns)}
+
+
+def coerced(c: Column, dtype: str) -> Column:
+    """Text in a type; null for blanks and for what doesn't fit."""
+    c = F.when(~F.trim(c).rlike(BLANK), F.trim(c))
+    if dtype in (ty.STRING, ty.NULL):
+        return c
+    if dtype == ty.BOOLEAN:
+        return F.when(F.lower(c) == "true", True).when(F.lower(c) == "false", False)
+    return c.try_cast(ty.SPARK_TYPE[dtype])
+
+
+def typed(df: DataFrame, max_rows: int | None = None, max_columns: int | None = None) -> Imported:
+    """All-text rows as a typed table: blank rows dropped, names made unique, types inferred and checked."""
+    df = df.toDF(*header(df.columns))
+    if max_columns and len(df.columns) > max_columns:
+        fail("QUERY_COLUMN_LIMIT_EXCEEDED", f"{len(df.columns)} columns; {max_columns} are allowed")
+    filled = F.lit(False)
+    for c in df.columns:
+        filled = filled | F.coalesce(F.trim(F.col(f"`{c}`")) != "", F.lit(False))
+    df = df.filter(filled)
+    kinds = inferred_types(df)
+    # One pass finds the values that don't fit.
+    checks = [F.count(F.when(coerced(F.col(f"`{c}`"), ty.STRING).isNotNull() & coerced(F.col(f"`{c}`"), k).isNull(), 1)).alias(f"b{i}") for i, (c, k) in enumerate(kinds.items())]
+    row = df.agg(F.count("*").alias("n"), *checks).first()
+    if max_rows and row["n"] > max_rows:
+        fail("QUERY_ROW_LIMIT_EXCEEDED", f"{row['n']} rows; {max_rows} are allowed")
+    notes = []
+    for i, (c, k) in enumerate(list(kinds.items())):
+        if row[f"b{i}"]:
+            notes.append(Diagnostic("QUERY_TYPE_CONVERSION_FAILED", f"{c} looks like {k}, but {row[f'b{i}']} values don't fit: it stays text", "warning", {"column": c, "count": row[f"b{i}"]}))
+            kinds[c] = ty.STRING
+    out = df.select(*[coerced(F.col(f"`{c}`"), k).alias(c) for c, k in kinds.items()])
+    return Imported(out, kinds, notes)
+
+
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",", **limits: Any) -> Imported:
+    """A delimited file with a header, quotes doubled inside quotes, and line feeds inside quotes."""
+    raw = spark.read.options(header=True, sep=delimiter, quote='"', escape='"', multiLine=True, inferSchema=False, ignoreLeadingWhiteSpace=False).csv(path)
+    return typed(raw, **limits)
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.json(path)
+
+
+def from_rows(spark: SparkSession, names: list[str], rows: list[tuple]) -> Imported:
+    """Rows in memory, all values as text."""
+    text = [tuple(None if v is None else str(v).lower() if isinstance(v, bool) else str(v) for v in r) for r in rows]
+    schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
+    return typed(spark.createDataFrame(text, schema).toDF(*header(names)))
+
+
+def sheets(path: str) -> list[str]:
+    return _excel().ExcelFile(path).sheet_names
+
+
+def read_sheet(spark: SparkSession, path: str, sheet: str) -> Imported:
+    """A spreadsheet's sheet, first row as header; the driver reads it, as such files are small."""
+    table = _excel().read_excel(path, sheet_name=sheet, dtype=str)
+    rows = [tuple(None if v != v else v for v in r) for r in table.itertuples(index=False)]
+    return from_rows(spark, [str(c) for c in table.columns], rows)
+
+
+def _excel():
+    import importlib.util
+
+    if importlib.util.find_spec("openpyxl") is None:
+        fail("QUERY_SOURCE_NOT_FOUND", "unsupported-file-type: no reader for spreadsheets is installed")
+    import pandas
+
+    return pandas
+
+
+def write(df: DataFrame, path: str, kind: str = "parquet", partition_by: list[str] | None = None, mode: str = "error") -> None:
+    df.write.mode(mode).partitionBy(*(partition_by or [])).format(kind).save(path)
+
+
+def rounded(c: Column) -> Column:
+    """Two digits; halves go away from zero."""
+    return F.round(c, 2)
+
+
+def profile(df: DataFrame) -> DataFrame:
+    """(column, type, row_count, null_count, null_percent, distinct_count, distinct_percent, min, max, mean, min_length,
+    max_length, is_potential_key): a row for each column, from one aggregation."""
+    kinds = {f.name: ty.logical_type(f.dataType) for f in df.schema.fields}
+    aggregates = [F.count("*").alias("rows")]
+    for i, (n, k) in enumerate(kinds.items()):
+        c = F.col(f"`{n}`")
+        aggregates += [F.count(c).alias(f"n{i}"), F.count_distinct(c).alias(f"d{i}")]
+        ordered = k in ty.NUMERIC | ty.TEMPORAL
+        aggregates += [(F.min(c) if ordered else F.lit(None)).cast("string").alias(f"lo{i}"), (F.max(c) if ordered else F.lit(None)).cast("string").alias(f"hi{i}")]
+        aggregates += [(F.avg(c) if k in ty.NUMERIC else F.lit(None)).cast("double").alias(f"avg{i}")]
+        text = k == ty.STRING
+        aggregates += [(F.min(F.length(c)) if text else F.lit(None)).cast("long").alias(f"a{i}"), (F.max(F.length(c)) if text else F.lit(None)).cast("long").alias(f"z{i}")]
+    one = df.agg(*aggregates)
+    rows, share = F.col("rows"), lambda x: F.when(F.col("rows") > 0, rounded(100.0 * x / F.col("rows"))).otherwise(0.0)
+    parts = [
+        F.struct(
+            F.lit(n).alias("column"), F.lit(k).alias("type"), rows.alias("row_count"), (rows - F.col(f"n{i}")).alias("null_count"), share(rows - F.col(f"n{i}")).alias("null_percent"),
+            F.col(f"d{i}").alias("distinct_count"), share(F.col(f"d{i}")).alias("distinct_percent"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"), rounded(F.col(f"avg{i}")).alias("mean"),
+            F.col(f"a{i}").alias("min_length"), F.col(f"z{i}").alias("max_length"), ((rows > 0) & (F.col(f"n{i}") == rows) & (F.col(f"d{i}") == rows)).alias("is_potential_key"),
+        )
+        for i, (n, k) in enumerate(kinds.items())
+    ]
+    return one.select(F.inline(F.array(*parts)))
