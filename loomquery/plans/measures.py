@@ -363,6 +363,7 @@ class Plan:
         self.leaves: dict = {}  # key: (rel, {name: aggregate})
         self.measures: dict = {}
         self.open: list[str] = []
+        self.tagged: dict[str, tuple[str, str]] = {}  # tag column: the column whose values it takes
 
     # Leaves.
     def leaf(self, key, make, aggregate) -> Column:
@@ -579,8 +580,13 @@ class Plan:
         for c in columns:
             inner = inner.keep((table, c), Filter(tag=tag))
         plan = Plan(self.model)
-        plan.open = self.open
+        plan.open, plan.tagged = self.open, {**self.tagged, **{tag.name(c): (table, c) for c in columns}}
         v = plan.named(name, inner)
+        # The measure may depend on a member that doesn't filter these rows: then each row counts for each member.
+        for t in sorted({t for leaf, _ in plan.leaves.values() for t in leaf.tags} - {*rel.tags, *tag.names()}):
+            of = plan.tagged[t]
+            every_member = self.rows.base(of[0]).df.select(col(cell(*of)).alias(t)).distinct()
+            rel = Rel(rel.df.crossJoin(every_member), (*rel.tags, t))
         names = {t: f"__outer:{t}" for t in rel.tags} | {tag.name(c): f"__row:{c}" for c in columns}
         spine = rel.df.select(*[col(t) for t in rel.tags], *[col(cell(table, c)).alias(tag.name(c)) for c in columns]).distinct()
         out = plan.result(Rel(spine, (*rel.tags, *tag.names())), {"__value": v}).df
@@ -788,6 +794,7 @@ def grouped(model: Model, dimension: tuple[str, str], expressions: dict[str, str
     ctx = filters if isinstance(filters, Context) else Context.of(checked(model, filters))
     tag = Tag("member", t, (c,))
     plan = Plan(model)
+    plan.tagged[tag.name(c)] = (t, c)
     ctx = ctx.keep((t, c), Filter(tag=tag))
     values = {n: plan.value(dax.parse(e), ctx) for n, e in expressions.items()}
     spine = plan.rows.base(t).df.select(col(cell(t, c)).alias(tag.name(c))).distinct()
