@@ -98,10 +98,15 @@ def typed(df: DataFrame, max_rows: int | None = None, max_columns: int | None =
     return Imported(out, kinds, notes)
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",", **limits: Any) -> Imported:
-    """A delimited file with a header, quotes doubled inside quotes, and line feeds inside quotes."""
-    raw = spark.read.options(header=True, sep=delimiter, quote='"', escape='"', multiLine=True, inferSchema=False, ignoreLeadingWhiteSpace=False).csv(path)
-    return typed(raw, **limits)
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",", multiline: bool = True, **limits: Any) -> Imported:
+    """A delimited file with a header, quotes doubled inside quotes, and line feeds inside quotes.
+
+    Files without such line feeds can be split among tasks: multiline=False.
+    """
+    reader = lambda: spark.read.options(sep=delimiter, quote='"', escape='"', multiLine=multiline)
+    names = list(reader().csv(path).first() or [])
+    schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
+    return typed(reader().schema(schema).options(header=True, enforceSchema=True).csv(path).toDF(*header(names)), **limits)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
