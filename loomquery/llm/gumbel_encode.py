@@ -12,8 +12,9 @@ unit's own probability it takes the unit's greedy path, else it leaves that at a
 branch off it enter the queue. Popping the queue's best gives the next path: the same up to the branch,
 new behind it.
 
-A branch whose log mass lies MOST_NOISE below the queue's k-th best can't win, as the noise of a 53-bit uniform
-number never exceeds that; so only the first branches of a long text are looked at, and none that matters is lost.
+The noise of a 53-bit uniform number lies between -LEAST_NOISE and MOST_NOISE. So the k largest masses among the first
+branches bound the k-th best value from below, and a branch whose log mass lies MOST_NOISE below the bound can't win; only
+the first branches of a long text are looked at, and none that matters is lost.
 
 `inclusion` is the log of the probability that the path would be among the sample, given the threshold (the
 greatest value left in the queue): log(1 - exp(-exp(log p - threshold))); it is 0 if there is no path left.
@@ -45,6 +46,10 @@ from .words import mixed
 K = 2
 #: -log(2 ** -54), above any noise that a uniform number with 53 bits can give.
 MOST_NOISE = 37.5
+#: log(-log(2 ** -54)) and log(2), for the truncation, rounded up.
+LEAST_NOISE = 4.4
+#: Steps whose branches give the first bound.
+FIRST_STEPS = 64
 #: How far below the least piece's score the escape to bytes lies.
 ESCAPE = 10.0
 #: Characters of texts that are sampled together.
@@ -121,7 +126,8 @@ class Lattices:
         p = np.exp(logs)
         order = np.argsort(state - 0.9 * p)  # by state, then by probability from the greatest
         self.state, self.log, self.p = state[order], logs[order], p[order]
-        self.piece, self.next, self.spell = (join(x, np.int64)[order] for x in (pieces, nexts, spells))
+        self.piece, self.spell = (join(x, np.int32)[order] for x in (pieces, spells))
+        self.next = join(nexts, np.int64)[order]
         total = int(self.last[-1]) + 1 if len(units) else 0
         self.at = np.concatenate([[0], np.cumsum(np.bincount(state, minlength=total))])
         run = np.cumsum(self.p)
@@ -227,35 +233,37 @@ def gumbel_below(top: float, location: np.ndarray, u: np.ndarray) -> np.ndarray:
         return -np.logaddexp(-top, np.log(-np.log(u)) - location)
 
 
+def masses(lat: Lattices, path: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(step, arc, log mass) of the nodes that leave the path, whose steps' log masses are `logs`."""
+    state = lat.state[path]
+    first = lat.at[state]
+    width = lat.at[state + 1] - first
+    arc, step = ramps(first, width), np.repeat(np.arange(len(path)), width)
+    off = np.flatnonzero(arc != path[step])
+    step, arc = step[off], arc[off]
+    return step, arc, logs[step] + lat.log[arc]
+
+
 def branches(lat: Lattices, path: np.ndarray, start: int, phi: float, top: float, key: int, sample: int, least: float, most: int) -> list:
     """Of the nodes that leave `path` at or behind step `start` the `most` best above `least`: (-value, log mass, step, arc)."""
-    logs = np.empty(len(path) - start)
+    on = path[start:]
+    logs = np.empty(len(on))
     logs[:1] = phi
-    np.cumsum(lat.log[path[start:-1]], out=logs[1:])
+    np.cumsum(lat.log[on[:-1]], out=logs[1:])
     logs[1:] += phi
-    n = int(np.searchsorted(-logs, MOST_NOISE - least, side="right"))  # log masses only fall along the path
-    on = path[start : start + n]
-    state = lat.state[on]
-    width = lat.at[state + 1] - lat.at[state]
-    arc = ramps(lat.at[state], width)
-    step = np.repeat(np.arange(n), width)
-    off = np.flatnonzero(arc != on[step])
-    step, arc = step[off], arc[off]
-    mass = logs[step] + lat.log[arc]
-    draw = 512 + 1024 * sample
-    worth = np.flatnonzero(mass > mass.max(initial=-np.inf) - 6)  # where the best are most likely; they raise the bound
-    for last in (False, True):
-        which = arc[worth] - lat.at[lat.state[arc[worth]]]
-        value = gumbel_below(top, mass[worth], uniform(np.full(len(worth), key, np.uint64), step[worth] + start, draw, which))
-        best = np.argsort(-value, kind="stable")[:most]
-        best = best[value[best] > least]
-        if last:
-            break
-        if len(best) == most:
-            least = np.nextafter(value[best[-1]], -np.inf)
-        worth = np.flatnonzero(mass > least - MOST_NOISE)
-    value, worth = value[best], worth[best]
-    return list(zip((-value).tolist(), mass[worth].tolist(), (step[worth] + start).tolist(), arc[worth].tolist(), strict=True))
+    step, arc, mass = masses(lat, on[:FIRST_STEPS], logs)
+    if len(mass) >= most:
+        least = max(least, min(top, float(np.partition(mass, len(mass) - most)[len(mass) - most])) - LEAST_NOISE)
+    n = len(on) if least == -np.inf else int(np.searchsorted(-logs, MOST_NOISE - least, side="right"))  # log masses only fall
+    if n > FIRST_STEPS:
+        step, arc, mass = masses(lat, on[:n], logs)
+    near = np.flatnonzero(mass > least - MOST_NOISE)
+    step, arc, mass = step[near], arc[near], mass[near]
+    which = arc - lat.at[lat.state[arc]]
+    value = gumbel_below(top, mass, uniform(np.full(len(step), key, np.uint64), step + start, 512 + 1024 * sample, which))
+    best = np.argsort(-value, kind="stable")[:most]
+    best = best[value[best] > least]
+    return list(zip((-value[best]).tolist(), mass[best].tolist(), (step[best] + start).tolist(), arc[best].tolist(), strict=True))
 
 
 def rest_of_unit(lat: Lattices, state: int, end: int, key: int, place: int, sample: int) -> list[int]:
@@ -284,6 +292,14 @@ def piece_ids(enc: Encoder, lat: Lattices, path: np.ndarray) -> np.ndarray:
     return got.astype(np.int32)
 
 
+class Numbers(dict):
+    """Numbers keys as they first come."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Search:
     """The search over one text's lattice."""
 
@@ -318,18 +334,15 @@ class Search:
         self.found.append((path, float(lat.log[path].sum()), -negative))
         # What can still matter: the paths to come and the threshold.
         more = self.k + 1 - len(self.found)
-        least = -self.queue[more - 1][0] if len(self.queue) >= more else phi - 2 * MOST_NOISE
+        least = -self.queue[more - 1][0] if len(self.queue) >= more else -math.inf
         new = branches(lat, path, begin, phi, -negative, self.key, sample, least, more) if begin < len(path) else []
         self.queue = sorted(self.queue + [(*x, (offsets, path)) for x in new], key=lambda x: x[:4])[:more]
 
 
 def sample_batch(enc: Encoder, texts: list[str], keys: list[int], k: int):
     """For each text a list of up to k (ids, log p, perturbed value), best first, and the threshold (None: none left)."""
-    index: dict[str, int] = {}
-    numbers = []
-    for t in texts:
-        units = units_of(t)
-        numbers.append(np.array([index.setdefault(u, len(index)) for u in units], np.int64))
+    index = Numbers()
+    numbers = [np.array(list(map(index.__getitem__, units_of(t))), np.int64) for t in texts]
     lat = Lattices(enc.vocabulary, list(index))
     searches = [Search(lat, n, key, k) for n, key in zip(numbers, keys, strict=True)]
     for sample in range(k):
@@ -414,6 +427,5 @@ def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None) -> Dat
 
 def digest(encoded: DataFrame) -> DataFrame:
     """A row for each sample: its rank, size, scores, and a digest of its ids."""
-    rows = encoded.select("doc_id", "exact", F.posexplode("samples").alias("rank", "s"))
-    ids = F.md5(F.array_join(F.col("s.ids"), " ").cast("binary"))
-    return rows.select("doc_id", F.col("rank"), F.size("s.ids").cast("long").alias("n_pieces"), F.col("s.log_p").alias("log_p"), F.col("s.value").alias("value"), F.col("s.inclusion").alias("inclusion"), ids.alias("ids_md5"), "exact")
+    rows = encoded.select("doc_id", F.posexplode("samples").alias("rank", "s"))
+    return rows.select("doc_id", "rank", F.size("s.ids").cast("long").alias("n_pieces"), F.col("s.log_p").alias("log_p"), F.col("s.value").alias("value"), F.col("s.inclusion").alias("inclusion"), F.xxhash64("s.ids").alias("ids_hash"))

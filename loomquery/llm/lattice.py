@@ -19,6 +19,8 @@ LONG = 48
 #: Units of one length that are computed at once, by their characters.
 CELLS = 1 << 18
 SLOTS = 18
+#: Lengths at which it is looked up whether a piece goes on.
+PREFIXES = 6
 
 
 def load_pieces(path: str) -> tuple[list[str], np.ndarray, int]:
@@ -80,6 +82,14 @@ class Vocabulary:
             slot = h * int(SPREAD) % 2**64 >> (64 - SLOTS)
             self.after[i], self.table[slot] = self.table[slot], i
         self.after = np.append(self.after, np.int32(-1))
+        # Whether any piece is longer than n and starts like this, for short n: by the same bits.
+        self.starts = [np.zeros(1 << SLOTS, bool) for _ in range(PREFIXES + 1)]
+        for p in self.ids:
+            h = 0
+            for n, c in enumerate(code_points(p).tolist()[: PREFIXES + 1]):
+                if n:
+                    self.starts[n][h * int(SPREAD) % 2**64 >> (64 - SLOTS)] = True
+                h = (h * int(BASE) + c + 1) % 2**64
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Piece ids of string hashes, -1 where there is none."""
@@ -117,15 +127,23 @@ def arcs(vocab: Vocabulary, chars: np.ndarray):
     found = {}
     c = chars.astype(np.uint64) + np.uint64(1)
     for i in range(length):
-        h = np.zeros(n, np.uint64)
+        h, rows = np.zeros(n, np.uint64), None  # rows: those that may still be at the start of a piece; None: all
         for j in range(i + 1, min(length, i + vocab.longest) + 1):
-            h = h * BASE + c[:, j - 1]
+            h = h * BASE + (c[:, j - 1] if rows is None else c[rows, j - 1])
             ids = vocab.find(h)
+            if rows is not None:
+                own, ids = ids, np.full(n, -1, np.int32)
+                ids[rows] = own
             if j == i + 1:
                 ids = np.where(ids < 0, escape, ids)
-            elif not (ids >= 0).any():
-                continue
-            found[i, j] = ids
+            if j == i + 1 or (ids >= 0).any():
+                found[i, j] = ids
+            if j - i <= PREFIXES:
+                on = np.flatnonzero(vocab.starts[j - i][(h * SPREAD) >> np.uint64(64 - SLOTS)])
+                if not len(on):
+                    break
+                if len(on) < 0.7 * len(h):
+                    h, rows = h[on], on if rows is None else rows[on]
     return found
 
 
