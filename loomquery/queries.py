@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import sources
 from .operators.steps import (
@@ -42,8 +43,18 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
+_schemas: dict[str, StructType] = {}
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """A table that doesn't change its schema: it is inferred, which takes a job, the first time only."""
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
 def tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{d}/{t}.parquet") for t in TABLES}
+    return {t: read(spark, f"{d}/{t}.parquet") for t in TABLES}
 
 
 def tidy(df: DataFrame, digits: int = 2) -> DataFrame:

@@ -6,9 +6,11 @@ from pathlib import Path
 
 import pytest
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+from helpers import SMALL  # noqa: E402
+
 os.environ["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).resolve().parent.parent), os.environ.get("PYTHONPATH", "")])
-SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -34,19 +36,3 @@ def duck():
     for p in Path(SMALL).glob("*.parquet"):
         c.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
     return c
-
-
-def same_rows(spark_df, duck_relation) -> None:
-    """Both sides hold the same rows, whatever the order."""
-    names = sorted(spark_df.columns)
-
-    def plain(v):
-        if isinstance(v, float):
-            return None if v != v else float(f"{v:.9g}")
-        return v if v is None or isinstance(v, (str, bool, int)) else float(v) if hasattr(v, "as_tuple") else str(v)
-
-    ours = sorted((tuple(plain(r[n]) for n in names) for r in spark_df.collect()), key=repr)
-    at = [list(duck_relation.columns).index(n) for n in names]
-    assert sorted(duck_relation.columns) == names
-    theirs = sorted((tuple(plain(r[i]) for i in at) for r in duck_relation.fetchall()), key=repr)
-    assert ours == theirs

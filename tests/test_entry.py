@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from conftest import SMALL, same_rows
+from helpers import SMALL, same_rows
 from loomquery import queries as engine
 
 
