@@ -229,12 +229,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) a row of `docs` (doc_id, text, ...)."""
     rows = written(sets_of(docs.select("doc_id", "text")), "near-rows")
     classes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.max("doc_id").alias("last"))
+    classes = written(classes, "near-classes")  # a table of its own, so that the join below can split a large class's rows
     forest = links(docs, classes)
     # A document of a class of one is its own representative: only shared classes are joined.
     shared = classes.filter("rep < last").select("d1", "d2", F.col("n_shingles").alias("n"), "rep")
-    own = rows.join(shared, (rows["d1"] == shared["d1"]) & (rows["d2"] == shared["d2"]) & (rows["n_shingles"] == shared["n"]), "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    same = (rows["d1"] == shared["d1"]) & (rows["d2"] == shared["d2"]) & (rows["n_shingles"] == shared["n"])
+    own = rows.join(shared, same, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).alias("rep"))
+    own = written(own, "near-own")
     # Rows that share a doc_id but not their set are one node.
+    several = own.filter("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("doc_id")
+    if several.limit(1).count():
+        ties = own.filter("rep is not null").join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        forest = stars(forest.toDF("a", "b").union(ties), "near-forest")
     named = own.join(forest.toDF("rep", "root"), "rep", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "rep"))
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep"))
     out = named.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
