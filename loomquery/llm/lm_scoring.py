@@ -139,7 +139,8 @@ def score_rows(model):
     return run
 
 
-STAT = "<qddq"
+#: known, base, score, tokens, id, whether there is an id, whether held out.
+STAT = "<qddqq??"
 
 
 def text_rows(frequent):
@@ -149,7 +150,8 @@ def text_rows(frequent):
         table, bases, scores, prior, (end_score, end_base, end_known) = frequent.value
         for batch in batches:
             words, rows, uses, kinds, stats = [], [], [], [], []
-            for row, text in zip(batch["row_"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            columns = (batch[c].to_pylist() for c in ("row_", "text", "doc_id", "held"))
+            for row, text, doc_id, held in zip(*columns, strict=True):
                 counts = Counter(split_words(text, lower=True))
                 at = [i for w in counts if (i := table.get(w)) is not None]
                 n = np.array([c for w, c in counts.items() if w in table], np.float64)
@@ -163,7 +165,7 @@ def text_rows(frequent):
                 uses.append(n_tokens)
                 rows.append(np.full(len(rare) + 1, row))
                 kinds.append(np.full(len(rare) + 1, z, np.int32))
-                stats += [None] * len(rare) + [struct.pack(STAT, int(n.sum()) + end_known, float(n @ bases[at]) + end_base, total[z], n_tokens)]
+                stats += [None] * len(rare) + [struct.pack(STAT, int(n.sum()) + end_known, float(n @ bases[at]) + end_base, total[z], n_tokens, doc_id or 0, doc_id is not None, held)]
             if words:
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(np.concatenate(rows)), pa.array(uses, pa.int32()), pa.array(np.concatenate(kinds)), pa.array(stats, pa.binary())], ["word", "row_", "n", "kind", "stat"])
 
@@ -183,12 +185,17 @@ def sum_rows(model):
             sums[1] = np.where(c > 0, n, 0)
             sums[2] = n * model.value.base(c)
             sums[3] = n * np.nan_to_num(lp)
+            ids, held = np.full(len(rows), None), np.full(len(rows), None)
             for i in np.flatnonzero(own):
-                known, base, score, tokens = struct.unpack(STAT, batch["stat"][int(i)].as_py())
+                known, base, score, tokens, doc_id, has_id, held[i] = struct.unpack(STAT, batch["stat"][int(i)].as_py())
                 sums[:, i] = tokens, known, base, score
+                ids[i] = doc_id if has_id else None
             at, where = np.unique(rows, return_inverse=True)
             out = [np.bincount(where, s, len(at)) for s in sums]
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[0].astype(np.int64)), pa.array(out[1].astype(np.int64)), pa.array(out[2]), pa.array(out[3])], ["row_", "n_tokens", "n_known", "base_score", "score"])
+            first = np.full((2, len(at)), None)
+            first[:, where[own]] = ids[own], held[own]
+            columns = [pa.array(at), pa.array(first[0], pa.int64()), pa.array(first[1], pa.bool_()), *(pa.array(x.astype(np.int64)) for x in out[:2]), *map(pa.array, out[2:])]
+            yield pa.RecordBatch.from_arrays(columns, ["row_", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -242,7 +249,7 @@ def numbered_kinds(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 def score_texts(docs: DataFrame, held_out, kind=None, path: str | None = None) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) a row of `docs` (doc_id, text, ...).
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) a row of `docs` (doc_id long, text, ...).
 
     `held_out`: a boolean column; the model learns from the other rows. `kind`: a string column that divides the
     training rows; it isn't read of the others. `path`: the vocabulary's model file.
@@ -268,9 +275,10 @@ def score_texts(docs: DataFrame, held_out, kind=None, path: str | None = None) -
     rest = scored.filter((F.col("c") < least) | (F.length("word") > FREQUENT_BYTES))
 
     numbered = texts.select("doc_id", "text", "held").withColumn("row_", F.monotonically_increasing_id())
-    rows = numbered.select("row_", "text").mapInArrow(text_rows(frequent), "word binary, row_ long, n int, kind int, stat binary")
+    # The row's own facts travel with its sums: the numbers needn't be the same if the input is read again.
+    rows = numbered.select("row_", "doc_id", "held", "text").mapInArrow(text_rows(frequent), "word binary, row_ long, n int, kind int, stat binary")
     met = rows.join(rest, "word", "left").select("row_", "n", "stat", "c", F.get("lp", "kind").alias("lp"))
-    sums = met.mapInArrow(sum_rows(sent), "row_ long, n_tokens long, n_known long, base_score double, score double")
-    sums = sums.groupBy("row_").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-    ids = numbered.select("row_", "doc_id", "held")
-    return ids.join(sums, "row_").select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    sums = met.mapInArrow(sum_rows(sent), "row_ long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    one = [F.max(c).alias(c) for c in ("doc_id", "held_out")] + [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
+    sums = sums.groupBy("row_").agg(*one)
+    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
