@@ -59,7 +59,7 @@ class Model:
     keys: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self):
-        self._types = {t: {f.name: ty.logical_type(f.dataType) for f in df.schema.fields} for t, df in self.tables.items()}
+        self._types: dict[str, dict[str, str]] = {}  # by table, as they are asked for: `tables` may be lazy
 
     # Names are looked up without regard to case.
     def table(self, name: str) -> str:
@@ -70,7 +70,7 @@ class Model:
 
     def column(self, table: str, name: str) -> tuple[str, str]:
         t = self.table(table)
-        for c in self._types[t]:
+        for c in self.columns(t):
             if c.lower() == name.lower():
                 return t, c
         for (ct, c) in self.calculated:
@@ -80,6 +80,8 @@ class Model:
 
     def columns(self, table: str) -> dict[str, str]:
         """Physical columns and their types."""
+        if table not in self._types:
+            self._types[table] = {f.name: ty.logical_type(f.dataType) for f in self.tables[table].schema.fields}
         return self._types[table]
 
     def is_calculated(self, column: tuple[str, str]) -> bool:
@@ -103,7 +105,7 @@ class Model:
 
     def add_column(self, table: str, name: str, expression: str) -> None:
         t = self.table(table)
-        if name.lower() in {c.lower() for c in self._types[t]}:
+        if name.lower() in {c.lower() for c in self.columns(t)}:
             fail("COLUMN_NAME_CONFLICT", f"{t} has a column {name}")
         if any(ct == t and c.lower() == name.lower() for ct, c in self.calculated):
             fail("DUPLICATE_CALCULATED_COLUMN", f"{t} has a calculated column {name}")
@@ -161,10 +163,10 @@ class Model:
         say = lambda code, message, severity="error", **d: out.append(Diagnostic(code, message, severity, d))
         kinds = []
         for t, c in (r.left, r.right):
-            if t not in self.tables or c not in self._types.get(t, {}):
+            if t not in self.tables or c not in self.columns(t):
                 say("MISSING_REFERENCE", f"there is no {t}[{c}]")
             else:
-                kinds.append(self._types[t][c])
+                kinds.append(self.columns(t)[c])
         if r.left[0] == r.right[0]:
             say("SELF_RELATIONSHIP", "a table can't be related to itself")
         if len(kinds) == 2 and (ty.family(kinds[0]) != ty.family(kinds[1]) or {ty.NULL, ty.UNKNOWN} & set(kinds)):
@@ -262,9 +264,9 @@ class Model:
         say = lambda code, message, **d: [Diagnostic(code, message, details=d)]
         if table not in self.tables:
             return say("DATE_TABLE_NOT_FOUND", f"there is no table {table}")
-        if column not in self._types[table]:
+        if column not in self.columns(table):
             return say("DATE_COLUMN_NOT_FOUND", f"there is no {table}[{column}]")
-        if self._types[table][column] not in ty.TEMPORAL:
+        if self.columns(table)[column] not in ty.TEMPORAL:
             return say("DATE_TABLE_INVALID_TYPE", f"{table}[{column}] is no date")
         c = F.col(f"`{column}`")
         day, time = F.to_date(c), F.date_format(c, "HH:mm:ss.SSSSSS")

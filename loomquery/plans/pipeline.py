@@ -172,4 +172,4 @@ class QuerySet:
 
     def loaded(self) -> dict[str, DataFrame]:
         """The tables that a model may use: outputs of the queries that are loaded, and the plain tables."""
-        return self.tables | {n: self.evaluate(n).df() for n in self.order() if self.queries[n].load}
+        return {**self.tables, **{n: self.evaluate(n).df() for n in self.order() if self.queries[n].load}}

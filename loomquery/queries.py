@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, MutableMapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,8 +53,34 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_schemas[path]).parquet(path)
 
 
-def tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return {t: read(spark, f"{d}/{t}.parquet") for t in TABLES}
+class Lazy(MutableMapping):
+    """Tables that are made when they are first asked for: a query builds the plans of those it reads."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self.makers, self.made = dict(makers), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = self.makers[name]()
+        return self.made[name]
+
+    def __setitem__(self, name: str, df: DataFrame) -> None:
+        self.makers[name] = lambda: df
+        self.made.pop(name, None)
+
+    def __delitem__(self, name: str) -> None:
+        del self.makers[name]
+        self.made.pop(name, None)
+
+    def __iter__(self):
+        return iter(self.makers)
+
+    def __len__(self) -> int:
+        return len(self.makers)
+
+
+def tables(spark: SparkSession, d: str) -> Lazy:
+    return Lazy({t: (lambda t=t: read(spark, f"{d}/{t}.parquet")) for t in TABLES})
 
 
 def tidy(df: DataFrame, digits: int = 2) -> DataFrame:
@@ -158,8 +184,8 @@ def calendar(spark: SparkSession) -> DataFrame:
 def star(spark: SparkSession, d: str, **changes) -> Model:
     """The driver's tables as a model. nation filters supplier only when asked: both paths to lineitem would be ambiguous."""
     own = tables(spark, d)
-    own["orders"] = own["orders"].withColumn("o_orderdate", F.to_date("o_orderdate"))
-    own["calendar"] = calendar(spark)
+    own.makers["orders"] = lambda: read(spark, f"{d}/orders.parquet").withColumn("o_orderdate", F.to_date("o_orderdate"))
+    own.makers["calendar"] = lambda: calendar(spark)
     link = lambda a, b, **k: Relationship(tuple(a.split(".")), tuple(b.split(".")), **k)
     relations = [
         link("region.r_regionkey", "nation.n_regionkey"), link("nation.n_nationkey", "customer.c_nationkey"), link("customer.c_custkey", "orders.o_custkey", direction=changes.get("customer", "left-to-right")),
