@@ -27,6 +27,23 @@ class Query:
             names += [s.right] if isinstance(s, MergeQueries) else s.sources if isinstance(s, AppendQueries) else []
         return list(dict.fromkeys(names))
 
+    # Edited definitions; a query itself never changes.
+    def added(self, step: Step, at: int | None = None) -> Query:
+        at = len(self.steps) if at is None else at
+        return dataclasses.replace(self, steps=[*self.steps[:at], step, *self.steps[at:]])
+
+    def removed(self, at: int) -> Query:
+        return dataclasses.replace(self, steps=[*self.steps[:at], *self.steps[at + 1 :]])
+
+    def updated(self, at: int, step: Step) -> Query:
+        return self.removed(at).added(step, at)
+
+    def moved(self, at: int, to: int) -> Query:
+        return self.removed(at).added(self.steps[at], to)
+
+    def renamed(self, name: str) -> Query:
+        return dataclasses.replace(self, name=name)
+
 
 @dataclass
 class StepResult:
@@ -143,7 +160,7 @@ class QuerySet:
             e = self.evaluate(name)
             if e.frame is None:
                 raise EngineError(*e.diagnostics)
-            return Frame.of(e.frame.out()) if not e.frame.order else e.frame
+            return e.frame
         return Frame.of(self.tables[name], self._needs_order(name))
 
     def evaluate(self, name: str, upto: int | None = None) -> Evaluation:

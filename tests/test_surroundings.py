@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from loomquery import sources
+from loomquery.sources import samples
 from loomquery.diagnostics import EngineError
 from loomquery.operators import steps as s
 from loomquery.plans import explain, visuals
@@ -140,3 +141,32 @@ def test_stream(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(sink).collect()) == [(1, "a", 10), (3, "a", 30)]
     with pytest.raises(EngineError):
         stream_steps(stream, [s.SortRows([("k", "asc")])])
+
+
+def test_samples(spark):
+    t = samples.retail(spark, 2000)
+    model = Model(t, [], {"Revenue": "SUM(Sales[Revenue])"})
+    for r in (Relationship(("Customers", "CustomerID"), ("Sales", "CustomerID")), Relationship(("Products", "ProductID"), ("Sales", "ProductID")), Relationship(("Calendar", "Date"), ("Sales", "Date"))):
+        assert model.add_relationship(r) == []
+    model.mark_date_table("Calendar", "Date")
+    assert t["Sales"].count() == 2000 and model.roles()["Sales"] == "fact"
+    lab = samples.relationship_lab(spark)
+    assert Model(lab).check_relationship(Relationship(("Customers", "CustomerID"), ("CustomerProfile", "CustomerID"), "one-to-one", "both"))[0].code == "ONE_TO_ONE_COVERAGE"
+    assert lab["Targets"].count() == 12 and lab["Targets"].distinct().count() == 12
+
+
+def test_preparation_of_untidy_tables(spark):
+    """Trim, drop repeated rows and blank keys, append two months, join, group, unpivot."""
+    from loomquery.plans.pipeline import QuerySet
+
+    clean = Query("clean", "Customers_Dirty", [s.RemoveColumns(["LegacyNotes"]), s.FilterRows([s.Condition("customer_id", "is-not-blank")]), s.RemoveDuplicates(), s.ChangeType({"customer_id": "integer"}), s.CustomColumn("land", "Land", "Text.Trim([Country])")])
+    months = Query("months", "Sales_Jan", [s.AppendQueries(["Sales_Feb"])])
+    joined = Query("joined", "months").added(s.MergeQueries("clean", "inner", ["CustomerID"], ["customer_id"], [("land", "land", "Land")])).added(s.GroupBy(["land"], [s.Aggregation("n", "n", "count-rows"), s.Aggregation("r", "r", "sum", "Revenue")]))
+    q = QuerySet(samples.preparation_lab(spark), [clean, months, joined])
+    assert q.evaluate("clean").df().count() == 100 and q.evaluate("months").df().count() == 300
+    out = {r["Land"]: r["n"] for r in q.evaluate("joined").df().collect()}
+    assert set(out) == {"ES", "FR", "DE"} and 250 < sum(out.values()) <= 300
+    wide = QuerySet({"t": samples.monthly_targets(spark)}, [Query("long", "t", [s.UnpivotColumns(["Product"], "other-columns")])])
+    assert wide.evaluate("long").df().count() == 12
+    assert [type(x).__name__ for x in clean.moved(0, 2).removed(4).updated(0, s.RemoveDuplicates()).steps] == ["RemoveDuplicates", "RemoveDuplicates", "RemoveColumns", "ChangeType"]
+    assert clean.renamed("x").name == "x"
