@@ -91,7 +91,7 @@ def tidy(df: DataFrame, digits: int = 2) -> DataFrame:
 
 
 def r2(x: str) -> str:
-    return f"round({x}, 2) + 0.0"
+    return f"round(CAST({x} AS DOUBLE), 2) + 0.0"
 
 
 # Data preparation.
@@ -135,12 +135,12 @@ steps("pq_group_global", "lineitem", [GroupBy([], AGGS)], f"SELECT {AGG_SQL} FRO
 steps("pq_group_empty", "lineitem", [FilterRows([C("l_quantity", "less-than", 0)]), GroupBy([], AGGS)], f"SELECT {AGG_SQL} FROM lineitem WHERE l_quantity < 0 HAVING count(*) > 0")
 RICH = Query("rich", "customer", [FilterRows([C("c_acctbal", "greater-than", 5000)])])
 L, R = "o_orderkey, o_custkey, o_orderstatus, o_orderpriority", "c_name AS Customer, c_mktsegment AS Segment"
-LEFT_BLANK = "NULL::BIGINT AS o_orderkey, NULL::BIGINT AS o_custkey, NULL AS o_orderstatus, NULL AS o_orderpriority"
+LEFT_BLANK = "NULL::BIGINT AS o_orderkey, NULL::BIGINT AS o_custkey, NULL::VARCHAR AS o_orderstatus, NULL::VARCHAR AS o_orderpriority"
 RICH_SQL = "WITH rich AS (SELECT * FROM customer WHERE c_acctbal > 5000), o AS (SELECT * FROM orders WHERE o_totalprice > 100000) "
 JOIN_SQL = {
     "inner": f"SELECT {L}, {R} FROM o JOIN rich ON o_custkey = c_custkey", "left-outer": f"SELECT {L}, {R} FROM o LEFT JOIN rich ON o_custkey = c_custkey",
     "right-outer": f"SELECT {L}, {R} FROM o RIGHT JOIN rich ON o_custkey = c_custkey", "full-outer": f"SELECT {L}, {R} FROM o FULL JOIN rich ON o_custkey = c_custkey",
-    "left-anti": f"SELECT {L}, NULL AS Customer, NULL AS Segment FROM o ANTI JOIN rich ON o_custkey = c_custkey", "right-anti": f"SELECT {LEFT_BLANK}, {R} FROM rich ANTI JOIN o ON o_custkey = c_custkey",
+    "left-anti": f"SELECT {L}, NULL::VARCHAR AS Customer, NULL::VARCHAR AS Segment FROM o ANTI JOIN rich ON o_custkey = c_custkey", "right-anti": f"SELECT {LEFT_BLANK}, {R} FROM rich ANTI JOIN o ON o_custkey = c_custkey",
 }
 for kind, sql in JOIN_SQL.items():
     chain = [FilterRows([C("o_totalprice", "greater-than", 100000)]), RemoveColumns(["o_orderdate", "o_totalprice"]), MergeQueries("rich", kind, ["o_custkey"], ["c_custkey"], [("c_name", "cust", "Customer"), ("c_mktsegment", "seg", "Segment")])]
@@ -218,13 +218,13 @@ for fn, agg in (("SUM", "sum"), ("AVERAGE", "avg"), ("MIN", "min"), ("MAX", "max
 by("m_count", "customer.c_mktsegment", "COUNT(orders[o_orderstatus])", seg("count(o_orderstatus)", count=True))
 by("m_distinctcount", "customer.c_mktsegment", "DISTINCTCOUNT(orders[o_custkey])", seg("count(DISTINCT o_custkey)", count=True))
 by("m_countrows", "customer.c_mktsegment", "COUNTROWS(orders)", seg("count(*)", count=True))
-by("m_divide", "customer.c_mktsegment", "DIVIDE([Revenue], [Orders] - [Orders], -1)", "SELECT DISTINCT c_mktsegment AS member, -1.0 AS value FROM customer")
+by("m_divide", "customer.c_mktsegment", "DIVIDE([Revenue], [Orders] - [Orders], -1)", "SELECT DISTINCT c_mktsegment AS member, -1.0::DOUBLE AS value FROM customer")
 by("m_if", "customer.c_mktsegment", 'IF([Average order] > 0 && NOTHING_BLANK, "some", "none")'.replace(" && NOTHING_BLANK", ""), "SELECT DISTINCT c_mktsegment AS member, 'some' AS value FROM customer")
 by("m_switch", "customer.c_mktsegment", 'SWITCH(SELECTEDVALUE(customer[c_mktsegment]), "BUILDING", 1, "MACHINERY", 2, 0)', "SELECT DISTINCT c_mktsegment AS member, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 0 END::BIGINT AS value FROM customer")
 by("m_isblank", "orders.o_orderpriority", "ISBLANK(CALCULATE([Revenue], orders[o_orderstatus] = \"none\"))", "SELECT DISTINCT o_orderpriority AS member, true AS value FROM orders")
 by("m_var", "customer.c_mktsegment", "VAR r = [Revenue] VAR n = [Orders] RETURN IF(n > 0, (r - 1) / n, BLANK())", seg("(sum(o_totalprice) - 1) / count(*)"))
 by("m_nested_measures", "customer.c_mktsegment", "[Average order] * 2", seg("2 * sum(o_totalprice) / count(*)"))
-one("m_scalar_arithmetic", "(2 + 3 * 4 - -1) / 2", "7.5")
+one("m_scalar_arithmetic", "(2 + 3 * 4 - -1) / 2", "7.5::DOUBLE")
 one("m_comparison_blank", "IF(BLANK() = BLANK(), 1, 0) + IF(BLANK() < 1, 10, 0) + IF(\"1\" = 1, 100, 0)", "1::BIGINT")
 one("ctx_direct", "[Revenue]", f"(SELECT {r2('sum(o_totalprice)')} FROM orders WHERE o_orderstatus = 'F')", {("orders", "o_orderstatus"): "F"})
 one("ctx_in", "[Revenue]", f"(SELECT {r2('sum(o_totalprice)')} FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY'))", {("customer", "c_mktsegment"): ["BUILDING", "MACHINERY"]})
@@ -359,7 +359,7 @@ def explain_context_counts(spark, d):
     return explain.counts(star(spark, d), {("region", "r_name"): "ASIA"}).filter("table in ('region', 'nation', 'customer', 'orders')")
 
 
-@shaped("profile_columns", f"SELECT 'o_custkey' AS \"column\", 'integer' AS type, count(*) AS row_count, count(*) - count(o_custkey) AS null_count, 0.0 AS null_percent, count(DISTINCT o_custkey) AS distinct_count, {r2('100.0 * count(DISTINCT o_custkey) / count(*)')} AS distinct_percent, CAST(min(o_custkey) AS VARCHAR) AS min, CAST(max(o_custkey) AS VARCHAR) AS max, {r2('avg(o_custkey)')} AS mean, NULL::BIGINT AS min_length, NULL::BIGINT AS max_length, false AS is_potential_key FROM orders UNION ALL SELECT 'o_orderpriority', 'string', count(*), 0, 0.0, count(DISTINCT o_orderpriority), {r2('100.0 * count(DISTINCT o_orderpriority) / count(*)')}, NULL, NULL, NULL, min(length(o_orderpriority)), max(length(o_orderpriority)), false FROM orders")
+@shaped("profile_columns", f"SELECT 'o_custkey' AS \"column\", 'integer' AS type, count(*) AS row_count, count(*) - count(o_custkey) AS null_count, 0.0::DOUBLE AS null_percent, count(DISTINCT o_custkey) AS distinct_count, {r2('100.0 * count(DISTINCT o_custkey) / count(*)')} AS distinct_percent, CAST(min(o_custkey) AS VARCHAR) AS min, CAST(max(o_custkey) AS VARCHAR) AS max, {r2('avg(o_custkey)')} AS mean, NULL::BIGINT AS min_length, NULL::BIGINT AS max_length, false AS is_potential_key FROM orders UNION ALL SELECT 'o_orderpriority', 'string', count(*), 0, 0.0::DOUBLE, count(DISTINCT o_orderpriority), {r2('100.0 * count(DISTINCT o_orderpriority) / count(*)')}, NULL, NULL, NULL, min(length(o_orderpriority)), max(length(o_orderpriority)), false FROM orders")
 def profile_columns(spark, d):
     return sources.profile(tables(spark, d)["orders"].select("o_custkey", "o_orderpriority"))
 
