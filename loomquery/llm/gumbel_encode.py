@@ -52,8 +52,8 @@ LEAST_NOISE = 4.4
 FIRST_STEPS = 64
 #: How far below the least piece's score the escape to bytes lies.
 ESCAPE = 10.0
-#: Characters of texts that are sampled together.
-BATCH_CHARS = 1 << 22
+#: Characters of texts that are sampled together, about.
+BATCH_CHARS = 3 << 20
 #: Stands for the mark inside a text, which has no piece: a surrogate, so no text has it.
 HIDDEN = "\ud800"
 UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
@@ -102,35 +102,35 @@ class Lattices:
         self.first = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
         self.last = self.first + lengths
         escape = len(vocab.pieces)
-        states, pieces, nexts, logs, spells = [], [], [], [], []
+        states, pieces, nexts, shares_, spells = [], [], [], [], []
+        plain = np.exp(vocab.scores)
         for rows, chars in by_length(units):
             n = chars.shape[1]
             found = arcs(vocab, chars) if n <= LONG else long_arcs(vocab, units, rows)
-            beta = np.full((n + 1, len(rows)), -np.inf)
-            beta[n] = 0
-            onward: dict = {}
+            share = shares(found, n, vocab.scores, plain)
+            bases = self.first[rows].astype(np.int32)
             for (i, j), ids in found.items():
-                onward.setdefault(i, []).append((j, ids))
-            for i, out in sorted(onward.items(), reverse=True):
-                beta[i] = log_sum([beta[j] + vocab.scores[ids] for j, ids in out])
-            for (i, j), ids in found.items():
-                has = np.flatnonzero(ids >= 0)
-                base = self.first[rows[has]]
-                states.append(base + i)
-                nexts.append(base + j)
-                pieces.append(ids[has])
-                logs.append((vocab.scores[ids] + beta[j] - beta[i])[has])
-                spells.append(np.where(ids[has] == escape, chars[has, i], 0))
+                p, base, spell = share[i, j], bases, None
+                if j == i + 1:  # there for all units
+                    spell = np.where(ids == escape, chars[:, i], 0)
+                else:
+                    has = np.flatnonzero(ids >= 0)
+                    ids, p, base = ids[has], p[has], bases[has]
+                states.append(base + np.int32(i))
+                nexts.append(base + np.int32(j))
+                pieces.append(ids)
+                shares_.append(p)
+                spells.append(np.zeros(len(ids), np.int32) if spell is None else spell)
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
-        state, logs = join(states, np.int64), join(logs, np.float64)
-        p = np.exp(logs)
+        state, p = join(states, np.int32), join(shares_, np.float64)
         order = np.argsort(state - 0.9 * p)  # by state, then by probability from the greatest
-        self.state, self.log, self.p = state[order], logs[order], p[order]
+        self.state, p = state[order], np.maximum(p[order], 1e-300)
+        self.log = np.log(p)
         self.piece, self.spell = (join(x, np.int32)[order] for x in (pieces, spells))
-        self.next = join(nexts, np.int64)[order]
+        self.next = join(nexts, np.int32)[order]
         total = int(self.last[-1]) + 1 if len(units) else 0
         self.at = np.concatenate([[0], np.cumsum(np.bincount(state, minlength=total))])
-        run = np.cumsum(self.p)
+        run = np.cumsum(p)
         before = np.concatenate([[0], run])[self.at[self.state]]
         self.edge = self.state + np.minimum(run - before, 1 - 1e-12)
         ends = self.at[1:][np.diff(self.at) > 0] - 1
@@ -150,6 +150,27 @@ class Lattices:
         self.leave = unit + np.minimum(-np.expm1(reached), 1 - 1e-12)
 
 
+def shares(found: dict, n: int, scores: np.ndarray, plain: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+    """Each arc's probability among the ways on from its start, for units of length n: by products of plain
+    probabilities, or of logs where those would be too small to tell."""
+    first = next(iter(found.values()))
+    beta = np.zeros((n + 1, len(first)))
+    beta[n] = 1
+    chances = {at: plain[ids] for at, ids in found.items()}
+    for (i, j), q in reversed(chances.items()):  # from the last start on, so that beta[j] is complete
+        beta[i] += q * beta[j]
+    if beta.min() > 1e-280:
+        return {(i, j): q * beta[j] / beta[i] for (i, j), q in chances.items()}
+    onward: dict = {}
+    for (i, j), ids in found.items():
+        onward.setdefault(i, []).append((j, ids))
+    logs = np.full((n + 1, len(first)), -np.inf)
+    logs[n] = 0
+    for i, out in sorted(onward.items(), reverse=True):
+        logs[i] = log_sum([logs[j] + scores[ids] for j, ids in out])
+    return {(i, j): np.exp(scores[ids] + logs[j] - logs[i]) for (i, j), ids in found.items()}
+
+
 def scattered(steps: list[tuple[np.ndarray, np.ndarray]], before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, values) by row of steps given as (rows, values) in turn; `before` leaves room ahead of each row."""
     counts = before.copy()
@@ -210,7 +231,7 @@ def paths(lat: Lattices, units: np.ndarray, keys: np.ndarray, place: np.ndarray,
         kept[rows] = left - at
         first = lat.greedy[left]
         state = lat.state[first]
-        p = lat.p[first]
+        p = np.exp(lat.log[first])
         other = state + p + uniform(keys[rows], place[rows], draw + 1) * (1 - p)
         arc = np.clip(np.searchsorted(lat.edge, other, side="right"), np.minimum(first + 1, lat.at[state + 1] - 1), lat.at[state + 1] - 1)
         end = lat.last[units[rows]]
@@ -227,7 +248,7 @@ def paths(lat: Lattices, units: np.ndarray, keys: np.ndarray, place: np.ndarray,
     return offsets, out
 
 
-def gumbel_below(top: float, location: np.ndarray, u: np.ndarray) -> np.ndarray:
+def gumbel_below(top: np.ndarray, location: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel values around `location`, truncated to lie below `top`: exp(-v) = exp(-top) - log(u) * exp(-location)."""
     with np.errstate(over="ignore"):
         return -np.logaddexp(-top, np.log(-np.log(u)) - location)
@@ -244,26 +265,51 @@ def masses(lat: Lattices, path: np.ndarray, logs: np.ndarray) -> tuple[np.ndarra
     return step, arc, logs[step] + lat.log[arc]
 
 
-def branches(lat: Lattices, path: np.ndarray, start: int, phi: float, top: float, key: int, sample: int, least: float, most: int) -> list:
-    """Of the nodes that leave `path` at or behind step `start` the `most` best above `least`: (-value, log mass, step, arc)."""
-    on = path[start:]
-    logs = np.empty(len(on))
-    logs[:1] = phi
-    np.cumsum(lat.log[on[:-1]], out=logs[1:])
-    logs[1:] += phi
-    step, arc, mass = masses(lat, on[:FIRST_STEPS], logs)
-    if len(mass) >= most:
-        least = max(least, min(top, float(np.partition(mass, len(mass) - most)[len(mass) - most])) - LEAST_NOISE)
-    n = len(on) if least == -np.inf else int(np.searchsorted(-logs, MOST_NOISE - least, side="right"))  # log masses only fall
-    if n > FIRST_STEPS:
-        step, arc, mass = masses(lat, on[:n], logs)
-    near = np.flatnonzero(mass > least - MOST_NOISE)
+def branches(lat: Lattices, rest: list[np.ndarray], start: np.ndarray, phi: np.ndarray, top: np.ndarray, keys: np.ndarray, sample: int, least: np.ndarray, most: int) -> list[list]:
+    """For each path of several texts the `most` best nodes above `least` that leave it: (-value, log mass, step, arc).
+
+    `rest` has the paths' arcs from their steps `start` on, `phi` the log masses there, `top` the paths' values.
+    """
+    sizes = np.array([len(x) for x in rest])
+    out: list[list] = [[] for _ in rest]
+    if not sizes.sum():
+        return out
+    path, text = np.concatenate(rest), np.repeat(np.arange(len(rest)), sizes)
+    first = (np.cumsum(sizes) - sizes)[text]
+    # Summed text by text, so that the last digits don't depend on the batch.
+    logs = np.concatenate([np.cumsum(np.concatenate([[p], lat.log[x[:-1]]])) for x, p in zip(rest, phi, strict=True) if len(x)])
+    place = np.arange(len(path)) - first
+
+    def left(at: np.ndarray):
+        step, arc, mass = masses(lat, path[at], logs[at])
+        return at[step], arc, mass
+
+    def ranked(score: np.ndarray, of: np.ndarray):
+        """(order, rank) by text, then score from the greatest."""
+        order = np.lexsort((-score, of))
+        of = of[order]
+        begins = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
+        return order, np.arange(len(of)) - np.repeat(begins, np.diff(np.append(begins, len(of))))
+
+    step, arc, mass = left(np.flatnonzero(place < FIRST_STEPS))
+    order, rank = ranked(mass, text[step])
+    bound = order[rank == most - 1]
+    least = least.copy()
+    at = text[step[bound]]
+    least[at] = np.maximum(least[at], np.minimum(top[at], mass[bound]) - LEAST_NOISE)
+    # Log masses only fall along a path: these are all steps whose branches can matter.
+    step, arc, mass = left(np.flatnonzero(logs > least[text] - MOST_NOISE))
+    near = np.flatnonzero(mass > least[text[step]] - MOST_NOISE)
     step, arc, mass = step[near], arc[near], mass[near]
+    of = text[step]
     which = arc - lat.at[lat.state[arc]]
-    value = gumbel_below(top, mass, uniform(np.full(len(step), key, np.uint64), step + start, 512 + 1024 * sample, which))
-    best = np.argsort(-value, kind="stable")[:most]
-    best = best[value[best] > least]
-    return list(zip((-value[best]).tolist(), mass[best].tolist(), (step[best] + start).tolist(), arc[best].tolist(), strict=True))
+    value = gumbel_below(top[of], mass, uniform(keys[of], place[step] + start[of], 512 + 1024 * sample, which))
+    order, rank = ranked(value, of)
+    best = order[rank < most]
+    best = best[value[best] > least[of[best]]]
+    for t, *node in zip(of[best].tolist(), (-value[best]).tolist(), mass[best].tolist(), (place[step[best]] + start[of[best]]).tolist(), arc[best].tolist(), strict=True):
+        out[t].append(tuple(node))
+    return out
 
 
 def rest_of_unit(lat: Lattices, state: int, end: int, key: int, place: int, sample: int) -> list[int]:
@@ -320,23 +366,26 @@ class Search:
             self.where = int(np.searchsorted(parent[0], step, side="right")) - 1  # the unit that has the branch
         return np.arange(self.where + 1, len(self.numbers))
 
-    def add(self, offsets: np.ndarray, arcs_: np.ndarray) -> None:
-        """Takes the drawn units, completes the path and queues what branches off it."""
-        lat, sample, (negative, phi, step, arc, parent) = self.lat, len(self.found), self.node
+    def complete(self, offsets: np.ndarray, arcs_: np.ndarray) -> None:
+        """Takes the drawn units: the path is what comes before the branch, the branch, the rest of its unit, and they."""
+        lat, (negative, _, step, arc, parent) = self.lat, self.node
         if parent is None:
-            begin, head, path = 0, np.empty(0, np.int64), arcs_
+            self.begin, head, path = 0, np.empty(0, np.int64), arcs_
         else:
             unit = self.numbers[self.where]
-            tail = rest_of_unit(lat, int(lat.next[arc]), int(lat.last[unit]), self.key, self.where, sample)
-            begin, head = step + 1, parent[0][: self.where + 1]
+            tail = rest_of_unit(lat, int(lat.next[arc]), int(lat.last[unit]), self.key, self.where, len(self.found))
+            self.begin, head = step + 1, parent[0][: self.where + 1]
             path = np.concatenate([parent[1][:step], [arc], tail, arcs_]).astype(np.int64)
-        offsets = np.concatenate([head, offsets + len(path) - len(arcs_)])
+        self.offsets = np.concatenate([head, offsets + len(path) - len(arcs_)])
         self.found.append((path, float(lat.log[path].sum()), -negative))
-        # What can still matter: the paths to come and the threshold.
-        more = self.k + 1 - len(self.found)
-        least = -self.queue[more - 1][0] if len(self.queue) >= more else -math.inf
-        new = branches(lat, path, begin, phi, -negative, self.key, sample, least, more) if begin < len(path) else []
-        self.queue = sorted(self.queue + [(*x, (offsets, path)) for x in new], key=lambda x: x[:4])[:more]
+
+    def least(self, most: int) -> float:
+        """What a new node must exceed to be among the `most` best of the queue."""
+        return -self.queue[most - 1][0] if len(self.queue) >= most else -math.inf
+
+    def extend(self, nodes: list, most: int) -> None:
+        path = (self.offsets, self.found[-1][0])
+        self.queue = sorted(self.queue + [(*x, path) for x in nodes], key=lambda x: x[:4])[:most]
 
 
 def sample_batch(enc: Encoder, texts: list[str], keys: list[int], k: int):
@@ -355,7 +404,14 @@ def sample_batch(enc: Encoder, texts: list[str], keys: list[int], k: int):
         offsets, drawn = paths(lat, units, key_of, np.concatenate([p for _, p in due]), sample)
         cuts = np.concatenate([[0], np.cumsum(sizes)])
         for (s, _), lo, hi in zip(due, cuts, cuts[1:], strict=False):
-            s.add(offsets[lo : hi + 1] - offsets[lo], drawn[offsets[lo] : offsets[hi]])
+            s.complete(offsets[lo : hi + 1] - offsets[lo], drawn[offsets[lo] : offsets[hi]])
+        # What can still matter in a queue: the paths to come and the threshold.
+        own, most = [s for s, _ in due], k - sample
+        of = lambda get, kind=np.float64: np.array([get(s) for s in own], kind)  # noqa: B023, E731
+        rest = [s.found[-1][0][s.begin :] for s in own]
+        nodes = branches(lat, rest, of(lambda s: s.begin, np.int64), of(lambda s: s.node[1]), of(lambda s: s.found[-1][2]), of(lambda s: s.key, np.uint64), sample, of(lambda s: s.least(most)), most)  # noqa: B023
+        for s, x in zip(own, nodes, strict=True):
+            s.extend(x, most)
     return [([(piece_ids(enc, lat, p), lp, v) for p, lp, v in s.found], -s.queue[0][0] if s.queue else None) for s in searches]
 
 
@@ -374,30 +430,31 @@ def row_key(seed: int, key) -> int:
 SAMPLES_DDL = "array<struct<ids: array<int>, log_p: double, value: double, inclusion: double>>"
 
 
+def cut(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Slices of about BATCH_CHARS characters of text, of one row at least: memory follows them, not the batch."""
+    sizes = np.array([len(t) if t else 0 for t in batch[text].to_pylist()], np.int64)
+    part = (np.cumsum(sizes) - sizes) // BATCH_CHARS
+    for p in np.unique(part):
+        rows = np.flatnonzero(part == p)
+        yield batch.slice(int(rows[0]), len(rows))
+
+
 def encode_rows(shared, key: str, text: str, k: int, seed: int, with_decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = shared.value
-        for batch in batches:
-            texts = [t or "" for t in batch[text].to_pylist()]
-            keys = [row_key(seed, x) for x in batch[key].to_pylist()]
-            counts, ids, figures, exact, at = [], [], [], [], 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= BATCH_CHARS):
-                    size += len(texts[end])
-                    end += 1
-                for t, (own, threshold) in zip(texts[at:end], sample_batch(enc, texts[at:end], keys[at:end], k), strict=True):
-                    counts.append(len(own))
-                    ids += [i for i, _, _ in own]
-                    figures += [(lp, v, inclusion(lp, threshold)) for _, lp, v in own]
-                    if with_decoded:
-                        exact.append(all(enc.decode(i.tolist()) == t for i, _, _ in own))
-                at = end
-            offsets = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets([len(x) for x in ids]), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()))
-            rows = pa.StructArray.from_arrays([lists, *(pa.array([x[i] for x in figures], pa.float64()) for i in range(3))], ["ids", "log_p", "value", "inclusion"])
-            samples = pa.ListArray.from_arrays(offsets(counts), rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, samples, *[pa.array(exact, pa.bool_())] * with_decoded], [*batch.schema.names, "samples", *["exact"] * with_decoded])
+        offsets = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        for whole in batches:
+            for batch in cut(whole, text):
+                texts = [t or "" for t in batch[text].to_pylist()]
+                found = sample_batch(enc, texts, [row_key(seed, x) for x in batch[key].to_pylist()], k)
+                ids = [i for own, _ in found for i, _, _ in own]
+                figures = [(lp, v, inclusion(lp, threshold)) for own, threshold in found for _, lp, v in own]
+                lists = pa.ListArray.from_arrays(offsets([len(x) for x in ids]), pa.array(np.concatenate(ids), pa.int32()))
+                rows = pa.StructArray.from_arrays([lists, *(pa.array([x[i] for x in figures], pa.float64()) for i in range(3))], ["ids", "log_p", "value", "inclusion"])
+                added = [pa.ListArray.from_arrays(offsets([len(own) for own, _ in found]), rows)]
+                if with_decoded:
+                    added.append(pa.array([all(enc.decode(i.tolist()) == t for i, _, _ in own) for t, (own, _) in zip(texts, found, strict=True)]))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "samples", *["exact"] * with_decoded])
 
     return run
 
