@@ -70,8 +70,7 @@ class Encoder:
 
     def decode(self, ids) -> str:
         """The text of piece ids."""
-        table = self.bytes
-        return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
     def spelled(self, char: int) -> list[int]:
         """The byte pieces of a code point."""
@@ -483,6 +482,6 @@ def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None) -> Dat
 
 
 def digest(encoded: DataFrame) -> DataFrame:
-    """A row for each sample: its rank, size, scores, and a digest of its ids."""
-    rows = encoded.select("doc_id", F.posexplode("samples").alias("rank", "s"))
-    return rows.select("doc_id", "rank", F.size("s.ids").cast("long").alias("n_pieces"), F.col("s.log_p").alias("log_p"), F.col("s.value").alias("value"), F.col("s.inclusion").alias("inclusion"), F.xxhash64("s.ids").alias("ids_hash"))
+    """A row for each sample: its rank, size, scores, a digest of its ids, and whether its text's samples all decode to the text."""
+    rows = encoded.select("doc_id", "exact", F.posexplode("samples").alias("rank", "s"))
+    return rows.select("doc_id", "rank", F.size("s.ids").cast("long").alias("n_pieces"), F.col("s.log_p").alias("log_p"), F.col("s.value").alias("value"), F.col("s.inclusion").alias("inclusion"), F.xxhash64("s.ids").alias("ids_hash"), "exact")
