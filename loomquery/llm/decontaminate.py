@@ -19,12 +19,13 @@ most BLOCK_CHARS characters, each of which is a pass over the documents; so its
 benchmark. Documents never move: no shuffle is needed but to bring together a document's hits of several blocks.
 
 Defined results: null and empty texts, and null items, have no occurrence. Rows that repeat are each searched; equal
-items are each reported. `first` and `end` are places in the normalised text.
+items are each reported. Of an item's occurrences that overlap the best is reported. `first` and `end` are places in the normalised text.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -182,7 +183,7 @@ def candidates(index: Index, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def located(index: Index, text: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(item, edits, first, end): for each item that occurs in one text its best occurrence, from the text's hits."""
+    """(item, edits, first, end): the items' occurrences in one text, each item's best first, from the text's hits."""
     enough = np.bincount(item, minlength=len(index.texts)) >= index.needed
     some = enough[item]
     item, diagonal = item[some], diagonal[some]
@@ -193,15 +194,27 @@ def located(index: Index, text: np.ndarray, item: np.ndarray, diagonal: np.ndarr
     band = (diagonal - base) // step
     names, counts = np.unique(np.concatenate([item << 40 | band, item << 40 | band - 1]), return_counts=True)
     which = names >> 40
-    found: dict[int, tuple] = {}
+    found: dict[int, set[tuple[int, int, int]]] = {}
     for k in np.flatnonzero(counts >= index.needed[which]):
         i, e = int(which[k]), int(index.edits[which[k]])
         low = base + int(names[k] & (1 << 40) - 1) * (e + 1)
         # The occurrence's path stays within e diagonals of its hits.
         best = aligned(text, index.texts[i], low - e, low + 2 * e + 1 + e, e)
-        if best and (i not in found or best < found[i]):
-            found[i] = best
-    return [(i, *found[i]) for i in sorted(found)]
+        if best:
+            found.setdefault(i, set()).add(best)
+    return [(i, *x) for i in sorted(found) for x in apart(found[i])]
+
+
+def apart(found: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The occurrences (edits, first, end) that overlap no better one that stays, best first."""
+    out, firsts, ends = [], [], []
+    for edits, first, end in sorted(found):
+        at = bisect(firsts, first)
+        if (not at or ends[at - 1] <= first) and (at == len(firsts) or end <= firsts[at]):
+            out.append((edits, first, end))
+            firsts.insert(at, first)
+            ends.insert(at, end)
+    return out
 
 
 def search(index: Index, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
@@ -272,7 +285,7 @@ def with_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, part, edits, first, end): a row for each occurrence."""
+    """(doc_id, item_id, part, edits, first, end): a row for each occurrence that overlaps no better one of the same item or part."""
     return with_hits(docs.select("doc_id", "text"), items).select("doc_id", F.inline("hits"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from helpers import SMALL
 
+from loomquery.llm import decontaminate as d
 from loomquery.llm import queries
 
 
@@ -12,3 +13,17 @@ def test_op4_decodes_every_sample(spark):
     rows = out.collect()
     assert "exact" in out.columns and all(r["exact"] for r in rows)
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id").collect()}
+
+
+def plain(codes):
+    return "".join(map(chr, codes))
+
+
+def test_every_occurrence_of_an_item_is_reported(spark, docs_of, words):
+    item = words("i", 20)
+    text = f"{item} {words(1, 50)} {item[:-1]}# {words(2, 30)} {item}"
+    rows = d.matches(docs_of([(1, text)]), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    normal = plain(d.normal(text))
+    exact = [r for r in rows if r["edits"] == 0]
+    assert len(rows) == 3 and len(exact) == 2 and all(normal[r["first"] : r["end"]] == item for r in exact)
+    assert d.apart({(0, 5, 10), (1, 9, 14), (1, 10, 15), (2, 0, 5), (2, 4, 9)}) == [(0, 5, 10), (1, 10, 15), (2, 0, 5)]
