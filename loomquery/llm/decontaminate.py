@@ -8,14 +8,16 @@ occurrence and are dropped. The text under each remaining band is aligned with t
 in the text, computed within the band's diagonals), which decides.
 
 Both sides are normalised alike, character by character: lower case, runs of anything but letters and digits as one
-space; so layout and punctuation don't hide a passage. Items of fewer than LEAST normalised characters have no occurrence: so short a
-string is no evidence. An item that isn't found whole is also sought by its sentences and lines of LEAST_PART
-characters or more; those are items of their own, reported with `part`, from 0 up; the whole item has part -1.
+space; so layout and punctuation don't hide a passage. Items of fewer than LEAST normalised characters occur only exactly, as whole
+words; those of fewer than Q have no occurrence: so short a string is no evidence. An item that isn't found whole is
+also sought by its parts: the least runs of neighbouring sentences and lines that have LEAST_PART characters or more, so
+that any run of them as long has a part. Those are items of their own, reported with `part`, from 0 up; the whole item has
+part -1. A piece of a single sentence is no part.
 
 Per distinct q-gram the index has the places in all items; q-grams beyond FREQUENT places are not looked up, and each
 item's bound is lowered by the number of its q-grams that are not, so none is lost; where that leaves a bound below 1,
 all of that item's q-grams are looked up. The items' index is sent to the executors in blocks of at
-most BLOCK_CHARS characters, each of which is a pass over the documents; so its size is bounded however large the
+most BLOCK_CHARS characters of items and parts, each of which is a pass over the documents; so its size is bounded however large the
 benchmark. Documents never move: no shuffle is needed but to bring together a document's hits of several blocks.
 
 Defined results: null and empty texts, and null items, have no occurrence. Rows that repeat are each searched; equal
@@ -93,11 +95,21 @@ def qgrams(codes: np.ndarray) -> np.ndarray:
 
 
 def parts_of(text: str) -> list[tuple[int, np.ndarray]]:
-    """(part, normalised text): the whole as -1, then its sentences and lines that are long enough."""
+    """(part, normalised text): the whole as -1, then the least runs of its sentences and lines that are long enough."""
     whole = normal(text)
-    found = [(-1, whole)] if len(whole) >= LEAST else []
-    pieces = [p for p in (normal(x) for x in PART_END.split(text or "")) if len(p) >= LEAST_PART]
-    return found + [(i, p) for i, p in enumerate(pieces) if len(p) != len(whole)]
+    found = [(-1, whole)] if len(whole) >= Q else []
+    pieces = [p for p in (normal(x) for x in PART_END.split(text or "")) if len(p)]
+    ends = np.cumsum([len(p) + 1 for p in pieces])  # with the space behind each
+    runs: list[tuple[int, int]] = []
+    for i, p in enumerate(pieces):
+        j = int(np.searchsorted(ends, ends[i] - len(p) + LEAST_PART))
+        if j == len(pieces):
+            break
+        if runs and runs[-1][1] == j:
+            runs.pop()  # it holds the run that begins here
+        runs.append((i, j))
+    joined = [np.concatenate([x for p in pieces[i : j + 1] for x in ([SPACE], p)][1:]).astype(np.uint32) for i, j in runs]
+    return found + [(i, p) for i, p in enumerate(joined) if len(p) != len(whole)]
 
 
 @dataclass
@@ -120,7 +132,7 @@ def index_of(items: list[tuple]) -> Index:
             names.append((item_id, part))
             texts.append(t)
     sizes = np.array([len(t) for t in texts], np.int64)
-    edits = np.floor(sizes * RATE).astype(np.int64)
+    edits = np.where(sizes < LEAST, 0, np.floor(sizes * RATE)).astype(np.int64)
     grams = [qgrams(t) for t in texts]
     every = np.concatenate(grams) if grams else np.empty(0, np.uint64)
     owner = np.repeat(np.arange(len(texts)), [len(g) for g in grams])
@@ -198,6 +210,9 @@ def located(index: Index, text: np.ndarray, item: np.ndarray, diagonal: np.ndarr
     for k in np.flatnonzero(counts >= index.needed[which]):
         i, e = int(which[k]), int(index.edits[which[k]])
         low = base + int(names[k] & (1 << 40) - 1) * (e + 1)
+        if len(index.texts[i]) < LEAST:
+            found.setdefault(i, set()).update(exactly(text, index.texts[i], low, low + 1))
+            continue
         # The occurrence's path stays within e diagonals of its hits.
         best = aligned(text, index.texts[i], low - e, low + 2 * e + 1 + e, e)
         if best:
@@ -205,6 +220,13 @@ def located(index: Index, text: np.ndarray, item: np.ndarray, diagonal: np.ndarr
     return [(i, *x) for i in sorted(found) for x in apart(found[i])]
 
 
+def exactly(t: np.ndarray, p: np.ndarray, low: int, high: int) -> list[tuple[int, int, int]]:
+    """(0, first, end) of the item's exact occurrences as whole words at places low to high."""
+    whole = lambda at, end: (not at or t[at - 1] == SPACE) and (end == len(t) or t[end] == SPACE)
+    ends = ((at, at + len(p)) for at in range(max(low, 0), min(high, len(t) - len(p)) + 1))
+    return [(0, at, end) for at, end in ends if whole(at, end) and np.array_equal(t[at:end], p)]
+
+
 def apart(found: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The occurrences (edits, first, end) that overlap no better one that stays, best first."""
     out, firsts, ends = [], [], []
@@ -263,11 +285,12 @@ def blocks_of(items: DataFrame):
     """The items in blocks of at most BLOCK_CHARS characters (one item at least)."""
     block, size = [], 0
     for r in items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").orderBy("item_id", "text").toLocalIterator():
-        if block and size + len(r["text"]) > BLOCK_CHARS:
+        own = sum(len(p) for _, p in parts_of(r["text"]))
+        if block and size + own > BLOCK_CHARS:
             yield block
             block, size = [], 0
         block.append((r["item_id"], r["text"]))
-        size += len(r["text"])
+        size += own
     yield block
 
 

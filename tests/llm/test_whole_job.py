@@ -27,3 +27,19 @@ def test_every_occurrence_of_an_item_is_reported(spark, docs_of, words):
     exact = [r for r in rows if r["edits"] == 0]
     assert len(rows) == 3 and len(exact) == 2 and all(normal[r["first"] : r["end"]] == item for r in exact)
     assert d.apart({(0, 5, 10), (1, 9, 14), (1, 10, 15), (2, 0, 5), (2, 4, 9)}) == [(0, 5, 10), (1, 10, 15), (2, 0, 5)]
+
+
+def test_short_items_occur_as_whole_words(spark, docs_of):
+    items = spark.createDataFrame([(1, "Who wrote Emma?"), (2, "東京都の人口は何人ですか今年")], "item_id long, text string")
+    rows = [(1, "q: who wrote  EMMA"), (2, "who wrote emmas"), (3, "xwho wrote emma"), (4, "who wrote emma, who wrote emma"), (5, "。東京都の人口は何人ですか今年。"), (6, "who wrote ema")]
+    got = sorted((r["doc_id"], r["item_id"], r["edits"]) for r in d.matches(docs_of(rows), items).collect())
+    assert got == [(1, 1, 0), (4, 1, 0), (4, 1, 0), (5, 2, 0)]
+
+
+def test_runs_of_short_sentences_are_parts(spark, docs_of):
+    sentences = [f"The {a} river runs past {b}." for a, b in zip(("grey", "wide", "old", "cold", "slow", "deep"), ("Aldham", "Birwick", "Corley", "Dunmow", "Elmsett", "Farnham"), strict=True)]
+    items = spark.createDataFrame([(1, " ".join(sentences))], "item_id long, text string")
+    rows = [(i, "So they say. " + " ".join(sentences[i : i + 3]) + " And so on.") for i in range(4)] + [(9, "It rained. " + sentences[2])]
+    assert {r["doc_id"] for r in d.matches(docs_of(rows), items).collect()} == {0, 1, 2, 3}
+    lengths = [len(p) for k, p in d.parts_of("Yes. " + "word " * 20 + "stop. No. No.") if k >= 0]
+    assert lengths == [104]  # a run that holds a shorter one is left out
