@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from helpers import SMALL
 
 from loomquery.llm import decontaminate as d
-from loomquery.llm import queries
+from loomquery.llm import near_dedup, queries
 
 
 def test_op4_decodes_every_sample(spark):
@@ -43,3 +45,10 @@ def test_runs_of_short_sentences_are_parts(spark, docs_of):
     assert {r["doc_id"] for r in d.matches(docs_of(rows), items).collect()} == {0, 1, 2, 3}
     lengths = [len(p) for k, p in d.parts_of("Yes. " + "word " * 20 + "stop. No. No.") if k >= 0]
     assert lengths == [104]  # a run that holds a shorter one is left out
+
+
+def test_signature_filter_misses_less_than_the_index():
+    def missed(n, least):
+        return sum(math.comb(n, k) * 0.25**k * 0.75 ** (n - k) for k in range(least, n + 1))
+
+    assert missed(60, near_dedup.FARTHEST + 1) < 0.01 * missed(near_dedup.SYMBOLS, near_dedup.ERRORS + 1) ** near_dedup.CHUNKS
