@@ -42,8 +42,8 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two distinct sampled segmentations of each text, with their scores."""
-    return gumbel_encode.encode(docs.select("doc_id", "text", "lang", "source")).drop("text")
+    """Two distinct sampled segmentations of each text, with their scores, and whether all of them decode to the text."""
+    return gumbel_encode.encode(docs.select("doc_id", "text", "lang", "source"), check=True).drop("text")
 
 
 STAGES = [("quality", quality_stage), ("near_dedup", near_dedup_stage), ("substring_dedup", substring_stage), ("decontaminate", decontaminate_stage), ("encode", encode_stage)]

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import math
 
+import corpus_pipeline
 from helpers import SMALL
-
 from loomquery.llm import decontaminate as d
 from loomquery.llm import near_dedup, queries
 
@@ -17,6 +17,11 @@ def test_op4_decodes_every_sample(spark):
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id").collect()}
 
 
+def test_the_pipeline_decodes_every_sample(docs_of):
+    out = corpus_pipeline.encode_stage(None, docs_of([(1, "two  words"), (2, None), (3, "日本語 ▁")]), SMALL)
+    assert "exact" in out.columns and [r["exact"] for r in out.collect()] == [True] * 3
+
+
 def plain(codes):
     return "".join(map(chr, codes))
 
