@@ -200,13 +200,15 @@ def expected_counts(vocab: Vocabulary, units: list[str], scores: np.ndarray) ->
     """Expected uses of each piece, and last the escape, over all segmentations of the units.
 
     `scores` stands in for the vocabulary's, as a vector. Probabilities are multiplied as they are, with the
-    positions scaled by their likeliest arc; units longer than `LONG` are cut into parts of that length.
+    positions scaled by their single-character arc; units longer than `LONG` are summed in log space.
     """
-    if any(len(u) > LONG for u in units):
-        units = [u[i : i + LONG] for u in units for i in range(0, len(u), LONG)]
     p, total = np.exp(scores), np.zeros(len(vocab.pieces) + 1)
     for rows, chars in by_length(units):
         n = chars.shape[1]
+        if n > LONG:
+            for r in rows:
+                expected_one(vocab, units[r], scores, total)
+            continue
         found = {at: (ids, p[ids]) for at, ids in arcs(vocab, chars).items()}
         # A position's single-character arc, on which each unit can pass, keeps products from underflow.
         scale = [found[i, i + 1][1] for i in range(n)]
@@ -222,3 +224,21 @@ def expected_counts(vocab: Vocabulary, units: list[str], scores: np.ndarray) ->
         for (i, j), (ids, _) in found.items():
             total += np.bincount(np.maximum(ids, 0), alpha[i] * step[i, j] * beta[j] / top[n], len(total))
     return total
+
+
+def expected_one(vocab: Vocabulary, unit: str, scores: np.ndarray, total: np.ndarray) -> None:
+    """Adds the expected uses of one unit's pieces to `total`, by log-space recursions over the whole unit."""
+    n, escape = len(unit), len(vocab.pieces)
+    into: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+    for j in range(1, n + 1):
+        for i in range(max(0, j - vocab.longest), j):
+            if (k := vocab.ids.get(unit[i:j], escape if i == j - 1 else -1)) >= 0:
+                into[j].append((i, k))
+    alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    alpha[0] = beta[n] = 0
+    for j in range(1, n + 1):
+        alpha[j] = np.logaddexp.reduce([alpha[i] + scores[k] for i, k in into[j]])
+    for j in range(n, 0, -1):
+        for i, k in into[j]:
+            beta[i] = np.logaddexp(beta[i], beta[j] + scores[k])
+            total[k] += np.exp(alpha[i] + scores[k] + beta[j] - alpha[n])

@@ -59,6 +59,9 @@ def test_matrix_scores_are_models_side_by_side(tiny):
 def test_expected_counts(tiny):
     for u in UNITS[:-1]:
         paths = all_paths(tiny, u)
+        one = np.zeros(len(TINY) + 1)
+        lattice.expected_one(tiny, u, tiny.scores, one)
+        assert np.allclose(one, lattice.expected_counts(tiny, [u], tiny.scores))
         z = np.logaddexp.reduce([lp for _, lp in paths])
         want = np.zeros(len(TINY) + 1)
         for ids, lp in paths:
@@ -89,6 +92,73 @@ def test_scores(docs_of, words):
     assert got[500]["score"] == got[501]["score"] == got[502]["score"]
 
 
+TEXTS_AB = ["ab ba ab c", "aba aba ab", "b ab bc c c", "ca aba", "zz ab", None, "abcab"]
+
+
+def enumerated_scores(v, texts, kinds, held, rounds):
+    """log10 P(text) word by word: all segmentations listed, each word drawn after the ones before it."""
+    pieces = len(TINY)
+    stop = {z: lm_scoring.STOP for z in set(kinds)}
+    plain = np.exp(v.scores[:-2])
+    p = {z: np.append(plain * (1 - lm_scoring.STOP), 1e-6 / lm_scoring.CODE_POINTS) for z in set(kinds)}
+    words = {z: Counter() for z in set(kinds)}
+    n_texts = Counter()
+    for t, z, h in zip(texts, kinds, held, strict=True):
+        if not h:
+            words[z].update((t or "").split())
+            n_texts[z] += 1
+    for z in [z for z in words if not n_texts[z]]:
+        del words[z]
+
+    def ways(word, z):
+        return [(ids, math.prod([*(p[z][i] for i in ids), stop[z]])) for ids, _ in all_paths(v, "▁" + word)]
+
+    for _ in range(rounds):
+        for z, c in words.items():
+            uses = np.append(lm_scoring.PRIOR * plain, 0.5)
+            for w in c:
+                total = sum(x for _, x in ways(w, z))
+                for ids, x in ways(w, z):
+                    for i in ids:
+                        uses[i] += x / total
+            everything = uses.sum() + len(c) + 0.5
+            p[z] = uses / everything
+            p[z][pieces] /= lm_scoring.CODE_POINTS
+            stop[z] = (len(c) + 0.5) / everything
+    out = []
+    for t in texts:
+        chances = []
+        for z, c in words.items():
+            n, once, twice = sum(c.values()), sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
+            d = min(max(once / max(once + 2 * twice, 1), 0.1), 0.95) if once else 0.75
+            end = (n_texts[z] + 1) / (n + n_texts[z] + 2)
+            chance, before = math.log((n_texts[z] + 1) / (sum(n_texts.values()) + len(words)) * end), Counter()
+            for w in (t or "").split():
+                q = max(c[w] - d, 0) / (n + 1) + (d * len(c) + 1) / (n + 1) * sum(x for _, x in ways(w, z))
+                chance += math.log((1 - end) * (lm_scoring.SPREAD * q + before[w]) / (lm_scoring.SPREAD + before.total()))
+                before[w] += 1
+            chances.append(chance)
+        out.append(np.logaddexp.reduce(chances) / math.log(10))
+    return out
+
+
+@pytest.mark.parametrize(("rounds", "frequent"), [(0, 200_000), (2, 200_000), (2, 5), (1, 1)])
+def test_score_by_enumeration(spark, tiny, monkeypatch, rounds, frequent):
+    """Whatever words go to the executors as a table."""
+    monkeypatch.setattr(lm_scoring, "load_pieces", lambda path: (TINY, tiny.scores[:-2], -1))
+    monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)
+    kinds, held = ["x", "y", "x", None, "y", "x", "x"], [False, False, False, False, True, False, True]
+    docs = spark.createDataFrame([(i, t, k, h) for i, (t, k, h) in enumerate(zip(TEXTS_AB, kinds, held, strict=True))], "doc_id long, text string, kind string, held boolean")
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score_texts(docs, docs["held"], docs["kind"], "tiny", rounds).collect()}
+    want = enumerated_scores(tiny, TEXTS_AB, kinds, held, rounds)
+    assert len(got) == len(want) and all(abs(got[i] - x) < 1e-9 * max(1, abs(x)) for i, x in enumerate(want))
+
+
+def test_log_gamma():
+    x = np.array([1, 1.5, 2, 3.25, 10, 1e4, 1e9])
+    assert np.allclose(lm_scoring.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-13, atol=1e-11)
+
+
 def test_word_probabilities_sum_to_less_than_one(tiny):
     """Over all strings of two letters up to a length, with training words among them."""
     import itertools
@@ -96,12 +166,19 @@ def test_word_probabilities_sum_to_less_than_one(tiny):
     total = sum(np.exp(tiny.scores[:-2]))
     v = lattice.Vocabulary(TINY, tiny.scores[:-2, None] - math.log(total / 0.6), math.log(0.1) - math.log(lm_scoring.CODE_POINTS))
     one = lambda x: np.array([x], float)
-    m = lm_scoring.Model(v, one(math.log(0.3)), one(0), one(60), one(2), one(10), one(0.5), 2)
+    m = lm_scoring.Model(v, one(math.log(0.3)), one(50), one(2), one(10), one(0.5), 2)
     strings = ["".join(x) for n in range(1, 9) for x in itertools.product("abc", repeat=n)]
     counts = np.array([[30.0 if s == "ab" else 20.0 if s == "cab" else 0.0] for s in strings])
-    p = 10 ** m.word_scores(strings, counts)
-    assert 0.7 < p.sum() + 10 ** m.end()[0][0] < 1
-    assert p[strings.index("ab")] > 0.45
+    q = np.exp(m.word_scores(strings, counts))
+    assert 0.8 < q.sum() < 1 and q[strings.index("ab")] > 0.5
+
+
+def test_the_model_beats_the_base(spark):
+    """On held-out texts, a token."""
+    from loomquery.llm import queries
+
+    got = queries.op1_lm_scoring(spark, "/root/testdata/sf0.01").filter("held_out").selectExpr("sum(score) / sum(n_tokens)", "sum(base_score) / sum(n_tokens)").first()
+    assert got[0] > got[1]
 
 
 def test_unseen_words_are_told_apart(docs_of, words):
