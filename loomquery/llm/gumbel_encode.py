@@ -19,12 +19,15 @@ the first branches of a long text are looked at, and none that matters is lost.
 `inclusion` is the log of the probability that the path would be among the sample, given the threshold (the
 greatest value left in the queue): log(1 - exp(-exp(log p - threshold))); it is 0 if there is no path left.
 
-All randomness is a hash of the seed, the row's key and the place in the text: the same whatever the partition, the
-batch or a repeated run. Characters that are no piece are spelled as byte pieces. Decoding is exact: pieces join
+All randomness is a hash of the seed, the row's key and the draw's place, sample, purpose and step, a field each: the same
+whatever the partition, the batch or a repeated run, and no number is used twice in a text. Characters that are no piece are spelled as byte pieces. Decoding is exact: pieces join
 to the text, a space being written as the mark, and the mark itself as its bytes.
 
 Defined results: null and empty texts have one segmentation, without pieces, of probability 1. A text with fewer
-than k segmentations gives all of them. Rows that repeat get the same samples. A null key is a key like others.
+than k segmentations gives all of them. Rows that repeat get the same samples. A null key is a key like others. Paths
+never tie but with a probability of 2 ** -53 a draw; the earlier branch is then first. An empty table gives an empty result. `samples`, and `exact` with
+`check`, replace columns of those names; other columns stay. A very long text is sampled as a whole: a batch holds
+BATCH_CHARS characters or one text, at some 100 bytes a character of it.
 """
 
 from __future__ import annotations
@@ -201,26 +204,26 @@ def long_arcs(vocab: Vocabulary, units: list[str], rows: np.ndarray) -> dict[tup
     return dict(sorted(found.items()))
 
 
-#: Odd multipliers of the parts of a place.
-PARTS = np.array([1, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7], np.uint64)
+#: Odd multipliers of a draw's fields: key, place, sample, purpose, step, branch.
+FIELDS = (1, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93)
+#: What a draw is for. Each has its own field, so that no two draws of a text share their number however long it is.
+ROOT, LEAVE, WALK, BRANCH, TAIL = range(5)
 
 
-def uniform(*parts: np.ndarray | int) -> np.ndarray:
-    """A number between 0 and 1 for each place, from a hash of the parts; the first is a hash itself."""
-    h = np.zeros(1, np.uint64)
-    for p, c in zip(parts, PARTS, strict=False):
-        h = h + np.asarray(p).astype(np.uint64) * c
-    return ((mixed(h) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-
-
-def uniform_one(*parts: int) -> float:
-    return float(uniform(*(np.array([p], np.uint64) for p in parts))[0])
+def uniform(*fields: np.ndarray | int) -> np.ndarray:
+    """A number between 0 and 1 for each draw, from a hash of its fields; the first is a hash itself."""
+    h, fixed = np.zeros(1, np.uint64), 0
+    for x, c in zip(fields, FIELDS, strict=False):
+        if isinstance(x, int):
+            fixed += x * c
+        else:
+            h = h + x.astype(np.uint64) * np.uint64(c)
+    return ((mixed(h + np.uint64(fixed % 2**64)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 def paths(lat: Lattices, units: np.ndarray, keys: np.ndarray, place: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
     """A sampled path through each unit: (offsets, arcs), unit u's arcs being offsets[u] to offsets[u + 1]."""
-    draw = 1024 * sample
-    u = uniform(keys, place, draw)
+    u = uniform(keys, place, sample, LEAVE)
     kept = np.diff(lat.way)[units]  # steps on the greedy path
     rows = np.flatnonzero(u >= lat.stay[units])
     steps = []
@@ -231,7 +234,7 @@ def paths(lat: Lattices, units: np.ndarray, keys: np.ndarray, place: np.ndarray,
         first = lat.greedy[left]
         state = lat.state[first]
         p = np.exp(lat.log[first])
-        other = state + p + uniform(keys[rows], place[rows], draw + 1) * (1 - p)
+        other = state + p + uniform(keys[rows], place[rows], sample, WALK, 0) * (1 - p)
         arc = np.clip(np.searchsorted(lat.edge, other, side="right"), np.minimum(first + 1, lat.at[state + 1] - 1), lat.at[state + 1] - 1)
         end = lat.last[units[rows]]
         while True:
@@ -241,7 +244,7 @@ def paths(lat: Lattices, units: np.ndarray, keys: np.ndarray, place: np.ndarray,
             rows, state, end = rows[on], state[on], end[on]
             if not len(rows):
                 break
-            arc = np.searchsorted(lat.edge, state + uniform(keys[rows], place[rows], draw + 1 + len(steps)), side="right")
+            arc = np.searchsorted(lat.edge, state + uniform(keys[rows], place[rows], sample, WALK, len(steps)), side="right")
     offsets, out = scattered(steps, kept)
     out[ramps(offsets[:-1], kept)] = lat.greedy[ramps(lat.way[units], kept)]
     return offsets, out
@@ -302,7 +305,7 @@ def branches(lat: Lattices, rest: list[np.ndarray], start: np.ndarray, phi: np.n
     step, arc, mass = step[near], arc[near], mass[near]
     of = text[step]
     which = arc - lat.at[lat.state[arc]]
-    value = gumbel_below(top[of], mass, uniform(keys[of], place[step] + start[of], 512 + 1024 * sample, which))
+    value = gumbel_below(top[of], mass, uniform(keys[of], place[step] + start[of], sample, BRANCH, 0, which))
     order, rank = ranked(value, of)
     best = order[rank < most]
     best = best[value[best] > least[of[best]]]
@@ -315,7 +318,7 @@ def rest_of_unit(lat: Lattices, state: int, end: int, key: int, place: int, samp
     """A sampled path from a state inside a unit to the unit's end."""
     out = []
     while state != end:
-        u = uniform_one(key, place, 1024 * sample + 768 + len(out))
+        u = float(uniform(key, place, sample, TAIL, len(out))[0])
         out.append(int(np.searchsorted(lat.edge, state + u, side="right")))
         state = int(lat.next[out[-1]])
     return out
@@ -350,7 +353,7 @@ class Search:
 
     def __init__(self, lat: Lattices, numbers: np.ndarray, key: int, k: int):
         self.lat, self.numbers, self.key, self.k = lat, numbers, key, k
-        root = -math.log(-math.log(uniform_one(key, 0, 512, 512)))
+        root = -math.log(-math.log(float(uniform(key, 0, 0, ROOT)[0])))
         self.queue, self.found = [(-root, 0.0, 0, -1, None)], []
 
     def next_units(self) -> np.ndarray | None:
@@ -461,7 +464,7 @@ def encode_rows(shared, key: str, text: str, k: int, seed: int, with_decoded: bo
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, seed: int = 1, path: str | None = None, check: bool = False) -> DataFrame:
     """`docs` with `samples`: up to k distinct segmentations of the text, best first; with `check` also `exact`,
     whether each of them decodes to the text."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in {"samples", "exact"} and c not in (key, text)])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in {"samples", *["exact"] * check} and c not in (key, text)])
     shared = docs.sparkSession.sparkContext.broadcast(encoder(path))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(encode_rows(shared, key, text, k, seed, check), f"{fields}, samples {SAMPLES_DDL}" + ", exact boolean" * check)
@@ -481,7 +484,7 @@ def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None) -> Dat
     return encoded.mapInArrow(run, f"{fields}, decoded string")
 
 
-def digest(encoded: DataFrame) -> DataFrame:
-    """A row for each sample: its rank, size, scores, a digest of its ids, and whether its text's samples all decode to the text."""
+def listed(encoded: DataFrame) -> DataFrame:
+    """A row for each sample: its rank, piece ids, scores, and whether its text's samples all decode to the text."""
     rows = encoded.select("doc_id", "exact", F.posexplode("samples").alias("rank", "s"))
-    return rows.select("doc_id", "rank", F.size("s.ids").cast("long").alias("n_pieces"), F.col("s.log_p").alias("log_p"), F.col("s.value").alias("value"), F.col("s.inclusion").alias("inclusion"), F.xxhash64("s.ids").alias("ids_hash"), "exact")
+    return rows.select("doc_id", "rank", F.size("s.ids").cast("long").alias("n_pieces"), F.col("s.log_p").alias("log_p"), F.col("s.value").alias("value"), F.col("s.inclusion").alias("inclusion"), F.col("s.ids").alias("ids"), "exact")

@@ -253,6 +253,39 @@ def test_samples_follow_the_law(coder):
                 assert abs(pair[a, b] / n - math.exp(la + lb) / -math.expm1(la)) < 0.03
 
 
+LONG_UNIT = "ab" * 1200  # of over 1,100 pieces
+
+
+def test_no_draw_of_a_text_is_used_twice(coder, monkeypatch):
+    drawn, mixed = [], g.mixed
+    monkeypatch.setattr(g, "mixed", lambda h: drawn.append(h.copy()) or mixed(h))
+    [(own, _)] = g.sample_batch(coder, [LONG_UNIT + " ab aba\n" + LONG_UNIT], [g.row_key(1, 2)], 5)
+    assert len(own) == 5 and min(len(ids) for ids, _, _ in own) > 2200
+    numbers = np.concatenate(drawn)
+    assert len(numbers) > 10_000 and len(np.unique(numbers)) == len(numbers)
+
+
+def test_samples_of_a_long_unit_follow_the_law(coder):
+    """Each sample's piece ends, at places far into the unit, have their posterior probability; samples are independent."""
+    v, n, draws = coder.vocabulary, len(LONG_UNIT), 400
+    alpha, beta = lattice.forward_one(v, LONG_UNIT), np.full(n + 1, -np.inf)
+    beta[n] = 0
+    for i in range(n - 1, -1, -1):
+        beta[i] = np.logaddexp.reduce([v.scores[k] + beta[j] for j in range(i + 1, min(n, i + v.longest) + 1) if (k := v.ids.get(LONG_UNIT[i:j], len(v.pieces) if j == i + 1 else -1)) >= 0])
+    ends = np.zeros((2, draws, n + 1), bool)
+    for at in range(0, draws, 100):
+        for row, (own, _) in enumerate(g.sample_batch(coder, [LONG_UNIT] * 100, [g.row_key(9, at + i) for i in range(100)], 2)):
+            for s, (ids, lp, _) in enumerate(own):
+                ends[s, at + row, np.cumsum([len(v.pieces[i]) for i in ids])] = True
+                assert abs(lp - sum(v.scores[i] for i in ids) + alpha[n]) < 1e-6
+    places = [3, 700, 1201, 1800, 2301, 2399]
+    for x in places:
+        want = math.exp(alpha[x] + beta[x] - alpha[n])
+        assert 0.1 < want < 0.9 and all(abs(ends[s, :, x].mean() - want) < 0.1 for s in range(2))
+        for y in places:
+            assert abs(np.corrcoef(ends[0, :, x], ends[1, :, y])[0, 1]) < 0.2
+
+
 def test_inclusion_scores_are_unbiased(coder):
     """Horvitz-Thompson: indicators over inclusion probabilities average to 1 for every path."""
     text, n, total = "abab", 4000, Counter()
@@ -293,3 +326,9 @@ def test_samples_do_not_depend_on_partitions(docs_of, words):
     take = lambda d: sorted((str(r["doc_id"]), r["text"], str(r["samples"])) for r in g.encode(d).collect())
     assert take(docs) == take(docs.repartition(9))
     assert g.encode(docs.limit(0)).count() == 0
+    clash = spark_columns(docs)
+    assert g.encode(clash).columns == ["doc_id", "text", "exact", "samples"] and g.encode(clash, check=True).columns == ["doc_id", "text", "samples", "exact"]
+
+
+def spark_columns(docs):
+    return docs.selectExpr("doc_id", "text", "1 AS exact", "2 AS samples")

@@ -8,12 +8,15 @@ import corpus_pipeline
 from helpers import SMALL
 from loomquery.llm import decontaminate as d
 from loomquery.llm import near_dedup, queries
+from loomquery.llm.gumbel_encode import encoder
 
 
 def test_op4_decodes_every_sample(spark):
     out = queries.op4_gumbel_encode(spark, SMALL)
     rows = out.collect()
     assert "exact" in out.columns and all(r["exact"] for r in rows)
+    enc, texts = encoder(), {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    assert all(enc.decode(r["ids"]) == texts[r["doc_id"]] and r["n_pieces"] == len(r["ids"]) for r in rows)
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id").collect()}
 
 
