@@ -9,19 +9,24 @@ in the text, computed within the band's diagonals), which decides.
 
 Both sides are normalised alike, character by character: lower case, runs of anything but letters and digits as one
 space; so layout and punctuation don't hide a passage. Items of fewer than LEAST normalised characters occur only exactly, as whole
-words; those of fewer than Q have no occurrence: so short a string is no evidence. An item that isn't found whole is
+words; those of fewer than Q are looked up by the hash of the whole item. `shortest` leaves out items of fewer
+normalised characters than that, whose occurrences are no evidence; by default none. An item that isn't found whole is
 also sought by its parts: the least runs of neighbouring sentences and lines that have LEAST_PART characters or more, so
 that any run of them as long has a part. Those are items of their own, reported with `part`, from 0 up; the whole item has
 part -1. A piece of a single sentence is no part.
 
 Per distinct q-gram the index has the places in all items; q-grams beyond FREQUENT places are not looked up, and each
 item's bound is lowered by the number of its q-grams that are not, so none is lost; where that leaves a bound below 1,
-all of that item's q-grams are looked up. The items' index is sent to the executors in blocks of at
-most BLOCK_CHARS characters of items and parts, each of which is a pass over the documents; so its size is bounded however large the
-benchmark. Documents never move: no shuffle is needed but to bring together a document's hits of several blocks.
-
-Defined results: null and empty texts, and null items, have no occurrence. Rows that repeat are each searched; equal
-items are each reported. Of an item's occurrences that overlap the best is reported. `first` and `end` are places in the normalised text.
+all of that item's q-grams are looked up. The items are taken in blocks of at most BLOCK_CHARS characters of items and parts (one
+item at least), each of which is a pass over the documents with an index of that size on the executors, whose results are
+written before the next pass begins; so one block at a time is in memory, on the driver too, however large the benchmark.
+A benchmark of one block is a single pass. Documents never move: there is no shuffle.
+
+Defined results: null and empty texts, and null items, have no occurrence; nor have items without a letter or digit. Rows that
+repeat, or have a null id, are each searched; equal items are each reported. Of an item's occurrences that overlap the best
+is reported: the fewest edits, then the first, then the shortest. `first` and `end` are places in the normalised text. Without documents, or
+without items, there is no occurrence. A very long text is searched whole, by itself, in memory that follows its length. Other columns of the
+documents stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import dropped, free_name, written
 from .lattice import SPREAD, code_points
 
 Q, RATE = 8, 0.08
@@ -74,8 +80,13 @@ def normalised(codes: np.ndarray) -> np.ndarray:
     else:
         out, first = codes.copy(), codes < 1 << 16
         out[first] = plain_table()[codes[first]]
+        beyond, where = np.unique(codes[~first], return_inverse=True)
+        low = [ord(c.lower()) if c.isalnum() and len(c.lower()) == 1 else ord(c) if c.isalnum() else 32 for c in map(chr, beyond.tolist())]
+        out[~first] = np.array(low, np.uint32)[where]
     gap, nothing = out == SPACE, out == 0
     out = out[~(gap & np.concatenate([[True], (gap | nothing)[:-1]]))]
+    if not len(out):
+        return out
     last = np.flatnonzero(np.concatenate([out[1:] == 0, [True]]))
     return np.delete(out, last[out[last] == SPACE])
 
@@ -97,7 +108,7 @@ def qgrams(codes: np.ndarray) -> np.ndarray:
 def parts_of(text: str) -> list[tuple[int, np.ndarray]]:
     """(part, normalised text): the whole as -1, then the least runs of its sentences and lines that are long enough."""
     whole = normal(text)
-    found = [(-1, whole)] if len(whole) >= Q else []
+    found = [(-1, whole)] if len(whole) else []
     pieces = [p for p in (normal(x) for x in PART_END.split(text or "")) if len(p)]
     ends = np.cumsum([len(p) + 1 for p in pieces])  # with the space behind each
     runs: list[tuple[int, int]] = []
@@ -123,12 +134,17 @@ class Index:
     item: np.ndarray
     place: np.ndarray
     slots: np.ndarray  # whether any gram has these first bits
+    brief: dict[int, list[int]]  # items of fewer than Q characters, by length
 
 
-def index_of(items: list[tuple]) -> Index:
-    names, texts = [], []
+def index_of(items: list[tuple], shortest: int = 1) -> Index:
+    names, texts, brief = [], [], {}
     for item_id, text in items:
         for part, t in parts_of(text):
+            if len(t) < shortest:
+                continue
+            if len(t) < Q:
+                brief.setdefault(len(t), []).append(len(names))
             names.append((item_id, part))
             texts.append(t)
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -143,13 +159,13 @@ def index_of(items: list[tuple]) -> Index:
     skipped = np.bincount(owner, frequent, len(texts)).astype(np.int64)
     needs_all = bound - skipped < 1
     used = ~frequent | needs_all[owner] if len(every) else frequent
-    needed = np.maximum(bound - np.where(needs_all, 0, skipped), 1)
+    needed = np.where(sizes < Q, 1 << 40, np.maximum(bound - np.where(needs_all, 0, skipped), 1))
     every, owner, place = every[used], owner[used], place[used]
     order = np.argsort(every, kind="stable")
     distinct, first = np.unique(every[order], return_index=True)
     slots = np.zeros(1 << SLOTS, bool)
     slots[distinct >> np.uint64(64 - SLOTS)] = True
-    return Index(names, texts, edits, needed, distinct, np.append(first, len(every)), owner[order], place[order], slots)
+    return Index(names, texts, edits, needed, distinct, np.append(first, len(every)), owner[order], place[order], slots, brief)
 
 
 def aligned(t: np.ndarray, p: np.ndarray, low: int, high: int, edits: int) -> tuple[int, int, int] | None:
@@ -227,6 +243,19 @@ def exactly(t: np.ndarray, p: np.ndarray, low: int, high: int) -> list[tuple[int
     return [(0, at, end) for at, end in ends if whole(at, end) and np.array_equal(t[at:end], p)]
 
 
+def brief_places(index: Index, text: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(item, 0, first, end): whole-word occurrences of items too short for a q-gram."""
+    out = []
+    edges = np.flatnonzero(np.concatenate([[True], text == SPACE, [True]]))  # words lie between neighbouring edges
+    for size, items in index.brief.items():
+        starts = edges[:-1][np.isin(edges[:-1] + size + 1, edges)]
+        if len(starts):
+            windows = text[starts[:, None] + np.arange(size)]
+            for i in items:
+                out += [(i, *x) for x in apart({(0, int(at), int(at) + size) for at in starts[(windows == index.texts[i]).all(1)]})]
+    return out
+
+
 def apart(found: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The occurrences (edits, first, end) that overlap no better one that stays, best first."""
     out, firsts, ends = [], [], []
@@ -242,18 +271,22 @@ def apart(found: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 def search(index: Index, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
     """For each text its occurrences."""
     out: list[list] = [[] for _ in texts]
-    if not len(index.grams) or not texts:
+    if not index.texts or not texts:
         return out
     # A 0 before each text; they mark the texts' starts in the normal form too.
     codes = normalised(code_points("".join("\0" + (t or "").replace("\0", " ") for t in texts)))
     starts = np.flatnonzero(codes == 0)
-    place, item, diagonal = candidates(index, codes)
-    cuts = np.searchsorted(place, np.append(starts, len(codes)))
-    for k in np.flatnonzero(np.diff(cuts)):
-        lo, hi = cuts[k], cuts[k + 1]
-        text = codes[starts[k] + 1 : starts[k + 1] if k + 1 < len(starts) else len(codes)]
-        if hi - lo >= index.needed.min():
-            out[k] = located(index, text, item[lo:hi], diagonal[lo:hi] - starts[k] - 1)
+    ends = np.append(starts[1:], len(codes))
+    if len(index.grams):
+        place, item, diagonal = candidates(index, codes)
+        cuts, least = np.searchsorted(place, np.append(starts, len(codes))), index.needed.min()
+        for k in np.flatnonzero(np.diff(cuts)):
+            lo, hi = cuts[k], cuts[k + 1]
+            if hi - lo >= least:
+                out[k] = located(index, codes[starts[k] + 1 : ends[k]], item[lo:hi], diagonal[lo:hi] - starts[k] - 1)
+    if index.brief:
+        for k, (start, end) in enumerate(zip(starts, ends, strict=True)):
+            out[k] = sorted(out[k] + brief_places(index, codes[start + 1 : end]))
     return out
 
 
@@ -261,7 +294,7 @@ HIT = pa.struct([("item_id", pa.int64()), ("part", pa.int32()), ("edits", pa.int
 HIT_DDL = "struct<item_id: bigint, part: int, edits: int, first: bigint, end: bigint>"
 
 
-def hit_rows(shared):
+def hit_rows(shared, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
@@ -276,42 +309,67 @@ def hit_rows(shared):
                     whole = {h[0] for h in hits if h[1] < 0}
                     out.append([dict(zip(("item_id", "part", "edits", "first", "end"), h, strict=True)) for h in hits if h[1] < 0 or h[0] not in whole])
                 at = end
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(HIT))], [*batch.schema.names, "hits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(HIT))], [*batch.schema.names, name])
 
     return run
 
 
-def blocks_of(items: DataFrame):
+def blocks_of(items: DataFrame, shortest: int = 1) -> Iterator[list[tuple]]:
     """The items in blocks of at most BLOCK_CHARS characters (one item at least)."""
     block, size = [], 0
     for r in items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").orderBy("item_id", "text").toLocalIterator():
-        own = sum(len(p) for _, p in parts_of(r["text"]))
+        own = sum(len(p) for _, p in parts_of(r["text"]) if len(p) >= shortest)
         if block and size + own > BLOCK_CHARS:
             yield block
             block, size = [], 0
-        block.append((r["item_id"], r["text"]))
-        size += own
-    yield block
+        if own:
+            block.append((r["item_id"], r["text"]))
+            size += own
+    if block:
+        yield block
 
 
-def with_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """`docs` (text, ...) with `hits`: the benchmark items, or parts of them, that occur in the text."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() == "hits"])
+def with_hits(docs: DataFrame, block: list[tuple], hits: str, shortest: int) -> DataFrame:
+    """`docs` (text, ...) with a new column `hits`: what of a block of items occurs in the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(index_of(block, shortest))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs.withColumn("hits", F.array().cast(f"array<{HIT_DDL}>"))
-    for block in blocks_of(items):
-        shared = docs.sparkSession.sparkContext.broadcast(index_of(block))
-        earlier = out.withColumnRenamed("hits", "earlier_hits_")
-        found = earlier.mapInArrow(hit_rows(shared), f"{fields}, earlier_hits_ array<{HIT_DDL}>, hits array<{HIT_DDL}>")
-        out = found.withColumn("hits", F.concat("earlier_hits_", "hits")).drop("earlier_hits_")
-    return out
+    return docs.mapInArrow(hit_rows(shared, hits), f"{fields}, {hits} array<{HIT_DDL}>")
+
 
+def passes(items: DataFrame, shortest: int) -> Iterator[tuple[list[tuple], bool]]:
+    """(block, whether there is another)."""
+    held = None
+    for block in blocks_of(items, shortest):
+        if held:
+            yield held, True
+        held = block
+    if held:
+        yield held, False
 
-def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+
+def matches(docs: DataFrame, items: DataFrame, shortest: int = 1) -> DataFrame:
     """(doc_id, item_id, part, edits, first, end): a row for each occurrence that overlaps no better one of the same item or part."""
-    return with_hits(docs.select("doc_id", "text"), items).select("doc_id", F.inline("hits"))
+    docs, found = docs.select("doc_id", "text"), []
+    for block, more in passes(items, shortest):
+        rows = with_hits(docs, block, "hits", shortest).select("doc_id", F.inline("hits"))
+        found.append(written(rows, "matches") if more or found else rows)
+    if not found:
+        return docs.limit(0).select("doc_id", F.inline(F.array().cast(f"array<{HIT_DDL}>")))
+    out = found[0]
+    for rows in found[1:]:
+        out = out.union(rows)
+    return out
 
 
-def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, shortest: int = 1) -> DataFrame:
     """The rows of `docs` in which no item and no part of one occurs."""
-    return with_hits(docs, items).filter(F.size("hits") == 0).select(*docs.columns)
+    columns, earlier = docs.columns, None
+    for block, more in passes(items, shortest):
+        hits = free_name(docs, "hits")
+        docs = with_hits(docs, block, hits, shortest).filter(F.size(hits) == 0).drop(hits)
+        if more:
+            docs = written(docs, "decontaminated")
+            if earlier is not None:
+                dropped(earlier)
+            earlier = docs
+    return docs.select(*[F.col(f"`{c}`") for c in columns])

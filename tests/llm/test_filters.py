@@ -88,21 +88,105 @@ def test_matches(spark, docs_of, words):
     items = [(1, words("i", 30)), (2, words("j", 25) + ".\n" + words("k", 40)), (3, "short"), (4, None), (5, words("i", 30))]
     first, second = items[0][1], items[1][1]
     part = second.split("\n")[1]
-    rows = [(1, words(1, 200)), (2, f"{words(2, 50)} {first.upper()}! {words(3, 9)}"), (3, first.replace(" ", ",\n", 3)), (4, f"x {part} y"), (5, second), (6, None), (7, ""), (8, "short"), (9, words(4, 6000) + first), (9, first)]
+    rows = [(1, words(1, 200)), (2, f"{words(2, 50)} {first.upper()}! {words(3, 9)}"), (3, first.replace(" ", ",\n", 3)), (4, f"x {part} y"), (5, second), (6, None), (7, ""), (8, "so short!"), (9, words(4, 6000) + first), (9, first)]
     bench = spark.createDataFrame(items, "item_id int, text string")
     got = sorted({(r["doc_id"], r["item_id"], r["part"]) for r in d.matches(docs_of(rows), bench).collect()})
-    assert got == [(2, 1, -1), (2, 5, -1), (3, 1, -1), (3, 5, -1), (4, 2, 1), (5, 2, -1), (9, 1, -1), (9, 5, -1)]
+    assert got == [(2, 1, -1), (2, 5, -1), (3, 1, -1), (3, 5, -1), (4, 2, 1), (5, 2, -1), (8, 3, -1), (9, 1, -1), (9, 5, -1)]
     kept = d.decontaminated(spark.createDataFrame([(i, t, "h") for i, t in rows], "doc_id long, text string, hits string"), bench)
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 6, 7, 8] and kept.columns == ["doc_id", "text", "hits"]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 6, 7] and kept.columns == ["doc_id", "text", "hits"]
     assert d.matches(docs_of([]), bench).count() == 0 and d.matches(docs_of(rows), bench.limit(0)).count() == 0
 
 
 def test_blocks_of_items_change_nothing(spark, docs_of, words, monkeypatch):
     items = spark.createDataFrame([(i, words(i, 30)) for i in range(12)], "item_id long, text string")
-    docs = docs_of([(i, words(900 + i, 30) + " " + words(i, 30)) for i in range(12)])
+    docs = docs_of([(i, words(900 + i, 30) + " " + words(i, 30)) for i in range(12)] + [(20, words(77, 40))])
     one = sorted(map(tuple, d.matches(docs, items).collect()))
     monkeypatch.setattr(d, "BLOCK_CHARS", 300)
     assert len(list(d.blocks_of(items))) > 3 and sorted(map(tuple, d.matches(docs, items).collect())) == one and len(one) == 12
+    assert [r["doc_id"] for r in d.decontaminated(docs, items).collect()] == [20]
+    plan = d.matches(docs, items)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan  # a pass for each block, not all in one plan
+
+
+def ends_within(text, item, limit):
+    """{end: least edits} of the item's occurrences in the text with `limit` edits at most."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i] + [0] * len(text)
+        for j in range(1, len(text) + 1):
+            new[j] = min(row[j - 1] + (text[j - 1] != c), row[j] + 1, new[j - 1] + 1)
+        row = new
+    return {j: e for j, e in enumerate(row) if e <= limit}
+
+
+def whole_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        new = [i]
+        for j, x in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != c), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return row[-1]
+
+
+def changed(r, text, n):
+    out = list(text)
+    for _ in range(n):
+        k, j = r.randrange(3), r.randrange(len(out))
+        out[j : j + (k != 2)] = r.choice("xyz") if k != 1 else ""
+    return "".join(out)
+
+
+def test_rows_against_brute_force(spark, docs_of, words):
+    """Whole items, parts and short items: every row, and every place that has a row."""
+    r = random.Random(11)
+    items = {i: ". ".join(words(f"{i}-{k}", r.randint(3, 9)) for k in range(4)) + "." for i in range(6)} | {10: "a of", 11: "Who wrote it?", 12: "?!", 13: "𝐀🙂 x"}
+    names = {(i, part): plain(t) if isinstance(t, str) else "".join(map(chr, t)) for i, x in items.items() for part, t in d.parts_of(x)}
+    docs = []
+    for n in range(40):
+        pieces = [words(f"noise{n}", r.randint(1, 25))]
+        for _ in range(r.randint(0, 3)):
+            (i, part), t = r.choice(list(names.items()))
+            pieces += [changed(r, t, r.randint(0, int(len(t) * d.RATE) + 2)) if len(t) >= d.LEAST else t, words(r.random(), r.randint(15, 30))]
+        docs.append((n, " ".join(pieces)))
+    got: dict = {}
+    for row in d.matches(docs_of(docs), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect():
+        got.setdefault((row["doc_id"], row["item_id"], row["part"]), []).append((row["edits"], row["first"], row["end"]))
+    n_parts = 0
+    for n, text in docs:
+        t = plain(text)
+        for (i, part), item in names.items():
+            found = got.pop((n, i, part), [])
+            if len(item) < d.LEAST:
+                want = [] if part >= 0 else [(0, at, at + len(item)) for at in range(len(t)) if (" " + t + " ").startswith(" " + item + " ", at)]
+                assert sorted(found) == sorted(d.apart(set(want))), (n, i)
+                continue
+            ends = ends_within(t, item, int(len(item) * d.RATE))
+            whole = ends_within(t, names[i, -1], int(len(names[i, -1]) * d.RATE)) if len(names[i, -1]) >= d.LEAST else {}
+            assert bool(found) == (bool(ends) and (part < 0 or not whole)), (n, i, part)
+            n_parts += bool(found) and part >= 0
+            if found:
+                assert min(found)[0] == min(ends.values()) and all(whole_distance(t[a:b], item) == e for e, a, b in found)
+                spans = sorted((a, b) for _, a, b in found)
+                assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
+                assert all(any(a < j and b > j - len(item) // 2 for a, b in spans) for j in ends)
+    assert not got and n_parts > 5
+
+
+def test_shortest_items_can_be_left_out(spark, docs_of):
+    items = spark.createDataFrame([(1, "yes"), (2, "who wrote emma")], "item_id long, text string")
+    docs = docs_of([(1, "Yes. So who wrote Emma? Yes!"), (2, "yesterday")])
+    take = lambda **k: sorted(tuple(x) for x in d.matches(docs, items, **k).collect())
+    assert take() == [(1, 1, -1, 0, 0, 3), (1, 1, -1, 0, 22, 25), (1, 2, -1, 0, 7, 21)] and take(shortest=8) == [(1, 2, -1, 0, 7, 21)]
+
+
+def test_columns_that_clash(spark, words):
+    rows = [(1, words("i", 30), 5, "a", "b"), (None, words("j", 30), 6, "c", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hits int, earlier_hits_ string, item_id string")
+    items = spark.createDataFrame([(1, words("i", 30))], "item_id long, text string")
+    kept = d.decontaminated(docs, items)
+    assert kept.columns == docs.columns and [tuple(x) for x in kept.collect()] == [rows[1]]
+    assert len(d.matches(docs, items).collect()) == 1
 
 
 def test_frequent_grams_lose_nothing(monkeypatch, words):
