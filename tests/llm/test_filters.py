@@ -200,28 +200,71 @@ def test_frequent_grams_lose_nothing(monkeypatch, words):
 def test_licenses(spark, docs_of, words):
     grant = dict(license_scan.TEMPLATES)["mit-grant"]
     cut = grant.split()
-    rows = [(1, words(1, 300)), (2, f"{words(2, 40)}\nReleased under the MIT License.\n{words(3, 40)}"), (3, words(4, 501) + " " + grant.upper()), (4, " ".join([*cut[:20], "changed", *cut[21:]])), (5, " ".join(cut[: len(cut) // 2])), (6, None), (7, ""), (8, "MIT License"), (9, "Released under the MIT License. " * 3), (9, "Licensed under CC BY-NC 4.0.")]
-    got = sorted((r["doc_id"], r["template"], round(r["containment"], 2)) for r in license_scan.matches(docs_of(rows)).collect())
-    names = [(i, t) for i, t, _ in got]
-    assert names == [(2, "mit"), (3, "mit-grant"), (4, "mit-grant"), (9, "cc-by-nc-4.0"), (9, "mit")]  # neighbouring matches are one
+    rows = [(1, words(1, 300)), (2, f"{words(2, 40)}\nReleased under the MIT License.\n{words(3, 40)}"), (3, words(4, 501) + " " + grant.upper()), (4, " ".join([*cut[:20], "changed", *cut[21:]])), (5, " ".join(cut[: len(cut) // 2])), (6, None), (7, ""), (8, "MIT License"), (9, "Released under the MIT License. " * 3), (9, "Licensed under CC BY-NC 4.0."), (None, grant + " and " + grant)]
+    n = len(license_scan.WORD.findall(grant))
+    got = sorted((r["doc_id"] or 99, r["template"], r["first"], r["end"]) for r in license_scan.matches(docs_of(rows)).collect())
+    names = [(i, t) for i, t, _, _ in got]
+    assert names == [(2, "mit"), (3, "mit-grant"), (4, "mit-grant"), (9, "cc-by-nc-4.0"), (9, "mit"), (9, "mit"), (9, "mit"), (99, "mit-grant"), (99, "mit-grant")]
+    assert [x[2:] for x in got[-2:]] == [(0, n), (n + 1, 2 * n + 1)] and [x[2:] for x in got[4:7]] == [(0, 5), (5, 10), (10, 15)]
     assert license_scan.matches(docs_of(rows), []).count() == 0 and license_scan.matches(docs_of([])).count() == 0
-    clash = spark.createDataFrame([(1, "Released under the MIT License.", 5)], "doc_id long, text string, matches int")
-    assert license_scan.with_matches(clash).columns == ["doc_id", "text", "matches"]
-
-
-def test_license_places_against_exact_search(words):
-    """Every place of a template with up to a quarter of its shingles broken is found."""
+    clash = spark.createDataFrame([(1, "Released under the MIT License.", 5, "a")], "doc_id long, text string, matches int, earlier_matches_ string")
+    out = license_scan.with_matches(clash)
+    assert out.columns == ["doc_id", "text", "earlier_matches_", "matches"] and len(out.first()["matches"]) == 1
+
+
+def plain_matches(templates, text):
+    """All matches by a plain search over the whole text, by words, without windows or hashes."""
+    words, out = [w.lower() for w in license_scan.WORD.findall(text or "")], set()
+    for name, t in templates:
+        own = [w.lower() for w in license_scan.WORD.findall(t or "")]
+        width, drift = min(5, len(own)), len(own) // 4 + 1
+        if not own:
+            continue
+        at: dict = {}
+        for k in range(len(own) - width + 1):
+            at.setdefault(tuple(own[k : k + width]), []).append(k)
+        hits = [(p - k, p, sh) for p in range(len(words) - width + 1) for sh in [tuple(words[p : p + width])] for k in at.get(sh, ())]
+        if len(own) < 5:
+            drift = 1
+        found = set()
+        for low in range(-len(own) // drift * drift - drift, len(words) + drift, drift):
+            band = [(p, sh) for d_, p, sh in hits if low <= d_ < low + (2 * drift if len(own) >= 5 else 1)]
+            if band and 4 * len({sh for _, sh in band}) >= 3 * len(at):
+                found.add((len({sh for _, sh in band}) / len(at), min(band)[0], max(band)[0] + width))
+        kept: list = []
+        for m in sorted(found, key=lambda m: (-m[0], m[2] - m[1], m[1])):
+            if not any(m[1] < b and a < m[2] for _, a, b in kept):
+                kept.append(m)
+        out |= {(name, *m) for m in kept}
+    return out
+
+
+def test_license_matches_against_plain_search(words):
+    """Whole rows: template, containment and span; of broken, doubled and neighbouring texts."""
     r = random.Random(6)
-    index = license_scan.indexed(license_scan.TEMPLATES)
-    for _ in range(150):
-        name, text = r.choice(license_scan.TEMPLATES)
-        own = license_scan.WORD.findall(text)
-        broken = list(own)
-        if len(own) > 30:
-            broken[r.randrange(len(own))] = "other"
-        at = r.randint(0, 400)
-        doc = " ".join([*words(at, at).split(), *broken, *words(at + 1, r.randint(0, 90)).split()])
-        assert name in {m[0] for m in license_scan.scan(index, doc)}, (name, at)
+    templates = [*license_scan.TEMPLATES, ("tiny", "two words"), ("one", "zqx"), ("none", "?!"), ("periodic", "la la le " * 9)]
+    index = license_scan.indexed(templates)
+    for n in range(120):
+        doc = words(n, r.randint(0, 300)).split()
+        for _ in range(r.randint(1, 3)):
+            own = license_scan.WORD.findall(r.choice(templates)[1])
+            for _ in range(r.randint(0, max(0, len(own) // 20))):
+                k, j = r.randrange(3), r.randrange(len(own))
+                own[j : j + (k != 2)] = ["other"] if k != 1 else []
+            if r.random() < 0.1:
+                own = own[: len(own) // 2]
+            doc += [*own, *words(n + 0.5, r.choice([0, 1, 40])).split()]
+        got = license_scan.scan(index, " ".join(doc))
+        assert set(got) == plain_matches(templates, " ".join(doc)) and len(set(got)) == len(got), n
+
+
+def test_blocks_of_templates_change_nothing(spark, docs_of, words, monkeypatch):
+    docs = docs_of([(i, words(i, 30) + " " + t) for i, (_, t) in enumerate(license_scan.TEMPLATES)])
+    one = sorted(map(tuple, license_scan.matches(docs).collect()))
+    monkeypatch.setattr(license_scan, "MOST_TEMPLATE_WORDS", 200)
+    assert len(list(license_scan.blocks_of(license_scan.TEMPLATES))) > 4
+    table = spark.createDataFrame(license_scan.TEMPLATES, "name string, text string")
+    assert sorted(map(tuple, license_scan.matches(docs, table).collect())) == one and len(one) >= len(license_scan.TEMPLATES)
 
 
 # Quality.
