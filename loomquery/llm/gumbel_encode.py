@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lattice import LONG, MARK, Vocabulary, arcs, by_length, load_pieces, log_sum, tokenizer_path
-from .words import mixed
+from .words import mixed, sliced
 
 K = 2
 #: -log(2 ** -54), above any noise that a uniform number with 53 bits can give.
@@ -432,31 +432,21 @@ def row_key(seed: int, key) -> int:
 SAMPLES_DDL = "array<struct<ids: array<int>, log_p: double, value: double, inclusion: double>>"
 
 
-def cut(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Slices of about BATCH_CHARS characters of text, of one row at least: memory follows them, not the batch."""
-    sizes = np.array([len(t) if t else 0 for t in batch[text].to_pylist()], np.int64)
-    part = (np.cumsum(sizes) - sizes) // BATCH_CHARS
-    for p in np.unique(part):
-        rows = np.flatnonzero(part == p)
-        yield batch.slice(int(rows[0]), len(rows))
-
-
 def encode_rows(shared, key: str, text: str, k: int, seed: int, with_decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = shared.value
         offsets = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-        for whole in batches:
-            for batch in cut(whole, text):
-                texts = [t or "" for t in batch[text].to_pylist()]
-                found = sample_batch(enc, texts, [row_key(seed, x) for x in batch[key].to_pylist()], k)
-                ids = [i for own, _ in found for i, _, _ in own]
-                figures = [(lp, v, inclusion(lp, threshold)) for own, threshold in found for _, lp, v in own]
-                lists = pa.ListArray.from_arrays(offsets([len(x) for x in ids]), pa.array(np.concatenate(ids), pa.int32()))
-                rows = pa.StructArray.from_arrays([lists, *(pa.array([x[i] for x in figures], pa.float64()) for i in range(3))], ["ids", "log_p", "value", "inclusion"])
-                added = [pa.ListArray.from_arrays(offsets([len(own) for own, _ in found]), rows)]
-                if with_decoded:
-                    added.append(pa.array([all(enc.decode(i.tolist()) == t for i, _, _ in own) for t, (own, _) in zip(texts, found, strict=True)]))
-                yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "samples", *["exact"] * with_decoded])
+        for batch in sliced(batches, text, BATCH_CHARS):
+            texts = [t or "" for t in batch[text].to_pylist()]
+            found = sample_batch(enc, texts, [row_key(seed, x) for x in batch[key].to_pylist()], k)
+            ids = [i for own, _ in found for i, _, _ in own]
+            figures = [(lp, v, inclusion(lp, threshold)) for own, threshold in found for _, lp, v in own]
+            lists = pa.ListArray.from_arrays(offsets([len(x) for x in ids]), pa.array(np.concatenate(ids), pa.int32()))
+            rows = pa.StructArray.from_arrays([lists, *(pa.array([x[i] for x in figures], pa.float64()) for i in range(3))], ["ids", "log_p", "value", "inclusion"])
+            added = [pa.ListArray.from_arrays(offsets([len(own) for own, _ in found]), rows)]
+            if with_decoded:
+                added.append(pa.array([all(enc.decode(i.tolist()) == t for i, _, _ in own) for t, (own, _) in zip(texts, found, strict=True)]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "samples", *["exact"] * with_decoded])
 
     return run
 

@@ -29,7 +29,7 @@ bounded by the vocabulary.
 
 Defined results: a null text is empty and has just its end token. Rows that repeat, or share an id, or have a null id, are
 each scored (and each counted in training). A null kind is a kind. Without training texts all words are scored by the
-vocabulary's own scores. An empty table gives an empty result. A very long text is one row: its distinct words are in memory once. Other
+vocabulary's own scores. An empty table gives an empty result. A very long text is taken by itself: its distinct words are in memory at once. Other
 columns of the input are not read, whatever their names.
 """
 
@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from .common import dropped, written
 from .lattice import MARK, Vocabulary, expected_counts, forward, load_pieces, tokenizer_path
-from .words import split_words
+from .words import sliced, split_words
 
 FREQUENT = 200_000
 #: Longer words take the join however frequent they are, so the table of frequent words has a bound in bytes.
@@ -56,6 +56,8 @@ FREQUENT_BYTES = 64
 ROUNDS, PRIOR, SPREAD = 2, 100, 2000.0
 #: The stop's probability before training.
 STOP = 0.3
+#: Characters of texts whose words are in memory at once, about (one text at least).
+SLICE_CHARS = 1 << 19
 #: Words that the lattice takes at once.
 ROWS = 200_000
 CODE_POINTS = 0x110000
@@ -181,10 +183,8 @@ def text_rows(frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bases, scores, model = frequent.value
         end_base, end_known = model.end()
-        for batch in batches:
+        for batch in sliced(batches, "text", SLICE_CHARS):
             texts = [Counter(split_words(t, lower=True)) for t in batch["text"].to_pylist()]
-            if not texts:
-                continue
             met = [[(i, c) for w, c in counts.items() if (i := table.get(w)) is not None] for counts in texts]
             of = np.repeat(np.arange(len(texts)), [len(x) for x in met])
             at, n = (np.array([x[k] for own in met for x in own], np.int64) for k in range(2))

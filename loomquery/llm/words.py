@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Odd multipliers of the rolling hashes; both have a large multiplicative order modulo 2**64.
@@ -16,6 +19,16 @@ def split_words(text: str | None, lower: bool = False) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
+def sliced(batches: Iterator[pa.RecordBatch], text: str, chars: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about `chars` characters of text, of one row at least: memory follows them, not the batches."""
+    for batch in batches:
+        sizes = np.array([len(t) if t else 0 for t in batch[text].to_pylist()], np.int64)
+        part = (np.cumsum(sizes) - sizes) // chars
+        for p in np.unique(part):
+            rows = np.flatnonzero(part == p)
+            yield batch.slice(int(rows[0]), len(rows))
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     digest = xxhash.xxh3_64_intdigest
     return np.fromiter((digest(w) for w in words), np.uint64, len(words))
