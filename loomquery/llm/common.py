@@ -19,22 +19,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a local one only where none is named."""
+    """The folder that all executors share, as the session names it. Only a local session, whose one machine
+    shares its disk, falls back to a temporary folder; elsewhere a missing setting is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         set_by_code = sc._jsc.sc().getCheckpointDir()
         if set_by_code.isDefined():
             return set_by_code.get()
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.gettempdir()}/loomquery-shared"
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+    """`df` as a Parquet table in the shared folder: cuts lineage and survives lost executors. The table goes when it is
+    `dropped`, or else when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -47,6 +53,17 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def met(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """`rows` joined with `one`, an aggregate with a row for each value of the integer column `key`.
+
+    A join on the key itself would take over the aggregate's partitions, in which a hot key is one task. On the key's
+    complement each side is dealt for the join alone, so adaptive execution can split what is hot, or send a small
+    aggregate to where the rows are.
+    """
+    name = free_name(rows, "not_")
+    return rows.withColumn(name, F.bitwise_not(key)).join(one.withColumn(name, F.bitwise_not(key)).drop(key), name).drop(name)
+
+
 def ascii_lower(c):
     """Lower-case A to Z only, as the contracts of the corpus queries ask."""
     return F.translate(c, UPPER, LOWER)

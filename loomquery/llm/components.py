@@ -5,26 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, met, written
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").union(e.select("v", "u"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return met(both, least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     least = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = met(e, least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least).distinct()
 
 
 def stars(edges: DataFrame, label: str = "stars") -> DataFrame:
     """(u, v): each node u that isn't the least of its component, with the least node v.
 
-    `edges` has integer columns a and b. Minima are combined before shuffling, so hubs cost no more than
-    their edges; each round is a written table. The rounds grow with the logarithm of the longest chain.
+    `edges` has integer columns a and b. Minima are combined before shuffling, and the way back from a node to its edges is
+    a join that splits hubs. Each round is a written table; their number grows with the logarithm of the longest chain.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
     e, seen = written(e, label), None

@@ -13,21 +13,25 @@ members unlike each other (each is like the original, say), so a key's classes a
 1. Star: each key's member with the most company over all its keys, which an original is, is compared with the others
    of the key. Verified links make components, and a key whose members are all in one is done.
 2. Keys of fewer than `HEAVY` members: the pairs of members in different components are compared.
-3. Larger keys: the members that such keys connect are a cluster. A cluster is cut into blocks of about `BLOCK`
-   members, and each two blocks meet in one task, which compares members of different components, by signature,
-   then by full sets, joins what is alike, and returns only the links that join components. So a cluster's work
-   grows with its square, spread over many tasks, but no rows do, and no task holds more than two blocks.
+3. Larger keys: the members that such keys connect are a cluster, whose signatures (and no sets) are cut into blocks of
+   about `BLOCK` members. Each two blocks meet in one task. There each member that was outside the cluster's largest
+   component lists the others that pass the signature distance, closest first, and names those of the next places of its list, NAMED
+   in the first round and GROWS times as many in each further one, that are still in other components. Named pairs are
+   verified and their components joined before the next round, until no list has a place left. So what leaves
+   a task is a few pairs a member, not the square of the block, and no link is passed over. A cluster's signatures are
+   sent once for each of its blocks: the square of its members over BLOCK, a hundred bytes each.
 
 Every pair of members of a key is compared or already connected, so no link is lost but by the index's stated chance.
 
 Compared pairs first pass the signature distance (34 of 60, missed with probability 4e-8 at similarity 0.75),
 then an exact intersection of full sets of 64-bit shingle hashes. Hot keys and centres: counts and minima are
-combined before shuffling, and the joins have one row a key on the other side, so adaptive execution can split
-them. The state between steps is written to the shared folder.
+combined before shuffling, and the joins have one row a key on the other side and are dealt for themselves (`common.met`), so
+adaptive execution can split them. The state between steps is written to the shared folder. Python's batches are bounded by
+the session's Arrow limits of rows and bytes; a very long text's set is in memory as a whole, eight bytes a shingle.
 
-Defined results: texts without words are linked with nothing; a text of one to four words has one shingle,
-the whole sequence. Rows that share a doc_id are one node. Rows with a null id stay alone: a null component,
-kept. An empty table gives an empty result.
+Defined results: null and empty texts, and texts without words, are linked with nothing; a text of one to four words has one
+shingle, the whole sequence. Rows that share a doc_id are one node, whatever their texts. Rows with a null id stay alone: a null component,
+kept. An empty table gives an empty result. Other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, met, written
 from .components import stars
 from .words import mixed, rolling, signed, split_words, word_hashes
 
@@ -49,7 +53,9 @@ CHUNKS, SYMBOLS, ERRORS = 12, 5, 1
 #: Signatures further apart than this aren't compared exactly.
 FARTHEST = 34
 #: Members from which a key's open pairs are compared in blocks, and the members of a block.
-HEAVY, BLOCK = 64, 256
+HEAVY, BLOCK = 64, 4096
+#: Places of a member's list that a task names in the first round, and the growth from round to round.
+NAMED, GROWS = 8, 8
 
 #: Odd multipliers, one a signature value, from a fixed seed.
 MULTIPLIERS = np.random.default_rng(20).integers(1, 2**63, CHUNKS * SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -133,32 +139,28 @@ def verified_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[np.array(at, bool), ["a", "b"]]
 
 
-def block_links(group: pd.DataFrame) -> pd.DataFrame:
-    """The links between members of two blocks, or of one, that join different components."""
-    first, second = int(group["u1"].iloc[0]), int(group["u2"].iloc[0])
-    reps, sigs = group["rep"].to_numpy(), signatures_of(group["sig"])
-    sets = [np.frombuffer(x, np.uint64) for x in group["full"]]
-    block = group["block"].to_numpy()
-    root = {label: label for label in group["label"]}
-    labels = group["label"].tolist()
-
-    def find(x):
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    found = []
-    others = np.flatnonzero(block == second)
-    for a in np.flatnonzero(block == first):
-        rest = others[others > a] if first == second else others
-        far = (sigs[rest] != sigs[a]).sum(axis=1)
-        near = np.flatnonzero(far <= FARTHEST)
-        for b in rest[near[np.argsort(far[near], kind="stable")]].tolist():
-            x, y = find(labels[a]), find(labels[b])
-            if x != y and alike(sets[a], sets[b]):
-                root[x] = y
-                found.append((reps[a], reps[b]))
-    return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+def block_pairs(low: int, high: int):
+    """Pairs (a, b) of different components, b at the places low to high of a's list; a null b: the list goes on."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        first, second = int(group["u1"].iloc[0]), int(group["u2"].iloc[0])
+        group = group.sort_values("rep")
+        reps, labels, block, asks = (group[c].to_numpy() for c in ("rep", "label", "block", "asks"))
+        sigs, found = signatures_of(group["sig"]), []
+        for here, there in {(first, second), (second, first)}:
+            others = np.flatnonzero(block == there)
+            for a in np.flatnonzero((block == here) & asks):
+                far = (sigs[others] != sigs[a]).sum(axis=1)
+                near = np.flatnonzero(far <= FARTHEST)
+                rest = others[near[np.argsort(far[near], kind="stable")]]
+                rest = rest[rest != a]
+                open_ = labels[rest] != labels[a]
+                found += [(reps[a], reps[b]) for b in rest[low:high][open_[low:high]]]
+                if open_[high:].any():
+                    found.append((reps[a], None))
+        return pd.DataFrame({"a": pd.Series([a for a, _ in found], dtype="int64"), "b": pd.Series([b for _, b in found], dtype="Int64")})
+
+    return run
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -183,28 +185,52 @@ def open_keys(members: DataFrame, forest: DataFrame) -> DataFrame:
     by = labelled.groupBy("key", "label").agg(F.count("*").cast("double").alias("n"))
     stats = by.groupBy("key").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max(F.struct("n", "label"))["label"].alias("top"))
     stats = stats.filter("most < size").select("key", "size", "top")
-    return labelled.join(stats, "key")
-
-
-def in_blocks(heavy: DataFrame, reps: DataFrame, full: DataFrame) -> DataFrame:
-    """The links (a, b) between components of the clusters that the keys of `heavy` make."""
-    least = heavy.groupBy("key").agg(F.min("rep").alias("b"))
-    cluster = stars(heavy.select("key", F.col("rep").alias("a")).join(least, "key").select("a", "b"), "near-clusters")
-    nodes = heavy.select("rep", "label").distinct().join(cluster.toDF("rep", "root"), "rep", "left")
-    nodes = nodes.select("rep", "label", F.coalesce("root", "rep").alias("cluster"))
-    blocks = nodes.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    nodes = nodes.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    nodes = nodes.join(reps.select("rep", "sig"), "rep").join(full, "rep")
-    meets = nodes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meets = meets.select("cluster", F.least("block", "other").alias("u1"), F.greatest("block", "other").alias("u2"), "block", "rep", "label", "sig", "full")
-    return meets.groupBy("cluster", "u1", "u2").applyInPandas(block_links, "a long, b long")
+    return met(labelled, stats, "key")
+
+
+def labelled_nodes(nodes: DataFrame, forest: DataFrame) -> DataFrame:
+    return nodes.join(forest.toDF("rep", "root"), "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
+
+
+def in_blocks(heavy: DataFrame, reps: DataFrame, full: DataFrame, forest: DataFrame) -> DataFrame:
+    """`forest` with the links within the clusters that the keys of `heavy` (key, rep) make."""
+    # A key is a node beside its members: a number that is a member's too would only join two clusters.
+    cluster = stars(heavy.select(F.col("rep").alias("a"), F.col("key").alias("b")), "near-clusters")
+    nodes = heavy.select("rep").distinct().join(cluster.toDF("rep", "root"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("cluster"))
+    sizes = labelled_nodes(nodes, forest).groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster")
+    sizes = sizes.agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.max(F.struct("n", "label"))["label"].alias("top"))
+    nodes = met(labelled_nodes(nodes, forest), sizes, "cluster").select("rep", "cluster", "blocks", (F.col("label") != F.col("top")).alias("asks"))
+    nodes = nodes.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(reps.select("rep", "sig"), "rep")
+    nodes = written(nodes, "near-blocks")
+    low, high = 0, NAMED
+    while True:
+        now = labelled_nodes(nodes, forest)
+        apart = now.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("cluster")
+        meets = met(now, apart, "cluster").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        meets = meets.select("cluster", F.least("block", "other").alias("u1"), F.greatest("block", "other").alias("u2"), "block", "rep", "label", "asks", "sig")
+        named = written(meets.groupBy("cluster", "u1", "u2").applyInPandas(block_pairs(low, high), "a long, b long"), "near-named")
+        pairs = named.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        forest = joined(forest, verified(pairs, reps, full))
+        more = named.filter("b is null").limit(1).count()
+        dropped(named)
+        if not more:
+            dropped(nodes)
+            return forest
+        low, high = high, GROWS * high
+
+
+def joined(forest: DataFrame, links: DataFrame) -> DataFrame:
+    """The forest of an earlier one, which goes, and more links."""
+    out = stars(forest.toDF("a", "b").union(links), "near-forest")
+    dropped(forest)
+    return out
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(u, v): a forest over class representatives; v is the least node of u's component."""
     members = classes.select("rep", "sig").mapInPandas(key_rows, "key long, rep long")
     several = members.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("key", "size")
-    members = written(members.join(several, "key"), "near-keys")
+    members = written(met(members, several, "key"), "near-keys")
     company = members.groupBy("rep").agg(F.sum("size").alias("company"))
     indexed = company.select("rep")
     reps = written(classes.select("rep", "sig").join(company, "rep"), "near-signatures")
@@ -212,7 +238,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     full = written(full, "near-sets")
 
     best = members.join(reps.select("rep", "company"), "rep").groupBy("key").agg(F.max(F.struct("company", "rep"))["rep"].alias("a"))
-    pairs = members.join(best, "key").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    pairs = met(members, best, "key").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     forest = stars(verified(pairs, reps, full), "near-forest")
 
     left = written(open_keys(members.select("key", "rep"), forest), "near-open")
@@ -220,9 +246,11 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     light, heavy = left.filter(F.col("size") < HEAVY), left.filter(F.col("size") >= HEAVY)
     apart = light.filter("label <> top").select("key", F.col("rep").alias("a"), F.col("label").alias("la"))
     pairs = light.join(apart, "key").filter("la <> label and (label = top or rep < a)").select("a", F.col("rep").alias("b")).distinct()
-    forest = stars(forest.toDF("a", "b").union(verified(pairs, reps, full)), "near-forest")
-    now = heavy.select("key", "rep").join(forest.toDF("rep", "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("label"))
-    return stars(forest.toDF("a", "b").union(in_blocks(written(now, "near-heavy"), reps, full)), "near-forest")
+    forest = joined(forest, verified(pairs, reps, full))
+    forest = in_blocks(heavy.select("key", "rep"), reps, full, forest)
+    for table in (left, reps, full):
+        dropped(table)
+    return forest
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -236,11 +264,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same = (rows["d1"] == shared["d1"]) & (rows["d2"] == shared["d2"]) & (rows["n_shingles"] == shared["n"])
     own = rows.join(shared, same, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).alias("rep"))
     own = written(own, "near-own")
+    for table in (rows, classes):
+        dropped(table)
     # Rows that share a doc_id but not their set are one node.
     several = own.filter("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("doc_id")
     if several.limit(1).count():
         ties = own.filter("rep is not null").join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-        forest = stars(forest.toDF("a", "b").union(ties), "near-forest")
+        forest = joined(forest, ties)
     named = own.join(forest.toDF("rep", "root"), "rep", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep"))
     out = named.select("doc_id", "n_shingles", component.alias("component_id"))

@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from loomquery.llm import components, merkle, near_dedup, substring_dedup
@@ -89,6 +90,8 @@ def test_near_duplicates(docs_of, words, monkeypatch, heavy):
     """With a low bound, most of the large group goes through blocks."""
     monkeypatch.setattr(near_dedup, "HEAVY", heavy)
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "NAMED", 1)
+    monkeypatch.setattr(near_dedup, "GROWS", 3)
     rows = corpus(words)
     got = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs_of(rows)).collect()}
     want = brute_components(rows)
@@ -136,6 +139,25 @@ def test_near_duplicates_of_odd_tables(spark, docs_of):
     assert got == [(-1, None, True), (3, 3, True), (5, 3, False), (5, 3, False), (9, 3, False)]
 
 
+def test_blocks_name_each_pair_in_some_round():
+    """A member's list is cut into places; later rounds go on where the earlier ones stopped."""
+    r = np.random.default_rng(5)
+    sig = r.integers(0, 3, (60, 60)).astype(np.uint16)  # many pairs pass the distance
+    label = np.arange(60) // 3
+    group = lambda u, rows: pd.DataFrame({"u1": u[0], "u2": u[1], "rep": rows, "block": rows % 2, "label": label[rows], "asks": label[rows] != 0, "sig": [sig[i].tobytes() for i in rows]})
+    near = {(a, b) for a in range(60) for b in range(60) if a != b and label[a] != label[b] and (sig[a] != sig[b]).sum() <= near_dedup.FARTHEST}
+    named, low, high = set(), 0, 1
+    while True:
+        got = pd.concat([near_dedup.block_pairs(low, high)(group(u, np.flatnonzero(np.isin(np.arange(60) % 2, u)))) for u in ((0, 0), (0, 1), (1, 1))])
+        pairs = got[got["b"].notna()]
+        assert len(pairs) <= 60 * 2 * (high - low) * 2
+        named |= set(zip(pairs["a"], pairs["b"].astype(int), strict=True))
+        if not got["b"].isna().any():
+            break
+        low, high = high, 3 * high
+    assert high > 3 and named == {(a, b) for a, b in near if label[a] != 0}
+
+
 # Repeated passages.
 def brute_removed(rows, width=50):
     first = {}
