@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from helpers import SMALL
@@ -289,11 +292,84 @@ def test_quality(spark, docs_of, words):
 def test_quality_reads_labels_of_the_training_fold_only(spark, docs_of, words):
     rows = [(i, words(i, 30) + ("!!! " * 30 if i % 3 == 0 else "")) for i in range(300)]
     labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)], "doc_id long, quality int")
-    flipped = labels.withColumn("quality", url_rules.F.when(doc_fold(url_rules.F.col("doc_id"), 3) == 1, 1 - url_rules.F.col("quality")).otherwise(url_rules.F.col("quality")))
+    flipped = labels.withColumn("quality", F.when(doc_fold(F.col("doc_id"), 3) == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
     take = lambda x: {r["doc_id"]: r["score"] for r in quality.score_texts(docs_of(rows), x, lambda i: doc_fold(i, 3) != 1).collect()}
     assert take(labels) == take(flipped)
 
 
+def test_quality_reads_positive_labels_only(spark, docs_of, words):
+    rows = [(i, words(i, 30) + ("!!! " * 30 if i % 3 == 0 else "")) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)], "doc_id long, quality int")
+    take = lambda x: {r["doc_id"]: r["score"] for r in quality.score_texts(docs_of(rows), x, lambda i: doc_fold(i, 3) != 1).collect()}
+    assert take(labels) == take(labels.filter("quality = 1"))
+
+
+def test_many_rows_of_one_id_teach_once(spark, docs_of, words, monkeypatch):
+    rows = [(i, words(i, 30)) for i in range(60)] + [(7, words(1000 + i, 10)) for i in range(500)] + [(None, "no id")] * 50
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 60, 2)] + [(7, 1)], "doc_id long, quality int")
+    seen, fitted = [], quality.fitted
+    monkeypatch.setattr(quality, "fitted", lambda p, u, *a: seen.append((len(p), len(u))) or fitted(p, u, *a))
+    docs = docs_of(rows).select("doc_id", "text", F.lit(1).alias("score"), F.lit("g").alias("good"))
+    got = quality.score_texts(docs, labels, lambda i: F.lit(True))
+    assert got.columns == ["doc_id", "text", "good", "score", "predicted"] and got.count() == len(rows)
+    assert max(seen) == (31, 60)  # and halves of them for the prior
+    seen.clear()
+    quality.score_texts(docs, labels, lambda i: F.lit(True), most_positives=10, most_unlabelled=20)
+    assert max(seen) == (10, 20)
+    seen.clear()
+    quality.score_texts(docs, labels, lambda i: F.lit(True), most_positives=None, most_unlabelled=None)
+    assert max(seen) == (31, 60)
+
+
+def test_risk_and_its_slopes_against_direct_computation():
+    r = np.random.default_rng(1)
+    unbiased = lambda gp, gu, prior: (prior * sum(math.log(1 + math.exp(-x)) for x in gp) / len(gp), sum(math.log(1 + math.exp(x)) for x in gu) / len(gu) - prior * sum(math.log(1 + math.exp(x)) for x in gp) / len(gp))
+    branches = set()
+    for prior, lift in ((0.3, 0.0), (0.9, 0.0), (0.9, 4.0), (0.99, 2.0)):
+        gp, gu = r.normal(lift, 1, 5), r.normal(0, 1, 7)
+        good, bad = quality.risk(gp, gu, prior)
+        assert np.allclose((good, bad), unbiased(gp, gu, prior))
+        branches.add(bad >= 0)
+        target = (lambda x: sum(quality.risk(x[:5], x[5:], prior))) if bad >= 0 else (lambda x: -quality.risk(x[:5], x[5:], prior)[1])  # noqa: B023
+        x = np.concatenate([gp, gu])
+        steps = np.eye(12) * 1e-6
+        numeric = [(target(x + e) - target(x - e)) / 2e-6 for e in steps]
+        assert np.allclose(numeric, quality.slopes(gp, gu, prior), atol=1e-8)
+        apart = lambda x: np.logaddexp(0, -x[:5]).mean() + np.logaddexp(0, x[5:]).mean()
+        assert np.allclose([(apart(x + e) - apart(x - e)) / 2e-6 for e in steps], quality.apart_slopes(gp, gu), atol=1e-8)
+    assert branches == {True, False}
+
+
+def test_network_gradient_against_differences():
+    r = np.random.default_rng(2)
+    net = quality.Network(r.normal(0, 1, (9, 6)))
+    z, weights = r.normal(0, 1, (9, 6)), r.normal(0, 1, 9)
+    before = [p.copy() for p in net.params]
+    g, h = net.raw(z)
+    moved = quality.Network(r.normal(0, 1, (9, 6)))
+    moved.params = [p.copy() for p in before]
+    moved.step(z, h, weights)
+    loss = lambda: float((net.raw(z)[0] * weights).sum())
+    for p, q in zip(net.params, moved.params, strict=True):  # Adam's first step goes against the gradient's sign
+        flat, out = p.reshape(-1), (q - p).reshape(-1)
+        for i in range(0, len(flat), 7):
+            flat[i] += 1e-6
+            up = loss()
+            flat[i] -= 2e-6
+            slope = (up - loss()) / 2e-6
+            flat[i] += 1e-6
+            assert abs(slope) < 1e-3 or np.sign(out[i]) == -np.sign(slope)
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.85])
+def test_prior_from_positives_and_unlabelled_texts(prior):
+    r = np.random.default_rng(int(prior * 100))
+    good = lambda n: r.normal(1.5, 1, (n, 4))
+    n = int(prior * 3000)
+    unlabelled = np.concatenate([good(n), r.normal(-1.5, 1, (3000 - n, 4))])
+    assert abs(quality.estimated_prior(good(1200), unlabelled) - prior) < 0.08
+
+
 # Rollups.
 def change(spark, *rows):
     return spark.createDataFrame(rows, "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long")
