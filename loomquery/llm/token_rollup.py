@@ -6,19 +6,23 @@ deltas, summed by key (combined before the shuffle, so a hot source is one row a
 small table. Totals are the sum of all committed batches; sums commute, so batches may come in any order.
 
 A commit is idempotent: a batch is known by its id. Its deltas are written under a name of their own, then renamed to the
-batch's folder, which exists just when the batch is committed. Committing an id again does nothing, a job
+batch's folder, which exists just when the batch is committed. Committing an id again does nothing if its deltas
+are the same, which a digest kept with the batch tells, and is an error if they aren't. A job
 that dies leaves no trace that counts, and of two that race the second's rename fails. `compact` sums the
-committed batches into a snapshot that lists them; readers take the newest complete snapshot and the batches it
-doesn't list. (Renaming is atomic on HDFS and local disks; a store without it needs a lock around commit.)
+committed batches into a snapshot with a table of their ids; readers take the newest complete snapshot and the batches
+whose ids that table lacks, by an anti join: neither ids nor deltas come to the driver. (Renaming is atomic on HDFS and local disks; a
+store without it needs a lock around commit.)
 
-Defined results: null sources and languages are keys of their own. A null count is 0. A key whose documents
+Defined results: null sources, languages and tokenizers are keys of their own. A null count is 0. A key whose documents
 and tokens are both 0 is left out of the totals. An unknown op is an error that commits nothing. Repeated rows of a
-batch each count: a batch holds each change once.
+batch each count: a batch holds each change once. A batch without changes is committed and adds nothing; without batches there are no
+totals. A very long text is counted whole, by itself. Other columns of a batch or of the documents are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -43,6 +47,12 @@ def deltas(changes: DataFrame) -> DataFrame:
     return summed(rows)
 
 
+def digest_of(sums: DataFrame) -> str:
+    """The name of the file that marks a batch of these deltas, whatever their order."""
+    n, total = sums.agg(F.count("*"), F.sum(F.xxhash64(*KEYS, "n_docs", "n_tokens").cast("decimal(38,0)"))).first()
+    return f"_digest_{n}_{total or 0}"
+
+
 def summed(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
@@ -63,29 +73,39 @@ class Rollup:
         return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
 
     def committed(self) -> list[str]:
-        return self._names("batches")
+        return [n.removeprefix("batch=") for n in self._names("batches")]
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Adds a batch's changes to the totals; False if a batch of this id is there already."""
-        if not batch or "/" in batch or batch.startswith((".", "_")):
+        """Adds a batch's changes to the totals; False if the batch is there already. Another batch of its id is an error."""
+        if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", batch or ""):
             raise ValueError(f"not a batch id: {batch!r}")
-        fs, to = self._at("batches", batch)
+        fs, to = self._at("batches", f"batch={batch}")
         if fs.exists(to):
-            return False
+            return self._same(batch, deltas(changes))
         attempt = f"attempt-{uuid.uuid4().hex}"
-        deltas(changes).coalesce(1).write.parquet(f"{self.path}/attempts/{attempt}")
+        deltas(changes).write.parquet(f"{self.path}/attempts/{attempt}")
+        sums = self.spark.read.schema(TOTALS).parquet(f"{self.path}/attempts/{attempt}")
+        fs.create(self._at("attempts", attempt, digest_of(sums))[1]).close()
         fs.mkdirs(to.getParent())
         _, made = self._at("attempts", attempt)
         # A rename onto a folder that has come up meanwhile would move this one into it: look, then undo.
         if fs.exists(to) or not fs.rename(made, to):
+            same = self._same(batch, sums)
             fs.delete(made, True)
-            return False
-        nested, where = self._at("batches", batch, attempt)
+            return same
+        nested, where = self._at("batches", f"batch={batch}", attempt)
         if nested.exists(where):
             nested.delete(where, True)
             return False
         return True
 
+    def _same(self, batch: str, sums: DataFrame) -> bool:
+        """False, if the committed batch of this id has these deltas; else an error."""
+        fs, mark = self._at("batches", f"batch={batch}", digest_of(sums))
+        if not fs.exists(mark):
+            raise ValueError(f"batch {batch!r} is committed with other changes")
+        return False
+
     def commit_stream(self, name: str):
         """For foreachBatch: a micro-batch that is delivered twice counts once."""
         return lambda changes, number: self.commit(f"{name}-{number}", changes)
@@ -93,27 +113,32 @@ class Rollup:
     def _snapshots(self) -> list[str]:
         return [n for n in self._names("snapshots") if self._at("snapshots", n, "_SUCCESS")[0].exists(self._at("snapshots", n, "_SUCCESS")[1])]
 
-    def _parts(self) -> tuple[list[str], set[str]]:
-        """The tables whose sum the totals are, and the batches that they hold."""
-        newest = self._snapshots()[-1:]
-        listed = {r["batch"] for n in newest for r in self.spark.read.schema("batch string").parquet(f"{self.path}/snapshots/{n}/batches").collect()}
-        fresh = [b for b in self.committed() if b not in listed]
-        return [f"{self.path}/snapshots/{n}/totals" for n in newest] + [f"{self.path}/batches/{b}" for b in fresh], listed | set(fresh)
+    def _batches(self) -> DataFrame:
+        """The committed batches' deltas, with their ids."""
+        fs, p = self._at("batches")
+        if not fs.exists(p) or not fs.listStatus(p):
+            return self.spark.createDataFrame([], f"{TOTALS}, batch string")
+        return self.spark.read.schema(f"{TOTALS}, batch string").parquet(f"{self.path}/batches")
+
+    def _rows(self, batches: DataFrame) -> DataFrame:
+        """The rows whose sum the totals are: the newest snapshot's, and those of the batches that it doesn't hold."""
+        newest, columns = self._snapshots()[-1:], [*KEYS, "n_docs", "n_tokens"]
+        if not newest:
+            return batches.select(columns)
+        held = self.spark.read.schema("batch string").parquet(f"{self.path}/snapshots/{newest[0]}/batches")
+        fresh = batches.join(held, "batch", "left_anti").select(columns)
+        return self.spark.read.schema(TOTALS).parquet(f"{self.path}/snapshots/{newest[0]}/totals").select(columns).union(fresh)
 
     def totals(self) -> DataFrame:
-        tables, _ = self._parts()
-        rows = self.spark.read.schema(TOTALS).parquet(*tables) if tables else self.spark.createDataFrame([], TOTALS)
-        return summed(rows).filter("n_docs <> 0 or n_tokens <> 0")
+        return summed(self._rows(self._batches())).filter("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self) -> None:
         """Sums all batches so far into a snapshot. The batches' folders stay as the record of their ids."""
-        tables, batches = self._parts()
-        if not tables:
-            return
+        batches = self._batches()  # one listing for both tables: a batch that comes later is in neither
         name = f"{len(self._names('snapshots')):08d}-{uuid.uuid4().hex}"
         at = f"{self.path}/snapshots/{name}"
-        summed(self.spark.read.schema(TOTALS).parquet(*tables)).coalesce(1).write.parquet(f"{at}/totals")
-        self.spark.createDataFrame([(b,) for b in sorted(batches)], "batch string").coalesce(1).write.parquet(f"{at}/batches")
+        summed(self._rows(batches)).write.parquet(f"{at}/totals")
+        batches.select("batch").distinct().write.parquet(f"{at}/batches")
         fs, mark = self._at("snapshots", name, "_SUCCESS")
         fs.create(mark).close()
 

@@ -384,7 +384,9 @@ def test_rollup(spark, tmp_path):
     assert totals(rollup) == {}
     rollup.compact()
     load = change(spark, ("insert", "a", "en", "t1", 10, None), ("insert", "a", "en", "t1", 5, None), ("insert", None, "en", "t1", None, None), ("insert", "b", None, "t1", 7, None))
-    assert rollup.commit("load", load) and not rollup.commit("load", load)
+    assert rollup.commit("load", load) and not rollup.commit("load", load.repartition(3))
+    with pytest.raises(ValueError, match="other changes"):
+        rollup.commit("load", load.limit(2))
     fix = change(spark, ("revise", "a", "en", "t1", 6, 5), ("delete", "b", None, "t1", 7, None))
     assert rollup.commit("fix", fix)
     want = {("a", "en", "t1"): (2, 16), (None, "en", "t1"): (1, 0)}
@@ -400,6 +402,9 @@ def test_rollup(spark, tmp_path):
     assert "bad" not in rollup.committed() and rollup.committed() == ["fix", "load", "more"]
     with pytest.raises(ValueError):
         rollup.commit("../x", load)
+    assert rollup.commit("none", load.limit(0)) and not rollup.commit("none", load.limit(0)) and rollup.commit("0001", load.limit(0))
+    clash = change(spark, ("insert", "z", "en", "t1", 2, None)).selectExpr("*", "'x' AS batch", "1 AS n_docs")
+    assert rollup.commit("clash", clash) and totals(rollup)["z", "en", "t1"] == (1, 2)
     again = rollup.commit_stream("s")
     assert again(load, 0) and not again(load, 0)
 
