@@ -15,10 +15,14 @@ end of each partition, one row a partition, is combined across partitions.
 No Python runs on the executors. Cost: shuffles of urls and keys only; page bodies stay where they are
 unless the caller selects them.
 
+Keys are compared as UTF-8 bytes, and an interval ends at its key and a byte that UTF-8 never has; so any
+character may occur in a url. The rules of one host are swept in one task, sorted on disk if need be; those of different hosts apart.
+
 Defined results: a null url, and one without `://`, has an empty host and path, fits no rule and
 gets the default verdict. Repeated rows each get their verdict. No rules: every url gets the
-default verdict. Rules with an empty host are not rules. If two rules have the same host and
-path, `block` wins. U+10FFFF, which is no character, must not occur in a url.
+default verdict; no pages: an empty result. Rules with an empty or null host are not rules; a null path is an empty one. The longest
+rule (host and path together) wins; of two as long the one with the longer host; if two rules have the same host and
+path, `block` wins. A very long url is a key like others. host, path, rule and verdict replace columns of these names; other columns stay.
 """
 
 from __future__ import annotations
@@ -26,10 +30,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, partitions, written
+from .common import ascii_lower, free_name, partitions, written
 
-#: Sorts after every character, so key + LAST closes the interval of the keys that start with key.
-LAST = "\U0010ffff"
+#: Sorts after every byte of UTF-8, so key + LAST closes the interval of the keys that start with key.
+LAST = b"\xff"
 #: Their order at equal keys.
 CLOSE, OPEN, PROBE = 0, 1, 2
 
@@ -57,13 +61,13 @@ def stacked(rules: DataFrame) -> DataFrame:
         .filter("host is not null and host != ''")
         .groupBy("host", "path")
         .agg(F.min(F.struct((F.col("verdict") != "block").alias("late"), "verdict"))["verdict"].alias("verdict"))
-        .select("*", F.concat(reversed_host(F.col("host")), F.lit("/"), F.col("path")).alias("start"))
+        .select("*", F.concat(reversed_host(F.col("host")), F.lit("/"), F.col("path")).cast("binary").alias("start"))
     )
-    rule = F.struct(F.length(F.concat("host", "path")).alias("n"), F.concat("host", "path").alias("rule"), "verdict", "start")
+    rule = F.struct(F.length(F.concat("host", "path")).alias("n"), F.length("host").alias("n_host"), F.concat("host", "path").alias("rule"), "verdict", "start")
     edges = rules.select(
         "host", F.explode(F.array(
             F.struct(F.col("start").alias("key"), F.lit(OPEN).alias("kind"), F.lit(1).alias("step"), rule.alias("rule")),
-            F.struct(F.concat("start", F.lit(LAST)).alias("key"), F.lit(CLOSE).alias("kind"), F.lit(-1).alias("step"), rule.alias("rule")),
+            F.struct(F.concat("start", F.lit(bytearray(LAST))).alias("key"), F.lit(CLOSE).alias("kind"), F.lit(-1).alias("step"), rule.alias("rule")),
         )).alias("e")
     ).select("host", "e.*")
     order = [F.col("key"), F.col("kind")]
@@ -83,7 +87,7 @@ def judge(spark: SparkSession, pages: DataFrame, rules: DataFrame, url: str = "u
     # A url's probes: its last 1, 2, ... labels, no deeper than any rule goes.
     deepest = rules.agg(F.max(F.size(F.split("host", r"\."))).alias("n")).first()["n"] or 1
     labels = F.reverse(F.split("host", r"\."))
-    ancestors = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(deepest))), lambda i: F.concat(F.array_join(F.slice(labels, F.lit(1), i), "."), F.lit("/"), F.col("path")))
+    ancestors = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(deepest))), lambda i: F.concat(F.array_join(F.slice(labels, F.lit(1), i), "."), F.lit("/"), F.col("path")).cast("binary"))
     probes = urls.select("u", F.explode(ancestors).alias("key"), F.lit(PROBE).alias("kind"))
 
     edges = stacked(rules).select(F.lit(None).cast("string").alias("u"), "key", "kind", F.struct("top").alias("state"))
@@ -103,9 +107,12 @@ def judge(spark: SparkSession, pages: DataFrame, rules: DataFrame, url: str = "u
     met = met.select("u", F.coalesce("state", "carried")["top"].alias("rule")).filter("rule is not null")
     best = met.groupBy("u").agg(F.max("rule").alias("best"))
 
+    # As bytes the urls are dealt for this join alone, not with the aggregate's partitions: a hot url, or null, can be split.
+    key, own = free_name(pages, "url_"), free_name(pages, "best_")
+    best = best.select(F.col("u").cast("binary").alias(key), F.col("best").alias(own))
+    judged = pages.withColumn(key, F.col(f"`{url}`").cast("binary")).join(best, key, "left")
     host, path = parts(F.col(f"`{url}`"))
-    judged = pages.join(best, pages[url] == best["u"], "left")
-    return judged.select(*[pages[c] for c in pages.columns], host.alias("host"), path.alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return judged.select(*[F.col(f"`{c}`") for c in pages.columns], host.alias("host"), path.alias("path"), F.col(f"{own}.rule").alias("rule"), F.coalesce(f"{own}.verdict", F.lit(default)).alias("verdict"))
 
 
 #: The rules that the query's contract fixes: (verdict, host, path).

@@ -28,7 +28,7 @@ def brute_verdict(url, rules, default="allow"):
     best = None
     for verdict, h, p in rules:
         if h and host and (host == h or host.endswith("." + h)) and path.startswith(p or ""):
-            rank = (len(h + (p or "")), h + (p or ""))
+            rank = (len(h + (p or "")), len(h))
             if best is None or rank > best[0]:
                 best = (rank, h + (p or ""), verdict)
     return (host, path, best and best[1], best[2] if best else default)
@@ -44,8 +44,15 @@ def test_url_rules(spark):
     pages = spark.createDataFrame([(i, u, "host", 1) for i, u in enumerate(urls)], "page_id long, url string, verdict string, n int").repartition(5)
     table = spark.createDataFrame(rules, "verdict string, host string, path string")
     got = {x["page_id"]: (x["host"], x["path"], x["rule"], x["verdict"]) for x in url_rules.judge(spark, pages, table).collect()}
-    want = {i: brute_verdict(u, rules) for i, u in enumerate(urls)}
-    assert {i: (g[:2], g[3], g[2] and len(g[2])) for i, g in got.items()} == {i: (w[:2], w[3] if w[2] is None or sum(len(h + p) == len(w[2]) for _, h, p in rules) == 1 else got[i][3], w[2] and len(w[2])) for i, w in want.items()}
+    assert got == {i: brute_verdict(u, rules) for i, u in enumerate(urls)}
+    ties = [("allow", "b.com", "/en"), ("block", "com", "/en/x"), ("block", "net", "/\U0010ffff"), ("allow", "x.net", "/"), ("block", "x.net", "/\U0010ffff\U0010ffff")]
+    odd_urls = ["http://b.com/en/x", "http://c.com/en/x", "http://x.net/\U0010ffff", "http://x.net/\U0010ffff\U0010ffffz", "http://x.net/\U0010fffe", "http://b.com/" + "en/" * 3000, None, None]
+    table_of = lambda rows: spark.createDataFrame(rows, "verdict string, host string, path string")
+    clash = spark.createDataFrame([(i, u, 1, 2, 3) for i, u in enumerate(odd_urls)], "page_id long, url string, best int, u int, url_ int")
+    out = url_rules.judge(spark, clash, table_of(ties))
+    assert out.columns == ["page_id", "url", "best", "u", "url_", "host", "path", "rule", "verdict"]
+    assert {x["page_id"]: (x["host"], x["path"], x["rule"], x["verdict"]) for x in out.collect()} == {i: brute_verdict(u, ties) for i, u in enumerate(odd_urls)}
+    assert brute_verdict(odd_urls[0], ties)[2] == "b.com/en"
     assert url_rules.judge(spark, pages, table.limit(0), default="block").filter("verdict <> 'block' or rule is not null").count() == 0
     assert url_rules.judge(spark, pages.limit(0), table).count() == 0
     odd = spark.createDataFrame([("block", "a.com", "/en/"), ("allow", "a.com", "/en/"), ("block", "", "/"), (None, "net", None)], "verdict string, host string, path string")
