@@ -53,15 +53,18 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-def met(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
-    """`rows` joined with `one`, an aggregate with a row for each value of the integer column `key`.
+def met(rows: DataFrame, one: DataFrame, *keys: str) -> DataFrame:
+    """`rows` joined with `one`, an aggregate with a row for each value of the integer columns `keys`.
 
-    A join on the key itself would take over the aggregate's partitions, in which a hot key is one task. On the key's
-    complement each side is dealt for the join alone, so adaptive execution can split what is hot, or send a small
+    A join on the keys themselves would take over the aggregate's partitions, in which a hot key is one task. On the keys'
+    complements each side is dealt for the join alone, so adaptive execution can split what is hot, or send a small
     aggregate to where the rows are.
     """
-    name = free_name(rows, "not_")
-    return rows.withColumn(name, F.bitwise_not(key)).join(one.withColumn(name, F.bitwise_not(key)).drop(key), name).drop(name)
+    names = []
+    for key in keys:
+        names.append(free_name(rows, "not_"))
+        rows, one = (df.withColumn(names[-1], F.bitwise_not(key)) for df in (rows, one))
+    return rows.join(one.drop(*keys), names).drop(*names)
 
 
 def ascii_lower(c):

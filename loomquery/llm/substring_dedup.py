@@ -6,19 +6,24 @@ smaller id has it. Overlapping and adjoining windows merge into maximal interval
 
 Shipping each window's hash would move several times the input. So a first pass ships runs. The anchor of
 a window is the least hash of the half-windows inside it; equal windows have equal anchors, and neighbouring
-windows that share theirs are a run, about 13 windows long, named by the hash of all its words. An anchor that
-one id alone has marks windows that cannot repeat. An anchor whose runs are equal wherever it occurs marks
-windows that are repeated as a whole: they go from every id but the least. Only under the remaining anchors,
-which lie at the borders of repeated passages, are windows shipped and counted one by one. Every repeated
-window is found.
+windows that share theirs are a run, about 13 windows long, named by the hash of all its words. Counting runs by anchor
+decides the same as counting each of their windows:
 
-Frequent windows are combined before they are shuffled; the way back from a window to its documents is
-a join with one row a window, whose hot keys adaptive execution splits. No list is gathered but those of
-one document. Lost executors: all stages are plain shuffles, recomputed from the input.
+- An anchor that one id alone has: equal windows have equal anchors, so each of its windows is in that id alone.
+- An anchor whose runs all have one name: every id that has the anchor has the same run of words, and so each
+  window of it; a window's ids are the anchor's ids, and the least of them keeps it.
+- Any other anchor lies at a border of repeated passages: its windows are shipped and counted one by one.
 
-Defined results: a null text has no words and keeps the empty text. Texts of fewer than `width` words
+So each window's ids are counted, most of them a run at a time, and every repeated window is found.
+
+Frequent runs and windows are combined before they are shuffled; the way back from one to its documents is a join with one row
+a window, dealt for itself so that adaptive execution splits hot keys (`common.met`). No list is gathered but those of
+one document. Lost executors: the stages are plain shuffles, recomputed from the input or from written tables.
+
+Defined results: a null or empty text has no words and keeps the empty text. Texts of fewer than `width` words
 lose nothing. Rows that share a doc_id never count as earlier to each other, and each loses what an
-earlier id has. Rows with a null id lose nothing, and nobody loses words for them. Other columns stay.
+earlier id has. Rows with a null id lose nothing, and nobody loses words for them. An empty table gives an empty result. A very long text's
+hashes are in memory at once, some 50 bytes a word. kept_text, n_words, n_removed and removed replace columns of these names; other columns stay.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import dropped, free_name, met, written
 from .words import LANES, mixed, powers, rolling, signed, sliding_min, split_words, word_hashes
 
 WIDTH = 50
@@ -77,17 +83,18 @@ def window_hashes(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarra
 
 
 def window_rows(width: int):
-    """(doc_id, h1, h2) for the windows with one of the `wanted` anchors."""
+    """(doc_id, h1, h2, late) for the windows with one of the `mixed` anchors; late: an earlier id has the anchor."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, text, wanted in zip(batch["doc_id"], batch["text"], batch["wanted"], strict=True):
+            for doc_id, text, mixed_, late in zip(batch["doc_id"], batch["text"], batch["mixed"], batch["late"], strict=True):
                 hashes = word_hashes(split_words(text))
-                at = np.isin(signed(anchors_of(hashes, width)), np.asarray(wanted, np.int64))
-                one, two = window_hashes(hashes, width)
-                pairs = np.unique(np.stack([signed(one[at]), signed(two[at])], 1), axis=0)
-                out.append(pd.DataFrame({"doc_id": np.full(len(pairs), doc_id, np.int64), "h1": pairs[:, 0], "h2": pairs[:, 1]}))
+                anchors = signed(anchors_of(hashes, width))
+                at = np.flatnonzero(np.isin(anchors, np.asarray(mixed_, np.int64)))
+                one, two = (signed(x)[at] for x in window_hashes(hashes, width))
+                rows = np.unique(np.stack([one, two, np.isin(anchors[at], np.asarray(late, np.int64))], 1), axis=0)
+                out.append(pd.DataFrame({"doc_id": np.full(len(rows), doc_id, np.int64), "h1": rows[:, 0], "h2": rows[:, 1], "late": rows[:, 2] > 0}))
             if out:
                 yield pd.concat(out)
 
@@ -112,11 +119,11 @@ def intervals(gone: np.ndarray) -> np.ndarray:
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
 
-def cleaned_rows(width: int):
+def cleaned_rows(width: int, gone_: str, repeated_: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n_words, n_removed, spans = [], [], [], []
-            for text, anchors, windows in zip(batch["text"].to_pylist(), batch["gone_"], batch["repeated_"], strict=True):
+            for text, anchors, windows in zip(batch["text"].to_pylist(), batch[gone_], batch[repeated_], strict=True):
                 words = split_words(text)
                 gone = np.zeros(len(words), bool)
                 if (anchors.is_valid or windows.is_valid) and len(words) >= width:
@@ -132,7 +139,7 @@ def cleaned_rows(width: int):
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
                 spans.append([{"first": int(a), "end": int(b)} for a, b in intervals(gone)])
-            own = [n for n in batch.schema.names if n not in ("gone_", "repeated_")]
+            own = [n for n in batch.schema.names if n not in (gone_, repeated_)]
             added = [pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, SPANS)]
             yield pa.RecordBatch.from_arrays([*(batch[n] for n in own), *added], [*own, "kept_text", "n_words", "n_removed", "removed"])
 
@@ -140,34 +147,35 @@ def cleaned_rows(width: int):
 
 
 def repeats(texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, gone_, repeated_): a document's anchors all of whose windows an earlier id has, and the first
+    """(doc_id, gone, repeated): a document's anchors all of whose windows an earlier id has, and the first
     lanes of its other windows that an earlier id has."""
-    runs = texts.mapInPandas(run_rows(width), "doc_id long, anchor long, name long")
+    runs = written(texts.mapInPandas(run_rows(width), "doc_id long, anchor long, name long"), "runs")
     several = runs.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("name").alias("lo"), F.max("name").alias("hi")).filter("first < last")
     several = several.select("anchor", "first", (F.col("lo") == F.col("hi")).alias("whole"))
     only = lambda condition: F.collect_set(F.when(F.expr(condition), F.col("anchor")))
-    met = runs.select("doc_id", "anchor").join(several, "anchor").filter("not whole or first < doc_id")
-    flagged = met.groupBy("doc_id").agg(only("whole").alias("gone_"), only("not whole").alias("mixed"), only("not whole and first < doc_id").alias("late"))
-    schema = "doc_id long, h1 long, h2 long"
-
-    def windows(wanted: str) -> DataFrame:
-        some = flagged.filter(F.size(wanted) > 0).select("doc_id", F.col(wanted).alias("wanted"))
-        return texts.join(some, "doc_id").select("doc_id", "text", "wanted").mapInPandas(window_rows(width), schema)
-
-    firsts = windows("mixed").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h1", "h2", "first")
-    again = windows("late").join(firsts, ["h1", "h2"]).filter("first < doc_id").groupBy("doc_id").agg(F.collect_set("h1").alias("repeated_"))
-    return flagged.select("doc_id", "gone_").join(again, "doc_id", "left")
+    shared = met(runs.select("doc_id", "anchor"), several, "anchor").filter("not whole or first < doc_id")
+    flagged = shared.groupBy("doc_id").agg(only("whole").alias("gone"), only("not whole").alias("mixed"), only("not whole and first < doc_id").alias("late"))
+    flagged = written(flagged, "anchors")
+    dropped(runs)
+    some = flagged.filter(F.size("mixed") > 0).select("doc_id", "mixed", "late")
+    windows = texts.join(some, "doc_id").select("doc_id", "text", "mixed", "late").mapInPandas(window_rows(width), "doc_id long, h1 long, h2 long, late boolean")
+    windows = written(windows, "windows")
+    firsts = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h1", "h2", "first")
+    again = met(windows.filter("late"), firsts, "h1", "h2").filter("first < doc_id").groupBy("doc_id").agg(F.collect_set("h1").alias("repeated"))
+    return flagged.select("doc_id", "gone").join(again, "doc_id", "left")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """`docs` (doc_id, text, ...) with kept_text, n_words, n_removed and the removed intervals of words."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in {"kept_text", "n_words", "n_removed", "removed", "gone_", "repeated_"}])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in {"kept_text", "n_words", "n_removed", "removed"}])
     named = docs.filter("doc_id is not null")  # the same rows for all joins, so their texts are shuffled once
-    found = repeats(named.select("doc_id", "text"), width)
+    gone, repeated = free_name(docs, "gone_"), free_name(docs, "repeated_")
+    found = repeats(named.select("doc_id", "text"), width).withColumnsRenamed({"gone": gone, "repeated": repeated})
     none = F.lit(None).cast("array<bigint>")
-    joined = named.join(found, "doc_id", "left").select(*docs.columns, "gone_", "repeated_").union(docs.filter("doc_id is null").select("*", none, none))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    joined = named.join(found, "doc_id", "left").select(*own, gone, repeated).union(docs.filter("doc_id is null").select(*own, none, none))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(cleaned_rows(width), f"{fields}, kept_text string, n_words long, n_removed long, removed array<struct<first: long, end: long>>")
+    return joined.mapInArrow(cleaned_rows(width, gone, repeated), f"{fields}, kept_text string, n_words long, n_removed long, removed array<struct<first: long, end: long>>")
 
 
 def digest(df: DataFrame) -> DataFrame:

@@ -196,9 +196,10 @@ def test_substring_dedup(spark, docs_of, words, width):
 
 def test_substring_dedup_of_odd_tables(spark, docs_of):
     assert substring_dedup.remove_repeats(docs_of([])).count() == 0
-    clash = spark.createDataFrame([(2**60 + 1, "a " * 60, "x", 5), (2**60 + 2, "a " * 60, "y", None), (None, "a " * 60, "z", 1)], "doc_id long, text string, kept_text string, gone_ int")
-    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(clash).collect()}
-    assert got == {2**60 + 1: 0, 2**60 + 2: 60, None: 0}
+    clash = spark.createDataFrame([(2**60 + 1, "a " * 60, "x", 5, "u"), (2**60 + 2, "a " * 60, "y", None, "v"), (None, "a " * 60, "z", 1, "w")], "doc_id long, text string, kept_text string, gone_ int, repeated_ string")
+    out = substring_dedup.remove_repeats(clash)
+    assert out.columns == ["doc_id", "text", "gone_", "repeated_", "kept_text", "n_words", "n_removed", "removed"]
+    assert {r["doc_id"]: (r["n_removed"], r["gone_"], r["repeated_"]) for r in out.collect()} == {2**60 + 1: (0, 5, "u"), 2**60 + 2: (60, None, "v"), None: (0, 1, "w")}
 
 
 # Fingerprints.
