@@ -13,13 +13,13 @@ members unlike each other (each is like the original, say), so a key's classes a
 1. Star: each key's member with the most company over all its keys, which an original is, is compared with the others
    of the key. Verified links make components, and a key whose members are all in one is done.
 2. Keys of fewer than `HEAVY` members: the pairs of members in different components are compared.
-3. Larger keys: the members that such keys connect are a cluster, whose signatures (and no sets) are cut into blocks of
-   about `BLOCK` members. Each two blocks meet in one task. There each member that was outside the cluster's largest
-   component lists the others that pass the signature distance, closest first, and names those of the next places of its list, NAMED
-   in the first round and GROWS times as many in each further one, that are still in other components. Named pairs are
-   verified and their components joined before the next round, until no list has a place left. So what leaves
-   a task is a few pairs a member, not the square of the block, and no link is passed over. A cluster's signatures are
-   sent once for each of its blocks: the square of its members over BLOCK, a hundred bytes each.
+3. Larger keys: the members that such keys connect are a cluster. Those outside its largest component ask; each asks all
+   others. Askers and members are cut into blocks of about `BLOCK` shingles, and each block of askers meets each block of
+   members in one task, which compares members of different components, by signature,
+   then by full sets, joins what is alike, and returns only the links that join components. So no pairs leave a task, and
+   none holds more than two blocks; a cluster's sets are sent once for each block of its askers, and the askers' once for each
+   of its members' blocks. (To send signatures only, and pairs that pass them on to verification, was tried: a group of
+   copies whose members are near but not linked makes as many such pairs as the square of its size.)
 
 Every pair of members of a key is compared or already connected, so no link is lost but by the index's stated chance.
 
@@ -52,10 +52,10 @@ SHINGLE, PERCENT = 5, 75
 CHUNKS, SYMBOLS, ERRORS = 12, 5, 1
 #: Signatures further apart than this aren't compared exactly.
 FARTHEST = 34
-#: Members from which a key's open pairs are compared in blocks, and the members of a block.
-HEAVY, BLOCK = 64, 4096
-#: Places of a member's list that a task names in the first round, and the growth from round to round.
-NAMED, GROWS = 8, 8
+#: Members from which a key's open pairs are compared in blocks, and the shingles of a block (of one set at least).
+HEAVY, BLOCK = 64, 1 << 18
+#: A small cluster's members are cut into blocks of so many, up to so many blocks, so that several tasks share it.
+FEW, MOST_SMALL = 256, 32
 
 #: Odd multipliers, one a signature value, from a fixed seed.
 MULTIPLIERS = np.random.default_rng(20).integers(1, 2**63, CHUNKS * SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -139,28 +139,30 @@ def verified_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[np.array(at, bool), ["a", "b"]]
 
 
-def block_pairs(low: int, high: int):
-    """Pairs (a, b) of different components, b at the places low to high of a's list; a null b: the list goes on."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        first, second = int(group["u1"].iloc[0]), int(group["u2"].iloc[0])
-        group = group.sort_values("rep")
-        reps, labels, block, asks = (group[c].to_numpy() for c in ("rep", "label", "block", "asks"))
-        sigs, found = signatures_of(group["sig"]), []
-        for here, there in {(first, second), (second, first)}:
-            others = np.flatnonzero(block == there)
-            for a in np.flatnonzero((block == here) & asks):
-                far = (sigs[others] != sigs[a]).sum(axis=1)
-                near = np.flatnonzero(far <= FARTHEST)
-                rest = others[near[np.argsort(far[near], kind="stable")]]
-                rest = rest[rest != a]
-                open_ = labels[rest] != labels[a]
-                found += [(reps[a], reps[b]) for b in rest[low:high][open_[low:high]]]
-                if open_[high:].any():
-                    found.append((reps[a], None))
-        return pd.DataFrame({"a": pd.Series([a for a, _ in found], dtype="int64"), "b": pd.Series([b for _, b in found], dtype="Int64")})
-
-    return run
+def block_links(group: pd.DataFrame) -> pd.DataFrame:
+    """The links between a block of askers and one of members that join different components."""
+    asking = group["asking"].to_numpy()
+    askers, others = (group[asking == x].sort_values("rep") for x in (True, False))
+    root = {label: label for label in group["label"]}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    reps, labels, asks = (others[c].to_numpy() for c in ("rep", "label", "asks"))
+    sigs, sets, found = signatures_of(others["sig"]), [np.frombuffer(x, np.uint64) for x in others["full"]], []
+    for rep, label, sig, full in zip(askers["rep"], askers["label"], askers["sig"], askers["full"], strict=True):
+        own = np.frombuffer(full, np.uint64)
+        rest = np.flatnonzero((labels != label) & (~asks | (reps > rep)))  # two askers meet twice
+        far = (sigs[rest] != np.frombuffer(sig, np.uint16)).sum(axis=1)
+        near = np.flatnonzero(far <= FARTHEST)
+        for b in rest[near[np.argsort(far[near], kind="stable")]].tolist():
+            x, y = find(label), find(labels[b])
+            if x != y and alike(own, sets[b]):
+                root[x] = y
+                found.append((rep, reps[b]))
+    return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -188,35 +190,23 @@ def open_keys(members: DataFrame, forest: DataFrame) -> DataFrame:
     return met(labelled, stats, "key")
 
 
-def labelled_nodes(nodes: DataFrame, forest: DataFrame) -> DataFrame:
-    return nodes.join(forest.toDF("rep", "root"), "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
-
-
 def in_blocks(heavy: DataFrame, reps: DataFrame, full: DataFrame, forest: DataFrame) -> DataFrame:
-    """`forest` with the links within the clusters that the keys of `heavy` (key, rep) make."""
+    """The links (a, b) between components of the clusters that the keys of `heavy` (key, rep) make."""
     # A key is a node beside its members: a number that is a member's too would only join two clusters.
     cluster = stars(heavy.select(F.col("rep").alias("a"), F.col("key").alias("b")), "near-clusters")
-    nodes = heavy.select("rep").distinct().join(cluster.toDF("rep", "root"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("cluster"))
-    sizes = labelled_nodes(nodes, forest).groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster")
-    sizes = sizes.agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.max(F.struct("n", "label"))["label"].alias("top"))
-    nodes = met(labelled_nodes(nodes, forest), sizes, "cluster").select("rep", "cluster", "blocks", (F.col("label") != F.col("top")).alias("asks"))
-    nodes = nodes.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(reps.select("rep", "sig"), "rep")
-    nodes = written(nodes, "near-blocks")
-    low, high = 0, NAMED
-    while True:
-        now = labelled_nodes(nodes, forest)
-        apart = now.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("cluster")
-        meets = met(now, apart, "cluster").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        meets = meets.select("cluster", F.least("block", "other").alias("u1"), F.greatest("block", "other").alias("u2"), "block", "rep", "label", "asks", "sig")
-        named = written(meets.groupBy("cluster", "u1", "u2").applyInPandas(block_pairs(low, high), "a long, b long"), "near-named")
-        pairs = named.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        forest = joined(forest, verified(pairs, reps, full))
-        more = named.filter("b is null").limit(1).count()
-        dropped(named)
-        if not more:
-            dropped(nodes)
-            return forest
-        low, high = high, GROWS * high
+    named = lambda df, to, name: df.join(to.toDF("rep", "root"), "rep", "left").withColumn(name, F.coalesce("root", "rep")).drop("root")
+    nodes = named(named(heavy.select("rep").distinct(), cluster, "cluster"), forest, "label").join(reps.select("rep", "n", "sig"), "rep")
+    sizes = nodes.groupBy("cluster", "label").agg(F.count("*").alias("members"), F.sum("n").alias("n")).groupBy("cluster")
+    sizes = sizes.agg(F.sum("members").alias("members"), F.sum("n").alias("n"), F.max(F.struct("members", "label", "n")).alias("top"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.ceil(F.col("members") / FEW), F.lit(MOST_SMALL)))
+    sizes = sizes.filter("top.members < members").select("cluster", F.col("top.label").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("n_askers"), blocks.alias("n_members"))
+    nodes = met(nodes, sizes, "cluster").withColumn("asks", F.col("label") != F.col("top")).join(full, "rep")
+    place = lambda count: F.pmod(F.xxhash64("rep"), count)
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count).cast("long") - 1))
+    columns = ["cluster", "rep", "label", "sig", "full", "asks"]
+    askers = nodes.filter("asks").select(*columns, F.lit(True).alias("asking"), place("n_askers").alias("u"), every("n_members").alias("v"))
+    members = nodes.select(*columns, F.lit(False).alias("asking"), every("n_askers").alias("u"), place("n_members").alias("v"))
+    return askers.union(members).groupBy("cluster", "u", "v").applyInPandas(block_links, "a long, b long")
 
 
 def joined(forest: DataFrame, links: DataFrame) -> DataFrame:
@@ -233,7 +223,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     members = written(met(members, several, "key"), "near-keys")
     company = members.groupBy("rep").agg(F.sum("size").alias("company"))
     indexed = company.select("rep")
-    reps = written(classes.select("rep", "sig").join(company, "rep"), "near-signatures")
+    reps = written(classes.select("rep", "sig", F.col("n_shingles").alias("n")).join(company, "rep"), "near-signatures")
     full = docs.select("doc_id", "text").join(indexed.toDF("doc_id"), "doc_id").mapInPandas(packed_rows, "rep long, full binary")
     full = written(full, "near-sets")
 
@@ -247,7 +237,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     apart = light.filter("label <> top").select("key", F.col("rep").alias("a"), F.col("label").alias("la"))
     pairs = light.join(apart, "key").filter("la <> label and (label = top or rep < a)").select("a", F.col("rep").alias("b")).distinct()
     forest = joined(forest, verified(pairs, reps, full))
-    forest = in_blocks(heavy.select("key", "rep"), reps, full, forest)
+    forest = joined(forest, in_blocks(heavy.select("key", "rep"), reps, full, forest))
     for table in (left, reps, full):
         dropped(table)
     return forest

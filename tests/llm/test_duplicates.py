@@ -89,9 +89,8 @@ def corpus(words):
 def test_near_duplicates(docs_of, words, monkeypatch, heavy):
     """With a low bound, most of the large group goes through blocks."""
     monkeypatch.setattr(near_dedup, "HEAVY", heavy)
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
-    monkeypatch.setattr(near_dedup, "NAMED", 1)
-    monkeypatch.setattr(near_dedup, "GROWS", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK", 2000)
+    monkeypatch.setattr(near_dedup, "FEW", 16)
     rows = corpus(words)
     got = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs_of(rows)).collect()}
     want = brute_components(rows)
@@ -139,23 +138,32 @@ def test_near_duplicates_of_odd_tables(spark, docs_of):
     assert got == [(-1, None, True), (3, 3, True), (5, 3, False), (5, 3, False), (9, 3, False)]
 
 
-def test_blocks_name_each_pair_in_some_round():
-    """A member's list is cut into places; later rounds go on where the earlier ones stopped."""
+def test_blocks_join_what_is_alike():
+    """Askers and members of blocks: the links make the components of all pairs alike, a few links a member."""
     r = np.random.default_rng(5)
-    sig = r.integers(0, 3, (60, 60)).astype(np.uint16)  # many pairs pass the distance
-    label = np.arange(60) // 3
-    group = lambda u, rows: pd.DataFrame({"u1": u[0], "u2": u[1], "rep": rows, "block": rows % 2, "label": label[rows], "asks": label[rows] != 0, "sig": [sig[i].tobytes() for i in rows]})
-    near = {(a, b) for a in range(60) for b in range(60) if a != b and label[a] != label[b] and (sig[a] != sig[b]).sum() <= near_dedup.FARTHEST}
-    named, low, high = set(), 0, 1
-    while True:
-        got = pd.concat([near_dedup.block_pairs(low, high)(group(u, np.flatnonzero(np.isin(np.arange(60) % 2, u)))) for u in ((0, 0), (0, 1), (1, 1))])
-        pairs = got[got["b"].notna()]
-        assert len(pairs) <= 60 * 2 * (high - low) * 2
-        named |= set(zip(pairs["a"], pairs["b"].astype(int), strict=True))
-        if not got["b"].isna().any():
-            break
-        low, high = high, 3 * high
-    assert high > 3 and named == {(a, b) for a, b in near if label[a] != 0}
+    base = np.unique(r.integers(0, 2**63, 200).astype(np.uint64))
+    sets = [np.unique(np.concatenate([r.choice(base, 180, replace=False), r.integers(0, 2**63, r.integers(0, 30)).astype(np.uint64)])) for _ in range(60)]
+    label = np.arange(60) // 4
+    row = lambda i, asking: (i, label[i], label[i] != 0, asking, near_dedup.signature(sets[i]).tobytes(), sets[i].tobytes())
+    found = []
+    for u in range(2):
+        for v in range(3):
+            rows = [row(i, True) for i in range(60) if label[i] and i % 2 == u] + [row(i, False) for i in range(60) if i % 3 == v]
+            got = near_dedup.block_links(pd.DataFrame(rows, columns=["rep", "label", "asks", "asking", "sig", "full"]))
+            assert len(got) < len(rows)
+            found += list(zip(got["a"], got["b"], strict=True))
+    assert all(near_dedup.alike(sets[a], sets[b]) and label[a] != label[b] for a, b in found)
+
+    def components(links):
+        at = list(range(60))
+        for _ in range(60):
+            for a, b in links:
+                at[a] = at[b] = min(at[a], at[b])
+        return at
+
+    same = [(i, j) for i in range(60) for j in range(i) if label[i] == label[j]]
+    alike = [(i, j) for i in range(60) for j in range(i) if near_dedup.alike(sets[i], sets[j])]
+    assert components(same + found) == components(same + alike) != components(same)
 
 
 # Repeated passages.
