@@ -12,7 +12,6 @@ import hashlib
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,10 +19,13 @@ from pyspark.sql import types as T
 from .. import types as ty
 from ..diagnostics import Diagnostic, EngineError, fail
 from ..functions import formula
+from ..shared import written
 from .conditions import matches, text_of
 from .frame import Col, Frame, hidden, quoted
 
 INVALID = "QUERY_INVALID_STEP_CONFIG"
+#: Columns that a pivot makes at most; more is an error.
+MOST_PIVOTED = 1000
 
 
 @dataclass(frozen=True)
@@ -259,11 +261,11 @@ class Fill(Step):
 def in_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
     """Rows cut into ranges along `order`, numbered by `__part`.
 
-    The bounds come from a sample, so what reads the ranges twice must read the same cut: it is kept, in memory as
-    far as it goes and on disk beyond.
+    The bounds come from a sample, so what reads the ranges twice must read the same cut: it is written to the shared folder
+    (a job of its own), which outlives lost executors and goes when the driver ends.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    return written(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranges")
 
 
 def filled(df: DataFrame, names: list[str], order: list[Column]) -> DataFrame:
@@ -389,14 +391,14 @@ class MergeQueries(Step):
         r = ctx.source(self.right)
         if self.kind not in JOINS or not self.left_keys or len(self.left_keys) != len(self.right_keys):
             fail(INVALID, "a merge needs a join kind and as many left keys as right keys")
-        lk, rk = [f.find(i) for i in self.left_keys], [r.find(i) for i in self.right_keys]
+        lk, rk = [f.find(i) for i in self.left_keys], [r.find(i, "QUERY_DEPENDENCY_SCHEMA_CHANGED") for i in self.right_keys]
         for a, b in zip(lk, rk, strict=True):
             if ty.family(a.dtype) != ty.family(b.dtype):
                 fail("QUERY_JOIN_KEY_TYPE_MISMATCH", f"{a.name} is {a.dtype}, {b.name} is {b.dtype}")
         names = [c.name.lower() for c in f.cols] + [n.lower() for _, _, n in self.expand]
         if len(set(names)) < len(names):
             fail("QUERY_MERGE_COLUMN_COLLISION", "an expanded column has a name that is there already")
-        new = [(r.find(i), n, name) for i, n, name in self.expand]
+        new = [(r.find(i, "QUERY_DEPENDENCY_SCHEMA_CHANGED"), n, name) for i, n, name in self.expand]
         # The right side under names of its own, so that its keys are never the left's.
         right = r.df.select(
             *[F.col(quoted(hidden(b.id))).alias(f"__k{k}") for k, b in enumerate(rk)],
@@ -473,7 +475,9 @@ class PivotColumn(Step):
             f = f.ordered()
         text = text_of(f.col(p.id), p.dtype)
         label = F.when(text.isNull() | (text == ""), "(blank)").otherwise(text)
-        found = sorted(r[0] for r in f.df.select(label).distinct().collect())  # the new columns, so few by nature
+        found = sorted(r[0] for r in f.df.select(label).distinct().limit(MOST_PIVOTED + 1).collect())
+        if len(found) > MOST_PIVOTED:
+            fail("QUERY_COLUMN_LIMIT_EXCEEDED", f"{p.name} has more than {MOST_PIVOTED} values to make columns of", limit=MOST_PIVOTED)
         others = [c for c in f.cols if c.id not in (p.id, v.id)]
         names = [c.name.lower() for c in others] + [x.lower() for x in found]
         if len(set(names)) < len(names):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import dax
 from .context import EMPTY, Context
-from .measures import Rows, checked, evaluate
+from .measures import Plan, Rows, checked
 from .model import Model
 
 
@@ -42,16 +42,23 @@ class Comparison:
 
 
 def counts(model: Model, filters: Context | dict | None) -> DataFrame:
-    """(table, total, visible) for all tables, as one plan."""
+    """(table, total, visible) for all tables: every row is a one of its table, summed up by one aggregation.
+
+    A table that nothing filters is read once; of the others the total reads no column, and the visible rows share the key
+    sets of the tables before them.
+    """
     ctx = filters if isinstance(filters, Context) else Context.of(checked(model, filters))
     model.require_valid_graph()
-    rows = Rows(model)
-    parts = []
-    for t in model.tables:
-        total = rows.base(t).df.agg(F.count("*").alias("total"))
-        seen = rows.visible(t, ctx).df.agg(F.count("*").alias("visible"))
-        parts.append(total.crossJoin(F.broadcast(seen)).select(F.lit(t).alias("table"), "total", "visible"))  # one row each
-    return functools.reduce(DataFrame.unionAll, parts)
+    rows, parts, names = Rows(model), [], list(model.tables)
+    ones = lambda rel, t, total, visible: rel.df.select(F.lit(names.index(t)).alias("at"), F.lit(total).cast("long").alias("total"), F.lit(visible).cast("long").alias("visible"))
+    for t in names:
+        if state_of(model, t, ctx) == "unfiltered":
+            parts.append(ones(rows.base(t), t, 1, 1))
+        else:
+            parts += [ones(rows.base(t), t, 1, 0), ones(rows.visible(t, ctx), t, 0, 1)]
+    each = parts[0].sparkSession.range(len(names)).select(F.col("id").cast("int").alias("at"), F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("visible"))  # tables without rows
+    found = functools.reduce(DataFrame.unionAll, [each, *parts]).groupBy("at").agg(F.sum("total").alias("total"), F.sum("visible").alias("visible"))
+    return found.select(F.get(F.lit(names), F.col("at")).alias("table"), "total", "visible")
 
 
 def state_of(model: Model, table: str, ctx: Context) -> str:
@@ -103,11 +110,13 @@ class Analysis:
 
 
 def analyse(model: Model, expression: str, filters: Context | dict | None) -> Analysis:
-    """Two jobs: the measure without and with the filters, and all tables' rows."""
+    """Two jobs: the measure without and with the filters, as two columns of one plan, and all tables' rows."""
     ctx = filters if isinstance(filters, Context) else Context.of(checked(model, filters))
-    base = evaluate(model, {"v": expression}).select("v").first()[0]
-    now = evaluate(model, {"v": expression}, ctx).select("v").first()[0]
-    tables = [TableState(r["table"], r["total"], r["visible"], state_of(model, r["table"], ctx)) for r in counts(model, ctx).collect()]
+    model.require_valid_graph()
+    plan = Plan(model)
+    base, now = plan.result(None, {n: plan.value(dax.parse(expression), c) for n, c in (("base", EMPTY), ("now", ctx))}).df.select("base", "now").first()
+    seen = {r["table"]: r for r in counts(model, ctx).collect()}
+    tables = [TableState(t, seen[t]["total"], seen[t]["visible"], state_of(model, t, ctx)) for t in model.tables]
     return Analysis(Comparison(base, now), tables, relationship_states(model, ctx))
 
 

@@ -139,8 +139,8 @@ class Rows:
         name = cell(table, self.model.date_tables[table])
         seen = self.visible(table, ctx)
         tags = [col(t) for t in seen.tags]
-        days = seen.df.select(*tags, F.to_date(col(name)).alias("d")).filter("d is not null").distinct()
-        every = self.base(table).df.select(F.to_date(col(name)).alias("d")).filter("d is not null").distinct()
+        days = seen.df.select(*tags, F.to_date(col(name)).alias("d")).filter("d is not null")
+        every = self.base(table).df.select(F.to_date(col(name)).alias("d")).filter("d is not null")
         if function in ("SAMEPERIODLASTYEAR", "DATEADD"):
             n, unit = (-1, "YEAR") if function == "SAMEPERIODLASTYEAR" else args
             months = {"YEAR": 12, "QUARTER": 3, "MONTH": 1}.get(unit)
@@ -156,7 +156,7 @@ class Rows:
             edge, period = edge.withColumn("__p", F.year("__edge") - 1), F.year("d")
         else:
             edge, period = edge.withColumn("__p", F.year("__edge")), F.year("d")
-        out = every.withColumn("__p", period).join(edge, "__p")
+        out = every.distinct().withColumn("__p", period).join(edge, "__p")
         if function == "DATESYTD":
             out = out.filter("d <= __edge")
         return Rel(out.select("d", *tags), seen.tags)

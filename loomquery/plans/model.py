@@ -57,6 +57,8 @@ class Model:
     date_tables: dict[str, str] = field(default_factory=dict)  # table: date column
     #: Columns that identify a table's rows; context transition then tags rows by them instead of by all columns.
     keys: dict[str, str] = field(default_factory=dict)
+    #: Where tables come from (a file's, sheet's, sample's or query's name), for those who name them by it.
+    source_keys: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self):
         self._types: dict[str, dict[str, str]] = {}  # by table, as they are asked for: `tables` may be lazy

@@ -7,6 +7,7 @@ import json
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
 from ..diagnostics import Diagnostic, EngineError
@@ -105,6 +106,8 @@ def run_steps(frame: Frame, steps: list[Step], ctx: Context, upto: int | None =
             results.append(StepResult(s, "success"))
         except EngineError as e:
             results.append(StepResult(s, "error", e.diagnostics))
+        except PySparkException as e:
+            results.append(StepResult(s, "error", [Diagnostic("QUERY_STEP_FAILED", str(e).splitlines()[0])]))
     return frame, results
 
 
@@ -187,6 +190,14 @@ class QuerySet:
         reads = [self.fingerprint(r) for r in q.reads() if r != name]
         return fnv1a(json.dumps([described(s) for s in q.steps] + reads, sort_keys=True, default=str))
 
+    def table(self, name: str) -> DataFrame:
+        """What a model gets under a name; an error for a query that isn't loaded."""
+        if name in self.queries and not self.queries[name].load:
+            raise EngineError(Diagnostic("QUERY_NOT_LOADED", f"query {name!r} isn't loaded"))
+        if name not in self.queries and name not in self.tables:
+            raise EngineError(Diagnostic("QUERY_SOURCE_NOT_FOUND", f"there is no query or table {name!r}"))
+        return self.evaluate(name).df() if name in self.queries else self.tables[name]
+
     def loaded(self) -> dict[str, DataFrame]:
         """The tables that a model may use: outputs of the queries that are loaded, and the plain tables."""
         return {**self.tables, **{n: self.evaluate(n).df() for n in self.order() if self.queries[n].load}}

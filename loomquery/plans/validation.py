@@ -1,6 +1,8 @@
 """Validation: rules about a model, its measures and its queries, each passed or not, with a score.
 
-Rules name things as authors do (table and column names), not by internal ids. All cases of one measure rule
+Rules name things as authors do (table and column names), not by internal ids: a table by its name, whatever the case, or by
+{"name": ..., "source_key": ...}. A table that isn't there yet fails the rule; a name that fits several tables, or
+a column that its table lacks, is an error of the rule's configuration. All cases of one measure rule
 are evaluated together, as columns of one plan where their filters allow.
 """
 
@@ -16,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import types as ty
-from ..diagnostics import EngineError
+from ..diagnostics import Diagnostic, EngineError, fail
 from . import dax
 from .context import Context
 from .measures import Plan, calculated_column, checked
-from .model import Model
+from .model import ONE_MANY, Model
 from .pipeline import QuerySet, described, fnv1a
 
 
@@ -98,6 +100,8 @@ def validate(subject: Subject, rules: list[Rule]) -> Report:
                 continue
             share, message = got
             out.outcomes.append(Outcome(r, share, message))
+        except ConfigError as e:
+            out.outcomes.append(Outcome(r, 0, str(e), True))
         except (KeyError, TypeError) as e:
             out.outcomes.append(Outcome(r, 0, f"the rule's configuration lacks {e}", True))
         except EngineError as e:
@@ -109,17 +113,47 @@ def _yes(ok: bool, message: str) -> tuple[float, str]:
     return (1.0, "") if ok else (0.0, message)
 
 
-def _relationship(s: Subject, c: dict):
-    want = {tuple(c["from"]), tuple(c["to"])}
-    found = [r for r in s.model.relationships if {r.left, r.right} == want]
+class ConfigError(EngineError):
+    """What a rule names can't be told."""
+
+
+def target_table(m: Model, selector: str | dict) -> str:
+    """The one table that a selector names."""
+    name, key = (selector, None) if isinstance(selector, str) else (selector["name"], selector.get("source_key"))
+    found = [t for t in m.tables if t.lower() == name.lower() and (key is None or m.source_keys.get(t) == key)]
     if not found:
-        return 0.0, "the tables aren't related by these columns"
-    r = found[0]
-    return _yes(("active" not in c or c["active"] == r.active) and ("cardinality" not in c or c["cardinality"] == r.cardinality), "the relationship isn't as asked")
+        fail("VALIDATION_TARGET_NOT_FOUND", f"there is no table {name}" + (f" from {key}" if key else ""))
+    if len(found) > 1:
+        raise ConfigError(Diagnostic("VALIDATION_TARGET_AMBIGUOUS", f"several tables are named {name}: {', '.join(found)}"))
+    return found[0]
+
+
+def target_column(m: Model, end) -> tuple[str, str]:
+    """The physical column that (table selector, name) stands for."""
+    selector, name = end
+    t = target_table(m, selector)
+    found = [c for c in m.columns(t) if c.lower() == name.lower()]
+    if len(found) != 1:
+        code = "VALIDATION_TARGET_AMBIGUOUS" if found else "VALIDATION_TARGET_NOT_FOUND"
+        raise ConfigError(Diagnostic(code, f"{t} has {len(found) or 'no'} columns named {name}"))
+    return t, found[0]
+
+
+def _relationship(s: Subject, c: dict):
+    """A one-to-many relationship from its one side to its many side, active unless the rule says otherwise."""
+    one, many = target_column(s.model, c["from"]), target_column(s.model, c["to"])
+    kinds = [r for r in s.model.relationships if r.cardinality == c.get("cardinality", ONE_MANY)]
+    found = [r for r in kinds if (r.left, r.right) == (one, many)]
+    if found:
+        want = c.get("active", True)
+        return _yes(found[0].active == want, f"the relationship should be {'active' if want else 'inactive'}")
+    if any((r.left, r.right) == (many, one) for r in kinds):
+        return 0.0, "the relationship runs the wrong way"
+    return 0.0, "the tables aren't related by these columns"
 
 
 def _relationship_config(s: Subject, c: dict):
-    want = {tuple(c["from"]), tuple(c["to"])}
+    want = {target_column(s.model, c["from"]), target_column(s.model, c["to"])}
     for r in s.model.relationships:
         if {r.left, r.right} == want:
             asked = {k: c[k] for k in ("cardinality", "direction", "active") if k in c}
@@ -134,12 +168,14 @@ def _model_health(s: Subject, c: dict):
 
 
 def _table_present(s: Subject, c: dict):
-    return _yes(any(t.lower() == c["table"].lower() for t in s.model.tables), f"there is no table {c['table']}")
+    return _yes(bool(target_table(s.model, c["table"])), "")
 
 
 def _calculated(s: Subject, c: dict):
     """Cases: [{key: {column: value}, expected}], each found by its key; one job."""
-    t, name = s.model.column(c["table"], c["name"])
+    t, name = s.model.column(target_table(s.model, c["table"]), c["name"])
+    if not s.model.is_calculated((t, name)):
+        return 0.0, f"{t}[{name}] isn't calculated"
     df = calculated_column(s.model, t, s.model.calculated[t, name], "__value")
     tests = [functools.reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.lit(v)) for k, v in case["key"].items()]) for case in c["cases"]]
     got = df.agg(*[F.first(F.when(x, F.struct("__value")), True).alias(f"v{i}") for i, x in enumerate(tests)]).first()
@@ -193,7 +229,7 @@ def _semantics(s: Subject, c: dict):
 
 
 def _date_table(s: Subject, c: dict):
-    t, x = s.model.column(c["table"], c["column"])
+    t, x = target_column(s.model, (c["table"], c["column"]))
     if s.model.date_tables.get(t) != x:
         return 0.0, f"{t} isn't marked as a date table by {x}"
     bad = s.model.check_date_table(t, x)

@@ -1,4 +1,5 @@
-"""A workspace: tables, queries and models together, what a change would break, and its definition as JSON."""
+"""A workspace: tables, queries and models together, what a change would break, its definition as JSON, and a bundle of
+the definition and the raw tables."""
 
 from __future__ import annotations
 
@@ -14,7 +15,9 @@ from . import dax
 from .model import Model, Relationship
 from .pipeline import Query, QuerySet
 
-VERSION = 1
+FORMAT, VERSION = "loomquery-workspace", 1
+#: How a definition of an older version becomes one of the next: {version: function}.
+MIGRATIONS: dict = {}
 
 
 @dataclass(frozen=True)
@@ -109,16 +112,14 @@ class Workspace:
     # Definitions.
     def export(self) -> str:
         """The workspace as JSON: definitions and where tables come from; query outputs are derived again."""
-        model = lambda m: {"tables": list(m.tables), "relationships": [dataclasses.asdict(r) for r in m.relationships], "measures": m.measures, "calculated": [[*k, v] for k, v in m.calculated.items()], "date_tables": m.date_tables, "keys": m.keys}
+        model = lambda m: {"tables": list(m.tables), "relationships": [dataclasses.asdict(r) for r in m.relationships], "measures": m.measures, "calculated": [[*k, v] for k, v in m.calculated.items()], "date_tables": m.date_tables, "keys": m.keys, "source_keys": m.source_keys}
         query = lambda q: {"source": q.source, "load": q.load, "steps": [{"kind": kind_of(s), **dataclasses.asdict(s)} for s in q.steps]}
-        return json.dumps({"version": VERSION, "sources": self.sources, "queries": {n: query(q) for n, q in self.queries.items()}, "models": {n: model(m) for n, m in self.models.items()}}, default=str)
+        return json.dumps({"format": FORMAT, "version": VERSION, "sources": self.sources, "queries": {n: query(q) for n, q in self.queries.items()}, "models": {n: model(m) for n, m in self.models.items()}}, default=str)
 
     @staticmethod
     def load(spark: SparkSession, text: str, tables: dict[str, DataFrame] | None = None) -> Workspace:
         """A workspace from its JSON; tables come from `tables` or from their sources."""
-        data = json.loads(text)
-        if data.get("version") != VERSION:
-            fail("INVALID_FUNCTION_ARGUMENT", f"version {data.get('version')} can't be read")
+        data = definition_of(text)
         ws = Workspace(dict(tables or {}), sources=data["sources"])
         for n, s in data["sources"].items():
             if n not in ws.tables:
@@ -127,14 +128,51 @@ class Workspace:
             ws.queries[n] = Query(n, q["source"], [step_of(s) for s in q["steps"]], q["load"])
         loaded = ws.query_set("lazy")
         for n, m in data["models"].items():
-            frames = {t: ws.tables[t] if t in ws.tables else loaded.evaluate(t).df() for t in m["tables"]}
+            frames = {t: loaded.table(t) for t in m["tables"]}
             relations = [Relationship(**{**r, "left": tuple(r["left"]), "right": tuple(r["right"])}) for r in m["relationships"]]
-            ws.models[n] = Model(frames, relations, m["measures"], {(t, c): v for t, c, v in m["calculated"]}, m["date_tables"], m["keys"])
+            ws.models[n] = Model(frames, relations, m["measures"], {(t, c): v for t, c, v in m["calculated"]}, m["date_tables"], m["keys"], m["source_keys"])
         broken = ws.dangling()
         if broken:
-            fail("MISSING_REFERENCE", "; ".join(broken))
+            fail("integrity-violation", "; ".join(broken), issues=broken)
         return ws
 
+    # Bundles.
+    def export_bundle(self, path: str) -> None:
+        """The definition and the raw tables, as Parquet, at a path that driver and executors share; queries' outputs are left
+        out and derived again when the bundle is opened."""
+        path = path.rstrip("/")
+        raw = {n: df for n, df in self.tables.items() if n not in self.queries}
+        for i, df in enumerate(raw.values()):
+            df.write.parquet(f"{path}/data/{i}")
+        own = dataclasses.replace(self, sources={n: {"format": "parquet", "path": f"data/{i}"} for i, n in enumerate(raw)})
+        spark = next(iter(raw.values())).sparkSession if raw else SparkSession.active()
+        spark.createDataFrame([(own.export(),)], "value string").coalesce(1).write.text(f"{path}/definition")
+
+    @staticmethod
+    def open_bundle(spark: SparkSession, path: str) -> Workspace:
+        path = path.rstrip("/")
+        text = spark.read.option("wholetext", True).text(f"{path}/definition").first()[0]
+        data = definition_of(text)
+        tables = {n: spark.read.format(s["format"]).load(f"{path}/{s['path']}") for n, s in data["sources"].items()}
+        return Workspace.load(spark, text, tables)
+
+
+def definition_of(text: str) -> dict:
+    """A workspace's JSON, checked and brought to this version."""
+    try:
+        data = json.loads(text)
+    except ValueError:
+        return fail("invalid-json", "this is no JSON")
+    if not isinstance(data, dict) or data.get("format") != FORMAT:
+        fail("not-a-project", "this is no workspace")
+    if not isinstance(data.get("version"), int) or not all(isinstance(data.get(k), dict) for k in ("sources", "queries", "models")):
+        fail("structurally-invalid", "the workspace is damaged or incomplete")
+    while data["version"] in MIGRATIONS:
+        data = MIGRATIONS[data["version"]](data)
+    if data["version"] != VERSION:
+        fail("unsupported-schema-version", f"version {data['version']} can't be read, only {VERSION}", found=data["version"])
+    return data
+
 
 def column_dependents(m: Model, table: str, column: str) -> list[str]:
     """The measures and calculated columns whose expressions read a column."""

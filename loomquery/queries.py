@@ -115,7 +115,7 @@ steps("pq_rename_remove_reorder", "customer", [RenameColumns({"c_name": "Custome
 steps("pq_change_type", "orders", [ChangeType({"o_orderkey": "string", "o_orderdate": "date", "o_custkey": "decimal"})], f"SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey, o_orderstatus, {r2('o_totalprice')} AS o_totalprice, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate, o_orderpriority FROM orders")
 steps("pq_filter_and", "lineitem", [FilterRows([C("l_quantity", "greater-than", 25), C("l_returnflag", "equals", "R")]), RemoveColumns(["l_shipdate"])], f"SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, {r2('l_quantity')} AS l_quantity, {r2('l_extendedprice')} AS l_extendedprice, {r2('l_discount')} AS l_discount, {r2('l_tax')} AS l_tax, l_returnflag, l_linestatus FROM lineitem WHERE l_quantity > 25 AND l_returnflag = 'R'")
 steps("pq_filter_or_text", "part", [FilterRows([C("p_name", "contains", "RED"), C("p_type", "starts-with", "std"), C("p_brand", "ends-with", "#11")], "or"), RemoveColumns(["p_retailprice"])], "SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size FROM part WHERE contains(lower(p_name), 'red') OR starts_with(lower(p_type), 'std') OR ends_with(lower(p_brand), '#11')")
-steps("pq_filter_comparisons", "orders", [FilterRows([C("o_totalprice", "greater-than-or-equal", 1000), C("o_totalprice", "less-than", 200000), C("o_orderstatus", "not-equals", "P"), C("o_custkey", "less-than-or-equal", 5000)]), RemoveColumns(["o_orderdate", "o_orderpriority"])], f"SELECT o_orderkey, o_custkey, o_orderstatus, {r2('o_totalprice')} AS o_totalprice FROM orders WHERE o_totalprice >= 1000 AND o_totalprice < 200000 AND o_orderstatus <> 'P' AND o_custkey <= 5000")
+steps("pq_filter_comparisons", "orders", [FilterRows([C("o_totalprice", "greater-than-or-equal", 1000), C("o_totalprice", "less-than", 200000), C("o_orderstatus", "not-equals", "P"), C("o_orderpriority", "less-than-or-equal", "3-ZZZ")]), RemoveColumns(["o_orderdate", "o_orderpriority"])], f"SELECT o_orderkey, o_custkey, o_orderstatus, {r2('o_totalprice')} AS o_totalprice FROM orders WHERE o_totalprice >= 1000 AND o_totalprice < 200000 AND o_orderstatus <> 'P' AND o_orderpriority <= '3-ZZZ'")
 steps("pq_filter_blank", "customer", [gappy(7, "c_custkey"), FilterRows([C("gap", "is-blank")]), RemoveColumns(["c_acctbal", "c_nationkey"])], "SELECT c_custkey, c_name, c_mktsegment, CAST(NULL AS BIGINT) AS gap FROM customer WHERE c_custkey % 7 = 0")
 steps("pq_filter_not_blank", "customer", [gappy(7, "c_custkey"), FilterRows([C("gap", "is-not-blank"), C("gap", "not-equals", 3)]), RemoveColumns(["c_acctbal", "c_nationkey"])], "SELECT c_custkey, c_name, c_mktsegment, c_custkey AS gap FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey <> 3")
 steps("pq_replace_values", "orders", [ReplaceValues([("o_orderstatus", "F", "O"), ("o_orderstatus", "O", "X")]), RemoveColumns(["o_totalprice", "o_orderdate"])], "SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus IN ('F', 'O') THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders")
@@ -239,7 +239,7 @@ by("calc_crossfilter_none", "customer.c_mktsegment", "CALCULATE([Orders], CROSSF
 by("calc_crossfilter_both", "orders.o_orderpriority", "CALCULATE(COUNTROWS(customer), CROSSFILTER(customer[c_custkey], orders[o_custkey], BOTH))", "SELECT o_orderpriority AS member, count(DISTINCT o_custkey) AS value FROM orders GROUP BY 1")
 by("calc_replace", "customer.c_mktsegment", 'CALCULATE([Orders], customer[c_mktsegment] = "BUILDING")', "SELECT DISTINCT c_mktsegment AS member, (SELECT count(*) FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING') AS value FROM customer")
 by("calc_predicate", "customer.c_mktsegment", 'CALCULATE([Orders], orders[o_totalprice] > 100000 || orders[o_orderstatus] = "P")', seg("count(*)", "AND (o_totalprice > 100000 OR o_orderstatus = 'P')", True))
-by("calc_filter_table", "customer.c_mktsegment", "CALCULATE([Revenue], FILTER(FILTER(orders, orders[o_totalprice] > 50000), orders[o_custkey] < 500))", seg("sum(o_totalprice)", "AND o_totalprice > 50000 AND o_custkey < 500"))
+by("calc_filter_table", "customer.c_mktsegment", "CALCULATE([Revenue], FILTER(FILTER(orders, orders[o_totalprice] > 50000), orders[o_orderstatus] <> \"P\"))", seg("sum(o_totalprice)", "AND o_totalprice > 50000 AND o_orderstatus <> 'P'"))
 by("calc_removefilters_all", "customer.c_mktsegment", "CALCULATE([Orders], REMOVEFILTERS())", "SELECT DISTINCT c_mktsegment AS member, (SELECT count(*) FROM orders WHERE true) AS value FROM customer", {("orders", "o_orderstatus"): "F"})
 by("calc_removefilters_table", "customer.c_mktsegment", "CALCULATE([Orders], REMOVEFILTERS(customer))", "SELECT DISTINCT c_mktsegment AS member, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS value FROM customer", {("orders", "o_orderstatus"): "F"})
 by("calc_removefilters_column", "customer.c_mktsegment", "CALCULATE([Orders], REMOVEFILTERS(orders[o_orderstatus]))", seg("count(*)", "", True), {("orders", "o_orderstatus"): "F"})
@@ -354,19 +354,29 @@ def vis_blank_member(spark, d):
     return grouped(m, ("customer", "c_mktsegment"), {"value": "[Revenue]"})
 
 
-@shaped("explain_context_counts", "SELECT 'region' AS \"table\", (SELECT count(*) FROM region) AS total, 1::BIGINT AS visible UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), (SELECT count(*) FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA') UNION ALL SELECT 'customer', (SELECT count(*) FROM customer), (SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA') UNION ALL SELECT 'orders', (SELECT count(*) FROM orders), (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')")
+JOINED = {"region": "region", "nation": "nation JOIN region ON n_regionkey = r_regionkey", "customer": "customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"}
+JOINED["orders"] = "orders JOIN customer ON o_custkey = c_custkey" + JOINED["customer"].removeprefix("customer")
+JOINED["lineitem"] = "lineitem JOIN orders ON l_orderkey = o_orderkey" + JOINED["orders"].removeprefix("orders")
+SEEN = [f"SELECT '{t}' AS \"table\", (SELECT count(*) FROM {t}) AS total, (SELECT count(*) FROM {x} WHERE r_name = 'ASIA') AS visible" for t, x in JOINED.items()] + [f"SELECT '{t}', (SELECT count(*) FROM {t}), (SELECT count(*) FROM {t})" for t in ("supplier", "part", "events")] + ["SELECT 'calendar', 2557, 2557"]
+
+
+@shaped("explain_context_counts", " UNION ALL ".join(SEEN))
 def explain_context_counts(spark, d):
-    return explain.counts(star(spark, d), {("region", "r_name"): "ASIA"}).filter("table in ('region', 'nation', 'customer', 'orders')")
+    return explain.counts(star(spark, d), {("region", "r_name"): "ASIA"})
 
 
-@shaped("profile_columns", f"SELECT 'o_custkey' AS \"column\", 'integer' AS type, count(*) AS row_count, count(*) - count(o_custkey) AS null_count, 0.0::DOUBLE AS null_percent, count(DISTINCT o_custkey) AS distinct_count, {r2('100.0 * count(DISTINCT o_custkey) / count(*)')} AS distinct_percent, CAST(min(o_custkey) AS VARCHAR) AS min, CAST(max(o_custkey) AS VARCHAR) AS max, {r2('avg(o_custkey)')} AS mean, NULL::BIGINT AS min_length, NULL::BIGINT AS max_length, false AS is_potential_key FROM orders UNION ALL SELECT 'o_orderpriority', 'string', count(*), 0, 0.0::DOUBLE, count(DISTINCT o_orderpriority), {r2('100.0 * count(DISTINCT o_orderpriority) / count(*)')}, NULL, NULL, NULL, min(length(o_orderpriority)), max(length(o_orderpriority)), false FROM orders")
-def profile_columns(spark, d):
-    return sources.profile(tables(spark, d)["orders"].select("o_custkey", "o_orderpriority"))
+def profile_sql(column: str, kind: str) -> str:
+    """The profile of a column of orders."""
+    number, text, time = kind in ("integer", "decimal"), kind == "string", kind == "datetime"
+    shown = {"integer": "CAST({}(c) AS VARCHAR)", "decimal": "CAST({}(c) AS VARCHAR)", "datetime": "strftime({}(c), '%Y-%m-%d %H:%M:%S')"}
+    bound = lambda f: shown[kind].format(f) if number or time else "NULL"
+    length = lambda f: f"{f}(length(c))" if text else "NULL::BIGINT"
+    return f"SELECT '{column}' AS \"column\", '{kind}' AS type, count(*) AS row_count, count(*) - count(c) AS null_count, {r2('100.0 * (count(*) - count(c)) / count(*)')} AS null_percent, count(DISTINCT c) AS distinct_count, {r2('100.0 * count(DISTINCT c) / count(*)')} AS distinct_percent, {bound('min')} AS min, {bound('max')} AS max, {r2('avg(c)') if number else 'NULL::DOUBLE'} AS mean, {length('min')} AS min_length, {length('max')} AS max_length, count(DISTINCT c) = count(*) AS is_potential_key FROM (SELECT {column} AS c FROM orders)"
 
 
-@shaped("validate_date_table", "SELECT 0::BIGINT AS findings")
-def validate_date_table(spark, d):
-    return spark.range(1).select(F.lit(len(star(spark, d).check_date_table("calendar", "Date"))).cast("bigint").alias("findings"))
+@shaped("profile_columns", " UNION ALL ".join(profile_sql(c, k) for c, k in (("o_orderkey", "integer"), ("o_custkey", "integer"), ("o_orderstatus", "string"), ("o_totalprice", "decimal"), ("o_orderdate", "datetime"), ("o_orderpriority", "string"))))
+def profile_columns(spark, d):
+    return sources.profile(tables(spark, d)["orders"])
 
 
 @shaped("model_unmatched_fk", "SELECT count(*) AS unmatched FROM orders ANTI JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON c_custkey = o_custkey")
@@ -390,8 +400,12 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import more_queries  # noqa: F401  adds to FOUND
+
     return {n: run for n, (run, _) in FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import more_queries  # noqa: F401
+
     return {n: sql for n, (_, sql) in FOUND.items() if sql}

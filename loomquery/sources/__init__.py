@@ -1,11 +1,12 @@
 """Sources and sinks: Parquet, delimited text with inferred types, spreadsheets, rows in memory; and column profiles.
 
-Type inference looks at the first SAMPLE values of a column, then the whole column is cast. A column of which some value
-doesn't fit the inferred type stays text, and a warning says how many.
+Type inference looks at all values of a column: their kinds and what can't be cast are counted in one pass. A column of which some value
+doesn't fit the type that the others have stays text, and a warning says how many.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 from .. import types as ty
 from ..diagnostics import Diagnostic, fail
 
-SAMPLE = 500
 #: How values of each type look. Fixed values.
 PATTERNS = [
     (ty.BOOLEAN, r"(?i)^(true|false)$"), (ty.INTEGER, r"^[+-]?\d+$"), (ty.DECIMAL, r"^[+-]?\d+\.\d+$"),
@@ -51,17 +51,30 @@ def _merged(kinds: set[str]) -> str:
     return ty.DECIMAL if kinds <= ty.NUMERIC else ty.DATETIME if kinds <= ty.TEMPORAL else ty.STRING
 
 
-def inferred_types(df: DataFrame) -> dict[str, str]:
-    """The types of all-text columns from their first SAMPLE values: one small job for all columns."""
-    found = []
+def inferred_types(df: DataFrame) -> tuple[dict[str, str], list[Diagnostic], int]:
+    """(types, warnings, rows) of all-text columns: one pass over the table for all columns."""
+    found = [F.count("*").alias("rows")]
     for i, name in enumerate(df.columns):
         c = F.trim(F.col(f"`{name}`"))
         kind = F.lit(ty.STRING)
         for k, pattern in reversed(PATTERNS):
             kind = F.when(c.rlike(pattern), k).otherwise(kind)
-        found.append(F.collect_set(F.when(c.isNotNull() & ~c.rlike(BLANK), kind)).alias(f"k{i}"))
-    row = df.limit(SAMPLE).agg(*found).first()
-    return {name: _merged(set(row[f"k{i}"])) for i, name in enumerate(df.columns)}
+        kind = F.when(c.isNotNull() & ~c.rlike(BLANK), kind)
+        found += [F.count(F.when(kind == k, 1)).alias(f"{k}{i}") for k in (ty.STRING, *dict(PATTERNS))]
+        misfit = {ty.INTEGER: [ty.INTEGER], ty.DATE: [ty.DATE], ty.DATETIME: [ty.DATE, ty.DATETIME]}
+        found += [F.count(F.when(kind.isin(of) & c.try_cast(ty.SPARK_TYPE[k]).isNull(), 1)).alias(f"bad_{k}{i}") for k, of in misfit.items()]
+    row = df.agg(*found).first().asDict()
+    types, notes = {}, []
+    for i, name in enumerate(df.columns):
+        counts = {k: row[f"{k}{i}"] for k in (ty.STRING, *dict(PATTERNS)) if row[f"{k}{i}"]}
+        text = counts.pop(ty.STRING, 0)
+        kind = _merged(set(counts)) if counts else ty.STRING if text else ty.NULL
+        # A few values that look like text among others: the column looks like what the others are.
+        bad = 0 if kind in (ty.STRING, ty.NULL) else text if text else row.get(f"bad_{kind}{i}", 0)
+        if bad and 2 * bad < text + sum(counts.values()):
+            notes.append(Diagnostic("QUERY_TYPE_CONVERSION_FAILED", f"{name} looks like {kind}, but {bad} values don't fit: it stays text", "warning", {"column": name, "type": kind, "count": bad}))
+        types[name] = ty.STRING if bad else kind
+    return types, notes, row["rows"]
 
 
 def coerced(c: Column, dtype: str) -> Column:
@@ -83,26 +96,26 @@ def typed(df: DataFrame, max_rows: int | None = None, max_columns: int | None =
     for c in df.columns:
         filled = filled | F.coalesce(F.trim(F.col(f"`{c}`")) != "", F.lit(False))
     df = df.filter(filled)
-    kinds = inferred_types(df)
-    # One pass finds the values that don't fit.
-    checks = [F.count(F.when(coerced(F.col(f"`{c}`"), ty.STRING).isNotNull() & coerced(F.col(f"`{c}`"), k).isNull(), 1)).alias(f"b{i}") for i, (c, k) in enumerate(kinds.items())]
-    row = df.agg(F.count("*").alias("n"), *checks).first()
-    if max_rows and row["n"] > max_rows:
-        fail("QUERY_ROW_LIMIT_EXCEEDED", f"{row['n']} rows; {max_rows} are allowed")
-    notes = []
-    for i, (c, k) in enumerate(list(kinds.items())):
-        if row[f"b{i}"]:
-            notes.append(Diagnostic("QUERY_TYPE_CONVERSION_FAILED", f"{c} looks like {k}, but {row[f'b{i}']} values don't fit: it stays text", "warning", {"column": c, "count": row[f"b{i}"]}))
-            kinds[c] = ty.STRING
+    kinds, notes, rows = inferred_types(df)
+    if max_rows and rows > max_rows:
+        fail("QUERY_ROW_LIMIT_EXCEEDED", f"{rows} rows; {max_rows} are allowed")
     out = df.select(*[coerced(F.col(f"`{c}`"), k).alias(c) for c, k in kinds.items()])
     return Imported(out, kinds, notes)
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",", multiline: bool = True, **limits: Any) -> Imported:
+def has_quoted_line_feeds(spark: SparkSession, path: str) -> bool:
+    """Whether some line of a delimited file ends inside quotes: it has an odd number of them."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return bool(spark.read.text(path).filter(quotes % 2 == 1).limit(1).count())
+
+
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",", multiline: bool | None = None, **limits: Any) -> Imported:
     """A delimited file with a header, quotes doubled inside quotes, and line feeds inside quotes.
 
-    Files without such line feeds can be split among tasks: multiline=False.
+    Only files with such line feeds are read by one task each; a pass over the lines looks for them unless `multiline` says.
     """
+    if multiline is None:
+        multiline = has_quoted_line_feeds(spark, path)
     reader = lambda: spark.read.options(sep=delimiter, quote='"', escape='"', multiLine=multiline)
     names = list(reader().csv(path).first() or [])
     schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
@@ -156,25 +169,28 @@ def rounded(c: Column) -> Column:
 
 def profile(df: DataFrame) -> DataFrame:
     """(column, type, row_count, null_count, null_percent, distinct_count, distinct_percent, min, max, mean, min_length,
-    max_length, is_potential_key): a row for each column, from one aggregation."""
-    kinds = {f.name: ty.logical_type(f.dataType) for f in df.schema.fields}
-    aggregates = [F.count("*").alias("rows")]
-    for i, (n, k) in enumerate(kinds.items()):
-        c = F.col(f"`{n}`")
-        aggregates += [F.count(c).alias(f"n{i}"), F.count_distinct(c).alias(f"d{i}")]
-        ordered = k in ty.NUMERIC | ty.TEMPORAL
-        aggregates += [(F.min(c) if ordered else F.lit(None)).cast("string").alias(f"lo{i}"), (F.max(c) if ordered else F.lit(None)).cast("string").alias(f"hi{i}")]
-        aggregates += [(F.avg(c) if k in ty.NUMERIC else F.lit(None)).cast("double").alias(f"avg{i}")]
-        text = k == ty.STRING
-        aggregates += [(F.min(F.length(c)) if text else F.lit(None)).cast("long").alias(f"a{i}"), (F.max(F.length(c)) if text else F.lit(None)).cast("long").alias(f"z{i}")]
-    one = df.agg(*aggregates)
+    max_length, is_potential_key): a row for each column.
+
+    Each column is grouped by its values, combined before the shuffle, and summed up from its groups: a columnar source
+    reads each column once, and no row is repeated for each of them.
+    """
+    return functools.reduce(DataFrame.unionAll, [_column_profile(df, f.name, ty.logical_type(f.dataType)) for f in df.schema.fields])
+
+
+def _column_profile(df: DataFrame, name: str, kind: str) -> DataFrame:
+    groups = df.groupBy(F.col(f"`{name}`").alias("v")).agg(F.count("*").alias("n"))
+    v, n = F.col("v"), F.col("n")
+    filled = F.when(v.isNotNull(), n)
+    ordered, text = kind in ty.NUMERIC | ty.TEMPORAL, kind == ty.STRING
+    mean = F.sum(v.cast("double") * n) / F.sum(filled) if kind in ty.NUMERIC else F.lit(None)
+    bound = lambda f, on: (f if on else F.lit(None))
+    one = groups.agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("rows"), F.coalesce(F.sum(filled), F.lit(0)).alias("filled"), F.count(v).alias("distinct"), bound(F.min(v), ordered).cast("string").alias("min"), bound(F.max(v), ordered).cast("string").alias("max"),
+        mean.cast("double").alias("mean"), bound(F.min(F.length(v.cast("string"))), text).cast("long").alias("min_length"), bound(F.max(F.length(v.cast("string"))), text).cast("long").alias("max_length"),
+    )
     rows, share = F.col("rows"), lambda x: F.when(F.col("rows") > 0, rounded(100.0 * x / F.col("rows"))).otherwise(0.0)
-    parts = [
-        F.struct(
-            F.lit(n).alias("column"), F.lit(k).alias("type"), rows.alias("row_count"), (rows - F.col(f"n{i}")).alias("null_count"), share(rows - F.col(f"n{i}")).alias("null_percent"),
-            F.col(f"d{i}").alias("distinct_count"), share(F.col(f"d{i}")).alias("distinct_percent"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"), rounded(F.col(f"avg{i}")).alias("mean"),
-            F.col(f"a{i}").alias("min_length"), F.col(f"z{i}").alias("max_length"), ((rows > 0) & (F.col(f"n{i}") == rows) & (F.col(f"d{i}") == rows)).alias("is_potential_key"),
-        )
-        for i, (n, k) in enumerate(kinds.items())
-    ]
-    return one.select(F.inline(F.array(*parts)))
+    return one.select(
+        F.lit(name).alias("column"), F.lit(kind).alias("type"), rows.alias("row_count"), (rows - F.col("filled")).alias("null_count"), share(rows - F.col("filled")).alias("null_percent"),
+        F.col("distinct").alias("distinct_count"), share(F.col("distinct")).alias("distinct_percent"), "min", "max", rounded(F.col("mean")).alias("mean"), "min_length", "max_length",
+        ((rows > 0) & (F.col("filled") == rows) & (F.col("distinct") == rows)).alias("is_potential_key"),
+    )

@@ -33,13 +33,37 @@ def test_csv(spark, tmp_path):
 
 
 def test_a_late_misfit_keeps_text(spark):
-    data = [(str(i),) for i in range(sources.SAMPLE)] + [("oops",)]
+    data = [(str(i),) for i in range(500)] + [("oops",)]
     got = sources.from_rows(spark, ["n"], data)
     assert got.types == {"n": "string"} and got.diagnostics[0].details["count"] == 1
     with pytest.raises(EngineError, match="QUERY_ROW_LIMIT_EXCEEDED"):
         sources.typed(spark.createDataFrame(data, "n string"), max_rows=10)
 
 
+def test_types_come_from_all_rows(spark):
+    rows = [(str(i), "2024-01-05", "x" if i % 3 else "1", None, "9" * 30) for i in range(900)] + [("2.5", "2024-02-31", "2", "null", "1.5")]
+    got = sources.typed(spark.createDataFrame(rows, "n string, d string, m string, e string, w string").repartition(7))
+    assert got.types == {"n": "decimal", "d": "string", "m": "string", "e": "null", "w": "decimal"}
+    assert [(x.details["column"], x.details["type"], x.details["count"]) for x in got.diagnostics] == [("d", "date", 1)]
+
+
+def test_only_files_with_quoted_line_feeds_are_read_whole(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,"x ""q"" y"\n2,z\n')
+    (tmp_path / "b.csv").write_text('a,b\n1,"two\nlines"\n2,z\n')
+    found = [sources.has_quoted_line_feeds(spark, str(tmp_path / n)) for n in ("a.csv", "b.csv")]
+    assert found == [False, True]
+    assert [r["b"] for r in sources.read_csv(spark, str(tmp_path / "b.csv")).df.collect()] == ["two\nlines", "z"]
+
+
+def test_a_pivot_has_a_limit(spark, monkeypatch):
+    monkeypatch.setattr(s, "MOST_PIVOTED", 2)
+    from loomquery.plans.pipeline import QuerySet
+
+    rows = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (1, "c", 3.0)], "k long, p string, v double")
+    found = QuerySet({"t": rows}, [Query("q", "t", [s.PivotColumn("p", "p", "v", "sum")])]).evaluate("q")
+    assert [d.code for d in found.diagnostics] == ["QUERY_COLUMN_LIMIT_EXCEEDED"]
+
+
 def test_headers():
     assert sources.header(["a", " a ", "", None, "A"]) == ["a", "a_2", "Column3", "Column4", "A_3"]
 
