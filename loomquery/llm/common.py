@@ -1,13 +1,12 @@
-"""Shared pieces of the corpus operators: shared scratch tables and table access."""
+"""Shared pieces of the corpus operators: table access, folds, joins with aggregates."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import dropped, shared_dir, written  # noqa: F401
+
 #: A word is a maximal run of characters other than space and the ASCII controls 9 to 13.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -18,41 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it. Only a local session, whose one machine
-    shares its disk, falls back to a temporary folder; elsewhere a missing setting is an error."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        set_by_code = sc._jsc.sc().getCheckpointDir()
-        if set_by_code.isDefined():
-            return set_by_code.get()
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = f"file://{tempfile.gettempdir()}/loomquery-shared"
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cuts lineage and survives lost executors. The table goes when it is
-    `dropped`, or else when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete a table made by `written` that no later plan reads."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-
-
 def met(rows: DataFrame, one: DataFrame, *keys: str) -> DataFrame:
     """`rows` joined with `one`, an aggregate with a row for each value of the integer columns `keys`.
 
