@@ -1,18 +1,22 @@
 """Document fingerprints: a Merkle tree over blocks, paragraphs and sections, in SQL functions only.
 
-A text is cut at line feeds into paragraphs, and each run of `SECTION` paragraphs is a section. A
-paragraph's node is the SHA-256 of its exact text, a section's that of its paragraphs' nodes, the
-root's that of the sections' nodes; so roots are equal just when texts are. Below each paragraph lie
-short digests of its blocks of up to `BLOCK` words, which let likeness see an edit inside a paragraph.
-
-The fingerprint string is `root:sections:blocks`: the root in hex, each section's node cut to
-`NODE_HEX` digits, and the blocks' digests of `BLOCK_HEX` digits. It grows with the text, by about a
-seventh of it. `likeness` of two fingerprints is 1 if the roots are equal, else the Dice coefficient
-of the two sets of block digests, below 1. `locate_edits` compares two versions' trees: equal roots end
-it, then only sections whose nodes differ are opened, and their differing paragraphs returned.
+A text is cut at line feeds into paragraphs. A paragraph's node is the SHA-256 of its exact text. A section is a run of
+paragraphs up to one whose node ends in the digit 0, of about 16 and at most `MOST` paragraphs; its node is the SHA-256 of its
+paragraphs' nodes, and the root that of the sections' nodes; so roots are equal just when texts are. Below each paragraph lie
+short digests of its blocks, runs of words up to one that ends in a character of `ENDS`, of at most `MOST` words, without the space around
+them, which let likeness see an edit inside a paragraph. Sections and blocks are cut by what they hold, not by place, so what is put in
+or left out changes the branches it is in, and the ones after it stay as they are.
+
+The fingerprint string is `root:section;section;...`, where a section is its node cut to `NODE_HEX` digits, a dot, and its
+blocks' digests of `BLOCK_HEX` digits. It grows with the text, by about a seventh of it. `likeness` compares two fingerprints
+from the root down: equal roots are 1; of the sections that both have, all blocks count as shared and are not looked at; only
+sections that differ are opened, and their sets of blocks compared. The result is the Dice coefficient of the blocks, below 1.
+`locate_edits` does the same with two versions' trees, and returns the paragraphs of differing sections that the other version lacks.
 
 Defined results: a null text is an empty one. Rows that repeat are each fingerprinted. Texts without
-any word have no blocks: their likeness to a different text is 0.
+any word have no blocks: their likeness to a different text is 0. An empty table gives an empty result. A very long text is one
+row: its tree is in memory at once, some tens of bytes a word. `edited_pairs` and `locate_edits` read the key and the text only,
+whatever the other columns' names.
 """
 
 from __future__ import annotations
@@ -20,125 +24,158 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SECTION, BLOCK, NODE_HEX, BLOCK_HEX = 16, 8, 16, 8
-#: Up to BLOCK words of one line; a word has no space and none of the controls 9 to 13.
-BLOCK_PATTERN = rf"[^\x20\x09-\x0D]+(?:[\x20\x09\x0B-\x0D]+[^\x20\x09-\x0D]+){{0,{BLOCK - 1}}}"
+MOST, NODE_HEX, BLOCK_HEX = 31, 16, 8
+#: Characters at the end of a word that end its block: one word in eight or so. Fixed values.
+ENDS = "gyoGYO.!?:;0-4"
+GAP, SPACES = r"\x20\x09-\x0D", " \t\n\v\f\r"
+#: Words that don't end a block, then one more: the first that does, the paragraph's last, or the `MOST`th.
+BLOCK_PATTERN = rf"(?:[^{GAP}]*[^{GAP}{ENDS}][{GAP}]+){{0,{MOST - 1}}}[^{GAP}]+[{GAP}]*"
+#: The same for paragraphs, written as node=blocks, with a comma behind.
+SECTION_PATTERN = rf"(?:[0-9a-f]*[1-9a-f]=[0-9a-f]*,){{0,{MOST - 1}}}[0-9a-f]+=[0-9a-f]*,"
 
 
 def sha(c):
     return F.sha2(c.cast("binary"), 256)
 
 
-def paragraph_nodes(text):
-    return F.transform(F.split(text, "\n", -1), sha)
+def block_digests(paragraph):
+    found = F.regexp_extract_all(paragraph, F.lit(BLOCK_PATTERN), F.lit(0))
+    return F.array_join(F.transform(found, lambda b: F.substring(F.md5(F.rtrim(b, F.lit(SPACES)).cast("binary")), 1, BLOCK_HEX)), "")
 
 
-def section_nodes(paragraphs):
-    starts = F.sequence(F.lit(1), F.size(paragraphs), F.lit(SECTION))
-    return F.transform(starts, lambda i: sha(F.array_join(F.slice(paragraphs, i, F.lit(SECTION)), "")))
+def sections_of(text):
+    """A text's sections: their paragraphs as node=blocks, with a comma behind each."""
+    paragraphs = F.transform(F.split(text, "\n", -1), lambda p: F.concat(sha(p), F.lit("="), block_digests(p), F.lit(",")))
+    return F.regexp_extract_all(F.array_join(paragraphs, ""), F.lit(SECTION_PATTERN), F.lit(0))
 
 
-def block_digests(text):
-    return F.transform(F.regexp_extract_all(text, F.lit(BLOCK_PATTERN), F.lit(0)), lambda b: F.substring(F.md5(b.cast("binary")), 1, BLOCK_HEX))
+def section_node(section):
+    return sha(F.regexp_replace(section, "=[0-9a-f]*", ""))
 
 
 def fingerprint(text):
-    sections = section_nodes(paragraph_nodes(text))
-    return F.concat_ws(":", sha(F.array_join(sections, "")), F.array_join(F.transform(sections, lambda s: F.substring(s, 1, NODE_HEX)), ""), F.array_join(block_digests(text), ""))
+    sections = sections_of(text)
+    root_ = sha(F.array_join(F.transform(sections, section_node), ""))
+    shown = F.transform(sections, lambda s: F.concat(F.substring(section_node(s), 1, NODE_HEX), F.lit("."), F.regexp_replace(s, "[0-9a-f]{64}=|,", "")))
+    return F.concat(root_, F.lit(":"), F.array_join(shown, ";"))
 
 
 def root(print_):
     return F.substring(print_, 1, 64)
 
 
-def blocks(print_):
-    """The distinct block digests of a fingerprint."""
-    joined = F.substring_index(print_, ":", -1)
+def branches(print_):
+    """The sections of a fingerprint."""
+    return F.split(F.substring(print_, 66, F.length(print_)), ";")
+
+
+def blocks(sections):
+    """The distinct block digests below sections."""
+    joined = F.array_join(F.transform(sections, lambda s: F.substring(s, F.lit(NODE_HEX + 2), F.length(s))), "")
     return F.array_distinct(F.regexp_extract_all(joined, F.lit(f"[0-9a-f]{{{BLOCK_HEX}}}"), F.lit(0)))
 
 
 def likeness(a, b):
     """Of two fingerprints, from 0 to 1; 1 just for equal texts."""
-    root_a, blocks_a, root_b, blocks_b = root(a), blocks(a), root(b), blocks(b)
-    shared, both = F.size(F.array_intersect(blocks_a, blocks_b)), F.size(blocks_a) + F.size(blocks_b)
-    dice = F.when(both > 0, 2.0 * shared / both).otherwise(0.0)
-    # Different texts can share all blocks (order, white space): they stay below 1.
-    return F.when(root_a == root_b, 1.0).otherwise(F.least(dice, F.lit(0.999))).cast("double")
+    own, other = branches(a), branches(b)
+    shared = F.aggregate(F.array_intersect(own, other), F.lit(0), lambda n, s: n + ((F.length(s) - NODE_HEX - 1) / BLOCK_HEX).cast("int"))
+    left, right = blocks(F.array_except(own, other)), blocks(F.array_except(other, own))
+    both = 2 * shared + F.size(left) + F.size(right)
+    dice = F.when(both > 0, 2.0 * (shared + F.size(F.array_intersect(left, right))) / both).otherwise(0.0)
+    # Different texts can share all blocks (in another order): they stay below 1.
+    return F.when(root(a) == root(b), 1.0).otherwise(F.least(dice, F.lit(0.999))).cast("double")
 
 
-def tree(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, root, sections, paragraphs): the tree's nodes by level."""
-    d = docs.select(F.col(f"`{key}`").alias("key"), paragraph_nodes(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("paragraphs"))
-    d = d.withColumn("sections", section_nodes(F.col("paragraphs")))
-    return d.select("key", sha(F.array_join("sections", "")).alias("root"), "sections", "paragraphs")
+def differing(a, b):
+    """How many sections of fingerprint `a` the other one lacks."""
+    return F.size(F.array_except(branches(a), branches(b)))
 
 
 def locate_edits(old: DataFrame, new: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, section, paragraph, old_node, new_node): where documents of one key differ, counted from 0.
+    """(key, version, section, paragraph, node): the paragraphs, counted from 0, that one version (`old` or `new`) has and
+    the other lacks, in sections that it lacks.
 
-    A node is null where one version has no such paragraph. Keys that only one side has, and null keys, are left out.
+    Keys that only one side has, and null keys, are left out.
     """
-    a, b = tree(old, key, text), tree(new, key, text)
-    both = a.alias("a").join(b.alias("b"), F.col("a.key") == F.col("b.key")).filter("a.root <> b.root")
-    longest = lambda name: F.greatest(F.size(f"a.{name}"), F.size(f"b.{name}"))
-    # With a plan that stops at roots and sections, equal branches are never opened.
-    sections = both.select(F.col("a.key").alias("key"), F.col("a.paragraphs").alias("pa"), F.col("b.paragraphs").alias("pb"), "a.sections", F.col("b.sections").alias("sb"), F.explode(F.sequence(F.lit(0), longest("sections") - 1)).alias("section"))
-    differ = sections.filter(~F.get("sections", "section").eqNullSafe(F.get("sb", "section")))
-    nodes = differ.select("key", "section", "pa", "pb", F.explode(F.sequence(F.col("section") * SECTION, F.col("section") * SECTION + SECTION - 1)).alias("paragraph"))
-    nodes = nodes.select("key", "section", "paragraph", F.get("pa", "paragraph").alias("old_node"), F.get("pb", "paragraph").alias("new_node"))
-    return nodes.filter("not (old_node <=> new_node)").withColumnRenamed("key", key)
-
-
-#: Bounds in one step of the two-step search for a row's part.
+    tree = lambda df, name: df.select(F.col(f"`{key}`").alias("key"), F.transform(sections_of(F.coalesce(F.col(f"`{text}`"), F.lit(""))), lambda s: F.split(F.regexp_replace(s, "=[0-9a-f]*,$", ""), "=[0-9a-f]*,")).alias(name))
+    both = tree(old, "old").join(tree(new, "new"), "key").filter("old <> new")
+    found = []
+    for own, other in (("old", "new"), ("new", "old")):
+        # Equal sections are never opened.
+        rest = F.flatten(F.array_except(other, own))
+        each = both.select("key", F.expr(f"transform({own}, (s, i) -> aggregate(slice({own}, 1, i), 0, (n, x) -> n + size(x)))").alias("starts"), own, other, rest.alias("rest"))
+        opened = each.select("key", "starts", other, "rest", F.posexplode(own).alias("section", "nodes")).filter(~F.array_contains(other, F.col("nodes")))
+        lines = opened.select("key", "section", F.get("starts", "section").alias("first"), "rest", F.posexplode("nodes").alias("at", "node")).filter(~F.array_contains("rest", F.col("node")))
+        found.append(lines.select("key", F.lit(own).alias("version"), "section", (F.col("first") + F.col("at")).alias("paragraph"), "node"))
+    return found[0].union(found[1]).withColumnRenamed("key", key)
+
+
+#: Bounds in one step of the two-step search for a row's range.
 STEP = 64
+#: The values that a text's place among rows of one id can take.
+PLACES = 16**7
 
 
-def part_of(doc_id, cuts: list[int]):
-    """How many of the descending `cuts` are doc_id or more; for a null id, all of them."""
+def range_of(doc_id, cuts: list[int]):
+    """How many of the descending `cuts` are doc_id or more."""
     if not cuts:
         return F.lit(0)
     coarse = cuts[STEP - 1 :: STEP]
     skipped = F.size(F.filter(F.lit(coarse), lambda c: c >= doc_id)) if coarse else F.lit(0)
     fine = F.lit([[*cuts[i : i + STEP]] for i in range(0, len(cuts), STEP)] + [[cuts[-1]]])
     rest = F.size(F.filter(F.get(fine, skipped), lambda c: c >= doc_id))
-    return F.when(doc_id.isNull(), F.lit(len(cuts))).otherwise(F.least(skipped * STEP + rest, F.lit(len(cuts))))
+    return F.least(skipped * STEP + rest, F.lit(len(cuts)))
 
 
 def with_next(spark: SparkSession, docs: DataFrame, carried: list[str]) -> DataFrame:
     """`docs` (doc_id, text and the `carried` columns) with next_<c> for each carried column c: that of the
     next document by descending doc_id, and of the first after the last.
 
-    Rows are dealt by ranges of doc_id whose bounds are quantiles, so each row is shuffled once and each
-    range is sorted on its own. A range's first row also goes, as a guest, to the range before it. What
-    the driver holds is two numbers a range. Rows of one doc_id follow each other in the order of their
-    texts; null ids come last.
+    Rows of one doc_id follow each other in the order of their texts' MD5; null ids come last. Rows are dealt by ranges of
+    this order whose bounds are quantiles of doc_id: an id that is several quantiles is cut into as many ranges by the MD5, and so are
+    the null ids, by their share; each row is shuffled once and each range is sorted on its own. A range's first row also goes, as a
+    guest, to the range before it. What the driver holds is a row's id and MD5 a range.
     """
     n = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # several ranges a task even out their sizes
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 100 * n)).alias("q")).first()["q"]
-    part = part_of(F.col("doc_id"), sorted(set(cuts or []), reverse=True)).cast("int")
+    stats = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 100 * n)).alias("q"), F.count("*").alias("rows"), F.count("doc_id").alias("ids")).first()
+    quantiles = stats["q"] or []
+    cuts = sorted(set(quantiles), reverse=True)
+    parts = [1, *(quantiles.count(c) for c in cuts)]  # range k + 1 begins with the id cuts[k]
+    starts = [sum(parts[:k]) for k in range(len(parts) + 1)]
+    blanks = max(1, -(-n * (stats["rows"] - stats["ids"]) // max(stats["rows"], 1)))
+    docs = docs.withColumn("md5", F.md5(F.col("text").cast("binary")))
+    share = F.conv(F.substring("md5", 1, 7), 16, 10).cast("long")
+    at, own = range_of(F.col("doc_id"), cuts), F.col("doc_id")
+    several = F.get(F.lit(parts), at)
+    first = F.get(F.lit([None, *cuts] if cuts else [0]), at) == own
+    known = F.get(F.lit(starts), at) + F.when(first, F.floor(share * several / PLACES)).otherwise(several - 1)
+    part = F.when(own.isNull(), starts[-1] + F.floor(share * blanks / PLACES)).otherwise(known).cast("int")
     docs = docs.withColumn("part", part)
-    heads = {r["part"]: r["id"] for r in docs.groupBy("part").agg(F.max("doc_id").alias("id")).collect()}
+    heads = {r["part"]: r["h"] for r in docs.groupBy("part").agg(F.min(F.struct(F.bitwise_not("doc_id").alias("id"), "md5")).alias("h")).collect()}
     if not heads:
-        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in carried]).drop("part")
+        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in carried]).drop("part", "md5")
     seen = sorted(heads)
     before = dict(zip(seen, [seen[-1], *seen[:-1]], strict=True))
-    is_head = F.col("doc_id").isin([x for x in heads.values() if x is not None])
-    if None in heads.values():  # a part of null ids only
-        is_head = F.coalesce(is_head, F.lit(False)) | F.col("doc_id").isNull()
-    guest_at = F.get(F.lit([before.get(p, -1) for p in range(seen[-1] + 1)]), F.col("part"))
-    own = F.struct(F.col("part").alias("at"), F.lit(0).alias("guest"))
-    places = F.when(is_head, F.array(own, F.struct(guest_at.alias("at"), F.lit(1).alias("guest")))).otherwise(F.array(own))
-    dealt = docs.select("*", F.inline(places)).drop("part")
-    order = Window.partitionBy("at").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
-    return dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carried]).filter("guest = 0").drop("at", "guest")
+    by_part = lambda f, kind: F.get(F.lit([f(p) for p in range(seen[-1] + 1)]).cast(f"array<{kind}>"), F.col("part"))
+    head = lambda p, name: heads[p][name] if p in heads else None
+    is_head = (by_part(lambda p: head(p, "md5"), "string") == F.col("md5")) & by_part(lambda p: head(p, "id"), "bigint").eqNullSafe(F.bitwise_not("doc_id"))
+    stays = F.struct(F.col("part").alias("at"), F.lit(0).alias("guest"))
+    goes = F.struct(by_part(lambda p: before.get(p, -1), "int").alias("at"), F.lit(1).alias("guest"))
+    dealt = docs.select("*", F.inline(F.when(is_head, F.array(stays, goes)).otherwise(F.array(stays)))).drop("part")
+    order = Window.partitionBy("at").orderBy("guest", F.col("doc_id").desc_nulls_last(), "md5")
+    return dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carried]).filter("guest = 0").drop("at", "guest", "md5")
 
 
 def edited_pairs(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Each document beside its text edited by its successor: the last half gives way to the successor's first part."""
+    """Each document beside its text edited by its successor: the last half gives way to the successor's first part.
+
+    `sections` counts the text's sections, `edited_sections` those of the edited text that differ.
+    """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("fingerprint", fingerprint(F.col("text")))
     d = with_next(spark, d, ["text", "fingerprint"]).withColumn("n_chars", F.length("text"))
     edited = F.expr("concat(substring(text, 1, n_chars - int(n_chars / 2)), substring(next_text, 1, int(n_chars / 2)))")
     d = d.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "fingerprint", "next_fingerprint", edited.alias("edited"))
     d = d.select("*", sha(F.col("edited")).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_fingerprint"))
-    near = lambda other: likeness(F.col("fingerprint"), F.col(other))
-    return d.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"))
+    own, other = F.col("fingerprint"), F.col("edited_fingerprint")
+    counts = [F.size(branches(own)).cast("long").alias("sections"), differing(other, own).cast("long").alias("edited_sections")]
+    return d.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(own, other).alias("near_edited"), likeness(own, F.col("next_fingerprint")).alias("near_next"), *counts)

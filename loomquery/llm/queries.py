@@ -63,32 +63,41 @@ def queries():
     return {f.__name__: f for f in (op1_lm_scoring, op2_token_rollup, op3_decontaminate, op4_gumbel_encode, op5_quality, op6_near_dedup, op7_merkle, op8_url_rules, op9_substring_dedup, op10_license_scan)}
 
 
-FINGERPRINT = r"""
-(sha256(list_aggregate(sections, 'string_agg', '')) || ':' || list_aggregate(list_transform(sections, lambda s: s[1:16]), 'string_agg', '') || ':'
- || coalesce(list_aggregate(list_transform(regexp_extract_all(text, '[^\x20\x09-\x0D]+(?:[\x20\x09\x0B-\x0D]+[^\x20\x09-\x0D]+){0,7}'), lambda b: md5(b)[1:8]), 'string_agg', ''), ''))
+#: Of `text`: its paragraphs as node=blocks with a comma behind, then its sections.
+SECTIONS = r"""
+regexp_extract_all(list_aggregate(list_transform(string_split(text, chr(10)), lambda p: sha256(p) || '=' || coalesce(list_aggregate(list_transform(
+  regexp_extract_all(p, '(?:[^\x20\x09-\x0D]*[^\x20\x09-\x0DgyoGYO.!?:;0-4][\x20\x09-\x0D]+){0,30}[^\x20\x09-\x0D]+[\x20\x09-\x0D]*'), lambda b: md5(rtrim(b, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))[1:8]), 'string_agg', ''), '') || ','), 'string_agg', ''),
+  '(?:[0-9a-f]*[1-9a-f]=[0-9a-f]*,){0,30}[0-9a-f]+=[0-9a-f]*,')
 """
-
-TREE = """
-SELECT * EXCLUDE (paragraphs), list_transform(range(0, len(paragraphs), 16), lambda i: sha256(list_aggregate(paragraphs[i + 1 : i + 16], 'string_agg', ''))) AS sections
-FROM (SELECT *, list_transform(string_split(text, chr(10)), lambda p: sha256(p)) AS paragraphs FROM {rows})
+NODE = "sha256(regexp_replace(s, '=[0-9a-f]*', '', 'g'))"
+FINGERPRINT = f"""
+sha256(list_aggregate(list_transform(found, lambda s: {NODE}), 'string_agg', '')) || ':'
+ || list_aggregate(list_transform(found, lambda s: {NODE}[1:16] || '.' || regexp_replace(s, '[0-9a-f]{{64}}=|,', '', 'g')), 'string_agg', ';')
 """
+BRANCHES = "string_split({0}[66:], ';')"
+
 
-BLOCKS = "list_distinct(regexp_extract_all(split_part({0}, ':', 3), '[0-9a-f]{{8}}'))"
+def without(a, b):
+    return f"list_distinct(list_filter({BRANCHES.format(a)}, lambda s: NOT list_contains({BRANCHES.format(b)}, s)))"
 
 
 def near(a, b):
-    x, y = BLOCKS.format(a), BLOCKS.format(b)
-    return f"CASE WHEN {a}[1:64] = {b}[1:64] THEN 1.0 WHEN len({x}) + len({y}) = 0 THEN 0.0 ELSE least(0.999, 2.0 * len(list_intersect({x}, {y})) / (len({x}) + len({y}))) END"
+    blocks = lambda x, y: f"list_distinct(regexp_extract_all(coalesce(list_aggregate(list_transform({without(x, y)}, lambda s: s[18:]), 'string_agg', ''), ''), '[0-9a-f]{{8}}'))"
+    shared = f"CAST(coalesce(list_sum(list_transform(list_distinct(list_intersect({BRANCHES.format(a)}, {BRANCHES.format(b)})), lambda s: (length(s) - 17) // 8)), 0) AS BIGINT)"
+    x, y = blocks(a, b), blocks(b, a)
+    both = f"(2 * {shared} + len({x}) + len({y}))"
+    return f"CAST(CASE WHEN {a}[1:64] = {b}[1:64] THEN 1.0 WHEN {both} = 0 THEN 0.0 ELSE least(0.999, 2.0 * ({shared} + len(list_intersect({x}, {y}))) / {both}) END AS DOUBLE)"
 
 
 OP7 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-follows AS (SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, text)),
+follows AS (SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, md5(text))),
 e AS (SELECT doc_id, length(text) AS n_chars, text, next_text, substring(text, 1, length(text) - length(text) // 2) || substring(next_text, 1, length(text) // 2) AS edited FROM follows),
-own AS (SELECT doc_id, n_chars, edited, next_text, {FINGERPRINT} AS fingerprint FROM ({TREE.format(rows="e")})),
-changed AS (SELECT doc_id, n_chars, fingerprint, next_text, sha256(edited) AS edited_sha256, {FINGERPRINT} AS edited_fingerprint FROM ({TREE.format(rows="(SELECT * EXCLUDE (edited), edited, edited AS text FROM own)")})),
-successor AS (SELECT *, {FINGERPRINT} AS next_fingerprint FROM ({TREE.format(rows="(SELECT * EXCLUDE (next_text), next_text AS text FROM changed)")}))
-SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, CAST({near("fingerprint", "edited_fingerprint")} AS DOUBLE) AS near_edited, CAST({near("fingerprint", "next_fingerprint")} AS DOUBLE) AS near_next
+own AS (SELECT *, {FINGERPRINT} AS fingerprint FROM (SELECT *, {SECTIONS} AS found FROM e)),
+changed AS (SELECT *, {FINGERPRINT} AS edited_fingerprint FROM (SELECT * EXCLUDE (text, found), edited AS text, {SECTIONS.replace("text", "edited")} AS found FROM own)),
+successor AS (SELECT *, {FINGERPRINT} AS next_fingerprint FROM (SELECT * EXCLUDE (text, found), {SECTIONS.replace("text", "next_text")} AS found FROM changed))
+SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint, {near("fingerprint", "edited_fingerprint")} AS near_edited, {near("fingerprint", "next_fingerprint")} AS near_next,
+  CAST(len({BRANCHES.format("fingerprint")}) AS BIGINT) AS sections, CAST(len({without("edited_fingerprint", "fingerprint")}) AS BIGINT) AS edited_sections
 FROM successor
 """
 

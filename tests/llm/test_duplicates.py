@@ -222,23 +222,72 @@ def test_fingerprints(spark, docs_of, words):
     assert got[0] == got[4] == 1 and 0.99 <= got[1] < 1 and got[2] < 0.05 and got[3] == 0
 
 
+def test_likeness_survives_moved_places(spark, words):
+    """A word put in early changes its block, not the ones after it; nor do paragraphs before others."""
+    lines = [words(k, 60) for k in range(90)]
+    text = "\n".join(lines)
+    changed = {"a word in front": "new " + text, "a paragraph in front": "some new line\n" + text, "a paragraph gone": "\n".join(lines[:40] + lines[41:]), "other text": "\n".join(words(k + 500, 60) for k in range(90)), "reversed": "\n".join(lines[::-1])}
+    rows = spark.createDataFrame([(n, text, t) for n, t in changed.items()], "name string, a string, b string")
+    rows = rows.select("name", merkle.fingerprint(merkle.F.col("a")).alias("a"), merkle.fingerprint(merkle.F.col("b")).alias("b"))
+    got = {r["name"]: (r["near"], r["n"], r["of"]) for r in rows.select("name", merkle.likeness(merkle.F.col("a"), merkle.F.col("b")).alias("near"), merkle.differing(merkle.F.col("b"), merkle.F.col("a")).alias("n"), merkle.F.size(merkle.branches(merkle.F.col("a"))).alias("of")).collect()}
+    assert got["a word in front"][0] > 0.99 and got["a word in front"][1] == 1 and got["a word in front"][2] > 3
+    assert got["a paragraph in front"][0] > 0.99 and got["a paragraph in front"][1] <= 2 and 0.98 < got["a paragraph gone"][0] < 1
+    assert got["other text"][0] < 0.05 and 0.9 < got["reversed"][0] < 1
+
+
+def plain_fingerprint(text):
+    """By splitting and joining in Python, without the patterns."""
+    import re
+
+    def runs(items, ends):
+        out, run = [], []
+        for x in items:
+            run.append(x)
+            if ends(x) or len(run) == merkle.MOST:
+                out.append(run)
+                run = []
+        return out + [run] * bool(run)
+
+    sections = []
+    for run in runs(text.split("\n"), lambda p: hashlib.sha256(p.encode()).hexdigest()[-1] == "0"):
+        nodes = [hashlib.sha256(p.encode()).hexdigest() for p in run]
+        blocks = []
+        for p in run:
+            units = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", p)  # a word and the gap behind it
+            gap = lambda u: len(u) > len(u.rstrip("\t\n\v\f\r "))
+            blocks += ["".join(b).rstrip("\t\n\v\f\r ") for b in runs(units, lambda u: u.rstrip("\t\n\v\f\r ")[-1] in "gyoGYO.!?:;01234" and gap(u))]
+        sections.append((hashlib.sha256("".join(n + "," for n in nodes).encode()).hexdigest(), [hashlib.md5(b.encode()).hexdigest()[:8] for b in blocks]))
+    return hashlib.sha256("".join(n for n, _ in sections).encode()).hexdigest() + ":" + ";".join(n[:16] + "." + "".join(b) for n, b in sections)
+
+
+def test_fingerprints_against_plain_ones(spark, words):
+    texts = ["", "x", "one two", " lead", "trail ", "ends so", "go", "\n\n", "a\tb\x0bc go d", "日本\n語 go 0", *["\n".join(words(f"{i} {k}", 1 + 7 * k % 50) for k in range(i * 12)) for i in range(1, 6)], "w " * 100, "so " * 100, "x\n" * 200]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", merkle.fingerprint(merkle.F.col("t")).alias("p")).collect()
+    assert {r["t"]: r["p"] for r in got} == {t: plain_fingerprint(t) for t in texts}
+
+
 def test_edits_are_located(docs_of, words):
     lines = [words(k, 9) for k in range(50)]
     new = list(lines)
     new[3], new[40] = "changed", new[40] + " more"
-    old_docs = docs_of([(1, "\n".join(lines)), (2, "same"), (3, "a\nb"), (4, "gone")])
-    new_docs = docs_of([(1, "\n".join(new)), (2, "same"), (3, "a"), (5, "new")])
-    got = sorted((r["doc_id"], r["section"], r["paragraph"], r["old_node"] is None, r["new_node"] is None) for r in merkle.locate_edits(old_docs, new_docs).collect())
-    assert got == [(1, 0, 3, False, False), (1, 2, 40, False, False), (3, 0, 1, False, True)]
+    new.insert(20, "put in")
+    old_docs = docs_of([(1, "\n".join(lines)), (2, "same"), (3, "a\nb"), (4, "gone"), (None, "x")])
+    new_docs = docs_of([(1, "\n".join(new)), (2, "same"), (3, "a"), (5, "new"), (None, "y")])
+    node = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rows = merkle.locate_edits(old_docs, new_docs).collect()
+    assert sorted((r["doc_id"], r["version"], r["paragraph"], r["node"]) for r in rows) == [
+        (1, "new", 3, node("changed")), (1, "new", 20, node("put in")), (1, "new", 41, node(new[41])), (1, "old", 3, node(lines[3])), (1, "old", 40, node(lines[40])), (3, "old", 1, node("b")),
+    ]
 
 
 def test_neighbours(spark, docs_of):
     r = random.Random(2)
     ids = r.sample(range(-5000, 5000), 700)
     rows = [(i, f"text {i} " + "é" * (i % 17)) for i in ids] + [(None, "no id"), (ids[0], "a twin"), (2**62, None)]
+    rows += [(77, f"of one id {i}") for i in range(400)] + [(None, f"none {i}") for i in range(300)] + [(-(2**63), "least")]
     d = docs_of(rows).repartition(6)
     got = sorted((str(x["doc_id"]), x["edited_sha256"], x["n_chars"]) for x in merkle.edited_pairs(spark, d).collect())
-    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), x[1] or ""))
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), hashlib.md5((x[1] or "").encode()).hexdigest()))
     want = []
     for (i, t), (_, u) in zip(order, order[1:] + order[:1], strict=True):
         t, u = t or "", u or ""
