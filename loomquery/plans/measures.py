@@ -13,6 +13,7 @@ the key that multiplies rows by members. A table that nothing filters sends no k
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
@@ -554,7 +555,8 @@ class Plan:
 
     def over(self, function: str, table: str, ctx: Context, tree, made, key, only: str | None = None, iterator: bool = False) -> Typed:
         """An aggregate of a row expression."""
-        scope = RowScope(self.model, table, made(), lambda name, rel: self.transition(name, table, rel, ctx, only), only)
+        sparse = blank_with_measures(tree)
+        scope = RowScope(self.model, table, made(), lambda name, rel: self.transition(name, table, rel, ctx, only, sparse), only)
         v = scope.value(tree)
         if iterator:
             allowed = {"SUM": ty.NUMERIC, "AVERAGE": ty.NUMERIC, "MIN": ty.NUMERIC | ty.TEMPORAL | {ty.STRING}, "MAX": ty.NUMERIC | ty.TEMPORAL | {ty.STRING}}.get(function)
@@ -569,9 +571,9 @@ class Plan:
             error = self.leaf(own, lambda: scope.rel, lambda rel: F.min(v.error))
         return replace(shaped(function, value, v.dtype), error=error)
 
-    def transition(self, name: str, table: str, rel: Rel, ctx: Context, only: str | None) -> tuple[Rel, Typed]:
+    def transition(self, name: str, table: str, rel: Rel, ctx: Context, only: str | None, sparse: bool = False) -> tuple[Rel, Typed]:
         """A measure for each row: the row's columns become filters, and the measure is computed once for each
-        distinct row, all in one plan."""
+        distinct row, all in one plan. `sparse`: rows for which it is blank don't count."""
         every = list(self.model.columns(table))
         key = self.model.keys.get(table)
         columns = (only,) if only else (key,) if key else tuple(every)
@@ -583,7 +585,10 @@ class Plan:
         plan.open, plan.tagged = self.open, {**self.tagged, **{tag.name(c): (table, c) for c in columns}}
         v = plan.named(name, inner)
         # The measure may depend on a member that doesn't filter these rows: then each row counts for each member.
-        for t in sorted({t for leaf, _ in plan.leaves.values() for t in leaf.tags} - {*rel.tags, *tag.names()}):
+        new = sorted({t for leaf, _ in plan.leaves.values() for t in leaf.tags} - {*rel.tags, *tag.names()})
+        if new and sparse and (met := self.where_not_blank(plan, v, rel, table, columns, tag, new)):
+            return met
+        for t in new:
             of = plan.tagged[t]
             every_member = self.rows.base(of[0]).df.select(col(cell(*of)).alias(t)).distinct()
             rel = Rel(rel.df.crossJoin(every_member), (*rel.tags, t))
@@ -597,6 +602,28 @@ class Plan:
         value = col(f"__value:{tag.id}")
         return Rel(joined, rel.tags), Typed(value, v.dtype, error)
 
+    def where_not_blank(self, plan: Plan, v: Typed, rel: Rel, table: str, columns: tuple[str, ...], tag: Tag, new: list[str]) -> tuple[Rel, Typed] | None:
+        """The rows with those new members only for which the measure's leaves have rows: an equi-join, where a row's
+        value for the others is known to be blank. None where it isn't."""
+        leaves = [leaf for leaf, aggregates in plan.leaves.values() if aggregates]
+        own = leaves[0].tags
+        if any(set(leaf.tags) != set(own) for leaf in leaves) or not {*tag.names(), *new} <= set(own):
+            return None
+        none = {n: F.lit(None).cast(leaf.df.agg(a.alias("x")).schema["x"].dataType) for leaf, aggregates in plan.leaves.values() for n, a in aggregates.values()}
+        empty = rel.df.sparkSession.sql("SELECT 1 AS __one").select(*[x.alias(n) for n, x in none.items()])
+        something = v.column.isNotNull() if v.error is None else v.column.isNotNull() | v.error.isNotNull()
+        if empty.select(something).first()[0]:
+            return None
+        spine = functools.reduce(DataFrame.unionAll, [leaf.df.select(*[col(t) for t in own]) for leaf in leaves]).distinct()
+        out = plan.result(Rel(spine, own), {"__value": v}).df
+        shared = [t for t in rel.tags if t in own]
+        names = {tag.name(c): f"__row:{c}" for c in columns} | {t: f"__outer:{t}" for t in shared} | {t: t for t in new}
+        got = out.select(*[col(a).alias(b) for a, b in names.items()], *[F.col(c).alias(f"{c}:{tag.id}") for c in out.columns if c.startswith("__value")])
+        on = null_safe(rel.df, got, [(cell(table, c), f"__row:{c}") for c in columns] + [(t, f"__outer:{t}") for t in shared])
+        joined = rel.df.join(got, on, "inner").drop(*[b for b in names.values() if b.startswith(("__row:", "__outer:"))])
+        error = col(f"__value__error:{tag.id}") if v.error is not None else None
+        return Rel(joined, (*rel.tags, *new)), Typed(col(f"__value:{tag.id}"), v.dtype, error)
+
     def one_value(self, tree: dax.Call, ctx: Context, names: dict) -> Typed:
         most = 2 if tree.name == "SELECTEDVALUE" else 1
         if not 1 <= len(tree.args) <= most:
@@ -751,6 +778,15 @@ class Plan:
         return replace(now, active=now.active | {r.id}, off=now.off - {r.id}, ways=tuple(sorted({**dict(now.ways), r.id: way}.items())))
 
 
+def blank_with_measures(tree) -> bool:
+    """Whether a row expression is blank where one of its measures is: between them is nothing but arithmetic."""
+    if isinstance(tree, dax.Binary) and tree.sign in ("+", "-", "*", "/"):
+        return blank_with_measures(tree.left) and blank_with_measures(tree.right)
+    if isinstance(tree, dax.Negate):
+        return blank_with_measures(tree.value)
+    return isinstance(tree, dax.Ref) or not any(isinstance(n, dax.Ref) and n.table is None for n in dax.walk(tree))
+
+
 def filter_parts(model: Model, tree: dax.Call) -> tuple[str, list]:
     """(table, predicates) of FILTER(table, predicate), whose table may be a FILTER again."""
     if len(tree.args) != 2:

@@ -104,6 +104,16 @@ def test_grouping_equals_member_by_member(retail, text):
             assert m.evaluate(retail, {"v": text}, {dimension: r["member"]}).first()["v"] == r["v"], (text, dimension, r)
 
 
+@pytest.mark.parametrize(("text", "crossed"), [("SUMX(Customers, [Total Revenue])", False), ("AVERAGEX(Products, Products[UnitPrice] * [Total Revenue] - 1)", False), ("COUNTX(Customers, -[Total Revenue])", False), ("SUMX(Customers, [Rows])", True), ("SUMX(Customers, IF([Total Revenue] > 60, 1, 2))", True), ("MAXX(Customers, [Total Revenue] + [Most])", False)])
+def test_members_that_do_not_filter_the_rows(retail, text, crossed):
+    """Rows meet a member by the measure's own rows, unless a row counts without any."""
+    model = Model(retail.tables, retail.relationships, {**retail.measures, "Rows": "COUNTROWS(Sales)", "Most": "MAX(Sales[Cost])"})
+    df = m.grouped(model, ("Sales", "Quantity"), {"v": text})
+    assert ("Join Cross" in df._jdf.queryExecution().analyzed().toString()) == crossed
+    for r in df.collect():
+        assert m.evaluate(model, {"v": text}, {("Sales", "Quantity"): r["member"]}).first()["v"] == r["v"], (text, r)
+
+
 def test_calculated_columns(retail):
     rows = m.calculated_column(retail, "Sales", 'IF(RELATED(Products[Category]) = "Furniture", Sales[Revenue] - [Cost], 1 / 0)', "x").orderBy("OrderID").collect()
     assert [(r["x"], r["x__error"]) for r in rows] == [(40, None), (None, "DIVISION_ERROR"), (10, None), (None, "DIVISION_ERROR")]
