@@ -60,3 +60,63 @@ def test_signature_filter_misses_less_than_the_index():
         return sum(math.comb(n, k) * 0.25**k * 0.75 ** (n - k) for k in range(least, n + 1))
 
     assert missed(60, near_dedup.FARTHEST + 1) < 0.01 * missed(near_dedup.SYMBOLS, near_dedup.ERRORS + 1) ** near_dedup.CHUNKS
+
+
+ODD = [(1, None, None, None, None, 1), (2, "", "en", "s", 0, 2), (None, "no id here", "en", None, 10, 3), (3, " \t\n", None, "s", 3, 4), (4, "word " * 4000, "xx", "s", None, 5), (5, "twin text of some words here", "en", "s", 28, 6), (5, "twin text of some words here", "en", "s", 28, 7), (6, "日本語 ▁ 🙂", "ja", "s", 8, 8)]
+
+
+def test_stages_take_odd_tables(spark):
+    """Nulls in every column, empty and long texts, repeated rows and extra columns with the stages' own names; and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept_id int"
+    docs = spark.createDataFrame(ODD, schema).selectExpr("*", "1 AS score", "2 AS hits", "3 AS gone_", "'x' AS kept", "4 AS samples", "5 AS exact")
+    for name, stage in corpus_pipeline.STAGES:
+        for given in (docs, docs.limit(0)):
+            out = stage(spark, given, SMALL)
+            rows = out.collect()
+            if name == "encode":
+                assert set(out.columns) == {"doc_id", "lang", "source", "samples", "exact"} and all(r["exact"] for r in rows)
+            else:
+                assert out.columns == corpus_pipeline.COLUMNS
+            if name != "quality":
+                assert len(rows) == given.count() and sorted(str(r["doc_id"]) for r in rows) == sorted(str(r["doc_id"]) for r in given.collect())
+            else:
+                assert len(rows) <= given.count()
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    """Tables of a run are deleted as soon as no plan reads them, and all at the end of the driver; a cluster must name its folder."""
+    import pytest
+
+    from loomquery import shared
+
+    df = shared.written(spark.range(5), "gone")
+    [path] = {f.rsplit("/", 1)[0].removeprefix("file://") for f in df.inputFiles()}
+    assert df.count() == 5
+    shared.dropped(df)
+    import os
+
+    assert not os.path.exists(path)
+
+    class Elsewhere:
+        class sparkContext:  # noqa: N801
+            master = "spark://cluster"
+            getConf = staticmethod(dict)
+
+            class _jsc:  # noqa: N801
+                @staticmethod
+                def sc():
+                    class Sc:
+                        @staticmethod
+                        def getCheckpointDir():
+                            class Nothing:
+                                isDefined = staticmethod(lambda: False)
+
+                            return Nothing
+
+                    return Sc
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Elsewhere)
