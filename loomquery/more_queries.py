@@ -24,7 +24,7 @@ from .plans.validation import RULES, Rule, Subject, Tolerance, fingerprint, vali
 from .plans.workspace import Workspace, column_dependents, definition_of
 from .queries import FOUND, Aggregation, C, by, calendar, one, r2, seg, shaped, star, tables
 from .shared import scratch_path
-from .sources import samples
+from .sources import samples, workbooks
 
 
 def quoted(v) -> str:
@@ -123,7 +123,31 @@ def sample_keys_meet(spark, d):
     return t["Sales"].agg(F.count("*").alias("sales")).crossJoin(met.agg(F.count("*").alias("met")))  # one row each
 
 
+def nations_sheet(spark, d) -> str:
+    """The nations as a workbook, with a blank row, a blank cell and text that needs care."""
+    rows = [[r["n_nationkey"], r["n_name"], None if r["n_nationkey"] % 4 == 0 else r["n_nationkey"] / 4, f'<{r["n_regionkey"]}> & "more"', r["n_regionkey"] == 1] for r in tables(spark, d)["nation"].orderBy("n_nationkey").collect()]
+    path = scratch_path(spark, "nations") + ".xlsx"
+    workbooks.save(spark, path, {"Nations": [["key", "name", "quarter", "note", "first"], [None] * 5, *rows], "Notes": [["text"], ["x"]]})
+    return path
+
+
+@shaped("sheet_import", "SELECT CAST(n_nationkey AS BIGINT) AS key, n_name AS name, " + r2("CASE WHEN n_nationkey % 4 <> 0 THEN n_nationkey / 4 END") + " AS quarter, '<' || n_regionkey || '> & \"more\"' AS note, n_regionkey = 1 AS first FROM nation")
+def sheet_import(spark, d):
+    return sources.read_sheet(spark, nations_sheet(spark, d), "Nations").df
+
+
+told("sheet_names", "place int, name string", listed("place, name", [(0, "Nations"), (1, "Notes")]))(lambda spark, d: list(enumerate(sources.sheets(spark, nations_sheet(spark, d)))))
+
+
 # Pipelines.
+@shaped("pq_sort_order", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, row_number() OVER (ORDER BY CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_regionkey END NULLS FIRST, n_name DESC) - 1 AS place FROM nation")
+def pq_sort_order(spark, d):
+    """Rows as they come out of a sort with a blank first: their order itself is the result."""
+    steps = [CustomColumn("k", "k", "if [n_nationkey] / 3 = Number.Round([n_nationkey] / 3) then null else [n_regionkey]"), SortRows([("k", "asc"), ("n_name", "desc")])]
+    e = QuerySet(tables(spark, d), [Query("q", "nation", steps)], check="lazy").evaluate("q")
+    return spark.createDataFrame([(r["n_nationkey"], r["n_name"], i) for i, r in enumerate(e.frame.sorted_out().collect())], "n_nationkey long, n_name string, place long")
+
+
 def broken(spark, d) -> QuerySet:
     t = dict(tables(spark, d).items())
     return QuerySet(t, [Query("a", "b"), Query("b", "a"), Query("c", "nowhere"), Query("d", "orders", [AppendQueries(["c"])]), Query("e", "region"), Query("f", "e")])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import types as ty
 from ..diagnostics import Diagnostic, fail
+from .workbooks import workbook
 
 #: How values of each type look. Fixed values.
 PATTERNS = [
@@ -137,25 +138,19 @@ def from_rows(spark: SparkSession, names: list[str], rows: list[tuple]) -> Impor
     return typed(spark.createDataFrame(text, schema).toDF(*header(names)))
 
 
-def sheets(path: str) -> list[str]:
-    return _excel().ExcelFile(path).sheet_names
+def sheets(spark: SparkSession, path: str) -> list[str]:
+    """The names of a workbook's sheets."""
+    return list(workbook(spark, path).sheets)
 
 
 def read_sheet(spark: SparkSession, path: str, sheet: str) -> Imported:
-    """A spreadsheet's sheet, first row as header; the driver reads it, as such files are small."""
-    table = _excel().read_excel(path, sheet_name=sheet, dtype=str)
-    rows = [tuple(None if v != v else v for v in r) for r in table.itertuples(index=False)]
-    return from_rows(spark, [str(c) for c in table.columns], rows)
-
-
-def _excel():
-    import importlib.util
-
-    if importlib.util.find_spec("openpyxl") is None:
-        fail("QUERY_SOURCE_NOT_FOUND", "unsupported-file-type: no reader for spreadsheets is installed")
-    import pandas
-
-    return pandas
+    """A workbook's sheet, first row as header."""
+    rows = list(workbook(spark, path).rows(sheet))
+    width = max(map(len, rows), default=0)
+    names, *body = [tuple(r + [None] * (width - len(r))) for r in rows] or [()]
+    if not width:
+        fail("QUERY_NO_COLUMNS", f"the sheet {sheet!r} is empty")
+    return from_rows(spark, list(names), body)
 
 
 def write(df: DataFrame, path: str, kind: str = "parquet", partition_by: list[str] | None = None, mode: str = "error") -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from helpers import SHEET, workbook_bytes
 from loomquery import sources
 from loomquery.sources import samples
 from loomquery.diagnostics import EngineError
@@ -68,12 +69,19 @@ def test_headers():
     assert sources.header(["a", " a ", "", None, "A"]) == ["a", "a_2", "Column3", "Column4", "A_3"]
 
 
-def test_spreadsheets_need_a_reader(spark, tmp_path):
-    import importlib.util
-
-    if importlib.util.find_spec("openpyxl") is None:
-        with pytest.raises(EngineError, match="unsupported-file-type"):
-            sources.read_sheet(spark, str(tmp_path / "a.xlsx"), "x")
+def test_spreadsheets(spark, tmp_path):
+    path = tmp_path / "a.xlsx"
+    path.write_bytes(workbook_bytes({"People": SHEET, "Empty": []}))
+    assert sources.sheets(spark, str(path)) == ["People", "Empty"]
+    got = sources.read_sheet(spark, str(path), "People")
+    assert got.types == {"Name": "string", "Count": "integer", "Column3": "null", "Day": "date", "At": "datetime", "Yes": "boolean", "Share": "decimal"}
+    assert [tuple(map(str, r)) for r in got.df.collect()] == [("Anna", "12", "None", "2024-01-05", "2024-01-05 12:00:00", "True", "0.5"), ('Bo, "B"', "1000", "None", "2024-01-06", "2024-01-06 06:00:00", "False", "None")]
+    for sheet, code in (("Nope", "QUERY_SOURCE_NOT_FOUND"), ("Empty", "QUERY_NO_COLUMNS")):
+        with pytest.raises(EngineError, match=code):
+            sources.read_sheet(spark, str(path), sheet)
+    path.write_text("no workbook")
+    with pytest.raises(EngineError, match="unsupported-file-type"):
+        sources.sheets(spark, str(path))
 
 
 def test_profile(spark):
