@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, met, written
-from .components import stars
+from .components import joined, stars
 from .words import mixed, rolling, signed, split_words, word_hashes
 
 SHINGLE, PERCENT = 5, 75
@@ -209,13 +209,6 @@ def in_blocks(heavy: DataFrame, reps: DataFrame, full: DataFrame, forest: DataFr
     return askers.union(members).groupBy("cluster", "u", "v").applyInPandas(block_links, "a long, b long")
 
 
-def joined(forest: DataFrame, links: DataFrame) -> DataFrame:
-    """The forest of an earlier one, which goes, and more links."""
-    out = stars(forest.toDF("a", "b").union(links), "near-forest")
-    dropped(forest)
-    return out
-
-
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(u, v): a forest over class representatives; v is the least node of u's component."""
     members = classes.select("rep", "sig").mapInPandas(key_rows, "key long, rep long")
@@ -236,8 +229,9 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     light, heavy = left.filter(F.col("size") < HEAVY), left.filter(F.col("size") >= HEAVY)
     apart = light.filter("label <> top").select("key", F.col("rep").alias("a"), F.col("label").alias("la"))
     pairs = light.join(apart, "key").filter("la <> label and (label = top or rep < a)").select("a", F.col("rep").alias("b")).distinct()
-    forest = joined(forest, verified(pairs, reps, full))
-    forest = joined(forest, in_blocks(heavy.select("key", "rep"), reps, full, forest))
+    forest = joined(forest, verified(pairs, reps, full), "near-forest")
+    if heavy.limit(1).count():
+        forest = joined(forest, in_blocks(heavy.select("key", "rep"), reps, full, forest), "near-forest")
     for table in (left, reps, full):
         dropped(table)
     return forest
@@ -260,7 +254,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     several = own.filter("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("doc_id")
     if several.limit(1).count():
         ties = own.filter("rep is not null").join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-        forest = joined(forest, ties)
+        forest = joined(forest, ties, "near-forest")
     named = own.join(forest.toDF("rep", "root"), "rep", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep"))
     out = named.select("doc_id", "n_shingles", component.alias("component_id"))

@@ -78,7 +78,7 @@ class Network:
 
     def __init__(self, x: np.ndarray):
         rng = np.random.default_rng(SEED)
-        self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-3)
+        self.mean, self.scale = x.mean(0, dtype=np.float64), np.maximum(x.std(0, dtype=np.float64), 1e-3)
         width = x.shape[1]
         self.params = [rng.normal(0, np.sqrt(2 / width), (width, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, np.sqrt(1 / HIDDEN), HIDDEN), np.zeros(1)]
         self.state = [(np.zeros_like(p), np.zeros_like(p)) for p in self.params]
@@ -131,7 +131,7 @@ def fitted(positive: np.ndarray, unlabelled: np.ndarray, by_scores, epochs: int
     """A network that follows `by_scores(scores of positives, scores of unlabelled texts)` down."""
     rng = np.random.default_rng(SEED)
     net = Network(np.concatenate([positive, unlabelled]))
-    p, u = net.standard(positive), net.standard(unlabelled)
+    p, u = (net.standard(x).astype(np.float32) for x in (positive, unlabelled))
     batches = max(1, -(-max(len(p), len(u)) // BATCH))
     for _ in range(max(epochs, -(-LEAST_STEPS // batches))):
         order_p, order_u = rng.permutation(len(p)), rng.permutation(len(u))
@@ -139,7 +139,7 @@ def fitted(positive: np.ndarray, unlabelled: np.ndarray, by_scores, epochs: int
             at_p, at_u = order_p[i::batches], order_u[i::batches]
             if not len(at_p) or not len(at_u):
                 continue
-            z = np.concatenate([p[at_p], u[at_u]])
+            z = np.concatenate([p[at_p], u[at_u]]).astype(np.float64)
             g, h = net.raw(z)
             net.step(z, h, by_scores(g[: len(at_p)], g[len(at_p) :]))
     return net
@@ -195,9 +195,11 @@ def fit(docs: DataFrame, labels: DataFrame, training, most_positives: int | None
         wanted = F.broadcast(wanted)  # most_positives + most_unlabelled ids at most
     rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "good", "any")
     rows = rows.mapInArrow(feature_rows, "doc_id long, good boolean, any boolean, x binary")
-    rows = rows.groupBy("doc_id").agg(F.max("good").alias("good"), F.max("any").alias("any"), F.min("x").alias("x")).collect()  # a row an id
-    rows = sorted(rows, key=lambda r: bytes(r["x"]))  # the fit doesn't depend on the order of partitions
-    p, u = (np.array([np.frombuffer(r["x"], np.float32) for r in rows if r[name]], np.float64) for name in ("good", "any"))
+    found = rows.groupBy("doc_id").agg(F.max("good").alias("good"), F.max("any").alias("any"), F.min("x").alias("x")).toArrow()  # a row an id
+    raw = found["x"].to_pylist()
+    order = sorted(range(len(raw)), key=raw.__getitem__)  # the fit doesn't depend on the order of partitions
+    x = np.frombuffer(b"".join(raw[i] for i in order), np.float32).reshape(len(raw), -1)
+    p, u = (x[found[name].to_numpy()[order].astype(bool)] for name in ("good", "any"))
     if not len(p) or not len(u):
         return None
     prior = estimated_prior(p, u)
