@@ -68,12 +68,28 @@ class Encoder:
     first_byte: int
 
     def __post_init__(self):
-        self.bytes = [p.replace(MARK, " ").encode() for p in self.vocabulary.pieces]
-        self.bytes[self.first_byte : self.first_byte + 256] = [bytes([i]) for i in range(256)]
+        spelt = [p.replace(MARK, " ").encode() for p in self.vocabulary.pieces]
+        spelt[self.first_byte : self.first_byte + 256] = [bytes([i]) for i in range(256)]
+        self.spelt = np.frombuffer(b"".join(spelt), np.uint8)
+        self.sizes = np.array([len(b) for b in spelt], np.int32)
+        self.packed_as = np.dtype("<u2" if len(spelt) <= 1 << 16 else "<u4")
+        self.begins = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
+
+    def decoded(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The UTF-8 texts of arrays of piece ids, all at once."""
+        every = np.concatenate([np.empty(0, np.int32), *ids])
+        sizes = self.sizes[every]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        kind = np.int32 if ends[-1:].sum() < 2**31 - 1 else np.int64
+        places = np.repeat((self.begins[every] - (ends - sizes)).astype(kind), sizes)
+        places += np.arange(len(places), dtype=kind)
+        text = self.spelt[places].tobytes()
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)].tolist()
+        return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def decode(self, ids) -> str:
         """The text of piece ids."""
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+        return self.decoded([np.asarray(ids, np.int32)])[0].decode("utf-8", "replace")
 
     def spelled(self, char: int) -> list[int]:
         """The byte pieces of a code point."""
@@ -133,7 +149,7 @@ class Lattices:
         total = int(self.last[-1]) + 1 if len(units) else 0
         self.at = np.concatenate([[0], np.cumsum(np.bincount(state, minlength=total))])
         run = np.cumsum(p)
-        before = np.concatenate([[0], run])[self.at[self.state]]
+        before = np.repeat(np.concatenate([[0], run])[self.at[:-1]], np.diff(self.at))
         self.edge = self.state + np.minimum(run - before, 1 - 1e-12)
         ends = self.at[1:][np.diff(self.at) > 0] - 1
         self.edge[ends] = self.state[ends] + 1  # an arc is found for every number below 1
@@ -267,6 +283,29 @@ def masses(lat: Lattices, path: np.ndarray, logs: np.ndarray) -> tuple[np.ndarra
     return step, arc, logs[step] + lat.log[arc]
 
 
+def greatest(score: np.ndarray, of: np.ndarray, most: int) -> list[np.ndarray]:
+    """The places of the greatest score of each group, of the second greatest, ... of the groups that have so many;
+    `of` has the groups in a row. Of equal scores the first is the greater."""
+    if most > 4:
+        order = np.lexsort((-score, of))
+        begins = np.flatnonzero(np.diff(of[order], prepend=-1))
+        sizes = np.diff(np.append(begins, len(of)))
+        return [order[begins[sizes > r] + r] for r in range(min(most, sizes.max(initial=0)))]
+    out, score, of = [], score.copy(), of.astype(np.int64)
+    begins = np.flatnonzero(np.diff(of, prepend=-1))
+    while len(begins) and len(out) < most:
+        sizes = np.diff(np.append(begins, len(of)))
+        top = np.maximum.reduceat(score, begins)
+        at = np.flatnonzero(score == np.repeat(top, sizes))
+        at = at[np.diff(of[at], prepend=-1) > 0]
+        at = at[score[at] > -np.inf]
+        if not len(at):
+            break
+        out.append(at)
+        score[at] = -np.inf
+    return out
+
+
 def branches(lat: Lattices, rest: list[np.ndarray], start: np.ndarray, phi: np.ndarray, top: np.ndarray, keys: np.ndarray, sample: int, least: np.ndarray, most: int) -> list[list]:
     """For each path of several texts the `most` best nodes above `least` that leave it: (-value, log mass, step, arc).
 
@@ -286,16 +325,9 @@ def branches(lat: Lattices, rest: list[np.ndarray], start: np.ndarray, phi: np.n
         step, arc, mass = masses(lat, path[at], logs[at])
         return at[step], arc, mass
 
-    def ranked(score: np.ndarray, of: np.ndarray):
-        """(order, rank) by text, then score from the greatest."""
-        order = np.lexsort((-score, of))
-        of = of[order]
-        begins = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
-        return order, np.arange(len(of)) - np.repeat(begins, np.diff(np.append(begins, len(of))))
-
     step, arc, mass = left(np.flatnonzero(place < FIRST_STEPS))
-    order, rank = ranked(mass, text[step])
-    bound = order[rank == most - 1]
+    ranks = greatest(mass, text[step], most)
+    bound = ranks[-1] if len(ranks) == most else np.empty(0, np.int64)
     least = least.copy()
     at = text[step[bound]]
     least[at] = np.maximum(least[at], np.minimum(top[at], mass[bound]) - LEAST_NOISE)
@@ -306,8 +338,7 @@ def branches(lat: Lattices, rest: list[np.ndarray], start: np.ndarray, phi: np.n
     of = text[step]
     which = arc - lat.at[lat.state[arc]]
     value = gumbel_below(top[of], mass, uniform(keys[of], place[step] + start[of], sample, BRANCH, 0, which))
-    order, rank = ranked(value, of)
-    best = order[rank < most]
+    best = np.concatenate([np.empty(0, np.int64), *greatest(value, of, most)])
     best = best[value[best] > least[of[best]]]
     for t, *node in zip(of[best].tolist(), (-value[best]).tolist(), mass[best].tolist(), (place[step[best]] + start[of[best]]).tolist(), arc[best].tolist(), strict=True):
         out[t].append(tuple(node))
@@ -432,25 +463,61 @@ def row_key(seed: int, key) -> int:
 SAMPLES_DDL = "array<struct<ids: array<int>, log_p: double, value: double, inclusion: double>>"
 
 
+def offsets_of(sizes) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+
+
+def packed(enc: Encoder, ids: list[np.ndarray]) -> pa.Array:
+    """Arrays of piece ids as binary values: little-endian, of 16 bits where the vocabulary's ids fit, else of 32."""
+    every = np.concatenate(ids).astype(enc.packed_as)
+    ends = np.cumsum([len(x) for x in ids]) * every.itemsize
+    offsets = np.concatenate([[0], ends])
+    kind, width = (pa.binary(), np.int32) if ends[-1] < 2**31 else (pa.large_binary(), np.int64)
+    return pa.Array.from_buffers(kind, len(ids), [None, pa.py_buffer(offsets.astype(width).tobytes()), pa.py_buffer(every.tobytes())])
+
+
+def unpacked(enc: Encoder, ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, enc.packed_as).astype(np.int32)
+
+
+def sampled(shared, batches: Iterator[pa.RecordBatch], key: str, text: str, k: int, seed: int, with_decoded: bool):
+    """(batch, texts' numbers of samples, arrays of ids, columns of log_p, value, inclusion, exact or None) by slices."""
+    enc = shared.value
+    for batch in sliced(batches, text, BATCH_CHARS):
+        texts = [t or "" for t in batch[text].to_pylist()]
+        found = sample_batch(enc, texts, [row_key(seed, x) for x in batch[key].to_pylist()], k)
+        ids = [i for own, _ in found for i, _, _ in own]
+        figures = [(lp, v, inclusion(lp, threshold)) for own, threshold in found for _, lp, v in own]
+        columns = [pa.array([x[i] for x in figures], pa.float64()) for i in range(3)]
+        sizes, exact = [len(own) for own, _ in found], None
+        if with_decoded:
+            decoded = iter(enc.decoded(ids))
+            exact = [all([next(decoded) == raw for _ in range(n)]) for raw, n in zip((t.encode() for t in texts), sizes, strict=True)]
+        yield batch, sizes, ids, columns, exact
+
+
 def encode_rows(shared, key: str, text: str, k: int, seed: int, with_decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = shared.value
-        offsets = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-        for batch in sliced(batches, text, BATCH_CHARS):
-            texts = [t or "" for t in batch[text].to_pylist()]
-            found = sample_batch(enc, texts, [row_key(seed, x) for x in batch[key].to_pylist()], k)
-            ids = [i for own, _ in found for i, _, _ in own]
-            figures = [(lp, v, inclusion(lp, threshold)) for own, threshold in found for _, lp, v in own]
-            lists = pa.ListArray.from_arrays(offsets([len(x) for x in ids]), pa.array(np.concatenate(ids), pa.int32()))
-            rows = pa.StructArray.from_arrays([lists, *(pa.array([x[i] for x in figures], pa.float64()) for i in range(3))], ["ids", "log_p", "value", "inclusion"])
-            added = [pa.ListArray.from_arrays(offsets([len(own) for own, _ in found]), rows)]
-            if with_decoded:
-                added.append(pa.array([all(enc.decode(i.tolist()) == t for i, _, _ in own) for t, (own, _) in zip(texts, found, strict=True)]))
+        for batch, sizes, ids, columns, exact in sampled(shared, batches, key, text, k, seed, with_decoded):
+            lists = pa.ListArray.from_arrays(offsets_of([len(x) for x in ids]), pa.array(np.concatenate(ids), pa.int32()))
+            rows = pa.StructArray.from_arrays([lists, *columns], ["ids", "log_p", "value", "inclusion"])
+            added = [pa.ListArray.from_arrays(offsets_of(sizes), rows)] + ([pa.array(exact)] if with_decoded else [])
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "samples", *["exact"] * with_decoded])
 
     return run
 
 
+def sample_rows(shared, key: str, text: str, k: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sizes, ids, columns, exact in sampled(shared, batches, key, text, k, seed, True):
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            rank = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            n = [len(x) for x in ids]
+            yield pa.RecordBatch.from_arrays([batch[key].take(pa.array(row)), pa.array(rank, pa.int32()), pa.array(n, pa.int64()), packed(shared.value, ids), *columns, pa.array(np.array(exact, bool)[row])], [key, "rank", "n_pieces", "ids", "log_p", "value", "inclusion", "exact"])
+
+    return run
+
+
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, seed: int = 1, path: str | None = None, check: bool = False) -> DataFrame:
     """`docs` with `samples`: up to k distinct segmentations of the text, best first; with `check` also `exact`,
     whether each of them decodes to the text."""
@@ -461,12 +528,14 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K,
 
 
 def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
-    """`encoded` with `decoded`: the text of an array of piece ids; null for null."""
+    """`encoded` with `decoded`: the text of an array of piece ids, or of packed ones; null for null."""
     shared = encoded.sparkSession.sparkContext.broadcast(encoder(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [None if x is None else shared.value.decode(x) for x in batch[ids].to_pylist()]
+            lists = batch[ids].to_pylist()
+            texts = iter(shared.value.decoded([unpacked(shared.value, x) if isinstance(x, bytes) else np.array(x, np.int32) for x in lists if x is not None]))
+            out = [None if x is None else next(texts).decode("utf-8", "replace") for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
 
     encoded = encoded.drop(*[c for c in encoded.columns if c.lower() == "decoded" and c != ids])
@@ -474,7 +543,12 @@ def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None) -> Dat
     return encoded.mapInArrow(run, f"{fields}, decoded string")
 
 
-def listed(encoded: DataFrame) -> DataFrame:
-    """A row for each sample: its rank, piece ids, scores, and whether its text's samples all decode to the text."""
-    rows = encoded.select("doc_id", "exact", F.posexplode("samples").alias("rank", "s"))
-    return rows.select("doc_id", "rank", F.size("s.ids").cast("long").alias("n_pieces"), F.col("s.log_p").alias("log_p"), F.col("s.value").alias("value"), F.col("s.inclusion").alias("inclusion"), F.col("s.ids").alias("ids"), "exact")
+def samples_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, seed: int = 1, path: str | None = None) -> DataFrame:
+    """A row for each sample: the text's key, the sample's rank, piece ids and scores, and whether its text's samples all decode to the text.
+
+    The ids are packed (see `packed`), which `decode` reads too: as array cells they cost more to write than to sample.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(encoder(path))
+    docs = docs.select(key, text)
+    own = f"`{key}` {docs.schema[key].dataType.simpleString()}"
+    return docs.mapInArrow(sample_rows(shared, key, text, k, seed), f"{own}, rank int, n_pieces long, ids binary, log_p double, value double, inclusion double, exact boolean")

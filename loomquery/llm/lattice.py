@@ -114,7 +114,7 @@ def by_length(units: list[str]):
         step = max(1, CELLS // n)
         for at in range(0, len(group), step):
             rows = group[at : at + step]
-            yield rows, code_points("".join(units[i] for i in rows)).reshape(len(rows), n)
+            yield rows, code_points("".join(map(units.__getitem__, rows.tolist()))).reshape(len(rows), n)
 
 
 def arcs(vocab: Vocabulary, chars: np.ndarray):

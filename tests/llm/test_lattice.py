@@ -286,6 +286,19 @@ def test_samples_of_a_long_unit_follow_the_law(coder):
             assert abs(np.corrcoef(ends[0, :, x], ends[1, :, y])[0, 1]) < 0.2
 
 
+def test_greatest_by_group():
+    r = np.random.default_rng(4)
+    for _ in range(50):
+        of = np.sort(r.integers(0, 6, r.integers(0, 40)))
+        score = r.integers(0, 9, len(of)).astype(float)
+        for most in (1, 2, 3, 7):
+            want: dict = {}
+            for i in sorted(range(len(of)), key=lambda i: (of[i], -score[i], i)):
+                want.setdefault(of[i], []).append(i)
+            got = g.greatest(score, of, most)
+            assert [x.tolist() for x in got] == [[v[n] for v in want.values() if len(v) > n] for n in range(min(most, max(map(len, want.values()), default=0)))]
+
+
 def test_inclusion_scores_are_unbiased(coder):
     """Horvitz-Thompson: indicators over inclusion probabilities average to 1 for every path."""
     text, n, total = "abab", 4000, Counter()

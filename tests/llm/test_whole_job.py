@@ -8,7 +8,7 @@ import corpus_pipeline
 from helpers import SMALL
 from loomquery.llm import decontaminate as d
 from loomquery.llm import near_dedup, queries
-from loomquery.llm.gumbel_encode import encoder
+from loomquery.llm.gumbel_encode import decode, encode, encoder, unpacked
 
 
 def test_op4_decodes_every_sample(spark):
@@ -16,7 +16,11 @@ def test_op4_decodes_every_sample(spark):
     rows = out.collect()
     assert "exact" in out.columns and all(r["exact"] for r in rows)
     enc, texts = encoder(), {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
-    assert all(enc.decode(r["ids"]) == texts[r["doc_id"]] and r["n_pieces"] == len(r["ids"]) for r in rows)
+    ids = [unpacked(enc, bytes(r["ids"])) for r in rows]
+    assert all(enc.decode(x) == texts[r["doc_id"]] and r["n_pieces"] == len(x) for r, x in zip(rows, ids, strict=True))
+    lists = {r["doc_id"]: [tuple(s["ids"]) for s in r["samples"]] for r in encode(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()}
+    assert all(lists[r["doc_id"]][r["rank"]] == tuple(x.tolist()) for r, x in zip(rows, ids, strict=True))
+    assert all(r["decoded"] == texts[r["doc_id"]] for r in decode(out).collect())
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id").collect()}
 
 
