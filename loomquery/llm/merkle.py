@@ -1,9 +1,9 @@
 """Document fingerprints: a Merkle tree over blocks, paragraphs and sections, in SQL functions only.
 
 A text is cut at line feeds into paragraphs. A paragraph's node is the SHA-256 of its exact text. A section is a run of
-paragraphs up to one whose node ends in the digit 0, of about 16 and at most `MOST` paragraphs; its node is the SHA-256 of its
+paragraphs up to one whose node ends in the digit 0, of about 16; its node is the SHA-256 of its
 paragraphs' nodes, and the root that of the sections' nodes; so roots are equal just when texts are. Below each paragraph lie
-short digests of its blocks, runs of words up to one that ends in a character of `ENDS`, of at most `MOST` words, without the space around
+short digests of its blocks, runs of words up to one that ends in a character of `ENDS`, without the space around
 them, which let likeness see an edit inside a paragraph. Sections and blocks are cut by what they hold, not by place, so what is put in
 or left out changes the branches it is in, and the ones after it stay as they are.
 
@@ -24,14 +24,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MOST, NODE_HEX, BLOCK_HEX = 31, 16, 8
+NODE_HEX, BLOCK_HEX = 16, 8
 #: Characters at the end of a word that end its block: one word in eight or so. Fixed values.
-ENDS = "gyoGYO.!?:;0-4"
-GAP, SPACES = r"\x20\x09-\x0D", " \t\n\v\f\r"
-#: Words that don't end a block, then one more: the first that does, the paragraph's last, or the `MOST`th.
-BLOCK_PATTERN = rf"(?:[^{GAP}]*[^{GAP}{ENDS}][{GAP}]+){{0,{MOST - 1}}}[^{GAP}]+[{GAP}]*"
-#: The same for paragraphs, written as node=blocks, with a comma behind.
-SECTION_PATTERN = rf"(?:[0-9a-f]*[1-9a-f]=[0-9a-f]*,){{0,{MOST - 1}}}[0-9a-f]+=[0-9a-f]*,"
+ENDS = "gyoGYO.!?:;0-4ао。"
+SPACES = " \t\n\v\f\r"
 
 
 def sha(c):
@@ -39,14 +35,17 @@ def sha(c):
 
 
 def block_digests(paragraph):
-    found = F.regexp_extract_all(paragraph, F.lit(BLOCK_PATTERN), F.lit(0))
-    return F.array_join(F.transform(found, lambda b: F.substring(F.md5(F.rtrim(b, F.lit(SPACES)).cast("binary")), 1, BLOCK_HEX)), "")
+    cut = F.split(F.regexp_replace(paragraph, rf"([{ENDS}][\x20\x09-\x0D]+)", "$1\n"), "\n", -1)
+    found = F.filter(F.transform(cut, lambda b: F.btrim(b, F.lit(SPACES))), lambda b: b != "")
+    return F.array_join(F.transform(found, lambda b: F.substring(F.md5(b.cast("binary")), 1, BLOCK_HEX)), "")
 
 
 def sections_of(text):
     """A text's sections: their paragraphs as node=blocks, with a comma behind each."""
     paragraphs = F.transform(F.split(text, "\n", -1), lambda p: F.concat(sha(p), F.lit("="), block_digests(p), F.lit(",")))
-    return F.regexp_extract_all(F.array_join(paragraphs, ""), F.lit(SECTION_PATTERN), F.lit(0))
+    # Only nodes are followed by an equals sign.
+    cut = F.split(F.regexp_replace(F.array_join(paragraphs, ""), "(0=[0-9a-f]*,)", "$1;"), ";", -1)
+    return F.filter(cut, lambda s: s != "")
 
 
 def section_node(section):

@@ -64,11 +64,10 @@ def queries():
 
 
 #: Of `text`: its paragraphs as node=blocks with a comma behind, then its sections.
-SECTIONS = r"""
-regexp_extract_all(list_aggregate(list_transform(string_split(text, chr(10)), lambda p: sha256(p) || '=' || coalesce(list_aggregate(list_transform(
-  regexp_extract_all(p, '(?:[^\x20\x09-\x0D]*[^\x20\x09-\x0DgyoGYO.!?:;0-4][\x20\x09-\x0D]+){0,30}[^\x20\x09-\x0D]+[\x20\x09-\x0D]*'), lambda b: md5(rtrim(b, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))[1:8]), 'string_agg', ''), '') || ','), 'string_agg', ''),
-  '(?:[0-9a-f]*[1-9a-f]=[0-9a-f]*,){0,30}[0-9a-f]+=[0-9a-f]*,')
-"""
+SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+BLOCK_LIST = rf"list_filter(list_transform(string_split(regexp_replace(p, '([gyoGYO.!?:;0-4ао。][\x20\x09-\x0D]+)', '\1' || chr(10), 'g'), chr(10)), lambda b: trim(b, {SPACES})), lambda b: b <> '')"
+PARAGRAPHS = f"list_transform(string_split(text, chr(10)), lambda p: sha256(p) || '=' || coalesce(list_aggregate(list_transform({BLOCK_LIST}, lambda b: md5(b)[1:8]), 'string_agg', ''), '') || ',')"
+SECTIONS = rf"list_filter(string_split(regexp_replace(list_aggregate({PARAGRAPHS}, 'string_agg', ''), '(0=[0-9a-f]*,)', '\1;', 'g'), ';'), lambda s: s <> '')"
 NODE = "sha256(regexp_replace(s, '=[0-9a-f]*', '', 'g'))"
 FINGERPRINT = f"""
 sha256(list_aggregate(list_transform(found, lambda s: {NODE}), 'string_agg', '')) || ':'

@@ -50,6 +50,10 @@ def test_components(spark):
     got = {x["u"]: x["v"] for x in components.stars(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root if find(x) != x}
     assert components.stars(spark.createDataFrame([], "a long, b long")).count() == 0
+    forest = components.stars(spark.createDataFrame(edges[:150], "a long, b long"))
+    for more in (edges[150:200], [], edges[:20], edges[200:]):
+        forest = components.joined(forest, spark.createDataFrame(more, "a long, b long"))
+    assert {x["u"]: x["v"] for x in forest.collect()} == got
 
 
 # Near duplicates.
@@ -243,7 +247,7 @@ def plain_fingerprint(text):
         out, run = [], []
         for x in items:
             run.append(x)
-            if ends(x) or len(run) == merkle.MOST:
+            if ends(x):
                 out.append(run)
                 run = []
         return out + [run] * bool(run)
@@ -254,8 +258,7 @@ def plain_fingerprint(text):
         blocks = []
         for p in run:
             units = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", p)  # a word and the gap behind it
-            gap = lambda u: len(u) > len(u.rstrip("\t\n\v\f\r "))
-            blocks += ["".join(b).rstrip("\t\n\v\f\r ") for b in runs(units, lambda u: u.rstrip("\t\n\v\f\r ")[-1] in "gyoGYO.!?:;01234" and gap(u))]
+            blocks += ["".join(b).strip("\t\n\v\f\r ") for b in runs(units, lambda u: u.strip("\t\n\v\f\r ")[-1] in "gyoGYO.!?:;01234ао。")]
         sections.append((hashlib.sha256("".join(n + "," for n in nodes).encode()).hexdigest(), [hashlib.md5(b.encode()).hexdigest()[:8] for b in blocks]))
     return hashlib.sha256("".join(n for n, _ in sections).encode()).hexdigest() + ":" + ";".join(n[:16] + "." + "".join(b) for n, b in sections)
 
