@@ -70,10 +70,34 @@ class Rows:
 
     def __init__(self, model: Model):
         self.model = model
+        self._base: dict[str, Rel] = {}
+        self._restricted: dict = {}
+        self._upstream: dict = {}
 
     def base(self, table: str) -> Rel:
-        df = self.model.tables[table]
-        return Rel(df.select(*[F.col("`" + c.replace("`", "``") + "`").alias(cell(table, c)) for c in df.columns]))
+        if table not in self._base:
+            df = self.model.tables[table]
+            self._base[table] = Rel(df.select(*[F.col("`" + c.replace("`", "``") + "`").alias(cell(table, c)) for c in df.columns]))
+        return self._base[table]
+
+    def upstream(self, table: str, ctx: Context) -> frozenset[str]:
+        """The tables from which filters can reach a table."""
+        if (table, ctx) not in self._upstream:
+            edges, found, rest = self.edges(ctx), set(), [table]
+            while rest:
+                at = rest.pop()
+                new = {a[0] for a, b, _ in edges if b[0] == at} - found
+                found |= new
+                rest += new
+            self._upstream[table, ctx] = frozenset(found)
+        return self._upstream[table, ctx]
+
+    def source(self, table: str, ctx: Context, path: tuple[str, ...]) -> Rel:
+        """A table's rows under a context, as one plan for all who ask: a path of tables that are not upstream says nothing."""
+        key = (table, ctx, self.upstream(table, ctx).intersection(path))
+        if key not in self._restricted:
+            self._restricted[key] = self.restricted(table, self.base(table), ctx, path)
+        return self._restricted[key]
 
     def edges(self, ctx: Context) -> list[tuple[tuple[str, str], tuple[str, str], bool]]:
         """(from column, to column, whether the source's key is unique) of the relationships in force."""
@@ -85,7 +109,7 @@ class Rows:
         return out
 
     def visible(self, table: str, ctx: Context) -> Rel:
-        return self.restricted(table, self.base(table), ctx, ())
+        return self.source(table, ctx, ())
 
     def _constrained(self, table: str, ctx: Context, path: tuple[str, ...]) -> bool:
         if any(c[0] == table for c, _ in ctx.filters) or any(t == table for t, _ in ctx.selections):
@@ -111,7 +135,7 @@ class Rows:
                 rel = rel.filter(col(name).eqNullSafe(own)) if name in rel.tags else Rel(rel.df.withColumn(name, own), (*rel.tags, name))
         for a, b, unique in self.edges(ctx):
             if b[0] == table and a[0] not in path and self._constrained(a[0], ctx, (*path, table)):
-                source = self.restricted(a[0], self.base(a[0]), ctx, (*path, table))
+                source = self.source(a[0], ctx, (*path, table))
                 rel = self._meet(rel, cell(*b), source, cell(*a), unique)
         return rel
 
