@@ -197,6 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, training, most_positives: int | None
     rows = rows.mapInArrow(feature_rows, "doc_id long, good boolean, any boolean, x binary")
     found = rows.groupBy("doc_id").agg(F.max("good").alias("good"), F.max("any").alias("any"), F.min("x").alias("x")).toArrow()  # a row an id
     raw = found["x"].to_pylist()
+    if not raw:
+        return None
     order = sorted(range(len(raw)), key=raw.__getitem__)  # the fit doesn't depend on the order of partitions
     x = np.frombuffer(b"".join(raw[i] for i in order), np.float32).reshape(len(raw), -1)
     p, u = (x[found[name].to_numpy()[order].astype(bool)] for name in ("good", "any"))
