@@ -52,11 +52,16 @@ def section_node(section):
     return sha(F.regexp_replace(section, "=[0-9a-f]*", ""))
 
 
+def let(value, f):
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def fingerprint(text):
-    sections = sections_of(text)
-    root_ = sha(F.array_join(F.transform(sections, section_node), ""))
-    shown = F.transform(sections, lambda s: F.concat(F.substring(section_node(s), 1, NODE_HEX), F.lit("."), F.regexp_replace(s, "[0-9a-f]{64}=|,", "")))
-    return F.concat(root_, F.lit(":"), F.array_join(shown, ";"))
+    pairs = F.transform(sections_of(text), lambda s: F.struct(section_node(s).alias("node"), F.regexp_replace(s, "[0-9a-f]{64}=|,", "").alias("blocks")))
+    root_ = lambda p: sha(F.array_join(F.transform(p, lambda x: x["node"]), ""))
+    shown = lambda p: F.array_join(F.transform(p, lambda x: F.concat(F.substring(x["node"], 1, NODE_HEX), F.lit("."), x["blocks"])), ";")
+    return let(pairs, lambda p: F.concat(root_(p), F.lit(":"), shown(p)))
 
 
 def root(print_):
@@ -76,13 +81,18 @@ def blocks(sections):
 
 def likeness(a, b):
     """Of two fingerprints, from 0 to 1; 1 just for equal texts."""
-    own, other = branches(a), branches(b)
-    shared = F.aggregate(F.array_intersect(own, other), F.lit(0), lambda n, s: n + ((F.length(s) - NODE_HEX - 1) / BLOCK_HEX).cast("int"))
-    left, right = blocks(F.array_except(own, other)), blocks(F.array_except(other, own))
-    both = 2 * shared + F.size(left) + F.size(right)
-    dice = F.when(both > 0, 2.0 * (shared + F.size(F.array_intersect(left, right))) / both).otherwise(0.0)
+
+    def of_branches(own, other):
+        shared = F.aggregate(F.array_intersect(own, other), F.lit(0), lambda n, s: n + ((F.length(s) - NODE_HEX - 1) / BLOCK_HEX).cast("int"))
+        return let(shared, lambda n: let(blocks(F.array_except(own, other)), lambda left: let(blocks(F.array_except(other, own)), lambda right: dice(n, left, right))))
+
+    def dice(shared, left, right):
+        both = 2 * shared + F.size(left) + F.size(right)
+        return F.when(both > 0, 2.0 * (shared + F.size(F.array_intersect(left, right))) / both).otherwise(0.0)
+
+    compared = let(branches(a), lambda own: let(branches(b), lambda other: of_branches(own, other)))
     # Different texts can share all blocks (in another order): they stay below 1.
-    return F.when(root(a) == root(b), 1.0).otherwise(F.least(dice, F.lit(0.999))).cast("double")
+    return F.when(root(a) == root(b), 1.0).otherwise(F.least(compared, F.lit(0.999))).cast("double")
 
 
 def differing(a, b):
