@@ -600,7 +600,8 @@ class Plan:
         distinct row, all in one plan. `sparse`: rows for which it is blank don't count."""
         every = list(self.model.columns(table))
         key = self.model.keys.get(table)
-        columns = (only,) if only else (key,) if key else tuple(every)
+        # A key stands for all columns' filters, unless the measure replaces or removes some of them.
+        columns = (only,) if only else (key,) if key and not self.modifies(name, table, set()) else tuple(every)
         tag = Tag(f"row{next(_ids)}", table, columns)
         inner = ctx.without_columns({(table, c) for c in ((only,) if only else every)})
         for c in columns:
@@ -626,6 +627,19 @@ class Plan:
         value = col(f"__value:{tag.id}")
         return Rel(joined, rel.tags), Typed(value, v.dtype, error)
 
+    def modifies(self, measure: str, table: str, seen: set[str]) -> bool:
+        """Whether a measure, or one that it reads, has a CALCULATE modifier that names the table."""
+        found = self.model.measure(measure)
+        if not found or found[0] in seen:
+            return False
+        seen.add(found[0])
+        for n in dax.walk(dax.parse(found[1])):
+            if isinstance(n, dax.Ref) and n.table is None and n.column is not None and self.modifies(n.column, table, seen):
+                return True
+            if isinstance(n, dax.Call) and n.name in ("CALCULATE", "TOTALYTD") and any(isinstance(r, dax.Ref) and r.table and r.table.lower() == table.lower() for m in n.args[1:] for r in dax.walk(m)):
+                return True
+        return False
+
     def where_not_blank(self, plan: Plan, v: Typed, rel: Rel, table: str, columns: tuple[str, ...], tag: Tag, new: list[str]) -> tuple[Rel, Typed] | None:
         """The rows with those new members only for which the measure's leaves have rows: an equi-join, where a row's
         value for the others is known to be blank. None where it isn't."""

@@ -114,6 +114,15 @@ def test_members_that_do_not_filter_the_rows(retail, text, crossed):
         assert m.evaluate(model, {"v": text}, {("Sales", "Quantity"): r["member"]}).first()["v"] == r["v"], (text, r)
 
 
+@pytest.mark.parametrize("inner", ["CALCULATE([Total Revenue], REMOVEFILTERS(Customers[CustomerID]))", "CALCULATE([Total Revenue], Customers[CustomerID] = 1)", "CALCULATE([Total Revenue], ALL(Customers[Segment]))", "CALCULATE([Total Revenue], Customers[CustomerID] < 3)", "CALCULATE([Total Revenue], ALL(Customers))", "[Total Revenue] + 1"])
+def test_a_key_stands_for_all_columns(retail, inner):
+    """A row's filters are those of all its columns, whether or not the model knows a key."""
+    plain = Model(retail.tables, retail.relationships, {**retail.measures, "Inner": inner, "Outer": "[Inner] * 2"})
+    keyed = Model(retail.tables, retail.relationships, dict(plain.measures), keys={"Customers": "CustomerID"})
+    for text in ("SUMX(Customers, [Outer])", "COUNTX(Customers, [Inner])"):
+        assert m.evaluate(keyed, {"v": text}).first()["v"] == m.evaluate(plain, {"v": text}).first()["v"], text
+
+
 def test_calculated_columns(retail):
     rows = m.calculated_column(retail, "Sales", 'IF(RELATED(Products[Category]) = "Furniture", Sales[Revenue] - [Cost], 1 / 0)', "x").orderBy("OrderID").collect()
     assert [(r["x"], r["x__error"]) for r in rows] == [(40, None), (None, "DIVISION_ERROR"), (10, None), (None, "DIVISION_ERROR")]
