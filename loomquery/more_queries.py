@@ -19,6 +19,7 @@ from .plans import explain, visuals
 from .plans.context import Context
 from .plans.measures import calculated_value, checked, evaluate
 from .plans.model import Model, Relationship
+from .plans.notebook import Cell, Notebook
 from .plans.pipeline import Query, QuerySet
 from .plans.validation import RULES, Rule, Subject, Tolerance, fingerprint, validate
 from .plans.workspace import Workspace, column_dependents, definition_of
@@ -427,6 +428,19 @@ def workspace_impact(spark, d):
     return rows
 
 
+@shaped("notebook_cells", "SELECT 'all' AS filters, " + r2("sum(o_totalprice)") + " AS total, count(DISTINCT o_custkey) AS people FROM orders UNION ALL SELECT 'urgent', " + r2("sum(o_totalprice)") + ", count(DISTINCT o_custkey) FROM orders WHERE o_orderpriority LIKE '1%' UNION ALL SELECT 'cleared', " + r2("sum(o_totalprice)") + ", count(DISTINCT o_custkey) FROM orders")
+def notebook_cells(spark, d):
+    """Two cells under a notebook's filters: none, a slicer's selection, none again."""
+    book = Notebook(workspace(spark, d), "m", {"total": Cell("measure", "[Total]"), "people": Cell("measure", "DISTINCTCOUNT(orders[o_custkey])")})
+    urgent = [r[0] for r in tables(spark, d)["orders"].filter("o_orderpriority LIKE '1%'").select("o_orderpriority").distinct().collect()]
+    parts = []
+    for name, chosen in (("all", []), ("urgent", urgent), ("cleared", [])):
+        book.choose(("orders", "o_orderpriority"), chosen)
+        total, people = (book.result(n).withColumnRenamed("value", n) for n in ("total", "people"))
+        parts.append(total.crossJoin(people).select(F.lit(name).alias("filters"), "total", "people"))  # one row each
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @told("workspace_dependents", "name string, dependent string", listed("name, dependent", [("o_totalprice", "measure Total"), ("o_totalprice", "calculated column orders[Net]")]))
 def workspace_dependents(spark, d):
     m = workspace(spark, d).models["m"]

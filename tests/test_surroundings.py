@@ -11,6 +11,7 @@ from loomquery.diagnostics import EngineError
 from loomquery.operators import steps as s
 from loomquery.plans import explain, visuals
 from loomquery.plans.model import Model, Relationship
+from loomquery.plans.notebook import Cell, Notebook
 from loomquery.plans.pipeline import Query
 from loomquery.plans.validation import Rule, Subject, Tolerance, fingerprint, validate
 from loomquery.plans.workspace import Workspace
@@ -141,6 +142,29 @@ def test_validation(spark, model):
     assert Tolerance().close(None, None) and not Tolerance().close(None, 0) and Tolerance(None, 0.1).close(100, 109) and not Tolerance(0.1, None).close(1, 1.2)
 
 
+def test_notebook(spark, model):
+    ws = Workspace({"o": model.tables["o"]}, {"q": Query("q", "o", [s.FilterRows([s.Condition("v", "greater-than", 3)])]), "hidden": Query("hidden", "o", load=False)}, {"m": model})
+    book = Notebook(ws, "m")
+    for n, cell in {"total": Cell("measure", "[Total]"), "bar": Cell("visual", visuals.Visual("bar", ("Total",), ("c", "land"))), "why": Cell("explain", "[Total]"), "rows": Cell("query", "q"), "bad": Cell("measure", "[Nope]"), "gone": Cell("query", "hidden")}.items():
+        book.add(n, cell)
+    assert book.stale("total") and book.result("total").first()["value"] == 20 and not book.stale("total")
+    book.choose(("C", "LAND"), ["France"])
+    assert book.stale("total") and book.result("total").first()["value"] == 1 and book.result("why").comparison.value == 1
+    assert [tuple(r) for r in book.result("bar").collect()] == [("France", 1.0), ("Spain", None), (None, None)] and book.result("rows").count() == 3
+    assert [d.code for n in ("total", "bar", "bad", "gone") for d in book.problems(n)] == ["UNKNOWN_MEASURE", "QUERY_NOT_LOADED"]
+    book.choose(("c", "land"), [])
+    assert book.filters == {} and book.stale("total")
+    book.result("total")
+    model.add_measure("Other", "1")
+    assert book.stale("total")
+    book.move("rows", 0)
+    book.remove("bad")
+    assert list(book.cells) == ["rows", "total", "bar", "why", "gone"]
+    for cell in (("total", Cell("measure", "1")), ("x", Cell("nothing", 1))):
+        with pytest.raises(EngineError):
+            book.add(*cell)
+
+
 def test_workspace(spark, model, tmp_path):
     path = str(tmp_path / "o")
     sources.write(model.tables["o"], path)
